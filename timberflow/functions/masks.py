@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from timberflow.functions.text import non_empty, strip
+from timberflow.functions.text import let, non_empty, strip
 
 # What is masked, in this order. The literal in front is a cheap
 # test every match must pass, so most texts never reach the expression.
@@ -39,8 +39,15 @@ def message_of_json(stripped: Column) -> Column:
 
 def mask_text(text: Column) -> Column:
     for trigger, pattern, token in MASKS:
-        masked = F.regexp_replace(text, pattern, token)
-        text = masked if trigger is None else F.when(F.contains(text, F.lit(trigger)), masked).otherwise(text)
+        if trigger is None:
+            text = F.regexp_replace(text, pattern, token)
+            continue
+        text = let(
+            text,
+            lambda t, trigger=trigger, pattern=pattern, token=token: F.when(
+                F.contains(t, F.lit(trigger)), F.regexp_replace(t, pattern, token)
+            ).otherwise(t),
+        )
     return strip(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
@@ -50,7 +57,7 @@ def normalized_text(column: Column, metadata_json: Column | None = None) -> Colu
     stripped = strip(F.coalesce(column, F.lit("")))
     if metadata_json is not None:
         stripped = F.when(stripped == "", F.coalesce(metadata_json, F.lit(""))).otherwise(stripped)
-    return mask_text(message_of_json(stripped))
+    return mask_text(let(stripped, message_of_json))
 
 
 def semantic_text(message: Column, level: Column, service: Column, metadata_json: Column | None = None) -> Column:

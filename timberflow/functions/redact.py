@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, functions as F
 
-from timberflow.functions.text import rewrite_matches
+from timberflow.functions.text import let, rewrite_matches
 
 
 @dataclass(frozen=True)
@@ -84,7 +84,7 @@ def may_match(rule: Rule, text: Column) -> Column:
 
 
 def _card_digits_valid(match: Column) -> Column:
-    return F.luhn_check(F.regexp_replace(match, r"\D", ""))
+    return F.call_function("luhn_check", F.regexp_replace(match, r"\D", ""))
 
 
 def apply_rule(rule: Rule, text: Column) -> Column:
@@ -112,7 +112,7 @@ def redact_text(text: Column, rules: tuple[Rule, ...] = DEFAULT_RULES, enabled:
     """Text with every rule applied in order; null and empty pass through."""
     if enabled:
         for rule in rules:
-            text = apply_rule(rule, text)
+            text = let(text, lambda t, rule=rule: apply_rule(rule, t))
     return text
 
 
@@ -162,7 +162,12 @@ def mask_sensitive(text: Column, mask: str = "*") -> Column:
             hidden = F.regexp_extract(match, regex, 1) if grouped else match
             return F.repeat(F.lit(mask), F.length(hidden))
 
-        text = F.when(_worth_scanning(trigger, text), rewrite_matches(text, regex, blackout)).otherwise(text)
+        text = let(
+            text,
+            lambda t, regex=regex, trigger=trigger, blackout=blackout: F.when(
+                _worth_scanning(trigger, t), rewrite_matches(t, regex, blackout)
+            ).otherwise(t),
+        )
     return text
 
 
@@ -176,7 +181,7 @@ def sensitive_fields(text: Column) -> Column:
         pieces = F.split(text, regex, -1)
         matches = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
 
-        def locate(acc: Column, pair: Column, kind=kind) -> Column:
+        def locate(acc: Column, pair: Column, kind: str) -> Column:
             start = acc["at"] + F.length(pair["pieces"])
             hit = F.struct(
                 F.lit(kind).alias("type"), pair["matches"].alias("value"), start.alias("position")
@@ -191,7 +196,7 @@ def sensitive_fields(text: Column) -> Column:
         located = F.aggregate(
             F.arrays_zip(pieces.alias("pieces"), matches.alias("matches")),
             F.struct(F.lit(0).alias("at"), F.array().cast(row).alias("hits")),
-            locate,
+            lambda acc, pair: locate(acc, pair, kind),  # noqa: B023 (called at once)
             lambda acc: acc["hits"],
         )
         found.append(

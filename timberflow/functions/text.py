@@ -31,6 +31,12 @@ def non_empty(column: Column) -> Column:
     return F.when(column != "", column)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body
+    mentions it. Keeps chains of rules linear in size."""
+    return F.element_at(F.transform(F.array(value), lambda bound: body(bound)), 1)
+
+
 def rewrite_matches(text: Column, pattern: str, rewrite) -> Column:
     """Replace each match of ``pattern`` by ``rewrite(match)``.
 

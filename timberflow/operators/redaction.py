@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from timberflow.functions import redact as rx
@@ -77,8 +78,6 @@ def redact_variant(df: DataFrame, column: str, rules: tuple[rx.Rule, ...] = rx.D
     function that walks the value. Keys are never touched. Rows whose text no
     rule matches skip it: the check runs in the JVM on the JSON text.
     """
-    import pandas as pd
-
     specs = [(rule.label, rule.pattern, rule.luhn) for rule in rules]
 
     @F.pandas_udf("string")
