@@ -116,6 +116,23 @@ def redact_text(text: Column, rules: tuple[Rule, ...] = DEFAULT_RULES, enabled:
     return text
 
 
+def redact_with_counts(text: Column, rules: tuple[Rule, ...] = DEFAULT_RULES) -> Column:
+    """``struct<text, hits>``: the redacted text and the matches of each rule,
+    in rule order, each counted on the text its predecessors left."""
+    state = F.struct(text.alias("text"), F.array().cast("array<int>").alias("hits"))
+    for rule in rules:
+        state = let(
+            state,
+            lambda s, rule=rule: F.struct(
+                apply_rule(rule, s["text"]).alias("text"),
+                F.concat(
+                    s["hits"], F.array(F.coalesce(count_rule(rule, s["text"]), F.lit(0)).cast("int"))
+                ).alias("hits"),
+            ),
+        )
+    return state
+
+
 def redact_map(column: Column, rules: tuple[Rule, ...] = DEFAULT_RULES) -> Column:
     """Redact the values of a ``map<string,string>``; keys stay as they are."""
     return F.transform_values(column, lambda _key, value: redact_text(value, rules))

@@ -10,6 +10,7 @@ from timberflow.functions.levels import line_level
 from timberflow.functions.services import service_word
 from timberflow.functions.text import is_blank, non_empty, strip
 from timberflow.functions.timestamps import normalize_timestamp
+from timberflow.operators.pinning import pin
 
 # The bracketed line form. FATAL and TRACE lines do not match.
 STANDARD_LINE = r"(?id)^\[(.*?)\]\s+(INFO|WARN|WARNING|ERROR|DEBUG|CRITICAL):\s+(.*)$"
@@ -50,22 +51,25 @@ def parse_lines(df: DataFrame, column: str = "value") -> DataFrame:
     clean = F.col("__clean")
     body = F.col("__json")
     braces = clean.startswith("{") & clean.endswith("}")
-    staged = (
-        df.withColumn("__clean", F.when(~is_blank(F.col(column)), strip(F.col(column))))
-        .withColumn("__json", F.when(braces, F.try_parse_json("__clean")))
-        .withColumn(
-            "__structured",
-            F.coalesce(
-                _json_type(body).startswith("OBJECT")
-                & ~_unusable(F.try_variant_get(body, "$.timestamp", "variant"))
-                & ~_unusable(F.try_variant_get(body, "$.level", "variant")),
-                F.lit(False),
-            ),
-        )
-        .withColumn("__standard", ~F.col("__structured") & clean.rlike(STANDARD_LINE))
-        .withColumn("__braced", ~F.col("__structured") & clean.rlike(BRACED_LINE))
+    staged = pin(df, {"__clean": F.when(~is_blank(F.col(column)), strip(F.col(column)))})
+    staged = pin(staged, {"__json": F.when(braces, F.try_parse_json("__clean"))})
+    usable_json = F.coalesce(
+        _json_type(body).startswith("OBJECT")
+        & ~_unusable(F.try_variant_get(body, "$.timestamp", "variant"))
+        & ~_unusable(F.try_variant_get(body, "$.level", "variant")),
+        F.lit(False),
     )
-    structured, standard, braced = F.col("__structured"), F.col("__standard"), F.col("__braced")
+    staged = pin(staged, {"__structured": usable_json})
+    staged = pin(
+        staged,
+        {
+            "parser_type": F.when(F.col("__structured"), "structured_json")
+            .when(clean.rlike(STANDARD_LINE), "standard")
+            .when(clean.rlike(BRACED_LINE), "fallback_json")
+        },
+    )
+    kind = F.col("parser_type")
+    structured, standard, braced = kind == "structured_json", kind == "standard", kind == "fallback_json"
 
     # One JSON read gives the flat map; reserved keys are dropped from it.
     extras = F.map_filter(
@@ -77,9 +81,11 @@ def parse_lines(df: DataFrame, column: str = "value") -> DataFrame:
     no_metadata = F.create_map().cast("map<string,string>")
     stamp_text = F.try_variant_get(body, "$.timestamp", "string")
 
-    parsed = staged.withColumns(
+    is_text = _json_type(F.try_variant_get(body, "$.timestamp", "variant")) == "STRING"
+    parsed = pin(
+        staged,
         {
-            "__stamp": F.when(structured, F.when(_json_type(F.try_variant_get(body, "$.timestamp", "variant")) == "STRING", stamp_text))
+            "__stamp": F.when(structured, F.when(is_text, stamp_text))
             .when(standard, F.regexp_extract(clean, STANDARD_LINE, 1))
             .when(braced, F.lit("")),
             "level": F.when(structured, line_level(F.try_variant_get(body, "$.level", "string")))
@@ -88,11 +94,9 @@ def parse_lines(df: DataFrame, column: str = "value") -> DataFrame:
             "message": F.when(structured, F.coalesce(F.try_variant_get(body, "$.message", "string"), F.lit("")))
             .when(standard, F.regexp_extract(clean, STANDARD_LINE, 3))
             .when(braced, clean),
-            "parser_type": F.when(structured, F.lit("structured_json"))
-            .when(standard, F.lit("standard"))
-            .when(braced, F.lit("fallback_json")),
-        }
-    ).withColumn("timestamp", normalize_timestamp(F.col("__stamp")))
+        },
+    )
+    parsed = pin(parsed, {"timestamp": normalize_timestamp(F.col("__stamp"))})
 
     matched = F.col("parser_type").isNotNull()
     result = parsed.withColumns(
@@ -115,7 +119,7 @@ def parse_lines(df: DataFrame, column: str = "value") -> DataFrame:
             ),
         }
     )
-    return result.drop("__clean", "__json", "__structured", "__standard", "__braced", "__stamp")
+    return result.drop("__clean", "__json", "__structured", "__stamp")
 
 
 def parser_metrics(parsed: DataFrame) -> DataFrame:
@@ -279,18 +283,19 @@ def parse_multi_format(
     blank = is_blank(line)
     body = F.col("__json")
     formats = _ordered(custom)
-    staged = df.withColumn(
-        "__json", F.when(trimmed.startswith("{") & trimmed.endswith("}"), F.try_parse_json(trimmed))
-    ).withColumn(
-        "is_json",
-        F.coalesce(
+    staged = pin(
+        df, {"__json": F.when(trimmed.startswith("{") & trimmed.endswith("}"), F.try_parse_json(trimmed))}
+    )
+    staged = pin(
+        staged,
+        {"is_json": F.coalesce(
             _json_type(body).startswith("OBJECT")
             # Absent: the default INFO. Present but not text: not usable.
             & F.coalesce(
                 _json_type(F.try_variant_get(body, "$.level", "variant")) == "STRING", F.lit(True)
             ),
             F.lit(False),
-        ),
+        )},
     )
     steps = []
     for rank, fmt in enumerate(formats):
@@ -300,9 +305,8 @@ def parse_multi_format(
     for value, rank, fmt, quarters, varies in sorted(steps, key=lambda step: step[:2]):
         condition = fmt.hits(line) & (quarters == -value) if varies else fmt.hits(line)
         winner = winner.when(condition, F.lit(rank * 10 - value))
-    ranked = staged.withColumn("__winner", winner).withColumn(
-        "__rank", F.floor(F.col("__winner") / 10).cast("int")
-    )
+    ranked = pin(staged, {"__winner": winner})
+    ranked = pin(ranked, {"__rank": F.floor(F.col("__winner") / 10).cast("int")})
 
     def per_format(make) -> Column:
         choice = None

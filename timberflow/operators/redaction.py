@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from timberflow.functions import redact as rx
+from timberflow.operators.pinning import pin
 
 
 def redact_column(
@@ -17,33 +18,30 @@ def redact_column(
 ) -> DataFrame:
     """Redact ``column`` in place and add a ``map<label, matches>`` column.
 
-    Counts see the text as the earlier rules left it, so each rule is one
-    projection on top of the last. Labels without a match are left out.
+    Counts see the text as the earlier rules left it. The chain is a single
+    expression whose steps are bound one by one, evaluated once per row even
+    when its results are filtered. Labels without a match are left out.
     """
     if not enabled or not rules:
         empty = F.create_map().cast("map<string,int>")
         return df.withColumn(counts, empty) if counts else df
-    for index, rule in enumerate(rules):
-        changes = {column: rx.apply_rule(rule, F.col(column))}
-        if counts:
-            changes[f"__hits_{index}"] = F.coalesce(rx.count_rule(rule, F.col(column)), F.lit(0))
-        df = df.withColumns(changes)
     if not counts:
-        return df
-    pairs = F.array(
-        *[
-            F.struct(F.lit(rule.label).alias("key"), F.col(f"__hits_{index}").cast("int").alias("value"))
-            for index, rule in enumerate(rules)
-        ]
+        return df.withColumn(column, rx.redact_text(F.col(column), rules))
+    staged = pin(df, {"__redacted": rx.redact_with_counts(F.col(column), rules)})
+    pairs = F.arrays_zip(
+        F.array(*[F.lit(rule.label) for rule in rules]).alias("key"), F.col("__redacted.hits").alias("value")
     )
     hits = F.map_from_entries(F.filter(pairs, lambda pair: pair["value"] > 0))
-    return df.withColumn(counts, hits).drop(*[f"__hits_{index}" for index in range(len(rules))])
+    return staged.withColumns({column: F.col("__redacted.text"), counts: hits}).drop("__redacted")
 
 
 def redaction_summary(df: DataFrame, counts: str = "redactions") -> DataFrame:
     """Total matches per label."""
     return (
-        df.select(F.explode(counts).alias("label", "hits"))
+        # The outer form keeps the optimizer from testing the map a second time
+        # below the explode.
+        df.select(F.explode_outer(counts).alias("label", "hits"))
+        .filter("label is not null")
         .groupBy("label")
         .agg(F.sum("hits").cast("bigint").alias("matches"), F.count("*").alias("texts"))
     )
@@ -111,20 +109,21 @@ def redact_variant(df: DataFrame, column: str, rules: tuple[rx.Rule, ...] = rx.D
 
         return texts.map(lambda text: text if text is None else json.dumps(walk(json.loads(text))))
 
-    text = F.to_json(F.col(column))
+    text = F.col("__text")
     suspicious = F.lit(False)
     for rule in rules:
         # JSON escapes never split a match: none contains quotes or controls,
         # but Bearer allows white space, which JSON may print as \n or \t.
         pattern = rule.pattern.replace(r"\s+", r"(?:\s|\\[ntrf])+")
-        suspicious = suspicious | text.rlike(pattern)
+        suspicious = suspicious | (rx.may_match(rule, text) & text.rlike(pattern))
     return (
-        df.withColumn("__text", text)
-        .withColumn("__text", F.when(suspicious, F.col("__text")))
-        .withColumn("__clean", redact_leaves("__text"))
-        .withColumn(
-            column,
-            F.when(F.col("__clean").isNotNull(), F.try_parse_json("__clean")).otherwise(F.col(column)),
+        pin(df, {"__text": F.to_json(F.col(column))})
+        .withColumn("__clean", redact_leaves(F.when(suspicious, text)))
+        .transform(
+            lambda staged: pin(
+                staged,
+                {column: F.when(F.col("__clean").isNotNull(), F.try_parse_json("__clean")).otherwise(F.col(column))},
+            )
         )
         .drop("__text", "__clean")
     )
@@ -147,7 +146,7 @@ def detection_report(df: DataFrame, column: str) -> DataFrame:
         )
     )
     return (
-        df.withColumn("__fields", rx.sensitive_fields(F.col(column)))
+        pin(df, {"__fields": rx.sensitive_fields(F.col(column))})
         .withColumn("text_length", F.length(column))
         .withColumn("sensitive_fields_found", F.size("__fields"))
         .withColumn("field_types", per_type)

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from timberflow.functions.redact import mask_sensitive, sensitive_fields
+from timberflow.operators.pinning import pin
 
 ALGORITHM = "AES-GCM"
 
@@ -39,7 +40,8 @@ def secure_logs(logs: DataFrame, key: Column, at: Column, *keep: str) -> DataFra
     """Mask the message, record how many sensitive fields it held, encrypt the
     row."""
     found = F.size(sensitive_fields(F.col("message")))
-    masked = logs.withColumn("sensitive_fields_detected", F.nullif(found, F.lit(0))).withColumn(
-        "message", mask_sensitive(F.col("message"))
-    )
+    scanned = pin(logs, {"__found": found, "__masked": mask_sensitive(F.col("message"))})
+    masked = scanned.withColumns(
+        {"sensitive_fields_detected": F.nullif(F.col("__found"), F.lit(0)), "message": F.col("__masked")}
+    ).drop("__found", "__masked")
     return encrypt_rows(masked, key, at, *keep)

@@ -83,7 +83,8 @@ def redact_documents(spark, sf_dir):
     ),
 )
 def redaction_counts(spark, sf_dir):
-    return redacted_documents(spark, sf_dir).select("doc_id", F.explode("redactions").alias("label", "matches"))
+    counts = redacted_documents(spark, sf_dir).select("doc_id", F.explode_outer("redactions").alias("label", "matches"))
+    return counts.filter("label is not null")
 
 
 @query(
