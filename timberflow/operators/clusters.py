@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from timberflow.functions.levels import inferred_severity
 from timberflow.functions.masks import normalized_text
 from timberflow.functions.text import filled, non_empty, strip
-from timberflow.functions.vectors import cosine
 from timberflow.session import durable
 
 # Join threshold, samples kept, summary wording and lengths.
@@ -67,18 +66,111 @@ def _signatures(vector: Column, tables: int, bits: int, seed: int) -> Column:
     return sides(vector)
 
 
-def hashing_plan(distinct: int, threshold: float, recall: float = 0.99, max_tables: int = 48) -> tuple[int, int]:
-    """(tables, bits): enough bits that unrelated vectors seldom meet, enough
-    tables that a pair at the threshold meets with probability ``recall``."""
+def hashing_plan(
+    distinct: int, threshold: float, block: int, recall: float = 0.95, max_tables: int = 24
+) -> tuple[int, int]:
+    """(tables, bits): enough bits that unrelated vectors fill an eighth of a
+    block per bucket, enough tables that a pair at the threshold meets with
+    probability ``recall``, within ``max_tables``. What fits one block is not
+    hashed at all."""
+    if distinct <= block:
+        return 1, 0
     agree = 1 - math.acos(min(1.0, max(-1.0, threshold))) / math.pi
-    bits = max(6, min(24, math.ceil(math.log2(max(2, distinct)))))
+    bits = max(1, min(40, math.ceil(math.log2(8 * distinct / block))))
     while True:
         tables = math.ceil(math.log(1 - recall) / math.log(1 - min(1 - 1e-12, agree**bits)))
-        if tables <= max_tables or bits <= 6:
+        if tables <= max_tables or bits == 1:
             return max(1, tables), bits
         bits -= 1
 
 
+_EDGES = "item string, parent string, parent_at {at}, parent_id {id}, score double, crowded boolean"
+
+
+def _compare_in_blocks(
+    active: DataFrame, leaders: DataFrame | None, threshold: float, block: int, tables: int, bits: int, extra: int, seed: int, at_type: str, id_type: str
+) -> DataFrame:
+    """One row per active item and similar local leader, or one with a null
+    parent per block that found none.
+
+    A block holds the items of one bucket; a bucket of more than ``block``
+    active items is cut into blocks by a hash of the item, and each gets the
+    bucket's confirmed leaders. Inside a block items are taken in arrival
+    order. ``crowded`` marks blocks that saw only a part of their bucket.
+    """
+    rows = active.withColumn("fixed", F.lit(False))
+    if leaders is not None:
+        rows = rows.unionByName(leaders.withColumn("fixed", F.lit(True)))
+    if bits == 0:
+        placed = rows.withColumns({"tab": F.lit(0), "sig": F.lit(0).cast("bigint")})
+    else:
+        placed = rows.withColumn("__sigs", _signatures(F.col("vec"), tables, bits, seed)).select(
+            *rows.columns, F.posexplode("__sigs").alias("tab", "sig")
+        )
+    if extra:
+        finer = _signatures(F.col("vec"), 1, extra, seed + 1)[0]
+        placed = placed.withColumn("sig", F.struct("sig", finer.alias("finer")))
+        placed = placed.withColumn("sig", F.xxhash64("sig"))
+    sizes = placed.groupBy("tab", "sig").agg(F.count_if(~F.col("fixed")).alias("waiting"))
+    parts = F.ceil(F.col("waiting") / block).cast("int")
+    spread = (
+        placed.join(sizes.filter("waiting > 0"), ["tab", "sig"])
+        .withColumn("parts", parts)
+        .withColumn(
+            "part",
+            F.explode(
+                F.when(F.col("fixed"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(
+                    F.array(F.pmod(F.xxhash64("item"), F.col("parts")).cast("int"))
+                )
+            ),
+        )
+    )
+
+    def lead(frame: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+        import pandas as pd
+
+        frame = frame.sort_values(["at", "id"], kind="stable")
+        fixed = frame["fixed"].to_numpy()
+        width = max(len(v) for v in frame["vec"])
+        unit = np.zeros((len(frame), width))
+        for row, v in enumerate(frame["vec"]):
+            unit[row, : len(v)] = v
+        length = np.sqrt((unit * unit).sum(axis=1, keepdims=True))
+        unit = np.divide(unit, length, out=np.zeros_like(unit), where=length > 0)
+        chosen = np.empty(len(frame), dtype="int64")
+        chosen[: fixed.sum()] = np.flatnonzero(fixed)
+        used = int(fixed.sum())
+        heads = np.zeros((len(frame), width))
+        heads[:used] = unit[fixed]
+        child, parent, score = [], [], []
+        for row in np.flatnonzero(~fixed):
+            scores = np.clip(heads[:used] @ unit[row], 0.0, 1.0)
+            near = np.flatnonzero(scores >= threshold)
+            if len(near):
+                child += [row] * len(near)
+                parent += chosen[near].tolist()
+                score += scores[near].tolist()
+                continue
+            child.append(row)
+            parent.append(-1)
+            score.append(0.0)
+            chosen[used] = row
+            heads[used] = unit[row]
+            used += 1
+        parent = np.array(parent, dtype="int64")
+        known = parent >= 0
+        out = pd.DataFrame({"item": frame["item"].to_numpy()[child]})
+        for name, source in (("parent", "item"), ("parent_at", "at"), ("parent_id", "id")):
+            values = frame[source].iloc[np.where(known, parent, 0)].reset_index(drop=True)
+            out[name] = values.where(pd.Series(known))
+        out["score"] = score
+        out["crowded"] = bool(frame["parts"].iloc[0] > 1)
+        return out
+
+    return spread.groupBy("tab", "sig", "part").applyInPandas(lead, _EDGES.format(at=at_type, id=id_type))
+
+
 def assign_clusters(
     logs: DataFrame,
     threshold: float = THRESHOLD,
@@ -86,6 +178,7 @@ def assign_clusters(
     text: str = "message",
     ts: str = "ts",
     tie: str = "log_id",
+    block: int = 2048,
     tables: int | None = None,
     bits: int | None = None,
     seed: int = 7,
@@ -94,82 +187,77 @@ def assign_clusters(
     similarity_score``.
 
     A log starts a cluster when no earlier leader is similar enough, otherwise
-    it joins one. Leaders keep their own vector, and two logs are compared only
-    when they share a hash bucket (see :func:`hashing_plan` for the recall), so
-    the result can differ from one-by-one processing with drifting centres.
-    Guaranteed: a member's score is its exact cosine and reaches the threshold.
-
-    Equal vectors collapse first. Then, in rounds, a log that is the earliest
-    one left in all its buckets is a leader, and everything in its buckets is
-    compared with it alone: no round emits more than one pair per log and
-    table, whatever the size of a bucket. Each round is cut to reliable
-    storage. Logs with a blank text or no vector stay without a cluster.
+    it joins the most similar one. Leaders keep their own vector, and logs are
+    compared only when they share a hash bucket (:func:`hashing_plan` gives the
+    recall), so the result can differ from one-by-one processing with drifting
+    centres. A member's score is its exact cosine and reaches the threshold.
+
+    Equal vectors collapse first. Then, in rounds, the undecided items of each
+    bucket meet in blocks of bounded size: a log without a similar leader in
+    any of its blocks is confirmed when it has seen its whole buckets; one with
+    a confirmed leader joins it; the others wait for their candidates or
+    compete again. A bucket of near copies shrinks by about the block size per
+    round, one of unrelated vectors is split by further hash bits once rounds
+    stop helping. Each round is cut to reliable storage. Logs with a blank text
+    or no vector stay without a cluster.
     """
     usable = filled(F.col(text)).isNotNull() & (F.size(vector) > 0)
     # 128 bits of hash identify equal vectors without shuffling them twice.
-    key = F.struct(F.xxhash64(vector).alias("a"), F.xxhash64(F.lit(seed), F.col(vector)).alias("b"))
+    key = F.concat(F.hex(F.xxhash64(vector)), F.lit("-"), F.hex(F.xxhash64(F.lit(seed), F.col(vector))))
     keyed = logs.withColumn("__item", F.when(F.coalesce(usable, F.lit(False)), key))
     arrival = F.struct(F.col(ts).alias("at"), F.col(tie).alias("id"))
     items = durable(
         keyed.filter("__item is not null")
         .groupBy(F.col("__item").alias("item"))
         .agg(F.min(arrival).alias("first"), F.first(vector).alias("vec"))
+        .select("item", F.col("first.at").alias("at"), F.col("first.id").alias("id"), "vec")
     )
-    if tables is None or bits is None:
-        auto_tables, auto_bits = hashing_plan(items.count(), threshold)
-        tables, bits = tables or auto_tables, bits or auto_bits
-    buckets = durable(
-        items.select("item", "first", F.posexplode(_signatures(F.col("vec"), tables, bits, seed)).alias("tab", "sig"))
-    )
-
-    left = items.select("item")
-    waiting = buckets
-    leaders, members = [], []
-    while True:
-        heads = waiting.groupBy("tab", "sig").agg(F.min(F.struct("first", "item")).alias("head"))
-        heads = heads.select("tab", "sig", F.col("head.item").alias("leader"), F.col("head.first").alias("leader_first"))
-        confirmed = durable(
-            heads.groupBy("leader", "leader_first").agg(F.count("*").alias("n")).filter(F.col("n") == tables).select("leader", "leader_first")
-        )
-        led_buckets = heads.join(confirmed.select("leader"), "leader", "left_semi")
-        pairs = (
-            waiting.join(led_buckets, ["tab", "sig"])
-            .filter(F.col("item") != F.col("leader"))
-            .groupBy("item", "leader")
-            .agg(F.first("leader_first").alias("leader_first"))
+    count = items.count()
+    planned_tables, planned_bits = hashing_plan(count, threshold, block)
+    bits = planned_bits if bits is None else bits
+    tables = (planned_tables if tables is None else tables) if bits else 1
+    at_type, id_type = items.schema["at"].dataType.simpleString(), items.schema["id"].dataType.simpleString()
+
+    active, extra = items, 0
+    leaders = edges = None
+    members = items.sparkSession.createDataFrame([], "item string, leader string, score double")
+    undecided = count
+    while undecided:
+        found = durable(
+            _compare_in_blocks(active, leaders, threshold, block, tables, bits, extra, seed, at_type, id_type)
         )
-        scored = (
-            pairs.join(items.select(F.col("item").alias("leader"), F.col("vec").alias("leader_vec")), "leader")
-            .join(items.select("item", "vec"), "item")
-            .withColumn("score", cosine(F.col("vec"), F.col("leader_vec")))
-            .filter(F.col("score") >= threshold)
+        per_item = found.groupBy("item").agg(
+            F.count("parent").alias("parents"), F.bool_or("crowded").alias("crowded")
         )
-        # Most similar leader of the round, the earlier one on a tie.
-        preference = F.struct((-F.col("score")).alias("s"), F.col("leader_first"))
-        joined = durable(
-            scored.groupBy("item")
-            .agg(F.min_by(F.struct("leader_first", "score"), preference).alias("top"))
-            .select("item", "top.leader_first", "top.score")
+        confirmed = per_item.filter("parents = 0 and not crowded").select("item")
+        new_leaders = active.join(confirmed, "item", "left_semi")
+        leaders = durable(new_leaders if leaders is None else leaders.unionByName(new_leaders))
+        fresh_edges = found.filter("parent is not null").groupBy("item", "parent").agg(
+            F.first("parent_at").alias("parent_at"), F.first("parent_id").alias("parent_id"), F.max("score").alias("score")
         )
-        leaders.append(confirmed)
-        members.append(joined)
-        done = confirmed.select(F.col("leader").alias("item")).unionByName(joined.select("item"))
-        waiting = durable(waiting.join(done, "item", "left_anti"))
-        if waiting.isEmpty():
-            break
-
-    decided = leaders[0].select(
-        F.col("leader").alias("item"), "leader_first", F.lit(None).cast("double").alias("score")
-    )
-    for part in leaders[1:]:
-        decided = decided.unionByName(
-            part.select(F.col("leader").alias("item"), "leader_first", F.lit(None).cast("double").alias("score"))
+        edges = fresh_edges if edges is None else edges.unionByName(fresh_edges)
+
+        # Join the best confirmed leader, the earlier one on a tie.
+        preference = F.struct((-F.col("score")).alias("s"), F.col("parent_at"), F.col("parent_id"))
+        led = edges.join(leaders.select(F.col("item").alias("parent")), "parent", "left_semi")
+        joined = led.groupBy("item").agg(F.min_by(F.struct("parent", "score"), preference).alias("top"))
+        members = durable(
+            members.unionByName(joined.select("item", F.col("top.parent").alias("leader"), "top.score"))
         )
-    for part in members:
-        decided = decided.unionByName(part.select("item", "leader_first", "score"))
-    decided = decided.select(
-        F.col("item").alias("__item"), F.col("leader_first.id").alias("__leader"), F.col("score").alias("__score")
-    )
+        settled = leaders.select("item").unionByName(members.select("item"))
+        open_items = items.join(settled, "item", "left_anti")
+        edges = durable(edges.join(members.select("item"), "item", "left_anti"))
+        # Whoever still has an undecided candidate waits for it.
+        hopeful = edges.join(members.select(F.col("item").alias("parent")), "parent", "left_anti").select("item").distinct()
+        active = durable(open_items.join(hopeful, "item", "left_anti"))
+        left = open_items.count()
+        if left == undecided:
+            extra = min(extra + 4, 60)
+        undecided = left
+
+    decided = leaders.select("item", F.col("item").alias("leader"), F.lit(None).cast("double").alias("score")).unionByName(members)
+    names = items.select(F.col("item").alias("leader"), F.col("id").alias("__leader"))
+    decided = decided.join(names, "leader").select(F.col("item").alias("__item"), "__leader", F.col("score").alias("__score"))
 
     is_first = F.col(tie) == F.col("__leader")
     clustered = F.col("__leader").isNotNull()

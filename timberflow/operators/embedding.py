@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from timberflow.functions.text import non_empty
 from timberflow.functions.vectors import unit_vector
+from timberflow.operators.pinning import pin
 
 Embedder = Callable[[DataFrame, str, str], DataFrame]
 
@@ -22,9 +23,9 @@ def hashing_embedder(dimensions: int = 64) -> Embedder:
 
         tokens = Tokenizer(inputCol=text, outputCol="__tokens").transform(df)
         hashed = HashingTF(inputCol="__tokens", outputCol="__tf", numFeatures=dimensions).transform(tokens)
-        return hashed.withColumn(
-            vector, unit_vector(vector_to_array("__tf")).cast("array<float>")
-        ).drop("__tokens", "__tf")
+        return pin(hashed, {vector: unit_vector(vector_to_array("__tf")).cast("array<float>")}).drop(
+            "__tokens", "__tf"
+        )
 
     return embed
 
