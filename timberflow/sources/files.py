@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from timberflow.functions.text import filled, non_empty
+from timberflow.operators.pinning import pin
 
 # The syslog line form and the severity words, in order of
 # precedence, with the severity each stands for.
@@ -46,7 +47,7 @@ def json_lines(df: DataFrame) -> DataFrame:
     as ``attributes``. A line that is not a JSON object is kept as body."""
     attributes = F.from_json("value", "map<string,string>")
     level = F.lower(F.try_element_at("attributes", F.lit("level")))
-    return df.withColumn("attributes", F.when(F.try_parse_json("value").isNotNull(), attributes)).withColumns(
+    return pin(df, {"attributes": F.when(F.try_parse_json("value").isNotNull(), attributes)}).withColumns(
         {
             "ts": F.try_to_timestamp(F.try_element_at("attributes", F.lit("timestamp")), F.lit(JSON_TIME)),
             "severity": F.when(level.isin(*LEVEL_NAMES), level),

@@ -7,15 +7,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 from timberflow.functions.levels import otel_level
 from timberflow.functions.redact import DEFAULT_RULES, Rule, redact_map
 from timberflow.functions.services import resolve_service_id
-from timberflow.functions.text import non_empty
+from timberflow.functions.text import let, non_empty
 from timberflow.functions.timestamps import event_time, nanos_text
 from timberflow.operators.parsing import parse_lines
+from timberflow.operators.pinning import pin
 from timberflow.operators.redaction import redact_column
 from timberflow.schema import stable_id
 
 # Parts of unknown shape stay VARIANT, so a malformed one is skipped alone.
 _ATTRIBUTES = "array<struct<key:string,value:variant>>"
-_MAX_DEPTH = 4
+_MAX_DEPTH = 3
 
 
 def _kind(value: Column) -> Column:
@@ -69,23 +70,22 @@ def any_value_json(value: Column, depth: int = _MAX_DEPTH) -> Column:
     pairs = F.coalesce(
         _at(value, "$.kvlistValue.values", _ATTRIBUTES), _at(value, "$.kvlistValue", _ATTRIBUTES)
     )
-    plain_items = value.try_cast("array<variant>")
-    plain_pairs = F.map_entries(value.try_cast("map<string,variant>"))
     return (
         out.when(_at(value, "$.arrayValue").isNotNull(), F.coalesce(listed(array_items), F.lit("[]")))
         .when(
             _at(value, "$.kvlistValue").isNotNull(),
             F.coalesce(keyed(F.filter(pairs, lambda entry: entry["key"].isNotNull())), F.lit("{}")),
         )
-        .when(_kind(value).startswith("ARRAY"), listed(plain_items))
-        .when(_kind(value).startswith("OBJECT"), keyed(plain_pairs))
+        # A plain value is its own JSON.
         .otherwise(F.to_json(value))
     )
 
 
 def json_as_text(encoded: Column) -> Column:
     """Unquote a JSON string; other JSON stays as it is and null is null."""
-    return F.when(encoded != "null", F.coalesce(F.try_parse_json(encoded).try_cast("string"), encoded))
+    return F.when(
+        encoded.startswith('"'), F.try_parse_json(encoded).try_cast("string")
+    ).when(encoded != "null", encoded)
 
 
 def attribute_map(attributes: Column) -> Column:
@@ -94,18 +94,20 @@ def attribute_map(attributes: Column) -> Column:
     entries = F.filter(attributes, lambda entry: entry["key"].isNotNull())
     pairs = F.transform(
         entries,
-        lambda entry: F.struct(entry["key"].alias("key"), json_as_text(any_value_json(entry["value"])).alias("value")),
+        lambda entry: F.struct(
+            entry["key"].alias("key"), let(any_value_json(entry["value"]), json_as_text).alias("value")
+        ),
     )
     return F.coalesce(F.map_from_entries(pairs), F.create_map().cast("map<string,string>"))
 
 
 def body_text(body: Column) -> Column:
     """Message text of a body; booleans print as True and False."""
-    encoded = any_value_json(body)
-    return F.coalesce(
-        F.when(encoded == "true", "True").when(encoded == "false", "False").otherwise(json_as_text(encoded)),
-        F.lit(""),
-    )
+
+    def shown(encoded: Column) -> Column:
+        return F.when(encoded == "true", "True").when(encoded == "false", "False").otherwise(json_as_text(encoded))
+
+    return F.coalesce(let(any_value_json(body), shown), F.lit(""))
 
 
 def flatten_payloads(df: DataFrame, ingest_time: Column | None = None) -> DataFrame:
@@ -118,7 +120,7 @@ def flatten_payloads(df: DataFrame, ingest_time: Column | None = None) -> DataFr
     """
     missing = F.lit(None).cast("string") if ingest_time is None else ingest_time
     items = lambda column, path: F.try_variant_get(column, path, "array<variant>")
-    payload = df.withColumn("__payload", F.try_parse_json("value"))
+    payload = pin(df, {"__payload": F.try_parse_json("value")})
     # Non-lists become null and explode to nothing; list elements that are not
     # objects give null below and are skipped.
     resources = payload.select(
@@ -142,9 +144,11 @@ def flatten_payloads(df: DataFrame, ingest_time: Column | None = None) -> DataFr
         F.nullif(_at(record, "$.timeUnixNano", "string"), F.lit("0")), _at(record, "$.observedTimeUnixNano", "string")
     )
     severity = _at(record, "$.severityText")
-    decoded = records.withColumns(
+    records = pin(records, {"__body": _at(record, "$.body")})
+    decoded = pin(
+        records,
         {
-            "value": body_text(_at(record, "$.body")),
+            "value": body_text(F.col("__body")),
             "__level": otel_level(
                 F.when(_kind(severity) == "STRING", _at(record, "$.severityText", "string")),
                 _at(record, "$.severityNumber", "string"),
@@ -155,18 +159,16 @@ def flatten_payloads(df: DataFrame, ingest_time: Column | None = None) -> DataFr
                 attribute_map(F.try_variant_get(record, "$.attributes", _ATTRIBUTES)),
             ),
             "record_id": F.concat_ws("/", "record_id", "__r", "__s", "__l"),
-        }
+        },
     )
     named = F.coalesce(
         non_empty(F.try_element_at("__attrs", F.lit("service.name"))),
         non_empty(F.try_element_at("__attrs", F.lit("service"))),
     )
-    decoded = decoded.withColumn(
-        "__attrs",
-        F.when(
-            named.isNotNull(), F.map_concat(F.col("__attrs"), F.create_map(F.lit("service"), named))
-        ).otherwise(F.col("__attrs")),
-    )
+    with_service = F.when(
+        named.isNotNull(), F.map_concat(F.col("__attrs"), F.create_map(F.lit("service"), named))
+    ).otherwise(F.col("__attrs"))
+    decoded = pin(decoded, {"__attrs": with_service})
     parsed = parse_lines(decoded)
     return parsed.select(
         "record_id",
@@ -187,18 +189,17 @@ def otlp_logs(
     """OTLP payloads to canonical rows: flattened, service resolved, redacted.
     ``raw`` is the redacted message."""
     flat = flatten_payloads(df, ingest_time)
-    resolved = flat.withColumn("service_id", resolve_service_id({}, F.col("metadata_kv")))
-    tagged = resolved.withColumn(
-        "metadata_kv",
-        F.map_concat(
-            F.create_map(F.lit("service"), F.col("service_id")),
-            F.col("metadata_kv"),
-            F.create_map(F.lit("service_id"), F.col("service_id")),
-        ),
-    ).withColumn("service", F.try_element_at("metadata_kv", F.lit("service")))
+    flat = pin(flat, {name: F.col(name) for name in ("timestamp", "message", "metadata_kv")})
+    resolved = pin(flat, {"service_id": resolve_service_id({}, F.col("metadata_kv"))})
+    full_map = F.map_concat(
+        F.create_map(F.lit("service"), F.col("service_id")),
+        F.col("metadata_kv"),
+        F.create_map(F.lit("service_id"), F.col("service_id")),
+    )
+    tagged = pin(resolved, {"metadata_kv": full_map}).withColumn("service", F.try_element_at("metadata_kv", F.lit("service")))
     redacted = redact_column(tagged, "message", rules).withColumn("raw", F.col("message"))
     return (
-        redacted.withColumn("metadata_kv", redact_map(F.col("metadata_kv"), rules) if rules else F.col("metadata_kv"))
+        pin(redacted, {"metadata_kv": redact_map(F.col("metadata_kv"), rules) if rules else F.col("metadata_kv")})
         .withColumns(
             {
                 "metadata": F.to_variant_object("metadata_kv"),

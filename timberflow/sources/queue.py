@@ -8,6 +8,7 @@ from timberflow.functions.masks import semantic_text, variant_text
 from timberflow.functions.services import indexed_service_name
 from timberflow.functions.text import is_blank, non_empty
 from timberflow.functions.timestamps import event_time
+from timberflow.operators.pinning import pin
 from timberflow.schema import stable_id
 
 
@@ -31,7 +32,7 @@ def classify_payloads(df: DataFrame) -> DataFrame:
     kind = F.schema_of_variant(F.col("__body"))
     parsed_kind = F.schema_of_variant(F.try_variant_get("__body", "$.parsed", "variant"))
     return (
-        df.withColumn("__body", body)
+        pin(df, {"__body": body})
         .withColumn(
             "outcome",
             F.when(is_blank(F.col("value")), "malformed_payloads")
@@ -55,14 +56,15 @@ def dead_letters(classified: DataFrame) -> DataFrame:
 def payload_logs(classified: DataFrame, key: str = "key") -> DataFrame:
     """Good payloads as rows to index: level, message, service and the text to
     embed. A missing message is the parsed part itself, as JSON."""
-    good = classified.filter("outcome = 'processed_logs'").withColumn("__body", F.try_parse_json("value"))
+    good = pin(classified.filter("outcome = 'processed_logs'"), {"__body": F.try_parse_json("value")})
     parsed = F.try_variant_get("__body", "$.parsed", "variant")
     flat = lambda path: F.coalesce(
         F.from_json(F.to_json(F.try_variant_get("__body", path, "variant")), "map<string,string>"),
         F.create_map().cast("map<string,string>"),
     )
-    staged = good.withColumn("metadata_kv", F.map_concat(flat("$.metadata"), flat("$.parsed.metadata")))
-    rows = staged.withColumns(
+    staged = pin(good, {"metadata_kv": F.map_concat(flat("$.metadata"), flat("$.parsed.metadata"))})
+    rows = pin(
+        staged,
         {
             "level": F.coalesce(
                 variant_text(parsed, "$.level"), non_empty(F.try_element_at("metadata_kv", F.lit("level"))), F.lit("UNKNOWN")
@@ -78,7 +80,7 @@ def payload_logs(classified: DataFrame, key: str = "key") -> DataFrame:
                 F.to_json(parsed),
             ),
             "service_id": indexed_service_name(F.try_variant_get(parsed, "$.service", "string"), F.col("metadata_kv")),
-        }
+        },
     )
     return rows.select(
         F.coalesce(F.col(key).cast("string"), stable_id(F.col("value"))).alias("log_id"),

@@ -15,6 +15,7 @@ from timberflow.functions.services import UNKNOWN_SERVICE, resolve_service_id, v
 from timberflow.functions.text import is_blank, non_empty
 from timberflow.functions.timestamps import event_time, normalize_timestamp
 from timberflow.operators.parsing import parse_lines
+from timberflow.operators.pinning import pin
 from timberflow.operators.redaction import redact_column
 from timberflow.schema import canonical, stable_id
 
@@ -48,14 +49,11 @@ def _with_value(metadata: Column, key: str, value: Column) -> Column:
 
 def _finish(df: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """Redacted metadata, typed time, environment and id."""
-    return df.withColumns(
+    clean = pin(df, {"metadata_kv": redact_map(F.col("metadata_kv"), rules)}) if rules else df
+    return clean.withColumns(
         {
-            "metadata_kv": redact_map(F.col("metadata_kv"), rules) if rules else F.col("metadata_kv"),
             "ts": event_time(F.col("timestamp")),
             "log_id": stable_id(F.col("record_id")),
-        }
-    ).withColumns(
-        {
             "metadata": F.to_variant_object("metadata_kv"),
             "environment": F.try_element_at("metadata_kv", F.lit("environment")),
         }
@@ -82,35 +80,37 @@ def raw_lines(
     )
     own = valid_service_id(candidate)
     base = F.when(own.isNotNull(), _with_default(_with_value(request, "service_id", own), "service", own)).otherwise(request)
-    staged = df.withColumns(
+    staged = pin(
+        df,
         {
             "__base": base,
             "reject_reason": F.when(is_blank(F.col("value")), EMPTY_MESSAGE).when(
                 candidate.isNotNull() & own.isNull(), "service_id is malformed"
             ),
-            "__text": F.col("value"),
-        }
-    )
+        },
+    ).withColumn("__text", F.col("value"))
     parsed = parse_lines(redact_column(staged, "__text", rules), "__text")
+    parsed = pin(parsed, {"metadata_kv": F.coalesce("metadata_kv", _empty_map())})
     found = F.col("parser_type").isNotNull()
-    line_map = F.coalesce("metadata_kv", _empty_map())
-    merged = F.map_concat(line_map, F.col("__base"))
-    resolved = resolve_service_id({}, line_map, merged)
-    fallback = {
-        "level": F.coalesce("level", F.lit("INFO")),
-        "message": F.when(found, F.col("message")).otherwise(F.col("__text")),
-        "raw": F.when(found, F.col("raw")).otherwise(F.col("__text")),
-        "parser_type": F.coalesce("parser_type", F.lit("raw_input")),
-        "service_id": resolved,
-    }
-    complete = (
-        parsed.withColumn("__nested", F.col("metadata"))
-        .withColumns({**fallback, "__merged": merged})
-        .withColumn("metadata_kv", _with_default(_with_value(F.col("__merged"), "service_id", F.col("service_id")), "service", F.col("service_id")))
-        .withColumn("service", F.try_element_at("metadata_kv", F.lit("service")))
+    line_map = F.col("metadata_kv")
+    resolved = pin(parsed, {"__merged": F.map_concat(line_map, F.col("__base"))})
+    resolved = pin(resolved, {"service_id": resolve_service_id({}, line_map, F.col("__merged"))})
+    full_map = _with_default(
+        _with_value(F.col("__merged"), "service_id", F.col("service_id")), "service", F.col("service_id")
+    )
+    complete = pin(
+        resolved,
+        {
+            "level": F.coalesce("level", F.lit("INFO")),
+            "message": F.when(found, F.col("message")).otherwise(F.col("__text")),
+            "raw": F.when(found, F.col("raw")).otherwise(F.col("__text")),
+            "parser_type": F.coalesce("parser_type", F.lit("raw_input")),
+            "metadata_kv": full_map,
+            "service": F.coalesce(F.try_element_at("__merged", F.lit("service")), F.col("service_id")),
+        },
     )
     return _finish(complete, rules).drop(
-        "__base", "__text", "__nested", "__merged", "is_empty", "is_malformed_json", "timestamp_failed"
+        "__base", "__text", "__merged", "is_empty", "is_malformed_json", "timestamp_failed"
     )
 
 
@@ -120,11 +120,11 @@ def structured_records(df: DataFrame, rules: tuple[Rule, ...] = DEFAULT_RULES) -
     fields = F.from_json("value", "map<string,string>")
     get = lambda name: F.try_element_at("__fields", F.lit(name))
     extras = F.map_filter("__fields", lambda key, _value: ~key.isin(*_RECORD_FIELDS))
-    staged = df.withColumn("__fields", fields).withColumn(
-        "__meta",
-        F.map_concat(F.coalesce(F.from_json(get("metadata"), _TEXT_MAP), _empty_map()), extras),
-    )
-    staged = staged.withColumns(
+    staged = pin(df, {"__fields": fields})
+    nested = F.coalesce(F.from_json(get("metadata"), _TEXT_MAP), _empty_map())
+    staged = pin(staged, {"__meta": F.map_concat(nested, extras)})
+    staged = pin(
+        staged,
         {
             "timestamp": get("timestamp"),
             "level": record_level(get("level")),
@@ -134,9 +134,10 @@ def structured_records(df: DataFrame, rules: tuple[Rule, ...] = DEFAULT_RULES) -
             "service_id": resolve_service_id(
                 {"service_id": get("service_id"), "service": get("service")}, F.col("__meta"), default=None
             ),
-        }
+        },
     )
-    staged = staged.withColumns(
+    staged = pin(
+        staged,
         {
             "reject_reason": F.when(F.col("__fields").isNull(), "not a JSON object")
             .when(is_blank(F.col("message")), EMPTY_MESSAGE)
@@ -145,7 +146,7 @@ def structured_records(df: DataFrame, rules: tuple[Rule, ...] = DEFAULT_RULES) -
             "timestamp": F.coalesce(normalize_timestamp(F.col("timestamp")), F.col("timestamp")),
             "raw": redact_text(F.col("value"), rules),
             "parser_type": F.lit("structured_input"),
-        }
+        },
     )
     known = F.map_filter(
         F.create_map(
@@ -244,8 +245,9 @@ def ingest_payloads(df: DataFrame, rules: tuple[Rule, ...] = DEFAULT_RULES) -> D
         return forms.filter(F.col("form") == form).drop("form", "reject_reason")
 
     fields = F.from_json("value", _TEXT_MAP)
-    payload = of("raw").withColumn("__payload", fields)
-    raw = payload.withColumns(
+    payload = pin(of("raw"), {"__payload": fields})
+    raw = pin(
+        payload,
         {
             "value": F.col("__payload")["log_data"],
             "request_service": F.coalesce(
@@ -258,7 +260,7 @@ def ingest_payloads(df: DataFrame, rules: tuple[Rule, ...] = DEFAULT_RULES) -> D
                     "__payload", lambda key, _value: ~key.isin("log_data", "service_id", "service", "metadata")
                 ),
             ),
-        }
+        },
     ).drop("__payload")
     parts = [
         canonical(structured_records(of("structured"), rules), *keep),
