@@ -53,29 +53,28 @@ def any_value_json(value: Column, depth: int = _MAX_DEPTH) -> Column:
     if depth <= 0:
         return out.otherwise(F.to_json(value))
 
-    def listed(items: Column) -> Column:
-        decoded = F.transform(items, lambda item: any_value_json(item, depth - 1))
-        return F.concat(F.lit("["), F.array_join(decoded, ","), F.lit("]"))
-
-    def keyed(entries: Column) -> Column:
-        decoded = F.transform(
-            entries,
-            lambda entry: F.concat(_quoted(entry["key"]), F.lit(":"), any_value_json(entry["value"], depth - 1)),
-        )
-        return F.concat(F.lit("{"), F.array_join(decoded, ","), F.lit("}"))
-
-    array_items = F.coalesce(
+    # Lists and key-value lists share one recursion: a list item is an entry
+    # without a key.
+    items = F.coalesce(
         _at(value, "$.arrayValue.values", "array<variant>"), _at(value, "$.arrayValue", "array<variant>")
     )
     pairs = F.coalesce(
         _at(value, "$.kvlistValue.values", _ATTRIBUTES), _at(value, "$.kvlistValue", _ATTRIBUTES)
     )
+    is_list = _at(value, "$.arrayValue").isNotNull()
+    unkeyed = F.transform(items, lambda item: F.struct(F.lit(None).cast("string").alias("key"), item.alias("value")))
+    entries = F.when(is_list, unkeyed).otherwise(F.filter(pairs, lambda entry: entry["key"].isNotNull()))
+    decoded = F.transform(
+        entries,
+        lambda entry: F.concat(
+            F.coalesce(F.concat(_quoted(entry["key"]), F.lit(":")), F.lit("")),
+            any_value_json(entry["value"], depth - 1),
+        ),
+    )
+    inside = F.coalesce(F.array_join(decoded, ","), F.lit(""))
     return (
-        out.when(_at(value, "$.arrayValue").isNotNull(), F.coalesce(listed(array_items), F.lit("[]")))
-        .when(
-            _at(value, "$.kvlistValue").isNotNull(),
-            F.coalesce(keyed(F.filter(pairs, lambda entry: entry["key"].isNotNull())), F.lit("{}")),
-        )
+        out.when(is_list, F.concat(F.lit("["), inside, F.lit("]")))
+        .when(_at(value, "$.kvlistValue").isNotNull(), F.concat(F.lit("{"), inside, F.lit("}")))
         # A plain value is its own JSON.
         .otherwise(F.to_json(value))
     )
@@ -154,9 +153,12 @@ def flatten_payloads(df: DataFrame, ingest_time: Column | None = None) -> DataFr
                 _at(record, "$.severityNumber", "string"),
             ),
             "__time": nanos_text(non_empty(nanos), missing),
-            "__attrs": F.map_concat(
-                attribute_map(F.col("__resource_attrs")),
-                attribute_map(F.try_variant_get(record, "$.attributes", _ATTRIBUTES)),
+            # The record's entries come last and win.
+            "__attrs": attribute_map(
+                F.concat(
+                    F.coalesce("__resource_attrs", F.array().cast(_ATTRIBUTES)),
+                    F.coalesce(F.try_variant_get(record, "$.attributes", _ATTRIBUTES), F.array().cast(_ATTRIBUTES)),
+                )
             ),
             "record_id": F.concat_ws("/", "record_id", "__r", "__s", "__l"),
         },
