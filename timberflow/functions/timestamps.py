@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from timberflow.functions.text import strip
+from timberflow.functions.text import let, strip
 
 _FLOAT = r"^[+-]?(?:\d+(?:_\d+)*\.?(?:\d+(?:_\d+)*)?|\.\d+(?:_\d+)*)(?:[eE][+-]?\d+)?$"
 _OFFSET = r"[+-]\d{2}:\d{2}(?::\d{2}(?:\.\d{6})?)?$"
@@ -42,74 +42,85 @@ def _micros_text(micros: Column) -> Column:
 
 def epoch_text(stripped: Column) -> Column:
     """ISO text of an epoch literal; values above 1e10 are milliseconds."""
-    number = F.when(stripped.rlike(_FLOAT), F.replace(stripped, F.lit("_")).try_cast("double"))
-    seconds = F.when(number > 1e10, number / 1000).otherwise(number)
-    whole = F.when(seconds < 0, F.ceil(seconds)).otherwise(F.floor(seconds))
-    micros = whole * 1_000_000 + F.rint((seconds - whole) * 1e6).cast("bigint")
-    return F.when(
-        (seconds >= _EARLIEST) & (seconds < _LATEST),
-        F.concat(_micros_text(micros), F.lit("+00:00")),
-    )
+
+    def of_seconds(seconds: Column) -> Column:
+        whole = F.when(seconds < 0, F.ceil(seconds)).otherwise(F.floor(seconds))
+        micros = whole * 1_000_000 + F.rint((seconds - whole) * 1e6).cast("bigint")
+        return F.when(
+            (seconds >= _EARLIEST) & (seconds < _LATEST),
+            F.concat(let(micros, _micros_text), F.lit("+00:00")),
+        )
+
+    def of_number(number: Column) -> Column:
+        return let(F.when(number > 1e10, number / 1000).otherwise(number), of_seconds)
+
+    number = F.replace(stripped, F.lit("_")).try_cast("double")
+    return F.when(stripped.rlike(_FLOAT), let(number, of_number))
 
 
 def iso_text(stripped: Column) -> Column:
     """ISO text of a strict ISO date or date-time; null when it is not one."""
+
+    def assembled(zoned: Column, offset: Column, clock: Column) -> Column:
+        # Short clocks ("10" or "10:30") are completed from the fixed tail.
+        filled_clock = F.concat(
+            F.substring(clock, 1, 8),
+            F.substring(F.lit("00:00:00"), F.least(F.length(clock), F.lit(8)) + 1, F.lit(8)),
+        )
+        micros = F.rpad(F.substring(clock, 10, 6), 6, F.lit("0"))
+        printed_fraction = F.when(micros == "000000", "").otherwise(F.concat(F.lit("."), micros))
+        # "+05:30:00" prints as "+05:30", and a negative zero offset as "+00:00".
+        short_offset = F.regexp_replace(offset, r"^([+-]\d{2}:\d{2})(?::00(?:\.0+)?)?$", "$1")
+        printed_offset = F.when(short_offset == "-00:00", "+00:00").otherwise(short_offset)
+        return F.concat(F.substring(zoned, 1, 10), F.lit("T"), filled_clock, printed_fraction, printed_offset)
+
+    def of_zoned(zoned: Column) -> Column:
+        offset = F.regexp_extract(F.substring(zoned, 14, 40), _OFFSET, 0)
+        real_day = F.substring(zoned, 1, 10).try_cast("date").isNotNull()
+        text = let(
+            offset,
+            lambda o: let(
+                F.substring(zoned, F.lit(12), F.length(zoned) - 11 - F.length(o)),
+                lambda clock: assembled(zoned, o, clock),
+            ),
+        )
+        return F.when(zoned.rlike(_ISO) & real_day, text)
+
     zoned = F.when(
-        stripped.endswith("Z"), F.concat(F.substring(stripped, 1, F.length(stripped) - 1), F.lit("+00:00"))
+        stripped.endswith("Z"), F.concat(F.substring(stripped, F.lit(1), F.length(stripped) - 1), F.lit("+00:00"))
     ).otherwise(stripped)
-    offset = F.regexp_extract(F.substring(zoned, 14, 40), _OFFSET, 0)
-    clock = F.substring(zoned, F.lit(12), F.length(zoned) - 11 - F.length(offset))
-    fraction = F.substring(clock, 10, 6)
-    # Short clocks ("10" or "10:30") are completed from the fixed tail.
-    filled_clock = F.concat(
-        F.substring(clock, 1, 8),
-        F.substring(F.lit("00:00:00"), F.least(F.length(clock), F.lit(8)) + 1, F.lit(8)),
-    )
-    completed = F.concat(F.substring(zoned, 1, 10), F.lit("T"), filled_clock)
-    micros = F.rpad(fraction, 6, F.lit("0"))
-    printed_fraction = F.when(micros == "000000", "").otherwise(F.concat(F.lit("."), micros))
-    # "+05:30:00" prints as "+05:30", and a negative zero offset as "+00:00".
-    short_offset = F.regexp_replace(offset, r"^([+-]\d{2}:\d{2})(?::00(?:\.0+)?)?$", "$1")
-    printed_offset = F.when(short_offset == "-00:00", "+00:00").otherwise(short_offset)
-    real_day = F.substring(zoned, 1, 10).try_cast("date").isNotNull()
-    return F.when(
-        zoned.rlike(_ISO) & real_day, F.concat(completed, printed_fraction, printed_offset)
-    )
+    return let(zoned, of_zoned)
 
 
 def loose_text(stripped: Column) -> Column:
     """ISO text of the looser layouts, always naive; null when none fits."""
 
-    def field(group: int) -> Column:
-        return F.regexp_extract(stripped, _LOOSE, group)
-
-    def clock(first: int, second: int) -> Column:
-        return F.when(field(first) != "", field(first)).otherwise(field(second)).try_cast("int")
-
-    fraction = F.concat(field(7), field(11))
-    stamp = F.try_make_timestamp_ntz(
-        field(1).try_cast("int"),
-        F.btrim(field(2)).try_cast("int"),
-        F.btrim(field(3)).try_cast("int"),
-        clock(4, 8),
-        clock(5, 9),
-        F.when(clock(6, 10) < 60, clock(6, 10)).cast("decimal(8,6)"),
-    )
-    printed_fraction = F.when(F.rpad(fraction, 6, F.lit("0")) == "000000", "").otherwise(
-        F.concat(F.lit("."), F.rpad(fraction, 6, F.lit("0")))
-    )
-    return F.when(
-        stripped.rlike(_LOOSE),
-        F.concat(F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss"), printed_fraction),
-    )
+    def of_fields(fields: Column) -> Column:
+        number = lambda index: F.btrim(fields[index]).try_cast("int")
+        stamp = F.try_make_timestamp_ntz(
+            number(0),
+            number(1),
+            number(2),
+            number(3),
+            number(4),
+            F.when(number(5) < 60, number(5)).cast("decimal(8,6)"),
+        )
+        micros = F.rpad(fields[6], 6, F.lit("0"))
+        return F.concat(
+            F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss"),
+            F.when(micros == "000000", "").otherwise(F.concat(F.lit("."), micros)),
+        )
+
+    # Either clock alternative fills its groups and leaves the other's empty.
+    fields = F.split(F.regexp_replace(stripped, _LOOSE, r"$1|$2|$3|$4$8|$5$9|$6$10|$7$11"), r"\|", -1)
+    return F.when(stripped.rlike(_LOOSE), let(fields, of_fields))
 
 
 def normalize_timestamp(column: Column) -> Column:
     """The canonical text of a timestamp text; unreadable input unchanged."""
-    stripped = strip(column)
-    return F.when(
-        stripped != "",
-        F.coalesce(epoch_text(stripped), iso_text(stripped), loose_text(stripped), column),
+    return let(
+        strip(column),
+        lambda s: F.when(s != "", F.coalesce(epoch_text(s), iso_text(s), loose_text(s), column)),
     )
 
 

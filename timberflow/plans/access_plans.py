@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from timberflow.operators import access as AC, secure as SE
-from timberflow.plans.registry import event_logs, micros, query, table
+from timberflow.plans.registry import event_logs, micros, query, spread, table
 from timberflow.plans.text_plans import _mask_sql
 
 # A fixed key for the queries only; real keys come from the caller.
@@ -76,7 +76,7 @@ def compliance_report(spark, sf_dir):
 @query("encrypt_roundtrip", "SELECT doc_id, md5(text) AS text_md5, true AS hidden FROM documents")
 def encrypt_roundtrip(spark, sf_dir):
     """Encrypt each text, decrypt it again; the cipher text differs from it."""
-    sealed = table(spark, sf_dir, "documents").select(
+    sealed = spread(table(spark, sf_dir, "documents")).select(
         "doc_id", "text", SE.encrypt_field(F.col("text"), _key()).alias("sealed")
     )
     return sealed.select(
@@ -89,7 +89,7 @@ def encrypt_roundtrip(spark, sf_dir):
 @query("secure_logs", _mask_sql() + " SELECT doc_id AS log_id, md5(t8) AS message_md5 FROM m8")
 def secure_logs(spark, sf_dir):
     """Mask and encrypt every document, then open the rows again."""
-    logs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("log_id"), F.col("text").alias("message"))
+    logs = spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("log_id"), F.col("text").alias("message"))
     sealed = SE.secure_logs(logs, _key(), F.lit("2024-01-31T00:00:00"), "log_id")
     opened = SE.decrypt_rows(sealed.select("log_id", "data"), _key(), "message string, sensitive_fields_detected int", "log_id")
     return opened.select("log_id", F.md5("message").alias("message_md5"))

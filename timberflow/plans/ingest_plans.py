@@ -42,7 +42,7 @@ def records(spark, sf_dir):
         F.when(kind.isin("view", "purchase"), F.create_map(F.lit("service.name"), F.col("service_id"))).alias("metadata"),
         F.lit("prod").alias("environment"),
     )
-    return event_logs(spark, sf_dir).select(
+    return event_logs(spark, sf_dir, costly=True).select(
         F.col("log_id").cast("string").alias("record_id"), F.to_json(record).alias("value")
     )
 
@@ -117,7 +117,7 @@ def payloads(spark, sf_dir):
         .when(kind == "signup", F.lit('{"logs":[],"log_data":"x"}'))
         .otherwise(F.lit("no json"))
     )
-    return event_logs(spark, sf_dir).select(F.col("log_id").cast("string").alias("record_id"), value.alias("value"))
+    return event_logs(spark, sf_dir, costly=True).select(F.col("log_id").cast("string").alias("record_id"), value.alias("value"))
 
 
 @query(
@@ -176,7 +176,7 @@ def otlp_payloads(spark, sf_dir):
         record,
         F.lit(',"not an object"]},7]}'),
     )
-    rows = event_logs(spark, sf_dir).select("log_id", resource.alias("resource"))
+    rows = event_logs(spark, sf_dir, costly=True).select("log_id", resource.alias("resource"))
     return rows.groupBy(F.floor(F.col("log_id") / 50).cast("string").alias("record_id")).agg(
         F.concat(F.lit('{"resourceLogs":['), F.array_join(F.collect_list("resource"), ","), F.lit(',null,"x"]}')).alias("value")
     )
@@ -284,7 +284,7 @@ def queue_rows(spark, sf_dir):
         .when(kind == "click", F.lit("  "))
         .otherwise(F.concat(F.lit("{"), message))
     )
-    return event_logs(spark, sf_dir).select(F.col("log_id").alias("key"), value.alias("value"))
+    return event_logs(spark, sf_dir, costly=True).select(F.col("log_id").alias("key"), value.alias("value"))
 
 
 @query(

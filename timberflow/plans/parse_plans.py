@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from timberflow.operators import parsing as P
-from timberflow.plans.registry import EVENT_LOGS, event_logs, query, table
+from timberflow.plans.registry import EVENT_LOGS, event_logs, query, spread, table
 
 
 def bracketed_lines(spark, sf_dir):
@@ -30,7 +30,7 @@ def bracketed_lines(spark, sf_dir):
         .when(kind == "signup", F.concat(F.lit("{"), "message", F.lit("}")))
         .otherwise(text)
     )
-    return event_logs(spark, sf_dir).select("log_id", line.alias("value"))
+    return event_logs(spark, sf_dir, costly=True).select("log_id", line.alias("value"))
 
 
 _BRACKETED = f"""
@@ -95,7 +95,7 @@ FROM (SELECT unnest(string_split(text, e'\\n')) AS line FROM documents) GROUP BY
 )
 def parse_document_lines(spark, sf_dir):
     """Every line of every document through the strict parser."""
-    lines = table(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n", -1)).alias("value"))
+    lines = spread(table(spark, sf_dir, "documents")).select(F.explode(F.split("text", "\n", -1)).alias("value"))
     form = (
         F.when(F.col("parser_type").isin("structured_json", "fallback_json"), "braced")
         .when(F.col("parser_type") == "standard", "standard")
@@ -130,7 +130,7 @@ def mixed_lines(spark, sf_dir):
         .when(kind == "signup", F.to_json(F.struct(F.lit("notice").alias("level"), "message", F.col("user_id").alias("user"))))
         .otherwise(F.concat(F.lit("clicked by user="), user, F.lit(" in="), "service_id"))
     )
-    return event_logs(spark, sf_dir).select("log_id", line.alias("value"))
+    return event_logs(spark, sf_dir, costly=True).select("log_id", line.alias("value"))
 
 
 _PATTERNS = {fmt.name: fmt.pattern.replace("'", "''") for fmt in P.BUILTIN_FORMATS}

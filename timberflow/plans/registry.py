@@ -33,13 +33,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Input of fewer partitions than cores, spread over the cores before
+    costly per-row work. Such an input is at most one scan split per core, so
+    this exchange is small by construction; a larger one is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def micros(column: str | Column = "ts") -> Column:
     column = F.col(column) if isinstance(column, str) else column
     return F.unix_micros(column.cast("timestamp"))
 
 
-def event_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``events`` as log rows: user picks the service, type the level."""
+def event_logs(spark: SparkSession, sf_dir: str, costly: bool = False) -> DataFrame:
+    """``events`` as log rows: user picks the service, type the level.
+    ``costly`` says that much work per row follows."""
     level = (
         F.when(F.col("event_type") == "error", "ERROR")
         .when(F.col("event_type") == "purchase", "WARN")
@@ -47,7 +56,8 @@ def event_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise("INFO")
     )
     cents = F.round(F.col("value") * 100).cast("bigint").cast("string")
-    return table(spark, sf_dir, "events").select(
+    events = table(spark, sf_dir, "events")
+    return (spread(events) if costly else events).select(
         F.col("event_id").alias("log_id"),
         "ts",
         F.concat(F.lit("svc-"), (F.col("user_id") % 8).cast("string")).alias("service_id"),
@@ -72,6 +82,6 @@ logs AS (
 
 def document_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as log rows: the source is the service."""
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         F.col("doc_id").alias("log_id"), F.col("source").alias("service_id"), F.col("text").alias("message"), "lang"
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from timberflow.functions import levels as L, masks as M, redact as R, services as S, timestamps as T, vectors as V
 from timberflow.functions.text import escape_markup
 from timberflow.operators import redaction as RD
-from timberflow.plans.registry import EVENT_LOGS, document_logs, event_logs, query, table
+from timberflow.plans.registry import EVENT_LOGS, document_logs, event_logs, query, spread, table
 from timberflow.sources.records import explanation_fields
 
 
@@ -60,7 +60,7 @@ _FINAL = f"t{len(_ALL_RULES)}"
 
 
 def redacted_documents(spark, sf_dir):
-    return RD.redact_column(table(spark, sf_dir, "documents"), "text", _ALL_RULES)
+    return RD.redact_column(spread(table(spark, sf_dir, "documents")), "text", _ALL_RULES)
 
 
 @query(
@@ -70,7 +70,7 @@ def redacted_documents(spark, sf_dir):
 def redact_documents(spark, sf_dir):
     text = F.col("text")
     clean = R.redact_text(text, _ALL_RULES)
-    rows = table(spark, sf_dir, "documents").select("doc_id", clean.alias("text"))
+    rows = spread(table(spark, sf_dir, "documents")).select("doc_id", clean.alias("text"))
     return rows.select("doc_id", F.md5(text).alias("text_md5"), F.length(text).cast("bigint").alias("n_chars"))
 
 
@@ -123,12 +123,12 @@ _EMAIL_ONLY = R.select_rules(["email"])
 )
 def redact_rule_subset(spark, sf_dir):
     text = R.redact_text(F.col("text"), _EMAIL_ONLY)
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text).alias("text_md5"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", F.md5(text).alias("text_md5"))
 
 
 def _nested(spark, sf_dir):
     """Documents as nested payloads: text inside a struct, a list and a map."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return docs.select(
         "doc_id",
         F.struct(
@@ -185,7 +185,7 @@ def _mask_sql() -> str:
 @query("mask_sensitive", _mask_sql() + " SELECT doc_id, md5(t8) AS text_md5 FROM m8")
 def mask_sensitive(spark, sf_dir):
     masked = R.mask_sensitive(F.col("text"))
-    rows = table(spark, sf_dir, "documents").select("doc_id", masked.alias("text"))
+    rows = spread(table(spark, sf_dir, "documents")).select("doc_id", masked.alias("text"))
     return rows.select("doc_id", F.md5("text").alias("text_md5"))
 
 
@@ -205,7 +205,7 @@ FROM (SELECT doc_id, hits, pieces, unnest(range(1, 1 + len(hits))) AS i FROM (
 
 @query("sensitive_fields", _fields_sql() + " SELECT doc_id, type, value, position FROM f")
 def sensitive_fields(spark, sf_dir):
-    return RD.detected_fields(table(spark, sf_dir, "documents"), "text", "doc_id")
+    return RD.detected_fields(spread(table(spark, sf_dir, "documents")), "text", "doc_id")
 
 
 @query(
@@ -218,7 +218,7 @@ FROM documents d LEFT JOIN (
   FROM (SELECT doc_id, type, count(*) AS c FROM f GROUP BY ALL) GROUP BY doc_id) USING (doc_id)""",
 )
 def sensitive_report(spark, sf_dir):
-    report = RD.detection_report(table(spark, sf_dir, "documents"), "text")
+    report = RD.detection_report(spread(table(spark, sf_dir, "documents")), "text")
     types = F.array_join(
         F.transform(
             F.array_sort(F.map_entries("field_types")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))
@@ -260,7 +260,7 @@ def stamped(spark, sf_dir):
         .when(kind == "click", F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'+05:30'"))
         .otherwise(F.concat(F.lit("not a time "), F.col("log_id").cast("string")))
     )
-    return event_logs(spark, sf_dir).withColumn("stamp", stamp)
+    return event_logs(spark, sf_dir, costly=True).withColumn("stamp", stamp)
 
 
 @query("normalize_timestamps", f"WITH {EVENT_LOGS} {_STAMPS}")
@@ -281,7 +281,7 @@ FROM logs""",
 def otel_times(spark, sf_dir):
     millis = F.unix_millis(F.col("ts").cast("timestamp"))
     nanos = F.when(F.col("event_type") == "signup", "later").otherwise((millis * 1_000_000).cast("string"))
-    return event_logs(spark, sf_dir).select("log_id", T.nanos_text(nanos, F.lit("MISSING")).alias("iso"))
+    return event_logs(spark, sf_dir, costly=True).select("log_id", T.nanos_text(nanos, F.lit("MISSING")).alias("iso"))
 
 
 _ODD_LEVEL = (
@@ -304,7 +304,7 @@ FROM (SELECT *, user_id % 30 AS n FROM logs)""",
 )
 def normalize_levels(spark, sf_dir):
     odd = F.expr(_ODD_LEVEL)
-    return event_logs(spark, sf_dir).select(
+    return event_logs(spark, sf_dir, costly=True).select(
         "log_id",
         L.line_level(odd).alias("line_level"),
         L.record_level(odd).alias("record_level"),
@@ -328,7 +328,7 @@ def resolve_service_id(spark, sf_dir):
         F.lit("service.namespace"), F.when(kind == "view", F.concat(F.lit("ns."), service)),
     )
     outer = F.create_map(F.lit("serviceId"), F.when(kind == "signup", "request"))
-    return event_logs(spark, sf_dir).select(
+    return event_logs(spark, sf_dir, costly=True).select(
         "log_id",
         S.resolve_service_id({"service_id": top}, inner, outer).alias("service_id"),
         S.valid_service_id(top).alias("top_only"),
@@ -347,7 +347,7 @@ def indexed_service_name(spark, sf_dir):
     metadata = F.create_map(
         F.lit("service.name"), F.when(kind == "purchase", F.concat(F.lit("otel-"), service)), F.lit("service_id"), F.lit(" ")
     )
-    return event_logs(spark, sf_dir).select("log_id", S.indexed_service_name(own, metadata).alias("service_name"))
+    return event_logs(spark, sf_dir, costly=True).select("log_id", S.indexed_service_name(own, metadata).alias("service_name"))
 
 
 def _masked_sql(text: str) -> str:
@@ -361,7 +361,7 @@ def _masked_sql(text: str) -> str:
     f"SELECT doc_id, md5({_masked_sql('text')}) AS text_md5 FROM documents",
 )
 def normalized_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         "doc_id", F.md5(M.normalized_text(F.col("text"))).alias("text_md5")
     )
 
@@ -379,7 +379,7 @@ def normalized_json_text(spark, sf_dir):
         .when(kind == "view", F.col("props"))
         .otherwise(F.concat(F.lit(" see "), message))
     )
-    return event_logs(spark, sf_dir).select("log_id", M.normalized_text(body).alias("text"))
+    return event_logs(spark, sf_dir, costly=True).select("log_id", M.normalized_text(body).alias("text"))
 
 
 @query(
@@ -389,7 +389,7 @@ SELECT log_id, {_masked_sql("'level=' || level || ' service=' || service_id || '
 )
 def semantic_text(spark, sf_dir):
     metadata = F.to_json(F.create_map(F.lit("region"), F.lit("eu-1"), F.lit("user"), F.col("user_id").cast("string")))
-    return event_logs(spark, sf_dir).select(
+    return event_logs(spark, sf_dir, costly=True).select(
         "log_id", M.semantic_text(F.col("message"), F.col("level"), F.col("service_id"), metadata).alias("text")
     )
 
@@ -423,7 +423,7 @@ def service_word(spark, sf_dir):
         .when(kind == "view", "all [services]")
         .otherwise(F.col("message"))
     )
-    return event_logs(spark, sf_dir).select("log_id", S.service_word(message).alias("word"))
+    return event_logs(spark, sf_dir, costly=True).select("log_id", S.service_word(message).alias("word"))
 
 
 @query(
