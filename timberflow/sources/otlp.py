@@ -87,6 +87,18 @@ def json_as_text(encoded: Column) -> Column:
     ).when(encoded != "null", encoded)
 
 
+def _scalar_text(value: Column) -> list[Column]:
+    """Texts of the scalar forms, at most one of which is not null. They cover
+    nearly all values without encoding and reading JSON."""
+    integer = _at(value, "$.intValue", "string")
+    real = _at(value, "$.doubleValue", "string")
+    return [
+        _at(value, "$.stringValue", "string"),
+        F.when(integer.isNotNull(), F.coalesce(integer.try_cast("bigint").cast("string"), integer)),
+        F.when(real.isNotNull(), F.coalesce(real.try_cast("double").cast("string"), real)),
+    ]
+
+
 def attribute_map(attributes: Column) -> Column:
     """Attribute list to ``map<string,string>``: text as it is, other values as
     JSON. The last of equal keys wins; a value that is not a list is ignored."""
@@ -94,7 +106,10 @@ def attribute_map(attributes: Column) -> Column:
     pairs = F.transform(
         entries,
         lambda entry: F.struct(
-            entry["key"].alias("key"), let(any_value_json(entry["value"]), json_as_text).alias("value")
+            entry["key"].alias("key"),
+            F.coalesce(
+                *_scalar_text(entry["value"]), let(any_value_json(entry["value"]), json_as_text)
+            ).alias("value"),
         ),
     )
     return F.coalesce(F.map_from_entries(pairs), F.create_map().cast("map<string,string>"))
@@ -106,7 +121,7 @@ def body_text(body: Column) -> Column:
     def shown(encoded: Column) -> Column:
         return F.when(encoded == "true", "True").when(encoded == "false", "False").otherwise(json_as_text(encoded))
 
-    return F.coalesce(let(any_value_json(body), shown), F.lit(""))
+    return F.coalesce(*_scalar_text(body), let(any_value_json(body), shown), F.lit(""))
 
 
 def flatten_payloads(df: DataFrame, ingest_time: Column | None = None) -> DataFrame:
