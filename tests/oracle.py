@@ -33,9 +33,7 @@ def _plain(value):
 
 def _rows(columns, rows):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
-    return sorted(tuple(_plain(row[i]) for i in order) for row in rows) if False else sorted(
-        (tuple(_plain(row[i]) for i in order) for row in rows), key=repr
-    )
+    return sorted((tuple(_plain(row[i]) for i in order) for row in rows), key=repr)
 
 
 def compare(spark, con, name, build, sql, sf_dir):

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from timberflow.functions.levels import inferred_severity
 from timberflow.functions.masks import normalized_text
-from timberflow.functions.text import filled, non_empty, strip
+from timberflow.functions.text import filled, let, non_empty, strip
+from timberflow.operators.pinning import pin
 from timberflow.session import durable
 
 # Join threshold, samples kept, summary wording and lengths.
@@ -28,8 +29,7 @@ def exact_text_groups(
 ) -> DataFrame:
     """Group logs whose normalised texts are equal: the common case of
     clustering, one hash aggregation with map-side combine."""
-    normal = normalized_text(F.col(text))
-    keyed = logs.withColumn("__text", normal).filter("__text <> ''")
+    keyed = pin(logs, {"__text": normalized_text(F.col(text))}).filter("__text <> ''")
     arrival = F.struct(ts, tie)
     return (
         keyed.groupBy(F.sha2("__text", 256).alias("text_key"))
@@ -324,20 +324,26 @@ def cluster_table(
 
 def cluster_summary(representative: Column) -> Column:
     """Readable one-line summary of a representative text."""
-    text = normalized_text(representative)
-    cleaned = F.regexp_replace(text, r"(?i)^(error|warn|warning|critical|info)\s*[:\-\s]*", "")
-    cleaned = F.regexp_replace(cleaned, r"(?i)\b(?:0x)?[a-f0-9]{6,}\b", "")
-    cleaned = F.regexp_replace(cleaned, r"\b\d+\b", "")
-    cleaned = strip(F.regexp_replace(cleaned, r"(?U)\s+", " "))
-    severity = inferred_severity(text)
-    prefix = F.lit(None).cast("string")
-    for name, words in SUMMARY_PREFIXES.items():
-        prefix = F.when(severity == name, words).otherwise(prefix)
-    return (
-        F.when(text == "", "Unclassified cluster")
-        .when(cleaned == "", F.substring(text, 1, 160))
-        .otherwise(F.concat(prefix, F.lit(": "), F.substring(cleaned, 1, 120)))
-    )
+
+    def worded(text: Column, cleaned: Column) -> Column:
+        severity = inferred_severity(text)
+        prefix = F.lit(None).cast("string")
+        for name, words in SUMMARY_PREFIXES.items():
+            prefix = F.when(severity == name, words).otherwise(prefix)
+        return (
+            F.when(text == "", "Unclassified cluster")
+            .when(cleaned == "", F.substring(text, 1, 160))
+            .otherwise(F.concat(prefix, F.lit(": "), F.substring(cleaned, 1, 120)))
+        )
+
+    def of_text(text: Column) -> Column:
+        cleaned = F.regexp_replace(text, r"(?i)^(error|warn|warning|critical|info)\s*[:\-\s]*", "")
+        cleaned = F.regexp_replace(cleaned, r"(?i)\b(?:0x)?[a-f0-9]{6,}\b", "")
+        cleaned = F.regexp_replace(cleaned, r"\b\d+\b", "")
+        cleaned = strip(F.regexp_replace(cleaned, r"(?U)\s+", " "))
+        return let(cleaned, lambda bound: worded(text, bound))
+
+    return let(normalized_text(representative), of_text)
 
 
 def cluster_label(service: Column, cluster_id: Column) -> Column:
@@ -386,7 +392,7 @@ def cluster_statistics(clusters: DataFrame, total_logs: DataFrame | None = None)
             "duplicate_reduction_percentage": reduction_percentage(F.col("occurrence_count"), F.col("__total")),
             "visualization_metadata": F.struct(
                 F.when(F.col("occurrence_count") > 1, "duplicate").otherwise("new").alias("status"),
-                inferred_severity(normalized_text(F.col("representative_log"))).alias("severity"),
+                let(normalized_text(F.col("representative_log")), inferred_severity).alias("severity"),
                 "service_name",
                 "occurrence_count",
                 "cluster_label",
