@@ -32,7 +32,8 @@ def collected(spark, stream, name):
 
 
 def test_stream_anomalies_equal_batch(spark):
-    """Three shuffled files: state must restore the event order."""
+    """Nothing is emitted before the watermark passes; then the rows are those
+    of the batch operator."""
     logs = event_logs(spark, DATA).select("log_id", F.col("ts").cast("timestamp").alias("ts"), "service_id", "level", "message")
     out = collected(spark, K.stream_anomalies(stream_of(spark, logs, 3), 86400, delay="40 days"), "anomalies_late")
     assert out.count() == 0  # nothing is final while the watermark lags the data
