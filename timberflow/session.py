@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,18 +41,33 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared ``spark.checkpoint.dir``; only without one
-    (tests, a laptop) fall back to a fresh local folder."""
+    """Use the cluster's shared ``spark.checkpoint.dir``. Without one a local
+    master (tests, a laptop) gets a fresh folder of its own; anywhere else that
+    is an error, because executors would not see each other's files."""
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
-    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get(
-        "spark.checkpoint.dir", None
-    )
-    target = configured or tempfile.mkdtemp(prefix="timberflow-ckpt-")
+    target = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+    if target is None:
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        target = tempfile.mkdtemp(prefix="timberflow-ckpt-")
     context.setCheckpointDir(target)
-    return target
+    return context.getCheckpointDir()
+
+
+def workspace(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as a table to the shared folder and read again: it is
+    computed once, and a lost executor never forces it to be computed anew."""
+    path = workspace(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def durable(df: DataFrame) -> DataFrame:
