@@ -7,6 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from timberflow.llm.bpe import encode_texts
+from timberflow.llm import quality, toxicity
+from timberflow.llm.near_dedup import near_duplicates
 from timberflow.llm.token_counts import count_tokens
 from timberflow.llm.token_files import read_token_files, write_token_files
 from timberflow.plans.registry import table
@@ -31,6 +33,12 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (table(prepare(spark), sf_dir, name) for name in ("documents", "labels"))
+    rows = docs.select("doc_id", toxicity.held_out().alias("held_out"), "text")
+    return toxicity.score_toxicity(rows, toxicity.train(docs, labels)).drop("text")
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = workspace(prepare(spark), "token-files")
     manifest = write_token_files(table(spark, sf_dir, "documents"), BYTE_BPE, folder)
@@ -42,9 +50,22 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(prepare(spark), sf_dir, "documents"), size=3, percent=85)
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (table(prepare(spark), sf_dir, name) for name in ("documents", "labels"))
+    rows = docs.select("doc_id", "text")
+    return quality.judge_quality(rows, quality.train(docs, labels)).drop("text")
+
+
 QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_bpe": op3_bpe,
+    "op4_toxicity": op4_toxicity,
     "op6_token_files": op6_token_files,
+    "op8_near_dedup": op8_near_dedup,
+    "op10_quality": op10_quality,
 }
 ORACLES: dict[str, str] = {}
