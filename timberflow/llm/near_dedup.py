@@ -289,3 +289,16 @@ def near_duplicates(
         component.alias("component_id"),
         F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"),
     )
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """``docs`` with one document of each group of near duplicates, that with
+    the smallest id. Rows that repeat an id and its text stay once; rows with
+    a null id stay all."""
+    decided = stored(near_duplicates(docs, id_col, text_col, **how), "decided")
+    left = docs.join(decided.filter(~F.col("kept")).select(id_col).distinct(), id_col, "left_anti").select(docs.columns)
+    twice = decided.filter(F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1").select(id_col)
+    if twice.isEmpty():
+        return left
+    repeated = left.join(twice, id_col, "left_semi").dropDuplicates([id_col, text_col]).select(docs.columns)
+    return left.join(twice, id_col, "left_anti").select(docs.columns).unionAll(repeated)

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from timberflow.llm.bpe import encode_texts
-from timberflow.llm import quality, toxicity
+from timberflow.llm import decontaminate, quality, toxicity
 from timberflow.llm.near_dedup import near_duplicates
 from timberflow.llm.token_counts import count_tokens
 from timberflow.llm.token_files import read_token_files, write_token_files
@@ -39,6 +39,16 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(rows, toxicity.train(docs, labels)).drop("text")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contaminated documents, one row for each benchmark item found."""
+    docs = table(prepare(spark), sf_dir, "documents").select("doc_id", "text")
+    space = decontaminate.fit_space(docs)
+    marked = decontaminate.mark_contaminated(docs, table(spark, sf_dir, "benchmark"), space)
+    return marked.select("doc_id", F.explode("matches").alias("m")).select(
+        "doc_id", F.col("m.item").alias("item_id"), F.col("m.share").alias("share"), F.col("m.cosine").alias("cosine")
+    )
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = workspace(prepare(spark), "token-files")
     manifest = write_token_files(table(spark, sf_dir, "documents"), BYTE_BPE, folder)
@@ -64,6 +74,7 @@ QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_bpe": op3_bpe,
     "op4_toxicity": op4_toxicity,
+    "op5_decontamination": op5_decontamination,
     "op6_token_files": op6_token_files,
     "op8_near_dedup": op8_near_dedup,
     "op10_quality": op10_quality,

@@ -51,6 +51,19 @@ def raw_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body, bounds - bounds[0]
 
 
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+_FOLD[[*range(39), *range(40, 48), *range(58, 65), *range(91, 97), *range(123, 128)]] = 32
+
+
+def folded(texts: pa.Array) -> pa.Array:
+    """Lower case, with blanks for ASCII marks other than the apostrophe."""
+    body, bounds = raw_bytes(texts)
+    data = pa.py_buffer(_FOLD[body])
+    plain_marks = pa.StringArray.from_buffers(len(texts), pa.py_buffer(bounds.astype(np.int32)), data)
+    return pc.utf8_lower(plain_marks)
+
+
 def words(texts: pa.Array) -> Words:
     lists = pc.ascii_split_whitespace(texts)
     flat, bounds = lists.flatten(), lists.offsets.to_numpy()

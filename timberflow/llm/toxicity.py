@@ -12,11 +12,10 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from timberflow.llm.labelled import Sample, labelled_sample, owner_sums, word_terms
-from timberflow.llm.texts import plain, slices, words
+from timberflow.llm.texts import folded, plain, slices, words
 
 BITS = 18
 SIZES = (5, 7)
@@ -50,10 +49,9 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def _distinct(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """Pairs (row, distinct word), and the words; letters are lower-cased and
-    marks at the ends of words dropped."""
-    lower = pc.utf8_lower(pc.replace_substring_regex(texts, r"[\x00-\x26\x28-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", " "))
-    found = words(lower)
+    """Pairs (row, distinct word), and the words; case and marks do not
+    count."""
+    found = words(folded(texts))
     row = np.repeat(np.arange(len(texts)), np.diff(found.offsets))
     key = np.unique(row * max(1, len(found.vocab)) + found.codes)
     return key // max(1, len(found.vocab)), key % max(1, len(found.vocab)), found.vocab
