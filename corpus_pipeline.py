@@ -21,16 +21,25 @@ from timberflow.session import prepare, stored
 TOKENIZER = os.path.join(os.environ.get("TOKENIZER_DIR", "/opt/tokenizers"), "word_bpe_49k.json")
 
 
+def filtered(docs: DataFrame, judge: Callable[[DataFrame], DataFrame], adds: tuple[str, ...], keep: str) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` adds columns to and ``keep`` holds
+    for; columns of ``docs`` that have one of these names stay as they are."""
+    own = {c: f"__own_{c}" for c in docs.columns if c.lower() in adds}
+    judged = judge(docs.withColumnsRenamed(own)).filter(keep)
+    return judged.select([F.col(own.get(c, c)).alias(c) for c in docs.columns])
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the quality model."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.judge_quality(docs, model).filter("kept").select(docs.columns)
+    adds = (*quality.RULES, "base_failed", "quality", "kept")
+    return filtered(docs, lambda rows: quality.judge_quality(rows, model), adds, "kept")
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below one half."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score_toxicity(docs, model).filter("predicted = 0").select(docs.columns)
+    return filtered(docs, lambda rows: toxicity.score_toxicity(rows, model), ("score", "predicted"), "predicted = 0")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +50,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that repeat no benchmark item."""
-    marked = decontaminate.mark_contaminated(docs, table(spark, sf_dir, "benchmark"), decontaminate.fit_space(docs))
-    return marked.filter(F.size("matches") == 0).select(docs.columns)
+    items, space = table(spark, sf_dir, "benchmark"), decontaminate.fit_space(docs)
+    return filtered(docs, lambda rows: decontaminate.mark_contaminated(rows, items, space), ("matches",), "size(matches) = 0")
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from timberflow.llm.texts import hashes, mix, raw_bytes, windows
 
-SAMPLE_ROWS = 6_000
-SAMPLE_BYTES = 40 << 20
+SAMPLE_ROWS = 3_000
+SAMPLE_BYTES = 12 << 20
 
 
 class Sample(NamedTuple):

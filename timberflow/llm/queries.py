@@ -7,16 +7,29 @@ import os
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from timberflow.llm.bpe import encode_texts
-from timberflow.llm import decontaminate, quality, toxicity
+from timberflow.llm import decontaminate, language, quality, toxicity, warc
 from timberflow.llm.near_dedup import near_duplicates
 from timberflow.llm.token_counts import count_tokens
 from timberflow.llm.token_files import read_token_files, write_token_files
+from timberflow.llm.url_filter import Rule, filter_urls
 from timberflow.plans.registry import table
 from timberflow.session import prepare, workspace
 
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 BYTE_BPE, WORD_BPE = f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/word_bpe_49k.json"
 
+RULES = [
+    Rule("allow", "com", "/"),
+    Rule("block", "example.com", "/en/"),
+    Rule("allow", "www.example.com", "/en/"),
+    Rule("block", "net", "/es/"),
+    Rule("block", "net", "/fr/"),
+]
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(prepare(spark), sf_dir, "pages"), RULES)
+
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(prepare(spark), sf_dir, "documents")
@@ -60,10 +73,24 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(prepare(spark), sf_dir, "pages")
+    folder = workspace(spark, "warc")
+    if warc.write_warc(pages, folder).isEmpty():
+        return spark.createDataFrame([], warc.SCHEMA).drop("url")
+    return warc.read_warc(spark, folder).drop("url")
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(prepare(spark), sf_dir, "documents"), size=3, percent=85)
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text likelihoods come from the labelled documents, the rest from pages."""
+    docs, pages = (table(prepare(spark), sf_dir, name) for name in ("documents", "pages"))
+    return language.identify(pages, language.train_text(docs))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (table(prepare(spark), sf_dir, name) for name in ("documents", "labels"))
     rows = docs.select("doc_id", "text")
@@ -71,12 +98,15 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
     "op2_token_counts": op2_token_counts,
     "op3_bpe": op3_bpe,
     "op4_toxicity": op4_toxicity,
     "op5_decontamination": op5_decontamination,
     "op6_token_files": op6_token_files,
+    "op7_warc": op7_warc,
     "op8_near_dedup": op8_near_dedup,
+    "op9_language": op9_language,
     "op10_quality": op10_quality,
 }
 ORACLES: dict[str, str] = {}
