@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from timberflow.llm.texts import hashes, mix, raw_bytes, windows
 
-SAMPLE_ROWS = 3_000
-SAMPLE_BYTES = 12 << 20
+SAMPLE_ROWS = 2_000
+SAMPLE_BYTES = 7 << 20
 
 
 class Sample(NamedTuple):
@@ -82,11 +82,11 @@ def word_terms(vocab: pa.Array, bits: int, sizes: tuple[int, ...]) -> list[Terms
     """The word itself, and all its n-grams of the given numbers of bytes with
     a mark before the first and after the last byte."""
     shift, n = np.uint64(64 - bits), len(vocab)
-    out = [Terms(np.arange(n), (mix(hashes(vocab)) >> shift).astype(np.int64))]
+    out = [Terms(np.arange(n, dtype=np.int32), (mix(hashes(vocab)) >> shift).astype(np.int32))]
     body, bounds = raw_bytes(vocab)
     ends = bounds[1:] + 2 * np.arange(1, n + 1)
     padded = np.zeros(len(body) + 2 * n, np.uint64)
-    owner = np.repeat(np.arange(n), np.diff(bounds) + 2)
+    owner = np.repeat(np.arange(n, dtype=np.int32), np.diff(bounds) + 2)
     if n:
         padded[ends - 1], padded[np.concatenate([[0], ends[:-1]])] = 3, 2
         padded[np.arange(len(body)) + 2 * np.repeat(np.arange(n), np.diff(bounds)) + 1] = body
@@ -94,7 +94,7 @@ def word_terms(vocab: pa.Array, bits: int, sizes: tuple[int, ...]) -> list[Terms
         h = windows(padded, size)
         whole = owner[: len(h)] == owner[size - 1 :][: len(h)]
         key = mix(h[whole] + np.uint64(size)) >> shift
-        out.append(Terms(owner[: len(h)][whole], key.astype(np.int64)))
+        out.append(Terms(owner[: len(h)][whole], key.astype(np.int32)))
     return out
 
 
