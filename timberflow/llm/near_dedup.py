@@ -3,7 +3,8 @@
 Texts with equal shingle sets form a class; classes meet in the buckets of
 their signature bands. Every class is first compared with one hub of each of
 its buckets. Where a bucket then still holds several components, its classes
-are compared in blocks of bounded size. Each comparison goes through the
+are compared in blocks of bounded size, each pair only in the first bucket that
+it shares, and a block joins components as it goes. Each comparison goes through the
 signature in batches and stops as soon as the posterior probability of reaching
 the threshold falls below ``MISS``; what remains is checked on full sets.
 """
@@ -26,8 +27,7 @@ from timberflow.session import stored
 
 MISS = 1e-4
 BATCH = 16
-BLOCK = 1024
-FIRST_EDGES = 8
+BLOCK, FULL_BLOCK = 1024, 256  # classes of a block: with signatures, with full sets
 
 
 class Bands:
@@ -130,9 +130,10 @@ def _band_rows(classes: DataFrame, percent: int) -> DataFrame:
             for j in range(plan.width):
                 key = mix(key * np.uint64(0xD6E8FEB86659FD93) + sig[:, j :: plan.width][:, : plan.number])
             node = batch.column("node").take(pa.array(np.repeat(np.arange(len(sig)), plan.number)))
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), node], ["key", "node"])
+            band = pa.array(np.tile(np.arange(plan.number, dtype=np.int32), len(sig)))
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), band, node], ["key", "band", "node"])
 
-    return classes.select("node", "sig").mapInArrow(run, "key bigint, node binary")
+    return classes.select("node", "sig").mapInArrow(run, "key bigint, band int, node binary")
 
 
 def _likely_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -151,10 +152,9 @@ def _likely_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFra
     return both.mapInArrow(run, "a binary, b binary")
 
 
-def _links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
-    """The pairs of classes whose full shingle sets reach the threshold."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    needed = classes.join(ends, "node", "left_semi").select("rep")
+def _full_sets(nodes: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """The shingle sets (``items``) of some classes, from one document each."""
+    needed = classes.join(nodes, "node", "left_semi").select("rep")
     rows = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(needed, "rep", "left_semi")
 
     def sets(batches):
@@ -164,67 +164,113 @@ def _links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str, t
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.binary()), pa.array(found, pa.binary())], ["node", "items"])
 
     full = rows.select("text").mapInArrow(sets, "node binary, items binary").filter("node IS NOT NULL")
-    full = stored(full.join(ends, "node", "left_semi").groupBy("node").agg(F.first("items").alias("items")), "sets")
+    return stored(full.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("items").alias("items")), "sets")
+
+
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * shared >= percent * (len(x) + len(y) - shared)
+
+
+def _links(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """The pairs of classes whose full shingle sets reach the threshold."""
     both = pairs.join(full.toDF("b", "items_b"), "b").join(full.toDF("a", "items_a"), "a")
 
     def exact(batches):
         for part in slices(batches, "items_b"):
-            keep = []
-            for x, y in zip(part.column("items_a"), part.column("items_b"), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                shared = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(100 * shared >= percent * (len(p) + len(q) - shared))
+            sets = zip(part.column("items_a"), part.column("items_b"), strict=True)
+            keep = [_linked(*(np.frombuffer(x.as_buffer(), np.uint64) for x in pair), percent) for pair in sets]
             yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(exact, "a binary, b binary")
 
 
-def _block_pairs(rows: DataFrame, percent: int, edges: int) -> DataFrame:
-    """Likely pairs of different components inside each (key, lo, hi) block.
-    A block of m classes returns its ``edges * m`` most similar pairs and says
-    in ``more`` whether it had others."""
-
-    def group(part: pa.Table, plan: Bands):
-        sig, comp = _matrix(part["sig"].combine_chunks(), plan.size), part["comp"].combine_chunks().dictionary_encode().indices.to_numpy()
-        side, cross = part["block"].to_numpy(), part["lo"][0].as_py() != part["hi"][0].as_py()
-        left, right, score = [], [], []
-        for at in range(0, len(sig), 64):
-            i, j = np.meshgrid(np.arange(at, min(at + 64, len(sig))), np.arange(len(sig)), indexing="ij")
-            pick = (i < j) & (comp[i] != comp[j])
-            if cross:
-                pick &= side[i] != side[j]
-            i, j = i[pick], j[pick]
-            keep, matches = plan.likely(sig[i], sig[j])
-            left.append(i[keep])
-            right.append(j[keep])
-            score.append(matches)
-        i, j, score = np.concatenate(left), np.concatenate(right), np.concatenate(score)
-        top = np.argsort(-score, kind="stable")[: edges * len(sig)]
-        node = part["node"].combine_chunks()
-        return pa.RecordBatch.from_arrays(
-            [node.take(pa.array(i[top])), node.take(pa.array(j[top])), pa.array(np.full(len(top), len(score) > len(top)))],
-            ["a", "b", "more"],
-        )
+def _in_blocks(rows: DataFrame, size: int, work, schema: str) -> DataFrame:
+    """``work`` on each block of a bucket and on each two blocks together, of
+    about ``size`` rows each; rows (key, m, node and others) stream through,
+    sorted by block."""
+    parts = F.ceil(F.col("m") / size).cast("int")
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("node"), parts).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    dealt = dealt.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}).drop("other", "m")
 
     def run(batches):
-        plan, held = bands(percent), None
+        held = None
         for batch in batches:
             table = pa.Table.from_batches([batch])
             table = table if held is None else pa.concat_tables([held, table])
             place = np.stack([table[c].to_numpy() for c in ("key", "lo", "hi")])
-            cuts = np.flatnonzero((np.diff(place, axis=1) != 0).any(0)) + 1
-            edge = [0, *cuts.tolist()]
+            edge = [0, *(np.flatnonzero((np.diff(place, axis=1) != 0).any(0)) + 1).tolist()]
             for a, b in zip(edge[:-1], edge[1:], strict=True):
-                yield group(table.slice(a, b - a), plan)
+                yield work(table.slice(a, b - a).combine_chunks())
             held = table.slice(edge[-1])
         if held is not None and held.num_rows:
-            yield group(held, plan)
+            yield work(held.combine_chunks())
+
+    return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node").mapInArrow(run, schema)
+
+
+def _column(part: pa.Table, name: str) -> pa.Array:
+    return pa.concat_arrays(part[name].chunks)
+
+
+def _likely_here(part: pa.Table, plan: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Likely pairs of a block (places i and j) of different components that
+    share no earlier band, the most similar ones first; and the components."""
+    sig, side = _matrix(_column(part, "sig"), plan.size), part["block"].to_numpy()
+    comp = _column(part, "comp").dictionary_encode().indices.to_numpy()
+    cross, band = part["lo"][0].as_py() != part["hi"][0].as_py(), part["band"][0].as_py()
+    found = []
+    for at in range(0, len(sig), 64):
+        i, j = np.meshgrid(np.arange(at, min(at + 64, len(sig))), np.arange(len(sig)), indexing="ij")
+        pick = (i < j) & (comp[i] != comp[j])
+        if cross:
+            pick &= side[i] != side[j]
+        i, j = i[pick], j[pick]
+        keep, matches = plan.likely(sig[i], sig[j])
+        i, j = i[keep], j[keep]
+        bands_equal = (sig[i] == sig[j]).reshape(-1, plan.number, plan.width).all(2)
+        first = bands_equal.argmax(1) == band
+        found.append(np.stack([i[first], j[first], matches[first]]))
+    i, j, matches = np.concatenate(found, 1)
+    order = np.argsort(-matches, kind="stable")
+    return i[order], j[order], comp, sig
+
+
+def _settle(left: DataFrame, percent: int, where: tuple) -> DataFrame:
+    """Links between the components of mixed buckets; enough of them to join
+    all components that any of their pairs links."""
+    docs, classes, id_col, text_col, size = where
+    sig = classes.select("node", "sig")
 
-    return (
-        rows.repartition("key", "lo", "hi")
-        .sortWithinPartitions("key", "lo", "hi", "node")
-        .mapInArrow(run, "a binary, b binary, more boolean")
-    )
+    def likely(part: pa.Table) -> pa.RecordBatch:
+        i, j, *_ = _likely_here(part, bands(percent))
+        part = part.take(pa.array(np.unique(np.concatenate([i, j]))))
+        return pa.RecordBatch.from_arrays([_column(part, n) if len(part) else pa.array([], part.schema.field(n).type) for n in ("key", "band", "node", "comp")], ["key", "band", "node", "comp"])
+
+    def link(part: pa.Table) -> pa.RecordBatch:
+        i, j, comp, _ = _likely_here(part, bands(percent))
+        items, root, a, b = _column(part, "items"), list(range(len(part))), [], []
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        for p, q in zip(i.tolist(), j.tolist(), strict=True):
+            x, y = find(comp[p]), find(comp[q])
+            if x != y and _linked(*(np.frombuffer(items[k].as_buffer(), np.uint64) for k in (p, q)), percent):
+                root[x] = y
+                a.append(p)
+                b.append(q)
+        node = _column(part, "node")
+        return pa.RecordBatch.from_arrays([node.take(pa.array(x, pa.int64())) for x in (a, b)], ["a", "b"])
+
+    near = _in_blocks(left.join(sig, "node"), BLOCK, likely, "key bigint, band int, node binary, comp binary")
+    near = stored(near.distinct(), "near")
+    full = _full_sets(near.select("node").distinct(), docs, classes, id_col, text_col, size)
+    near = near.join(near.groupBy("key").agg(F.count("*").alias("m")), "key").join(sig, "node").join(full, "node")
+    return _in_blocks(near, FULL_BLOCK, link, "a binary, b binary")
 
 
 def near_duplicates(
@@ -245,7 +291,7 @@ def near_duplicates(
     classes = stored(
         known.groupBy("node").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")), "classes"
     )
-    where = (docs, classes, id_col, text_col, size, percent)
+    where = (docs, classes, id_col, text_col, size)
     rows = _band_rows(classes, percent)
     buckets = stored(
         rows.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("m")).filter("m > 1"), "buckets"
@@ -253,31 +299,15 @@ def near_duplicates(
     met = stored(rows.join(buckets, "key").filter("node <> hub"), "met")
     stars = met.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     likely = stored(_likely_pairs(stars, classes, percent), "likely")
-    links = stored(_links(likely, *where), "linked")
-    comps = components(links)
-    edges = FIRST_EDGES
-    while True:
-        # hubs are settled with all of their bucket; the others may still differ
-        left = met.filter("m > 2").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        mixed = left.groupBy("key").agg(F.min("comp").alias("p"), F.max("comp").alias("q")).filter("p <> q").select("key")
-        parts = F.ceil(F.col("m") / BLOCK).cast("int")
-        open_rows = stored(left.join(mixed, "key", "left_semi").withColumn("block", F.pmod(F.xxhash64("node"), parts).cast("int")), "open")
-        if open_rows.isEmpty():
-            break
-        blocks = open_rows.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-        blocks = blocks.select(
-            "key", "node", "comp", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")
-        )
-        found = _block_pairs(blocks.join(classes.select("node", "sig"), "node"), percent, edges)
-        found = stored(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "more").groupBy("a", "b").agg(F.max("more").alias("more")), "found")
-        fresh = stored(_links(found.select("a", "b"), *where), "linked")
-        whole = found.filter("more").isEmpty()
-        if not fresh.isEmpty():
-            links = comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionAll(fresh)
-            comps = components(links)
-        if whole:
-            break
-        edges *= 4
+    ends = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    comps = components(_links(likely, _full_sets(ends, *where), percent))
+    # hubs are settled with all of their bucket; the others may still differ
+    left = met.filter("m > 2").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    left = stored(left.select("key", "band", "m", "node", "comp"), "left")
+    mixed = left.groupBy("key").agg(F.min("comp").alias("p"), F.max("comp").alias("q")).filter("p <> q").select("key")
+    fresh = stored(_settle(left.join(mixed, "key", "left_semi"), percent, where), "linked")
+    if not fresh.isEmpty():
+        comps = components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionAll(fresh))
     named = classes.select("node", "rep").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     named = named.join(least, "comp").select("node", "component_id")
