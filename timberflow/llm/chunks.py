@@ -32,6 +32,7 @@ _LETTER[[*range(65, 91), *range(97, 123)]] = True
 _MARK = np.zeros(256, bool)
 _MARK[list(b".,;:!?#$%&*()'\"")] = True
 KNOWN_CHUNKS = 1 << 20
+CALL = 10_000  # texts handed to the library at once
 
 # Fixed value: the word pattern of one public tokenizer file.
 _WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -103,10 +104,13 @@ class ChunkEncoder:
         self.ids = np.empty(0, np.uint32)
 
     def _library(self, values: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if self.model is not None:
-            found = self.model.encode(values, num_threads=1)
-        else:
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(values, add_special_tokens=False)]
+        found: list[list[int]] = []
+        for at in range(0, len(values), CALL):
+            part = values[at : at + CALL]
+            if self.model is not None:
+                found += self.model.encode(part, num_threads=1)
+            else:
+                found += [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum()))
         return sizes, flat
