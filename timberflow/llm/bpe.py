@@ -22,6 +22,9 @@ from timberflow.llm.chunks import chunks, cuts_safely
 from timberflow.llm.texts import plain, slices
 
 
+SLICE = 12 << 20  # bytes of text that share one index: more of them share more words
+
+
 class PairIndexBpe:
     """Vocabulary and merges of a tokenizer file with an optional end-of-word
     suffix and no continuation prefix, unknown token or byte fallback."""
@@ -200,7 +203,7 @@ def encode_texts(
 
     def run(batches):
         model = pair_index(tokenizer_path)
-        for part in slices(batches, "__text"):
+        for part in slices(batches, "__text", SLICE):
             ids, bounds = model.encode(plain(part.column("__text")))
             out = [part.column("__id"), pa.ListArray.from_arrays(bounds.astype(np.int32), ids.astype(np.int32))]
             if decoded:
