@@ -16,6 +16,7 @@ from pyspark.errors import AnalysisException
 
 from timberflow.llm.chunks import digest_of, encoder
 from timberflow.llm.texts import plain, slices
+from timberflow.session import stored
 
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens bigint"
 
@@ -73,8 +74,6 @@ def count_tokens(
     )
     same = (F.col("t.digest") == F.col("w.digest")) & F.col("t.__id").eqNullSafe(F.col("w.__id"))
     missing = texts.alias("t").join(wanted.alias("w"), same, "left_semi")
-    # the same row may be repeated: one text per digest and batch is enough,
-    # the rest goes by the distinct below
 
     def encode(batches):
         model = encoder(tokenizer_path)
@@ -93,6 +92,8 @@ def count_tokens(
         .groupBy("digest")
         .agg(F.max("n_tokens").alias("n_tokens"))
     )
+    # a stored side lets the engine split the rows of a frequent text
+    counts = stored(counts, "counts")
     return keyed.join(counts, "digest").select(
         F.col("__id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
     )
