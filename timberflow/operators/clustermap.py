@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from timberflow.functions.text import escape_markup, non_empty
 
 # Map size and grid resolution.
-MAX_POINTS = 2000
 GRID = 80
 
 
@@ -64,9 +63,9 @@ def described(clusters: DataFrame) -> DataFrame:
     )
 
 
-def projected(points: DataFrame, id_col: str, vector: str = "vector", limit: int | None = MAX_POINTS) -> DataFrame:
-    """Adds ``x, y``: the first two principal components. The map shows at most
-    ``limit`` points, lowest ids first (``None``: all). One or two points lie
+def projected(points: DataFrame, id_col: str, vector: str = "vector", limit: int | None = None) -> DataFrame:
+    """Adds ``x, y``: the first two principal components. With ``limit``
+    only so many points are shown, lowest ids first. One or two points lie
     at (0, 0) and (1, 0)."""
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector, vector_to_array

@@ -7,8 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from timberflow.operators.sequences import ranked_values
 
-# History kept and thresholds with their advice.
-HISTORY = 10_000
+# Thresholds with their advice.
 ADVICE = (
     ("average_latency_ms", ">", 1000, "Average latency exceeds 1 second. Consider increasing batch size."),
     ("p99_latency_ms", ">", 5000, "P99 latency is high. Consider adding more parallel workers."),
@@ -18,8 +17,11 @@ ADVICE = (
 ALL_WELL = "Performance is optimal. Continue monitoring."
 
 
-def newest_reports(reports: DataFrame, ts: str = "ts", tie: str = "event_id", keep: int = HISTORY) -> DataFrame:
-    """The newest ``keep`` reports by arrival: each task keeps that many."""
+def newest_reports(reports: DataFrame, ts: str = "ts", tie: str = "event_id", keep: int | None = None) -> DataFrame:
+    """The newest ``keep`` reports by arrival (each task keeps that many), or
+    all."""
+    if keep is None:
+        return reports
     return reports.orderBy(F.desc(ts), F.desc(tie)).limit(keep)
 
 

@@ -83,11 +83,11 @@ def display_service(service: Column, metadata: Column | None = None) -> Column:
 
 
 def dashboard_summary(
-    logs: DataFrame, rows: int = DASHBOARD_ROWS, ts: str = "ts", tie: str = "log_id", metadata: str | None = None
+    logs: DataFrame, rows: int | None = None, ts: str = "ts", tie: str = "log_id", metadata: str | None = None
 ) -> DataFrame:
-    """One row: total logs, ERROR logs and services among the newest ones, and
-    a sentence about them."""
-    window = newest(logs, rows, ts, tie)
+    """One row: total logs, ERROR logs and services among all of them (or the
+    newest ``rows``), and a sentence about them."""
+    window = logs if rows is None else newest(logs, rows, ts, tie)
     service = display_service(F.col("service_id"), F.col(metadata) if metadata else None)
     counted = window.agg(
         F.count_if(F.col("level") == "ERROR").alias("anomalies"),

@@ -30,7 +30,7 @@ def page_totals(spark, sf_dir):
 
 @query(
     "dashboard_summary",
-    f"""WITH {EVENT_LOGS}, n AS (SELECT * FROM logs ORDER BY ts DESC, log_id LIMIT 500)
+    f"""WITH {EVENT_LOGS}, n AS (SELECT * FROM logs)
 SELECT (SELECT count(*) FROM logs) AS logs_processed, count(*) FILTER (level = 'ERROR') AS anomalies,
   count(*) FILTER (level = 'ERROR') AS ai_insights, count(DISTINCT service_id) AS active_services,
   count(*) FILTER (level = 'ERROR') || ' ERROR-level events detected across ' || count(DISTINCT service_id)
@@ -139,7 +139,7 @@ def latency_metrics(spark, sf_dir):
 
 @query(
     "latency_overall",
-    f"WITH {_REPORTS}, n AS (SELECT * FROM r ORDER BY ts DESC, event_id DESC LIMIT 10000) SELECT {_METRICS} FROM n",
+    f"WITH {_REPORTS}, n AS (SELECT * FROM r) SELECT {_METRICS} FROM n",
 )
 def latency_overall(spark, sf_dir):
     kept = ME.newest_reports(latency_reports(spark, sf_dir))
