@@ -5,7 +5,6 @@ import random
 from collections import defaultdict
 from urllib.parse import urlsplit
 
-import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -301,6 +300,3 @@ def test_pipeline_stages(spark, vocab, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
 
-
-def test_arrow_types():
-    assert pa.types.is_integer(pa.int64())
