@@ -1,20 +1,25 @@
 """Exact cosine search over stored log vectors.
 
-Scores are cosines over whole tables. The base side is never shuffled: each
-partition scores its Arrow batches against a block of query vectors with one
-matrix product, keeps its own best k per query, and only those rows meet.
+Scores are cosines over whole tables. One vector is compared in a scan that
+shuffles nothing but each partition's best rows. A table of queries is dealt
+into blocks, the base into splits, and each cell of a block and a split holds
+its queries while the base rows stream past them; only ids and scores leave a
+cell, and the payload joins the final ranks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from timberflow.functions.services import SERVICE_ID_PATTERN, UNKNOWN_SERVICE, valid_service_id
 
-# Vectors of at most this many queries travel to the executors at a time
-# (4096 x 1024 doubles are 32 MB). Larger query tables are searched in
-# several such blocks, each one scan of the base.
-QUERY_BLOCK = 4096
+QUERY_BLOCK = 4096  # queries that a task holds at once
+SPLIT, SMALL_SPLIT = 1 << 20, 1 << 10  # base rows of a cell: at most about, and worth a cell of their own
+SCORES = 4_000_000  # numbers in one matrix of scores
 
 
 def check_limit(limit: int, low: int = 1, high: int = 50) -> int:
@@ -23,91 +28,145 @@ def check_limit(limit: int, low: int = 1, high: int = 50) -> int:
     return limit
 
 
-def _scan_block(
-    base: DataFrame,
-    queries: list,
-    k: int,
-    query_id_type: T.DataType,
-    id_col: str,
-    vector_col: str,
-    scope_col: str | None,
-    min_score: float | None,
-) -> DataFrame:
-    """Best k base rows per query of one block, per partition of the base."""
-    import numpy as np
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    id_type = to_arrow_type(query_id_type)
-    ids = [row[0] for row in queries]
-    matrix = np.array([row[1] for row in queries], dtype="float64")
-    norms = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
-    matrix = np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
-    scopes = [row[2] for row in queries] if scope_col else None
-    shared = base.sparkSession.sparkContext.broadcast((ids, matrix, scopes))
-
-    kept = [field for field in base.schema.fields if field.name != vector_col]
-    schema = T.StructType(
-        [T.StructField("query_id", query_id_type), *kept, T.StructField("score", T.DoubleType())]
-    )
+def _by_length(vectors: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Places and unit vectors of the rows of each length; empty and null
+    vectors are left out, null elements count as zero."""
+    lengths = vectors.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    out = {}
+    for length in np.unique(lengths[lengths > 0]).tolist():
+        place = np.flatnonzero(lengths == length)
+        flat = vectors.take(pa.array(place)).flatten().to_numpy(zero_copy_only=False).astype("float64")
+        rows = np.nan_to_num(flat).reshape(-1, length)
+        size = np.sqrt(np.einsum("ij,ij->i", rows, rows))
+        out[length] = place, rows / np.where(size > 0, size, 1.0)[:, None]
+    return out
+
+
+def _cosines(rows: pa.Array, queries: dict[int, tuple[np.ndarray, np.ndarray]], n_queries: int) -> np.ndarray:
+    """Scores of all rows and queries; 0 where lengths differ."""
+    scores = np.zeros((len(rows), n_queries))
+    for length, (place, unit) in _by_length(rows).items():
+        if length in queries:
+            own, matrix = queries[length]
+            scores[np.ix_(place, own)] = unit @ matrix.T
+    return scores
+
+
+def _best(found: pa.Table, k: int) -> pa.Table:
+    """The k best rows (``query`` place, ``id``, ``score``) of each query."""
+    ids = found["id"].to_numpy(zero_copy_only=False)
+    order = np.lexsort((ids, -found["score"].to_numpy(), found["query"].to_numpy()))
+    query = found["query"].to_numpy()[order]
+    return found.take(pa.array(order[np.arange(len(order)) - np.searchsorted(query, query) < k]))
+
+
+def _candidates(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and queries of the k best finite scores; with ties at the k-th."""
+    wanted = np.isfinite(scores)
+    if len(scores) > k:
+        wanted &= scores >= np.partition(scores, len(scores) - k, axis=0)[len(scores) - k]
+    return np.nonzero(wanted)
+
+
+class _Cell:
+    """The queries of one block and their best rows so far."""
+
+    def __init__(self, queries: pa.Table, k: int, scoped: bool, min_score: float | None):
+        self.ids = queries["query_id"]
+        self.vectors = _by_length(queries["vector"].combine_chunks())
+        self.scopes = np.array([s or "" for s in queries["scope"].to_pylist()], object) if scoped else None
+        self.k, self.min_score, self.best = k, min_score, None
+
+    def add(self, rows: pa.Table) -> None:
+        step = max(1, SCORES // max(1, len(self.ids)))
+        for at in range(0, len(rows), step):
+            part = rows.slice(at, step).combine_chunks()
+            scores = _cosines(part["vector"].combine_chunks(), self.vectors, len(self.ids))
+            if self.scopes is not None:
+                own = np.array(part["scope"].to_pylist(), object)
+                scores[(self.scopes != "")[None, :] & (own[:, None] != self.scopes[None, :])] = -np.inf
+            if self.min_score is not None:
+                scores[scores < self.min_score] = -np.inf
+            row, query = _candidates(scores, self.k)
+            found = pa.table({"query": query, "id": part["id"].take(pa.array(row)), "score": scores[row, query]})
+            self.best = _best(found if self.best is None else pa.concat_tables([self.best, found]), self.k)
+
+    def result(self) -> Iterator[pa.RecordBatch]:
+        if self.best is not None and len(self.best):
+            names = self.ids.take(self.best["query"])
+            out = pa.table({"query_id": names, "id": self.best["id"], "score": self.best["score"]})
+            yield from out.combine_chunks().to_batches()
 
-    def best_of_partition(batches):
-        import numpy as np
-        import pyarrow as pa
 
-        query_ids, query_matrix, query_scopes = shared.value
-        if query_scopes is not None:
-            query_scopes = np.array([scope or "" for scope in query_scopes], dtype=object)
-        width = query_matrix.shape[1]
-        best = None
+def _runs(table: pa.Table) -> Iterator[tuple[tuple[int, int, int], pa.Table]]:
+    """The runs of equal (block, split, side) of a sorted table."""
+    place = np.stack([table[name].to_numpy() for name in ("block", "split", "side")])
+    edges = np.flatnonzero((np.diff(place, axis=1) != 0).any(0)) + 1
+    for a, b in zip([0, *edges.tolist()], [*edges.tolist(), place.shape[1]], strict=True):
+        yield tuple(place[:, a].tolist()), table.slice(a, b - a)
+
+
+def _ranked_ids(base: DataFrame, queries: DataFrame, k: int, scoped: bool, min_score: float | None, block: int) -> DataFrame:
+    """query_id, id, score: the best k of each cell, from ``base`` (id, vector,
+    scope) and ``queries`` (query_id, vector, scope)."""
+    spark = base.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counts = {
+        "n_queries": queries.agg(F.count(F.lit(1))).scalar(),
+        "n_base": base.agg(F.count(F.lit(1))).scalar(),
+    }
+    blocks = F.greatest(F.ceil(F.col("n_queries") / block), F.lit(1)).cast("int")
+    fair = F.greatest(F.ceil(tasks / F.col("blocks")), F.ceil(F.col("n_base") / SPLIT))
+    splits = F.greatest(F.least(fair, F.ceil(F.col("n_base") / SMALL_SPLIT)), F.lit(1)).cast("int")
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.withColumns(counts).withColumn("blocks", blocks).withColumn("splits", splits)
+
+    id_type, query_type = base.schema["id"].dataType, queries.schema["query_id"].dataType
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n, *key: F.pmod(F.xxhash64(*key), F.col(n)).cast("int")
+    asked = dealt(queries).select(
+        own("blocks", "query_id", "vector").alias("block"),
+        every("splits").alias("split"),
+        F.lit(0).alias("side"),
+        "query_id",
+        F.lit(None).cast(id_type).alias("id"),
+        "vector",
+        "scope",
+    )
+    held = dealt(base).select(
+        every("blocks").alias("block"),
+        own("splits", "id").alias("split"),
+        F.lit(1).alias("side"),
+        F.lit(None).cast(query_type).alias("query_id"),
+        "id",
+        "vector",
+        "scope",
+    )
 
-        def top(table: pa.Table) -> pa.Table:
-            order = np.lexsort(
-                (
-                    table[id_col].to_numpy(zero_copy_only=False),
-                    -table["score"].to_numpy(),
-                    table["__query"].to_numpy(),
-                )
-            )
-            query = table["__query"].to_numpy()[order]
-            starts = np.searchsorted(query, query, side="left")
-            return table.take(pa.array(order[np.arange(len(order)) - starts < k]))
-
-        # Rows per matrix product, so that a score block stays near 32 MB.
-        step = max(1, 4_000_000 // max(1, len(query_ids)))
+    def search(batches):
+        at, waiting, cell = None, [], None
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            # Rows without a vector of the right length cannot be compared.
-            lengths = table[vector_col].combine_chunks().value_lengths().fill_null(0)
-            usable = np.flatnonzero(lengths.to_numpy(zero_copy_only=False) == width)
-            for start in range(0, len(usable), step):
-                part = table.take(pa.array(usable[start : start + step]))
-                flat = part[vector_col].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-                values = np.nan_to_num(flat.astype("float64")).reshape(-1, width)
-                size = np.sqrt(np.einsum("ij,ij->i", values, values))
-                scores = (values @ query_matrix.T) / np.where(size > 0, size, 1.0)[:, None]
-                if query_scopes is not None:
-                    scope = np.array(part[scope_col].to_pylist(), dtype=object)
-                    scores[(query_scopes[None, :] != "") & (scope[:, None] != query_scopes[None, :])] = -np.inf
-                if min_score is not None:
-                    scores[scores < min_score] = -np.inf
-                rows = scores.shape[0]
-                if rows > k:
-                    # Everything tied with the k-th score stays until ids decide.
-                    cut = np.partition(scores, rows - k, axis=0)[rows - k]
-                    hit_row, hit_query = np.nonzero((scores >= cut[None, :]) & np.isfinite(scores))
-                else:
-                    hit_row, hit_query = np.nonzero(np.isfinite(scores))
-                found = part.drop_columns([vector_col]).take(pa.array(hit_row))
-                found = found.append_column("score", pa.array(scores[hit_row, hit_query]))
-                found = found.append_column("__query", pa.array(hit_query.astype("int64")))
-                best = top(found if best is None else pa.concat_tables([best, found]))
-        if best is not None and best.num_rows:
-            picked = best["__query"].to_numpy()
-            names = pa.array([query_ids[i] for i in picked], type=id_type)
-            out = best.drop_columns(["__query"]).add_column(0, "query_id", names)
-            yield from out.combine_chunks().to_batches()
+            if not batch.num_rows:
+                continue
+            for (*place, side), rows in _runs(pa.Table.from_batches([batch])):
+                if place != at:
+                    if cell is not None:
+                        yield from cell.result()
+                    at, waiting, cell = place, [], None
+                if side == 0:
+                    waiting.append(rows)
+                elif waiting:
+                    cell = cell or _Cell(pa.concat_tables(waiting), k, scoped, min_score)
+                    cell.add(rows)
+        if cell is not None:
+            yield from cell.result()
 
-    return base.mapInArrow(best_of_partition, schema)
+    schema = T.StructType(
+        [T.StructField("query_id", query_type), T.StructField("id", id_type), T.StructField("score", T.DoubleType())]
+    )
+    met = asked.unionByName(held).repartition("block", "split").sortWithinPartitions("block", "split", "side")
+    return met.mapInArrow(search, schema)
 
 
 def nearest(
@@ -127,33 +186,31 @@ def nearest(
     Result: ``query_id``, the base columns without the vector, ``score`` and
     ``rank`` (ties by id). With ``scope_col``, a query that has a value in that
     column of its own only sees base rows with the same value; a null or empty
-    value sees all. ``min_score`` drops weaker hits before ranking.
+    value sees all. ``min_score`` drops weaker hits before ranking. Ids of the
+    base are unique and not null. Null and empty vectors, and vectors of
+    unequal length, score 0.
 
-    Queries come to the driver in blocks of at most ``block``: the block size
-    bounds what is sent out, however many queries there are.
+    Nothing runs while the plan is built and no query passes the driver. A
+    task holds about ``block`` queries; a base row is sent once per block of
+    queries, a query once per split of the base.
     """
-    wanted = [F.col(query_id), F.col(query_vector)] + ([F.col(scope_col)] if scope_col else [])
-    query_type = queries.schema[query_id].dataType
-    scans, rows = [], []
-    for row in queries.filter(F.size(query_vector) > 0).select(*wanted).toLocalIterator():
-        rows.append(tuple(row))
-        if len(rows) == block:
-            scans.append(_scan_block(base, rows, k, query_type, id_col, vector_col, scope_col, min_score))
-            rows = []
-    if rows or not scans:
-        if not rows:
-            empty_width = T.StructType(
-                [T.StructField("query_id", query_type)]
-                + [f for f in base.schema.fields if f.name != vector_col]
-                + [T.StructField("score", T.DoubleType()), T.StructField("rank", T.IntegerType())]
-            )
-            return base.sparkSession.createDataFrame([], empty_width)
-        scans.append(_scan_block(base, rows, k, query_type, id_col, vector_col, scope_col, min_score))
-    found = scans[0]
-    for scan in scans[1:]:
-        found = found.unionByName(scan)
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), id_col)
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    scope = F.col(scope_col) if scope_col else F.lit(None)
+    numbers = "array<double>"
+    found = _ranked_ids(
+        base.select(F.col(id_col).alias("id"), F.col(vector_col).cast(numbers).alias("vector"), scope.cast("string").alias("scope")),
+        queries.select(
+            F.col(query_id).alias("query_id"), F.col(query_vector).cast(numbers).alias("vector"), scope.cast("string").alias("scope")
+        ),
+        k,
+        scope_col is not None,
+        min_score,
+        block,
+    )
+    order = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    payload = [name for name in base.columns if name != vector_col]
+    joined = ranked.withColumnRenamed("id", "__id").join(base.select(payload), F.col("__id") == F.col(id_col))
+    return joined.select("query_id", *payload, "score", "rank")
 
 
 def top_k(
@@ -164,12 +221,31 @@ def top_k(
     vector_col: str = "vector",
     min_score: float | None = None,
 ) -> DataFrame:
-    """The ``limit`` rows most similar to one vector, best first."""
+    """The ``limit`` rows most similar to one vector, best first; ties by id.
+    Each partition passes on its own best rows."""
     check_limit(limit)
-    found = _scan_block(
-        base, [(0, list(query_vector), None)], limit, T.IntegerType(), id_col, vector_col, None, min_score
-    )
-    return found.drop("query_id").orderBy(F.desc("score"), id_col).limit(limit)
+    wanted = _by_length(pa.array([[float(x) for x in query_vector]], pa.list_(pa.float64())))
+    kept = [field for field in base.schema.fields if field.name != vector_col]
+
+    def best_of_partition(batches):
+        best = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            scores = _cosines(batch.column(vector_col), wanted, 1)
+            if min_score is not None:
+                scores[scores < min_score] = -np.inf
+            row, _ = _candidates(scores, limit)
+            found = pa.Table.from_batches([batch]).drop_columns([vector_col]).take(pa.array(row))
+            found = found.append_column("score", pa.array(scores[row, 0]))
+            best = found if best is None else pa.concat_tables([best, found])
+            order = np.lexsort((best[id_col].to_numpy(), -best["score"].to_numpy()))
+            best = best.take(pa.array(order[:limit]))
+        if best is not None:
+            yield from best.combine_chunks().to_batches()
+
+    found = base.mapInArrow(best_of_partition, T.StructType([*kept, T.StructField("score", T.DoubleType())]))
+    return found.orderBy(F.desc("score"), id_col).limit(limit)
 
 
 def scoped(

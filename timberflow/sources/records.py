@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from timberflow.functions.levels import record_level
 from timberflow.functions.redact import DEFAULT_RULES, Rule, redact_map, redact_text
-from timberflow.functions.services import UNKNOWN_SERVICE, resolve_service_id, valid_service_id
+from timberflow.functions.services import resolve_service_id, valid_service_id
 from timberflow.functions.text import is_blank, non_empty
 from timberflow.functions.timestamps import event_time, normalize_timestamp
 from timberflow.operators.parsing import parse_lines
@@ -19,7 +19,6 @@ from timberflow.operators.pinning import pin
 from timberflow.operators.redaction import redact_column
 from timberflow.schema import canonical, stable_id
 
-BATCH_LIMIT = 1000
 _RECORD_FIELDS = ("timestamp", "level", "service_id", "service", "host", "message", "source", "metadata")
 _TEXT_MAP = "map<string,string>"
 EMPTY_MESSAGE = "Log message cannot be empty"
@@ -167,12 +166,12 @@ def structured_records(df: DataFrame, rules: tuple[Rule, ...] = DEFAULT_RULES) -
 
 def batch_records(df: DataFrame) -> DataFrame:
     """Unpack ``{"logs": [...]}`` payloads: one row per record with
-    ``batch_id, record_index, value, record_id``. A payload with no or more
-    than 1000 records yields no rows; see :func:`batch_errors`."""
+    ``batch_id, record_index, value, record_id``. A payload without records
+    yields no rows; see :func:`batch_errors`."""
     logs = F.from_json("value", "logs array<string>")["logs"]
     return (
         df.withColumn("__logs", logs)
-        .filter(F.size("__logs").between(1, BATCH_LIMIT))
+        .filter(F.size("__logs") > 0)
         .select(
             F.col("record_id").alias("batch_id"), F.posexplode("__logs").alias("record_index", "value")
         )
@@ -182,15 +181,13 @@ def batch_records(df: DataFrame) -> DataFrame:
 
 def batch_errors(df: DataFrame) -> DataFrame:
     size = F.coalesce(F.size(F.from_json("value", "logs array<string>")["logs"]), F.lit(-1))
-    return df.filter(~size.between(1, BATCH_LIMIT)).select(
-        "record_id", "value", F.lit(f"a batch holds 1 to {BATCH_LIMIT} records").alias("reject_reason")
-    )
+    return df.filter(size < 1).select("record_id", "value", F.lit("a batch holds at least one record").alias("reject_reason"))
 
 
 def batch_report(records: DataFrame) -> DataFrame:
     """Per batch: processed and failed records, the failures, status and summed
-    redaction counts. A batch holds at most 1000 records, so its failure list
-    is bounded."""
+    redaction counts. A batch arrives as one payload, which bounds its failure
+    list."""
     failed = F.col("reject_reason").isNotNull()
     totals = records.groupBy("batch_id").agg(
         F.count_if(~failed).alias("processed_records"),
@@ -285,6 +282,3 @@ def explanation_fields(message: Column) -> Column:
         F.lit("Backend ingestion pipeline / API / service layer").alias("Affected Component"),
         F.lit("Check logs, validate input, monitor service health, and retry request.").alias("Suggested Fix"),
     )
-
-
-UNRESOLVED = UNKNOWN_SERVICE
