@@ -29,7 +29,7 @@ COSINE = 0.5
 SURE, LIKELY, ANSWER = 0.8, 0.6, 0.8  # shares of an item and of its answer found in order
 SHORT = 8  # items of fewer words must stand there word by word
 ITEMS = 20_000  # benchmark items held by a task at once
-PART_BYTES = 2 << 20
+PART_BYTES = 5 << 20
 GROUPS = 64
 
 
@@ -53,6 +53,20 @@ def _units(found: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     return found.offsets[:-1][row] + (np.arange(first[-1]) - first[:-1][row]) * size, first
 
 
+def _unit_sums(vectors: np.ndarray, terms: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """Sum of the term vectors of each run that begins at ``starts``; a run
+    ends where the next one begins and has at most ``size`` terms."""
+    length = np.diff(np.append(starts, len(terms)))
+    sums = vectors[terms[starts]]
+    for j in range(1, min(size, int(length.max(initial=0)))):
+        longer = np.flatnonzero(length > j)
+        if len(longer) == len(starts):
+            sums += vectors[terms[starts + j]]
+        else:
+            sums[longer] += vectors[terms[starts[longer] + j]]
+    return sums
+
+
 def _passages(docs: DataFrame, text_col: str) -> DataFrame:
     """The distinct hashed terms of every passage: ``terms`` (16 bits each) of
     many passages in a row, ``sizes`` (8 bits) their numbers."""
@@ -140,7 +154,7 @@ def fit_space(docs: DataFrame, text_col: str = "text", seed: int = 11) -> Space
                     continue
                 starts = np.concatenate([[0], np.cumsum(sizes[:-1], dtype=np.int64)])
                 norm = np.maximum(np.add.reduceat(idf[term] ** 2, starts), 1e-9)
-                seen = np.add.reduceat(probe[term], starts, axis=0) / norm[:, None]
+                seen = _unit_sums(probe, term, starts, PASSAGE) / norm[:, None]
                 order = np.argsort(term, kind="stable")
                 own, first = np.unique(term[order], return_index=True)
                 total[own] += np.add.reduceat(seen[np.repeat(np.arange(len(sizes)), sizes)[order]], first, axis=0)
@@ -169,6 +183,7 @@ class Item(NamedTuple):
     number: int  # place among the items of the block
     words: tuple[str, ...]
     answer: tuple[str, ...]
+    distinct: frozenset[str] = frozenset()
 
 
 class Probes(NamedTuple):
@@ -186,7 +201,7 @@ def _probes(ids: list, texts: list[str], answers: list[str | None], space: Space
     for k, (text, answer) in enumerate(zip(texts, answers, strict=True)):
         own = split(text or "")
         # without a given answer the last quarter of the item counts as one
-        items.append(Item(k, own, split(answer) if answer is not None else own[-max(1, len(own) // 4) :]))
+        items.append(Item(k, own, split(answer) if answer is not None else own[-max(1, len(own) // 4) :], frozenset(own)))
         for at in range(0, len(own), LONGEST):
             part = own[at : at + LONGEST]
             if len(part) >= SHORT or len(own) <= LONGEST:
@@ -221,6 +236,9 @@ def _confirmed(item: Item, text: list[str], at: int) -> float:
         return float(any(tuple(text[k : k + n]) == item.words for k in near))
     slack = n // 4 + STEP
     region = text[max(0, at - slack) : at + n + slack]
+    # each distinct word that is not there is missing in every subsequence
+    if n - len(item.distinct.difference(region)) < LIKELY * n:
+        return 0.0
     share = common(item.words, region) / n
     if share >= SURE:
         return share
@@ -236,18 +254,19 @@ def _matches(texts: pa.Array, space: Space, probes: Probes) -> dict[tuple[int, i
     out: dict[tuple[int, int], tuple[float, float]] = {}
     if not len(starts):
         return out
-    sums = np.add.reduceat(space.vectors[_terms(found)], starts, axis=0)
+    sums = _unit_sums(space.vectors, _terms(found), starts, STEP)
     total = np.zeros((len(sums) + 1, sums.shape[1]))
     np.cumsum(sums, axis=0, out=total[1:])
     row = np.repeat(np.arange(len(texts)), np.diff(first))
     vocab, split = found.vocab.to_pylist(), {}
     for length, place, unit in probes.groups:
         ends = np.minimum(np.arange(len(starts)) + length // STEP, first[row + 1])
-        window = (total[ends] - total[:-1]).astype(np.float32)
-        window /= np.linalg.norm(window, axis=1, keepdims=True) + 1e-12
-        for at in range(0, len(window), 8192):
-            score = window[at : at + 8192] @ unit.T
-            for w, p in np.argwhere(score >= COSINE).tolist():
+        for at in range(0, len(starts), 4096):
+            window = (total[ends[at : at + 4096]] - total[:-1][at : at + 4096]).astype(np.float32)
+            window /= np.sqrt(np.einsum("ij,ij->i", window, window))[:, None] + 1e-12
+            score = window @ unit.T
+            for flat in np.flatnonzero(score >= COSINE).tolist():
+                w, p = divmod(flat, score.shape[1])
                 r, item = int(row[at + w]), probes.items[place[p]]
                 if out.get((r, item.number), (0.0, 0.0))[0] == 1.0:
                     continue
