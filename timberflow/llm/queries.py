@@ -109,4 +109,37 @@ QUERIES = {
     "op9_language": op9_language,
     "op10_quality": op10_quality,
 }
-ORACLES: dict[str, str] = {}
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: Classes of equal sets, their links by shared shingles, and all that is
+#: reachable over them.
+_NEAR_DEDUP = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_sort(CASE
+    WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS sh FROM w),
+c AS (SELECT min(doc_id) AS rep, any_value(len(sh)) AS n, sh FROM s WHERE len(sh) > 0 GROUP BY sh),
+e AS (SELECT rep, n, unnest(sh) AS g FROM c),
+l AS (SELECT a.rep AS a, b.rep AS b FROM e a JOIN e b ON a.g = b.g AND a.rep <> b.rep
+  GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+r AS (SELECT rep AS a, rep AS b FROM c UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+m AS (SELECT a AS rep, min(b) AS component FROM r GROUP BY a)
+SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, coalesce(m.component, s.doc_id) AS component_id,
+  coalesce(m.component, s.doc_id) = s.doc_id AS kept
+FROM s LEFT JOIN c ON c.sh = s.sh LEFT JOIN m ON m.rep = c.rep"""
+
+#: The digest in base 32: four numbers of 40 bits, eight symbols each.
+_WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+h AS (SELECT page_id, body, sha1(body) AS h, max(page_id) OVER (PARTITION BY body) AS last FROM p),
+v AS (SELECT *, list_transform(range(4), lambda g: CAST('0x' || substr(h, 10 * g + 1, 10) AS BIGINT)) AS v FROM h)
+SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + ((v[i // 8 + 1] >> CAST(35 - 5 * (i % 8) AS BIGINT)) & 31), 1)), '') AS payload_digest,
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> last THEN last END AS refers_to
+FROM v"""
+
+#: The other queries use trained models or tokenizer libraries.
+ORACLES: dict[str, str] = {"op7_warc": _WARC, "op8_near_dedup": _NEAR_DEDUP}
