@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from timberflow.plans.parse_plans import _BRACKETED, bracketed_lines
-from timberflow.plans.registry import EVENT_LOGS, event_logs, micros, query, table
+from timberflow.plans.registry import EVENT_LOGS, document_logs, event_logs, micros, query, table
+from timberflow.session import workspace
 from timberflow.sources import files as FI, otlp as OT, queue as QU, records as RE, sinks as SK
 
 
@@ -334,7 +335,13 @@ def expired_days(spark, sf_dir):
     """SELECT count(*) AS archived, count(DISTINCT source || chr(31) || text) AS indexed FROM documents""",
 )
 def dual_export(spark, sf_dir):
-    """Every log goes to the archive, only first copies to the index."""
-    docs = table(spark, sf_dir, "documents")
-    firsts = docs.groupBy("source", F.sha2("text", 256)).agg(F.min("doc_id"))
-    return docs.agg(F.count("*").alias("archived")).withColumn("indexed", firsts.agg(F.count("*")).scalar())
+    """Every log goes to the archive, only first copies to the index; both are
+    counted from what was written."""
+    logs = document_logs(spark, sf_dir)
+    folder = workspace(spark, "export")
+    SK.write_archive(logs.withColumn("ts", F.timestamp_seconds("log_id")), f"{folder}/archive")
+    copies = logs.withColumn("log_id", F.sha2(F.concat_ws("\x1f", "service_id", "message"), 256))
+    SK.write_new_logs(copies, f"{folder}/index")
+    SK.write_new_logs(copies, f"{folder}/index")  # a repeated write adds nothing
+    archived, indexed = (SK.read_table(spark, f"{folder}/{name}").agg(F.count("*")) for name in ("archive", "index"))
+    return archived.toDF("archived").withColumn("indexed", indexed.scalar())

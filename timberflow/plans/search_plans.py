@@ -263,8 +263,9 @@ FROM embeddings WHERE label % 2 = 0 AND label % 4 = 0""",
 )
 def new_incidents(spark, sf_dir):
     """Explanations for one service only; the blank ones are not remembered."""
-    found = F.when(F.col("service_id") == "svc-0", F.concat(F.lit("found "), F.col("query_id").cast("string"))).otherwise("  ")
-    return RC.new_incidents(_requests(spark, sf_dir).withColumn("explanation", found)).select("incident_id")
+    asked = _requests(spark, sf_dir).withColumn("prompt", F.concat_ws("|", "service_id", "query_id"))
+    answer = lambda p: F.when(p.startswith("svc-0|"), F.concat(F.lit("found "), F.substring_index(p, "|", -1))).otherwise("  ")
+    return RC.new_incidents(RC.complete(asked, answer)).select("incident_id")
 
 
 @query(
