@@ -30,6 +30,7 @@ SURE, LIKELY, ANSWER = 0.8, 0.6, 0.8  # shares of an item and of its answer foun
 SHORT = 8  # items of fewer words must stand there word by word
 ITEMS = 20_000  # benchmark items held by a task at once
 PART_BYTES = 5 << 20
+RUNS = 2048  # rows of term vectors that are worked on at once
 GROUPS = 64
 
 
@@ -55,15 +56,19 @@ def _units(found: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _unit_sums(vectors: np.ndarray, terms: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
     """Sum of the term vectors of each run that begins at ``starts``; a run
-    ends where the next one begins and has at most ``size`` terms."""
+    ends where the next one begins and has at most ``size`` terms. ``RUNS`` of
+    them are summed at a time, so that the sums stay in the cache."""
     length = np.diff(np.append(starts, len(terms)))
-    sums = vectors[terms[starts]]
-    for j in range(1, min(size, int(length.max(initial=0)))):
-        longer = np.flatnonzero(length > j)
-        if len(longer) == len(starts):
-            sums += vectors[terms[starts + j]]
-        else:
-            sums[longer] += vectors[terms[starts[longer] + j]]
+    sums = np.empty((len(starts), vectors.shape[1]), vectors.dtype)
+    for at in range(0, len(starts), RUNS):
+        own, left, part = starts[at : at + RUNS], length[at : at + RUNS], sums[at : at + RUNS]
+        part[:] = vectors[terms[own]]
+        for j in range(1, min(size, int(left.max(initial=0)))):
+            longer = np.flatnonzero(left > j)
+            if len(longer) == len(own):
+                part += vectors[terms[own + j]]
+            else:
+                part[longer] += vectors[terms[own[longer] + j]]
     return sums
 
 
@@ -76,7 +81,8 @@ def _passages(docs: DataFrame, text_col: str) -> DataFrame:
             found = words(folded(plain(part.column("text"))))
             starts, _ = _units(found, PASSAGE)
             passage = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(found.codes))))
-            key = np.unique(passage * TERMS + _terms(found))
+            key = passage * TERMS + _terms(found)
+            key = np.unique(key.astype(np.uint32) if len(starts) * TERMS < 1 << 32 else key)  # short keys sort faster
             sizes = np.bincount(key // TERMS, minlength=len(starts)).astype(np.uint8)
             data = [(key % TERMS).astype(np.uint16).tobytes()], [sizes.tobytes()]
             yield pa.RecordBatch.from_arrays([pa.array(d, pa.binary()) for d in data], ["terms", "sizes"])
@@ -155,9 +161,9 @@ def fit_space(docs: DataFrame, text_col: str = "text", seed: int = 11) -> Space
                 starts = np.concatenate([[0], np.cumsum(sizes[:-1], dtype=np.int64)])
                 norm = np.maximum(np.add.reduceat(idf[term] ** 2, starts), 1e-9)
                 seen = _unit_sums(probe, term, starts, PASSAGE) / norm[:, None]
-                order = np.argsort(term, kind="stable")
-                own, first = np.unique(term[order], return_index=True)
-                total[own] += np.add.reduceat(seen[np.repeat(np.arange(len(sizes)), sizes)[order]], first, axis=0)
+                passage = np.repeat(np.arange(len(sizes)), sizes)
+                for j, column in enumerate(np.ascontiguousarray(seen.T)):
+                    total[:, j] += np.bincount(term, column[passage], TERMS)
         data = (total * idf[:, None]).reshape(blocks, -1)
         group = np.full(blocks, TaskContext.get().partitionId() % GROUPS)
         yield pa.RecordBatch.from_arrays(
@@ -255,16 +261,21 @@ def _matches(texts: pa.Array, space: Space, probes: Probes) -> dict[tuple[int, i
     if not len(starts):
         return out
     sums = _unit_sums(space.vectors, _terms(found), starts, STEP)
-    total = np.zeros((len(sums) + 1, sums.shape[1]))
-    np.cumsum(sums, axis=0, out=total[1:])
     row = np.repeat(np.arange(len(texts)), np.diff(first))
+    left = first[row + 1] - np.arange(len(starts))  # runs up to the end of the text
     vocab, split = found.vocab.to_pylist(), {}
-    for length, place, unit in probes.groups:
-        ends = np.minimum(np.arange(len(starts)) + length // STEP, first[row + 1])
-        for at in range(0, len(starts), 4096):
-            window = (total[ends[at : at + 4096]] - total[:-1][at : at + 4096]).astype(np.float32)
-            window /= np.sqrt(np.einsum("ij,ij->i", window, window))[:, None] + 1e-12
+    for at in range(0, len(starts), RUNS):
+        window, held = sums[at : at + RUNS].copy(), 1
+        for length, place, unit in probes.groups:
+            for held in range(held, length // STEP):
+                over = np.flatnonzero(left[at : at + RUNS] <= held)  # these ended with their text
+                ended, more = window[over], sums[at + held : at + held + RUNS]
+                window[: len(more)] += more
+                window[over] = ended
+            held = length // STEP
+            norm = np.sqrt(np.einsum("ij,ij->i", window, window))[:, None] + 1e-12
             score = window @ unit.T
+            score /= norm
             for flat in np.flatnonzero(score >= COSINE).tolist():
                 w, p = divmod(flat, score.shape[1])
                 r, item = int(row[at + w]), probes.items[place[p]]

@@ -76,8 +76,7 @@ def words(texts: pa.Array) -> Words:
 
 def hashes(values: pa.Array) -> np.ndarray:
     """A stable 64-bit hash of each string."""
-    digest = xxhash.xxh3_64_intdigest
-    return np.fromiter((digest(v) for v in values.cast(pa.binary()).to_pylist()), np.uint64, len(values))
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, values.cast(pa.binary()).to_pylist()), np.uint64, len(values))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
