@@ -55,6 +55,32 @@ def test_stream_alerts_equal_batch(spark):
     assert got and got <= want and len(want - got) <= 16
 
 
+def test_alert_state_expires(spark):
+    """Keys leave the state two windows after their last alert, and fire
+    again; a key inside its window stays."""
+    folder, checkpoint = (tempfile.mkdtemp(prefix="run-") for _ in range(2))
+    files = [
+        [("a", 1, 0), ("b", 2, 0), ("b", 3, 50)], [("b", 4, 1000)], [("c", 5, 3000)], [("a", 6, 4000)],
+        [("d", 7, 9000)], [("d", 8, 9050)], [("e", 9, 9060)], [("e", 10, 9070)],
+    ]
+    for rows in files:
+        df = spark.createDataFrame(rows, "deduplication_key string, log_id bigint, s bigint")
+        df = df.withColumn("ts", F.timestamp_seconds(F.col("s") + 1_000_000)).drop("s")
+        df.coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    query = (
+        K.stream_fired_alerts(stream, 100, delay="0 seconds").writeStream.format("memory").queryName("expiring")
+        .outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+    query.awaitTermination(300)
+    assert query.exception() is None
+    fired = {r.log_id for r in spark.table("expiring").collect()}
+    assert {1, 2, 4, 5, 6, 7} <= fired <= {1, 2, 4, 5, 6, 7, 9}
+    state = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "last").load()
+    held = {r.key[0] for r in state.select("key").collect()}
+    assert "d" in held and not held & {"a", "b", "c"}
+
+
 def test_ingest_stream_fills_tables(spark):
     folder, root = tempfile.mkdtemp(prefix="run-"), tempfile.mkdtemp(prefix="run-")
 

@@ -60,10 +60,11 @@ class _Ordered(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = sorted(self.waiting.get()) if self.waiting.exists() else []
+        rows = sorted(self.waiting.get(), key=lambda row: row[:2]) if self.waiting.exists() else []
         due = [row for row in rows if row[0] <= passed]
         later = [row for row in rows if row[0] > passed]
         if not due:
+            self.expire(passed)
             return iter(())
         self.start()
         results = [out for out in (self.handle_row(key, row) for row in due) if out is not None]
@@ -79,6 +80,9 @@ class _Ordered(StatefulProcessor):
     def start(self) -> None:
         """Read the state a run of rows needs."""
 
+    def expire(self, passed: int) -> None:
+        """Drop state that no row later than ``passed`` can need."""
+
     def close(self) -> None:
         pass
 
@@ -120,7 +124,8 @@ class TrailingScores(_Ordered):
 
 
 class FiredAlerts(_Ordered):
-    """The alerts of a key that fire: one, then none for a while."""
+    """The alerts of a key that fire: one, then none for a while. A key's state
+    leaves once the watermark is two windows past its last alert."""
 
     columns = ["deduplication_key", "log_id", "micros"]
 
@@ -138,6 +143,14 @@ class FiredAlerts(_Ordered):
         self.last.update((micros,))
         return (key[0], tie, micros)
 
+    def finish(self) -> None:
+        if self.last.exists():
+            self.handle.registerTimer((self.last.get()[0] + 2 * self.window) // 1000 + 1)
+
+    def expire(self, passed: int) -> None:
+        if self.last.exists() and passed >= self.last.get()[0] + 2 * self.window:
+            self.last.clear()
+
 
 def _prepared(stream: DataFrame, ts: str, tie: str, delay: str) -> DataFrame:
     return (
