@@ -261,9 +261,13 @@ def assign_clusters(
 
     is_first = F.col(tie) == F.col("__leader")
     clustered = F.col("__leader").isNotNull()
+    # Logs without an item have one and the same null key: they pass by the join.
+    apart = keyed.filter("__item is null").withColumns(
+        {"__leader": F.lit(None).cast(id_type), "__score": F.lit(None).cast("double")}
+    )
+    placed = keyed.filter("__item is not null").join(decided, "__item", "left").unionByName(apart)
     return (
-        keyed.join(decided, "__item", "left")
-        .withColumns(
+        placed.withColumns(
             {
                 "cluster_id": F.when(
                     clustered, F.concat(F.lit("cluster-"), F.md5(F.col("__leader").cast("string")))
