@@ -3,6 +3,7 @@
 import random
 import statistics
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from timberflow.operators import alerts as A, anomalies as N, clusters as C, metrics as M, sequences as S
@@ -166,3 +167,51 @@ def test_reduction_percentage(spark):
 def test_empty_latency_history(spark):
     empty = spark.createDataFrame([], "operation string, latency_ms double, batch_size int, success boolean")
     assert M.latency_metrics(empty).collect() == []
+
+
+def leader_loop(rows, threshold):
+    """log_id to (leader's id, score), one by one in order of arrival."""
+    leaders, out = [], {}
+    for log_id, _, _, v in sorted(rows, key=lambda r: (r[1], r[0])):
+        unit = np.array(v) / np.linalg.norm(v)
+        scores = np.array([u @ unit for _, u in leaders])
+        if len(scores) and scores.max() >= threshold:
+            out[log_id] = (leaders[int(scores.argmax())][0], round(float(scores.max()), 6))
+        else:
+            leaders.append((log_id, unit))
+            out[log_id] = (log_id, 0.0)
+    return out
+
+
+def loose_rows():
+    """Neighbours of neighbours, at all distances about the threshold."""
+    rng = np.random.default_rng(21)
+    centres = rng.normal(size=(25, 24))
+    vectors = centres[rng.integers(0, 25, 300)] + rng.normal(size=(300, 24)) * rng.choice([0.1, 0.25, 0.4], (300, 1))
+    order = rng.permutation(300)
+    return [(k, int(order[k]), "m", [float(x) for x in vectors[k]]) for k in range(300)]
+
+
+def decided(df, **options):
+    rows = C.assign_clusters(df, 0.92, **options).collect()
+    first = {r.cluster_id: r.log_id for r in rows if not r.is_duplicate}
+    return {r.log_id: (first[r.cluster_id], round(r.similarity_score, 6)) for r in rows}
+
+
+def test_clusters_do_not_depend_on_the_block(spark):
+    rows = loose_rows()
+    df = spark.createDataFrame(rows, "log_id int, ts int, message string, vector array<double>")
+    want = leader_loop(rows, 0.92)
+    assert len({x for x, _ in want.values()}) < 290
+    for block in (40, 2048):
+        assert decided(df, block=block, bits=0) == want
+    hashed = decided(df, block=40)
+    assert hashed == decided(df, block=100) == decided(df, block=2048)
+    assert sum(hashed[k] == want[k] for k in want) >= 0.95 * len(want)
+
+
+def test_the_hashing_plan_keeps_the_recall_at_every_threshold():
+    for threshold in (0.0, 0.4, 0.8, 0.92, 0.99, 1.0):
+        tables, bits = C.hashing_plan(threshold)
+        agree = 1 - np.arccos(threshold) / np.pi
+        assert bits >= 1 and 1 - (1 - agree**bits) ** tables >= 0.95

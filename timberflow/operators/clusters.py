@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -11,7 +12,7 @@ from timberflow.functions.levels import inferred_severity
 from timberflow.functions.masks import normalized_text
 from timberflow.functions.text import filled, let, non_empty, strip
 from timberflow.operators.pinning import pin
-from timberflow.session import durable
+from timberflow.session import stored
 
 # Join threshold, samples kept, summary wording and lengths.
 THRESHOLD = 0.92
@@ -49,8 +50,6 @@ def _signatures(vector: Column, tables: int, bits: int, seed: int) -> Column:
     ``(1 - angle / pi) ** bits``."""
     @F.pandas_udf("array<bigint>")
     def sides(vectors: pd.Series) -> pd.Series:
-        import numpy as np
-
         if not len(vectors):
             return pd.Series([], dtype=object)
         width = max(len(v) for v in vectors)
@@ -66,109 +65,137 @@ def _signatures(vector: Column, tables: int, bits: int, seed: int) -> Column:
     return sides(vector)
 
 
-def hashing_plan(
-    distinct: int, threshold: float, block: int, recall: float = 0.95, max_tables: int = 24
-) -> tuple[int, int]:
-    """(tables, bits): enough bits that unrelated vectors fill an eighth of a
-    block per bucket, enough tables that a pair at the threshold meets with
-    probability ``recall``, within ``max_tables``. What fits one block is not
-    hashed at all."""
-    if distinct <= block:
-        return 1, 0
-    agree = 1 - math.acos(min(1.0, max(-1.0, threshold))) / math.pi
-    bits = max(1, min(40, math.ceil(math.log2(8 * distinct / block))))
-    while True:
-        tables = math.ceil(math.log(1 - recall) / math.log(1 - min(1 - 1e-12, agree**bits)))
-        if tables <= max_tables or bits == 1:
-            return max(1, tables), bits
-        bits -= 1
+def hashing_plan(threshold: float, recall: float = 0.95, aim: int = 24) -> tuple[int, int]:
+    """(tables, bits), the same for a table of any size: the most bits with
+    which at most ``aim`` tables make a pair at the threshold meet with
+    probability ``recall``. With one bit the number of tables is whatever the
+    recall needs."""
+    agree = 1 - math.acos(min(1.0, max(0.0, threshold))) / math.pi
+    for bits in range(62, 0, -1):
+        tables = max(1, math.ceil(math.log(1 - recall) / math.log1p(-min(1 - 1e-12, agree**bits))))
+        if tables <= aim:
+            break
+    return tables, bits
 
 
-_EDGES = "item string, parent string, parent_at {at}, parent_id {id}, score double, crowded boolean"
+_FOUND = "item string, led boolean, waits boolean, parent string, parent_at {at}, parent_id {id}, score double"
 
 
-def _compare_in_blocks(
-    active: DataFrame, leaders: DataFrame | None, threshold: float, block: int, tables: int, bits: int, extra: int, seed: int, at_type: str, id_type: str
-) -> DataFrame:
-    """One row per active item and similar local leader, or one with a null
-    parent per block that found none.
+def _unit_rows(vectors) -> np.ndarray:
+    """Unit vectors of an Arrow list column, shorter ones filled with zeros."""
+    width = np.diff(vectors.offsets.to_numpy())
+    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype("float64")
+    rows = np.zeros((len(width), int(width.max())))
+    rows[np.arange(rows.shape[1]) < width[:, None]] = flat
+    length = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+    return np.divide(rows, length, out=np.zeros_like(rows), where=length > 0)
 
-    A block holds the items of one bucket; a bucket of more than ``block``
-    active items is cut into blocks by a hash of the item, and each gets the
-    bucket's confirmed leaders. Inside a block items are taken in arrival
-    order. ``crowded`` marks blocks that saw only a part of their bucket.
+
+def _look_back(
+    active: DataFrame, leaders: DataFrame | None, threshold: float, block: int, among: bool
+) -> DataFrame:
+    """Per active item and cell where it has an earlier similar row of one of
+    its buckets: whether one is a leader (``led``; ``parent`` is the most
+    similar one, the earlier one on a tie), and whether one is active
+    (``waits``, only when compared ``among`` themselves).
+
+    A bucket of more than ``block`` rows is cut into blocks of active items and
+    blocks of leaders; every two blocks that have something to compare meet in
+    a cell, so a cell is bounded and nothing of a bucket is left out.
     """
-    rows = active.withColumn("fixed", F.lit(False))
+    columns = ["item", "at", "id", "vec", "sigs"]
+    rows = active.select(*columns, F.lit(False).alias("fixed"))
     if leaders is not None:
-        rows = rows.unionByName(leaders.withColumn("fixed", F.lit(True)))
-    if bits == 0:
-        placed = rows.withColumns({"tab": F.lit(0), "sig": F.lit(0).cast("bigint")})
-    else:
-        placed = rows.withColumn("__sigs", _signatures(F.col("vec"), tables, bits, seed)).select(
-            *rows.columns, F.posexplode("__sigs").alias("tab", "sig")
-        )
-    if extra:
-        finer = _signatures(F.col("vec"), 1, extra, seed + 1)[0]
-        placed = placed.withColumn("sig", F.struct("sig", finer.alias("finer")))
-        placed = placed.withColumn("sig", F.xxhash64("sig"))
-    sizes = placed.groupBy("tab", "sig").agg(F.count_if(~F.col("fixed")).alias("waiting"))
-    parts = F.ceil(F.col("waiting") / block).cast("int")
-    spread = (
-        placed.join(sizes.filter("waiting > 0"), ["tab", "sig"])
-        .withColumn("parts", parts)
-        .withColumn(
-            "part",
-            F.explode(
-                F.when(F.col("fixed"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(
-                    F.array(F.pmod(F.xxhash64("item"), F.col("parts")).cast("int"))
-                )
-            ),
-        )
+        rows = rows.unionByName(leaders.select(*columns, F.lit(True).alias("fixed")))
+    sizes = rows.select("fixed", F.posexplode("sigs").alias("tab", "sig")).groupBy("tab", "sig")
+    sizes = sizes.agg(F.count_if(~F.col("fixed")).alias("n_active"), F.count_if("fixed").alias("n_fixed"))
+    sizes = sizes.filter("n_active > 0 and n_active + n_fixed > 1" if among else "n_active > 0 and n_fixed > 0")
+    whole = F.col("n_active") + F.col("n_fixed") <= block
+    parts = lambda n: F.when(whole, 1).otherwise(F.ceil(F.col(n) / block)).cast("int")
+    sizes = sizes.select("tab", "sig", whole.alias("whole"), parts("n_active").alias("a"), parts("n_fixed").alias("f"))
+    placed = rows.select("item", "at", "id", "vec", "fixed", F.posexplode("sigs").alias("tab", "sig")).join(sizes, ["tab", "sig"])
+    # blocks 0 to a - 1 hold active items, a to a + f - 1 leaders
+    dealt = F.when(F.col("fixed"), F.col("a") + F.pmod(F.xxhash64("item"), F.greatest("f", F.lit(1)))).otherwise(F.pmod(F.xxhash64("item"), "a"))
+    placed = placed.withColumn("block", F.when(F.col("whole"), 0).otherwise(dealt).cast("int"))
+    first = F.lit(0) if among else F.col("a")
+    others = (
+        F.when(F.col("whole"), F.array(F.lit(0)))
+        .when(F.col("fixed"), F.sequence(F.lit(0), F.col("a") - 1))
+        .otherwise(F.filter(F.sequence(F.lit(0), F.col("a") + F.col("f") - 1), lambda k: k >= first))
     )
-
-    def lead(frame: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-        import pandas as pd
-
-        frame = frame.sort_values(["at", "id"], kind="stable")
-        fixed = frame["fixed"].to_numpy()
-        width = max(len(v) for v in frame["vec"])
-        unit = np.zeros((len(frame), width))
-        for row, v in enumerate(frame["vec"]):
-            unit[row, : len(v)] = v
-        length = np.sqrt((unit * unit).sum(axis=1, keepdims=True))
-        unit = np.divide(unit, length, out=np.zeros_like(unit), where=length > 0)
-        chosen = np.empty(len(frame), dtype="int64")
-        chosen[: fixed.sum()] = np.flatnonzero(fixed)
-        used = int(fixed.sum())
-        heads = np.zeros((len(frame), width))
-        heads[:used] = unit[fixed]
-        child, parent, score = [], [], []
-        for row in np.flatnonzero(~fixed):
-            scores = np.clip(heads[:used] @ unit[row], 0.0, 1.0)
-            near = np.flatnonzero(scores >= threshold)
-            if len(near):
-                child += [row] * len(near)
-                parent += chosen[near].tolist()
-                score += scores[near].tolist()
-                continue
-            child.append(row)
-            parent.append(-1)
-            score.append(0.0)
-            chosen[used] = row
-            heads[used] = unit[row]
-            used += 1
-        parent = np.array(parent, dtype="int64")
-        known = parent >= 0
-        out = pd.DataFrame({"item": frame["item"].to_numpy()[child]})
-        for name, source in (("parent", "item"), ("parent_at", "at"), ("parent_id", "id")):
-            values = frame[source].iloc[np.where(known, parent, 0)].reset_index(drop=True)
-            out[name] = values.where(pd.Series(known))
-        out["score"] = score
-        out["crowded"] = bool(frame["parts"].iloc[0] > 1)
-        return out
-
-    return spread.groupBy("tab", "sig", "part").applyInPandas(lead, _EDGES.format(at=at_type, id=id_type))
+    cells = placed.withColumn("other", F.explode(others)).select(
+        "tab", "sig", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
+        "block", "fixed", "item", "at", "id", "vec",
+    )
+    place = ["tab", "sig", "lo", "hi"]
+
+    def compare(part):
+        import pyarrow as pa
+
+        part = part.combine_chunks()
+        column = lambda name: pa.concat_arrays(part[name].chunks)
+        unit, fixed, side = _unit_rows(column("vec")), part["fixed"].to_numpy(), part["block"].to_numpy()
+        cross = part["lo"][0].as_py() != part["hi"][0].as_py()
+        child, led, waits, parent, score = [], [], [], [], []
+        todo = np.flatnonzero(~fixed)
+        for at in range(0, len(todo), 256):
+            own = todo[at : at + 256]
+            upto = int(own[-1]) + 1  # rows are in order of arrival
+            # rounded, so that it does not matter in which cell a pair meets
+            scores = np.round(np.clip(unit[own] @ unit[:upto].T, 0.0, 1.0), 12)
+            near = (scores >= threshold) & (np.arange(upto) < own[:, None])
+            if cross:
+                near &= side[:upto] != side[own][:, None]
+            lead = near & fixed[:upto]
+            wait = near.any(1) & among & (near & ~fixed[:upto]).any(1)
+            best = np.where(lead, scores, -1.0).argmax(1)
+            keep = lead.any(1) | wait
+            child.append(own[keep])
+            led.append(lead.any(1)[keep])
+            waits.append(wait[keep])
+            parent.append(best[keep])
+            score.append(scores[np.arange(len(own)), best][keep])
+        child, led, waits, parent, score = (np.concatenate(x) for x in (child, led, waits, parent, score))
+        at = pa.array(parent, pa.int64(), mask=~led)
+        columns = [column("item").take(pa.array(child)), pa.array(led), pa.array(waits)]
+        columns += [column(name).take(at) for name in ("item", "at", "id")] + [pa.array(score, mask=~led)]
+        return pa.RecordBatch.from_arrays(columns, ["item", "led", "waits", "parent", "parent_at", "parent_id", "score"])
+
+    def run(batches):
+        import pyarrow as pa
+
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table])
+            key = np.stack([table[c].to_numpy() for c in place])
+            edge = [0, *(np.flatnonzero((np.diff(key, axis=1) != 0).any(0)) + 1).tolist()]
+            for a, b in zip(edge[:-1], edge[1:], strict=True):
+                if b - a > 1:
+                    yield compare(table.slice(a, b - a))
+            held = table.slice(edge[-1])
+        if held is not None and held.num_rows > 1:
+            yield compare(held)
+
+    types = {name: active.schema[name].dataType.simpleString() for name in ("at", "id")}
+    return cells.repartition(*place).sortWithinPartitions(*place, "at", "id", "item").mapInArrow(run, _FOUND.format(**types))
+
+
+def _phases(items: DataFrame, count: int, block: int, sample: int = 4096) -> tuple[DataFrame, int]:
+    """``items`` with ``phase``, and the number of phases: stretches of the
+    order of arrival, each about eight times as long as all before it. The
+    result does not depend on them."""
+    shares = []
+    size = float(max(1, block))
+    while size < count:
+        shares.append(min(sample, count) * size / count)
+        size *= 8
+    if not shares:
+        return items.withColumn("phase", F.lit(0)), 1
+    drawn = items.select("item", F.struct("at", "id", "item").alias("o")).orderBy(F.xxhash64("item"), "item").limit(sample)
+    cuts = drawn.agg(F.array_sort(F.collect_list("o")).alias("o")).select(F.array(*(F.get("o", F.lit(int(k))) for k in shares)).alias("cuts"))
+    passed = F.filter("cuts", lambda cut: cut < F.struct("at", "id", "item"))
+    return items.crossJoin(F.broadcast(stored(cuts, "cuts"))).withColumn("phase", F.size(passed)).drop("cuts"), len(shares) + 1
 
 
 def assign_clusters(
@@ -186,74 +213,64 @@ def assign_clusters(
     """Leader clustering of whole tables: adds ``cluster_id, is_duplicate,
     similarity_score``.
 
-    A log starts a cluster when no earlier leader is similar enough, otherwise
-    it joins the most similar one. Leaders keep their own vector, and logs are
-    compared only when they share a hash bucket (:func:`hashing_plan` gives the
-    recall), so the result can differ from one-by-one processing with drifting
-    centres. A member's score is its exact cosine and reaches the threshold.
-
-    Equal vectors collapse first. Then, in rounds, the undecided items of each
-    bucket meet in blocks of bounded size: a log without a similar leader in
-    any of its blocks is confirmed when it has seen its whole buckets; one with
-    a confirmed leader joins it; the others wait for their candidates or
-    compete again. A bucket of near copies shrinks by about the block size per
-    round, one of unrelated vectors is split by further hash bits once rounds
-    stop helping. Each round is cut to reliable storage. Logs with a blank text
-    or no vector stay without a cluster.
+    Logs are taken in order of ``ts`` and ``tie``: one starts a cluster when no
+    earlier leader is similar enough, otherwise it joins the most similar of
+    them. Leaders keep their own vector. Logs are compared when they share a
+    hash bucket; :func:`hashing_plan` gives the recall per pair at the
+    threshold, by one rule for tables of any size, and the result does not
+    depend on ``block``. A member's score is its exact cosine.
+
+    Equal vectors collapse first. The others are settled in phases, each a
+    longer stretch of the order of arrival, and within a phase in rounds: who
+    has no earlier similar open item and no leader is a leader, who has a
+    leader is settled, the others go to the next round. The earliest open item
+    is settled in every round. After a phase, later items that its leaders lead
+    drop out, so near copies are not compared with one another. Each round is
+    cut to reliable storage. Logs with a blank text or no vector stay without a
+    cluster.
     """
     usable = filled(F.col(text)).isNotNull() & (F.size(vector) > 0)
     # 128 bits of hash identify equal vectors without shuffling them twice.
     key = F.concat(F.hex(F.xxhash64(vector)), F.lit("-"), F.hex(F.xxhash64(F.lit(seed), F.col(vector))))
     keyed = logs.withColumn("__item", F.when(F.coalesce(usable, F.lit(False)), key))
     arrival = F.struct(F.col(ts).alias("at"), F.col(tie).alias("id"))
-    items = durable(
+    planned_tables, planned_bits = hashing_plan(threshold)
+    bits = planned_bits if bits is None else bits
+    tables = planned_tables if tables is None else tables
+    sigs = _signatures(F.col("vec"), tables, bits, seed) if bits else F.array(F.lit(0).cast("bigint"))
+    items = stored(
         keyed.filter("__item is not null")
         .groupBy(F.col("__item").alias("item"))
         .agg(F.min(arrival).alias("first"), F.first(vector).alias("vec"))
-        .select("item", F.col("first.at").alias("at"), F.col("first.id").alias("id"), "vec")
+        .select("item", F.col("first.at").alias("at"), F.col("first.id").alias("id"), "vec", sigs.alias("sigs")),
+        "items",
     )
-    count = items.count()
-    planned_tables, planned_bits = hashing_plan(count, threshold, block)
-    bits = planned_bits if bits is None else bits
-    tables = (planned_tables if tables is None else tables) if bits else 1
-    at_type, id_type = items.schema["at"].dataType.simpleString(), items.schema["id"].dataType.simpleString()
-
-    active, extra = items, 0
-    leaders = edges = None
-    members = items.sparkSession.createDataFrame([], "item string, leader string, score double")
-    undecided = count
-    while undecided:
-        found = durable(
-            _compare_in_blocks(active, leaders, threshold, block, tables, bits, extra, seed, at_type, id_type)
-        )
-        per_item = found.groupBy("item").agg(
-            F.count("parent").alias("parents"), F.bool_or("crowded").alias("crowded")
-        )
-        confirmed = per_item.filter("parents = 0 and not crowded").select("item")
-        new_leaders = active.join(confirmed, "item", "left_semi")
-        leaders = durable(new_leaders if leaders is None else leaders.unionByName(new_leaders))
-        fresh_edges = found.filter("parent is not null").groupBy("item", "parent").agg(
-            F.first("parent_at").alias("parent_at"), F.first("parent_id").alias("parent_id"), F.max("score").alias("score")
-        )
-        edges = fresh_edges if edges is None else edges.unionByName(fresh_edges)
-
-        # Join the best confirmed leader, the earlier one on a tie.
-        preference = F.struct((-F.col("score")).alias("s"), F.col("parent_at"), F.col("parent_id"))
-        led = edges.join(leaders.select(F.col("item").alias("parent")), "parent", "left_semi")
-        joined = led.groupBy("item").agg(F.min_by(F.struct("parent", "score"), preference).alias("top"))
-        members = durable(
-            members.unionByName(joined.select("item", F.col("top.parent").alias("leader"), "top.score"))
-        )
-        settled = leaders.select("item").unionByName(members.select("item"))
-        open_items = items.join(settled, "item", "left_anti")
-        edges = durable(edges.join(members.select("item"), "item", "left_anti"))
-        # Whoever still has an undecided candidate waits for it.
-        hopeful = edges.join(members.select(F.col("item").alias("parent")), "parent", "left_anti").select("item").distinct()
-        active = durable(open_items.join(hopeful, "item", "left_anti"))
-        left = open_items.count()
-        if left == undecided:
-            extra = min(extra + 4, 60)
-        undecided = left
+    id_type = items.schema["id"].dataType.simpleString()
+    settled = ["item", "at", "id", "vec", "sigs"]
+    items, phases = _phases(items, items.count(), block)
+    waiting, leaders = items, None
+    for phase in range(phases):
+        active, later = waiting.filter(F.col("phase") == phase), waiting.filter(F.col("phase") > phase)
+        fresh = found = None
+        while True:
+            told = _look_back(active, fresh, threshold, block, True).groupBy("item").agg(F.bool_or("led").alias("led"))
+            seen = stored(active.select(settled).join(told, "item", "left"), "round")
+            fresh = seen.filter("led is null").select(settled)
+            found = fresh if found is None else found.unionByName(fresh)
+            active = seen.filter(~F.col("led")).select(settled)
+            if active.isEmpty():
+                break
+        leaders = found if leaders is None else leaders.unionByName(found)
+        if phase + 1 < phases:
+            led = _look_back(later, found, threshold, block, False).select("item").distinct()
+            waiting = stored(later.join(led, "item", "left_anti"), "later")
+
+    # The most similar leader, the earlier one on a tie.
+    preference = F.struct((-F.col("score")).alias("s"), "parent_at", "parent_id", "parent")
+    members = items.join(leaders.select("item"), "item", "left_anti")
+    members = _look_back(members, leaders, threshold, block, False).groupBy("item").agg(
+        F.min_by(F.struct("parent", "score"), preference).alias("top")
+    ).select("item", F.col("top.parent").alias("leader"), "top.score")
 
     decided = leaders.select("item", F.col("item").alias("leader"), F.lit(None).cast("double").alias("score")).unionByName(members)
     names = items.select(F.col("item").alias("leader"), F.col("id").alias("__leader"))
