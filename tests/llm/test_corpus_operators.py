@@ -203,6 +203,18 @@ def test_blocks_settle_what_hubs_leave(spark, vocab, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {k: c for k, (_, c) in want.items()}
 
 
+def test_documents_are_dropped_by_id_and_text(spark, vocab):
+    rng = random.Random(5)
+    a, b, c = (sentence(rng, 80, vocab) for _ in range(3))
+    near = lambda text: text + " tail"
+    rows = [(1, a), (5, near(a)), (5, b), (7, c), (7, near(c)), (8, near(c)), (9, None), (9, ""), (9, ""), (5, b)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    left = sorted((r["doc_id"], r["text"] or "") for r in near_dedup.drop_near_duplicates(frame).collect())
+    one = [x for x in left if x[0] == 7]
+    assert len(one) == 1 and one[0][1] in (c, near(c))
+    assert [x for x in left if x[0] != 7] == [(1, a), (5, b), (9, ""), (9, "")]
+
+
 def test_components(spark):
     rng = random.Random(6)
     links = [(k, k + 1) for k in range(200, 260)] + [(rng.randrange(100), rng.randrange(100)) for _ in range(70)] + [(5, 5), (None, 3)]

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from timberflow.llm.components import components
 from timberflow.llm.texts import hashes, mix, plain, slices, windows, words
@@ -98,9 +98,14 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].view(np.uint32).reshape(len(column), width)
 
 
+def _text_key(text_col: str) -> Column:
+    return F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
+
+
 def sketches(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
-    """id, n (shingles), node (digest of the set, null without words) and sig."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    """id, text_key, n (shingles), node (digest of the set, null without words)
+    and sig."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), _text_key(text_col).alias("text_key"))
 
     def run(batches):
         plan = bands(percent)
@@ -111,11 +116,12 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, size: int, percent: in
                 node.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
                 sig.append(plan.signature(found).tobytes() if len(found) else None)
             yield pa.RecordBatch.from_arrays(
-                [part.column("id"), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(sig, pa.binary())],
-                ["id", "n", "node", "sig"],
+                [part.column("id"), part.column("text_key"), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(sig, pa.binary())],
+                ["id", "text_key", "n", "node", "sig"],
             )
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n bigint, node binary, sig binary")
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"id {kind}, text_key binary, n bigint, node binary, sig binary")
 
 
 def _band_rows(classes: DataFrame, percent: int) -> DataFrame:
@@ -286,6 +292,19 @@ def near_duplicates(
     are always linked. Other columns are not read. A pair at the threshold is
     missed with a probability of about ``2 * MISS``.
     """
+    out = _grouped(docs, id_col, text_col, size, percent)
+    component = F.coalesce("component_id", "id")
+    return out.select(
+        F.col("id").alias(id_col),
+        F.col("n").alias("n_shingles"),
+        component.alias("component_id"),
+        F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"),
+    )
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
+    """Per row of ``docs``: id, text_key, n, and of its component ``comp`` (a
+    class of it) and component_id; null for rows that are linked with nothing."""
     done = stored(sketches(docs, id_col, text_col, size, percent), "sketches")
     known = done.filter("node IS NOT NULL AND id IS NOT NULL")
     classes = stored(
@@ -310,24 +329,23 @@ def near_duplicates(
         comps = components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionAll(fresh))
     named = classes.select("node", "rep").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    named = named.join(least, "comp").select("node", "component_id")
-    out = done.select("id", "n", F.when(F.col("id").isNotNull(), F.col("node")).alias("node")).join(named, "node", "left")
-    component = F.coalesce("component_id", "id")
-    return out.select(
-        F.col("id").alias(id_col),
-        F.col("n").alias("n_shingles"),
-        component.alias("component_id"),
-        F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"),
-    )
+    named = named.join(least, "comp").select("node", "comp", "component_id")
+    rows = done.select("id", "text_key", "n", F.when(F.col("id").isNotNull(), F.col("node")).alias("node"))
+    return rows.join(named, "node", "left").drop("node")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each group of near duplicates, that with
-    the smallest id. Rows that repeat an id and its text stay once; rows with
+    the smallest id (and of its texts the one with the smallest digest).
+    Documents are told apart by id and text: another text with the id of a
+    dropped one stays. Rows that repeat an id and its text stay once; rows with
     a null id stay all."""
-    decided = stored(near_duplicates(docs, id_col, text_col, **how), "decided")
-    left = docs.join(decided.filter(~F.col("kept")).select(id_col).distinct(), id_col, "left_anti").select(docs.columns)
-    twice = decided.filter(F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1").select(id_col)
+    decided = stored(_grouped(docs, id_col, text_col, size, percent).select("id", "text_key", "comp"), "decided")
+    member = decided.filter("comp IS NOT NULL").distinct()
+    first = member.groupBy("comp").agg(F.min(F.struct("id", "text_key")).alias("first")).select("first.*")
+    gone = member.select("id", "text_key").join(first, ["id", "text_key"], "left_anti").toDF("__gone_id", "__gone_key")
+    left = docs.join(gone, (docs[id_col] == F.col("__gone_id")) & (_text_key(text_col) == F.col("__gone_key")), "left_anti")
+    twice = decided.filter("id IS NOT NULL").groupBy(F.col("id").alias(id_col)).count().filter("count > 1").select(id_col)
     if twice.isEmpty():
         return left
     repeated = left.join(twice, id_col, "left_semi").dropDuplicates([id_col, text_col]).select(docs.columns)
