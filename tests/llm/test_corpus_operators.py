@@ -274,6 +274,32 @@ def test_language_fuses_evidence(spark):
     assert language.train_text(docs.limit(0)).languages == ["und"]
 
 
+def test_rare_languages_are_answered(spark):
+    rng = random.Random(18)
+    letters = {"aa": "abcde", "bb": "mnopq", "cc": "vwxyz"}
+    text = lambda lang, n: " ".join("".join(rng.choice(letters[lang]) for _ in range(5)) for _ in range(n))
+    labels = ["aa", "bb"] * 1500 + ["cc"] * 2  # below a thousandth
+    docs = spark.createDataFrame([(text(lang, 12 if lang != "cc" else 300), lang) for lang in labels], "text string, lang string")
+    model = language.train_text(docs)
+    assert model.languages == ["aa", "bb", "cc"]
+    rows = [(k, f"http://h{k}.org/", f'<html lang="{lang}"><p>{text(lang, 30)}</p>') for k, lang in enumerate(list(letters) * 5)]
+    got = {r["page_id"]: r for r in language.identify(spark.createDataFrame(rows, "page_id bigint, url string, html string"), model).collect()}
+    for k, lang in enumerate(list(letters) * 5):
+        assert got[k]["lang"] == got[k]["declared"] == lang
+
+
+def test_languages_in_blocks_score_the_same(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    model = language.TextModel(["a", "b", "c", "d", "e"], rng.normal(size=(1 << language.BITS, 5)))
+    texts = pa.array(["one two three", "", "two two"])
+    whole = model.score(texts)[0]
+    monkeypatch.setattr(language, "BLOCK", 2)
+    assert np.allclose(whole, model.score(texts)[0])
+
+
 # Pipeline
 
 

@@ -21,7 +21,7 @@ from timberflow.llm.texts import folded, plain, row_sums, slices, words
 from timberflow.session import stored
 
 BITS, SIZES = 14, (2, 3)
-LEAST_SHARE = 0.001  # of the labelled documents: at most 1000 languages
+BLOCK = 64  # languages scored at once
 EVIDENCE = 40.0  # words after which a text adds no more certainty
 SMOOTH = 5.0  # pages by which a level trusts the one above it
 #: Markup between tags, scripts and styles.
@@ -37,42 +37,44 @@ class TextModel(NamedTuple):
         ``EVIDENCE`` words, and the numbers of words."""
         found = words(folded(texts))
         n = len(found.vocab)
-        own = np.zeros((n, len(self.languages)))
-        for owner, bucket in word_terms(found.vocab, BITS, SIZES):
-            sums = owner_sums(self.log_terms[bucket], owner, n)
-            own += sums / np.maximum(1, np.bincount(owner, minlength=n))[:, None]
-        size = np.diff(found.offsets)
-        total = np.stack([row_sums(own[found.codes, j], found.offsets) for j in range(own.shape[1])], 1)
+        terms = [(t, np.maximum(1, np.bincount(t.owner, minlength=n))[:, None]) for t in word_terms(found.vocab, BITS, SIZES)]
+        size, sums = np.diff(found.offsets), []
+        for at in range(0, len(self.languages), BLOCK):
+            part = np.ascontiguousarray(self.log_terms[:, at : at + BLOCK])
+            own = np.zeros((n, part.shape[1]))
+            for (owner, bucket), times in terms:
+                own += owner_sums(part[bucket], owner, n) / times
+            sums += [row_sums(own[found.codes, j], found.offsets) for j in range(own.shape[1])]
+        total = np.stack(sums, 1)
         weight = np.minimum(size, EVIDENCE) / np.maximum(size, 1)
         return total * weight[:, None], size
 
 
 def train_text(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> TextModel:
-    """Smoothed term shares of each language over all labelled documents
-    (languages with ``LEAST_SHARE`` of them at least). Null labels are left
-    out; without labels the model knows the language ``und`` only."""
+    """Smoothed term shares of each language over all labelled documents,
+    however few of them it has. Null labels are left out; without labels the
+    model knows the language ``und`` only. A language takes 2^BITS numbers."""
     known = docs.filter(F.col(lang_col).isNotNull())
-    count = known.groupBy(F.col(lang_col).alias("lang")).count()
-    total = count.agg(F.sum("count")).first()[0] or 0
-    rows = count.filter(F.col("count") >= LEAST_SHARE * total).orderBy("lang").collect()
-    languages = [r["lang"] for r in rows]
+    languages = [r["lang"] for r in known.select(F.col(lang_col).alias("lang")).distinct().orderBy("lang").collect()]
     if not languages:
         return TextModel(["und"], np.zeros((1 << BITS, 1)))
     place = {name: k for k, name in enumerate(languages)}
 
     def count_terms(batches):
-        seen = np.zeros((len(languages), 1 << BITS), np.int64)
         for part in slices(batches, "text"):
-            lang = part.column("lang").to_pylist()
             found = words(folded(plain(part.column("text"))))
-            own = np.repeat([place.get(x, -1) for x in lang], np.diff(found.offsets))
-            for k in range(len(languages)):
-                times = np.bincount(found.codes[own == k], minlength=len(found.vocab))
-                if times.any():
-                    for owner, bucket in word_terms(found.vocab, BITS, SIZES):
-                        seen[k] += np.bincount(bucket, times[owner], 1 << BITS).astype(np.int64)
-        k, bucket = np.nonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(bucket), pa.array(seen[k, bucket])], ["k", "bucket", "n"])
+            own = np.repeat([place[x] for x in part.column("lang").to_pylist()], np.diff(found.offsets))
+            terms, size, keys, counts = word_terms(found.vocab, BITS, SIZES), len(found.vocab), [], []
+            for k in np.unique(own).tolist():
+                times, seen = np.bincount(found.codes[own == k], minlength=size), np.zeros(1 << BITS, np.int64)
+                for owner, bucket in terms:
+                    seen += np.bincount(bucket, times[owner], 1 << BITS).astype(np.int64)
+                bucket = np.flatnonzero(seen)
+                keys.append(np.stack([np.full(len(bucket), k), bucket]))
+                counts.append(seen[bucket])
+            if keys:
+                k, bucket = np.concatenate(keys, 1)
+                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(bucket), pa.array(np.concatenate(counts))], ["k", "bucket", "n"])
 
     pairs = known.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(count_terms, "k bigint, bucket bigint, n bigint")
     counts = np.full((1 << BITS, len(languages)), 0.5)
