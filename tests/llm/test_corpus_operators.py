@@ -98,6 +98,29 @@ def test_decontamination_finds_copies_and_paraphrases(spark, vocab):
     assert decontaminate.mark_contaminated(frame, bench.limit(0), space).filter("size(matches) > 0").count() == 0
 
 
+def test_short_items_are_found_at_every_offset(vocab):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(31)
+    vectors = np.random.default_rng(31).normal(size=(decontaminate.TERMS, 40)).astype(np.float32)
+    space = decontaminate.Space(vectors)
+    for n in (1, 2, 3, 6, 7, 8, 9, 12, 16):
+        item = sentence(rng, n, vocab[:1000]).split()
+        probes = decontaminate._probes([5], [" ".join(item)], [None], space)
+        texts = []
+        for offset in range(8):
+            words = sentence(rng, 48, vocab[1000:]).split()
+            words[16 + offset : 16 + offset] = item
+            texts.append(" ".join(words))
+        split = item[: n // 2]  # over the end of one text and the start of the next
+        texts += [sentence(rng, 20, vocab[1000:]) + " " + " ".join(split), " ".join(item[n // 2 :]) + " " + sentence(rng, 20, vocab[1000:])]
+        got = decontaminate._matches(pa.array(texts), space, probes)
+        assert {r for r, _ in got} - {9} == set(range(8)), n
+        assert (9 in {r for r, _ in got}) == (n == 1)
+        assert all(share == 1.0 for share, _ in got.values())
+
+
 def test_answer_decides_a_loose_match(vocab):
     words = tuple(vocab[:20])
     item = decontaminate.Item(0, words, words[-4:])

@@ -5,7 +5,8 @@ decomposition of their Gram matrix, summed over the partitions, gives the
 leading singular vectors. The first few, which tell languages and layouts
 apart, are left out. Windows of the documents are folded in next to the
 benchmark items; those of high cosine are checked word by word: the longest common subsequence
-with the item, and for a looser match also its answer.
+with the item, and for a looser match also its answer. Items of a few words
+are looked up word by word at every position instead.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from timberflow.llm.texts import Words, folded, hashes, mix, plain, slices, words
+from timberflow.llm.texts import Words, folded, hashes, mix, plain, slices, windows, words
 from timberflow.session import stored
 
 TERMS = 1 << 13  # hashed terms
@@ -27,7 +28,7 @@ STEP = 8  # words between window starts
 LONGEST = 64  # words of a window; longer items are searched by their parts
 COSINE = 0.5
 SURE, LIKELY, ANSWER = 0.8, 0.6, 0.8  # shares of an item and of its answer found in order
-SHORT = 8  # items of fewer words must stand there word by word
+SHORT = 8  # items of fewer words must stand there word by word, at any place
 ITEMS = 20_000  # benchmark items held by a task at once
 PART_BYTES = 5 << 20
 RUNS = 2048  # rows of term vectors that are worked on at once
@@ -199,15 +200,20 @@ class Probes(NamedTuple):
     ids: list
     items: list[Item]
     groups: list[tuple[int, np.ndarray, np.ndarray]]
+    short: dict[int, dict[int, list[int]]]  # items of fewer than SHORT words: by length and hash
 
 
 def _probes(ids: list, texts: list[str], answers: list[str | None], space: Space) -> Probes:
     split = lambda t: tuple(folded(pa.array([t]))[0].as_py().split())
-    items, by_length = [], {}
+    items, by_length, short = [], {}, {}
     for k, (text, answer) in enumerate(zip(texts, answers, strict=True)):
         own = split(text or "")
         # without a given answer the last quarter of the item counts as one
         items.append(Item(k, own, split(answer) if answer is not None else own[-max(1, len(own) // 4) :], frozenset(own)))
+        if 0 < len(own) < SHORT:
+            key = int(windows(hashes(pa.array(own)), len(own))[0])
+            short.setdefault(len(own), {}).setdefault(key, []).append(k)
+            continue
         for at in range(0, len(own), LONGEST):
             part = own[at : at + LONGEST]
             if len(part) >= SHORT or len(own) <= LONGEST:
@@ -217,7 +223,7 @@ def _probes(ids: list, texts: list[str], answers: list[str | None], space: Space
         found = words(pa.array([" ".join(p) for _, p in parts]))
         sums = np.add.reduceat(space.vectors[_terms(found)], found.offsets[:-1], axis=0)
         groups.append((length, np.array([k for k, _ in parts]), sums / (np.linalg.norm(sums, axis=1, keepdims=True) + 1e-12)))
-    return Probes(ids, items, groups)
+    return Probes(ids, items, groups, short)
 
 
 def common(a: tuple[str, ...], b: list[str]) -> int:
@@ -237,9 +243,6 @@ def _confirmed(item: Item, text: list[str], at: int) -> float:
     """Share of the item found in order around word ``at``, 0 if it does not
     count as a copy."""
     n = len(item.words)
-    if n < SHORT:
-        near = range(max(0, at - STEP), min(at + STEP, len(text) - n) + 1)
-        return float(any(tuple(text[k : k + n]) == item.words for k in near))
     slack = n // 4 + STEP
     region = text[max(0, at - slack) : at + n + slack]
     # each distinct word that is not there is missing in every subsequence
@@ -260,35 +263,76 @@ def _matches(texts: pa.Array, space: Space, probes: Probes) -> dict[tuple[int, i
     out: dict[tuple[int, int], tuple[float, float]] = {}
     if not len(starts):
         return out
-    sums = _unit_sums(space.vectors, _terms(found), starts, STEP)
+    terms = _terms(found)
     row = np.repeat(np.arange(len(texts)), np.diff(first))
-    left = first[row + 1] - np.arange(len(starts))  # runs up to the end of the text
     vocab, split = found.vocab.to_pylist(), {}
+
+    def text(r: int) -> list[str]:
+        if r not in split:
+            split[r] = [vocab[c] for c in found.codes[found.offsets[r] : found.offsets[r + 1]].tolist()]
+        return split[r]
+
+    def check(window: np.ndarray, at: np.ndarray, rows: np.ndarray, place: np.ndarray, unit: np.ndarray) -> None:
+        """Confirm items whose cosine with a window (at word ``at``) is high."""
+        norm = np.sqrt(np.einsum("ij,ij->i", window, window))[:, None] + 1e-12
+        score = window @ unit.T
+        score /= norm
+        for flat in np.flatnonzero(score >= COSINE).tolist():
+            w, p = divmod(flat, score.shape[1])
+            r, item = int(rows[w]), probes.items[place[p]]
+            if out.get((r, item.number), (0.0, 0.0))[0] == 1.0:
+                continue
+            share = _confirmed(item, text(r), int(at[w] - found.offsets[r]))
+            if share > 0:
+                out[r, item.number] = max(out.get((r, item.number), (0.0, 0.0)), (share, float(score[w, p])))
+
+    _look_up(found, probes, out)
+    dense = [g for g in probes.groups if g[0] <= 2 * STEP]
+    groups = [g for g in probes.groups if g[0] > 2 * STEP]
+    if dense:  # a window at every word
+        owner = np.repeat(np.arange(len(texts)), np.diff(found.offsets))
+        for at in range(0, len(terms), RUNS):
+            own = np.arange(at, min(at + RUNS, len(terms)))
+            end, window, held = found.offsets[owner[own] + 1], np.zeros((len(own), space.vectors.shape[1]), space.vectors.dtype), 0
+            for length, place, unit in dense:
+                for held in range(held, length):
+                    inside = np.flatnonzero(own + held < end)
+                    window[inside] += space.vectors[terms[own[inside] + held]]
+                held = length
+                check(window, own, owner[own], place, unit)
+    if not groups:
+        return out
+    sums = _unit_sums(space.vectors, terms, starts, STEP)
+    left = first[row + 1] - np.arange(len(starts))  # runs up to the end of the text
     for at in range(0, len(starts), RUNS):
         window, held = sums[at : at + RUNS].copy(), 1
-        for length, place, unit in probes.groups:
+        for length, place, unit in groups:
             for held in range(held, length // STEP):
                 over = np.flatnonzero(left[at : at + RUNS] <= held)  # these ended with their text
                 ended, more = window[over], sums[at + held : at + held + RUNS]
                 window[: len(more)] += more
                 window[over] = ended
             held = length // STEP
-            norm = np.sqrt(np.einsum("ij,ij->i", window, window))[:, None] + 1e-12
-            score = window @ unit.T
-            score /= norm
-            for flat in np.flatnonzero(score >= COSINE).tolist():
-                w, p = divmod(flat, score.shape[1])
-                r, item = int(row[at + w]), probes.items[place[p]]
-                if out.get((r, item.number), (0.0, 0.0))[0] == 1.0:
-                    continue
-                if r not in split:
-                    split[r] = [vocab[c] for c in found.codes[found.offsets[r] : found.offsets[r + 1]].tolist()]
-                share = _confirmed(item, split[r], int(starts[at + w] - found.offsets[r]))
-                if share > 0:
-                    out[r, item.number] = max(out.get((r, item.number), (0.0, 0.0)), (share, float(score[w, p])))
+            check(window, starts[at : at + RUNS], row[at : at + RUNS], place, unit)
     return out
 
 
+def _look_up(found: Words, probes: Probes, out: dict[tuple[int, int], tuple[float, float]]) -> None:
+    """Add the items of fewer than ``SHORT`` words that stand in a text, found
+    by the hash of the words at every position; equal words have cosine 1."""
+    if not probes.short:
+        return
+    h = hashes(found.vocab)[found.codes]
+    row = np.repeat(np.arange(len(found.offsets) - 1), np.diff(found.offsets))
+    for n, known in probes.short.items():
+        at = windows(h, n)
+        hit = np.flatnonzero(np.isin(at, np.array(list(known), np.uint64)))
+        hit = hit[hit + n <= found.offsets[row[hit] + 1]]
+        for r, key in {*zip(row[hit].tolist(), at[hit].tolist(), strict=True)}:
+            for k in known[key]:
+                out[r, k] = (1.0, 1.0)
+
+
 def mark_contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
