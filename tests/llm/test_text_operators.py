@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from timberflow.llm import quality, toxicity
 from timberflow.llm.bpe import PairIndexBpe, decode_ids, encode_texts
 from timberflow.llm.chunks import ChunkEncoder
-from timberflow.llm.labelled import labelled_sample
+from timberflow.llm.labelled import Sample, labelled_sample
 from timberflow.llm.simple8b import pack, unpack
 from timberflow.llm.texts import plain, words
 from timberflow.llm.token_counts import count_tokens, read_cache
@@ -203,6 +203,26 @@ def test_toxicity_learns_words_and_pairs(spark, docs):
     assert {r["predicted"] for r in toxicity.score_toxicity(docs, none).collect()} == {0}
 
 
+def test_toxicity_learns_what_no_single_word_shows():
+    rng = np.random.default_rng(1)
+    vocab = ["".join(rng.choice(list("etaoinshr"), rng.integers(3, 8))) for _ in range(300)]
+    texts, labels = [], []
+    for k in range(1600):
+        text, toxic = rng.choice(vocab, 40).tolist(), k % 2 == 0
+        # both words or none are toxic, one alone is not: each is in half of the texts of either label
+        text += ([["zorgle", "mibfen"], []] if toxic else [["zorgle"], ["mibfen"]])[k // 2 % 2]
+        if k % 160 == 0:
+            text.append("qwyxavu")  # in 10 toxic texts and no other
+        rng.shuffle(text)
+        texts.append(" ".join(text))
+        labels.append(int(toxic))
+    y = np.array(labels)
+    model = toxicity.fit(Sample(pa.array(texts[:1200]), y[:1200], np.ones(1200), np.zeros(1200)))
+    assert ((model.score(pa.array(texts[1200:])) >= 0.5) == y[1200:]).mean() >= 0.9  # 0.5 when only telling words are learnt
+    with_insult, without = model.score(pa.array(["zorgle qwyxavu", "zorgle"]))
+    assert with_insult > without
+
+
 def test_sample_bounds(spark):
     rows = [(k, "w" * 100, k % 2) for k in range(300)] + [(None, "x", 1), (7, "w" * 100, None), (3, "w" * 100, 1)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, y int")

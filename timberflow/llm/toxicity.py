@@ -2,8 +2,9 @@
 
 Every distinct word of a text brings hashed terms: itself and its byte n-grams.
 The machine adds a weight per term and the products of the factors of all pairs
-of terms, so combinations count that no single term shows. Terms that tell
-the labels apart in no way, by a test on the training texts, are left out.
+of terms, so combinations count that no single term shows. All terms of
+``LEAST_DOCS`` training texts or more are learnt, whether or not they tell the
+labels apart alone; those that do not are held by a stronger weight decay.
 """
 
 from __future__ import annotations
@@ -21,7 +22,9 @@ BITS = 18
 SIZES = (5, 7)
 FACTORS = 6
 STEPS = 150
-SCREEN = 4.0
+LEAST_DOCS = 3
+ALONE = 4.0  # standard errors from which a term tells the labels apart alone
+DECAY, STRONG = 3e-3, 100.0  # of such terms and of the others; divided by the number of texts
 
 
 class FactorMachine(NamedTuple):
@@ -57,9 +60,9 @@ def _distinct(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return key // max(1, len(found.vocab)), key % max(1, len(found.vocab)), found.vocab
 
 
-def _telling(doc: np.ndarray, word: np.ndarray, owner: np.ndarray, bucket: np.ndarray, positive: np.ndarray) -> np.ndarray:
-    """Terms whose share of documents differs between the labels by ``SCREEN``
-    standard errors; the others would only add noise."""
+def _terms_of(doc: np.ndarray, word: np.ndarray, owner: np.ndarray, bucket: np.ndarray, positive: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Terms of at least ``LEAST_DOCS`` documents, and those whose share of
+    documents differs between the labels by ``ALONE`` standard errors."""
     by_owner = np.argsort(owner, kind="stable")
     sorted_bucket = bucket[by_owner]
     bounds = np.searchsorted(owner[by_owner], np.arange(owner.max(initial=-1) + 2))
@@ -73,10 +76,10 @@ def _telling(doc: np.ndarray, word: np.ndarray, owner: np.ndarray, bucket: np.nd
     n = np.array([[(~positive).sum()], [positive.sum()]])
     share, pooled = counts / n, counts.sum(0) / n.sum()
     error = np.sqrt(np.maximum(pooled * (1 - pooled), 1e-12) * (1 / n).sum())
-    return (np.abs(share[1] - share[0]) >= SCREEN * error) & (counts.sum(0) >= 3)
+    return counts.sum(0) >= LEAST_DOCS, np.abs(share[1] - share[0]) >= ALONE * error
 
 
-def fit(sample: Sample, factors: int = FACTORS, steps: int = STEPS, decay: float = 3e-3, seed: int = 7) -> FactorMachine:
+def fit(sample: Sample, factors: int = FACTORS, steps: int = STEPS, decay: float = DECAY, strong: float = STRONG, seed: int = 7) -> FactorMachine:
     """Weighted logistic loss, all rows in each step (Adam). Without rows of
     both labels the machine answers with the share of label 1 (0 without
     rows)."""
@@ -90,14 +93,15 @@ def fit(sample: Sample, factors: int = FACTORS, steps: int = STEPS, decay: float
     n_docs, n_words = len(y), len(vocab)
     terms = word_terms(vocab, BITS, SIZES)
     owner, bucket = np.concatenate([t.owner for t in terms]), np.concatenate([t.buckets for t in terms])
-    told = _telling(doc, word, owner, bucket, y > 0)
-    keep = told[bucket]
+    frequent, alone = _terms_of(doc, word, owner, bucket, y > 0)
+    keep = frequent[bucket]
     order = np.argsort(owner[keep], kind="stable")
     owner, bucket = owner[keep][order], bucket[keep][order]
     known = np.zeros(n_words, bool)
     known[owner] = True
     doc, word = doc[known[word]], word[known[word]]
     used, local = np.unique(bucket, return_inverse=True)
+    pulled = (np.where(alone[used], decay, strong) / n_docs).astype(np.float32)
     rng = np.random.default_rng(seed)
     params = [
         np.array([np.log((weight * y).sum() / (weight * (1 - y)).sum())], np.float32),
@@ -120,8 +124,8 @@ def fit(sample: Sample, factors: int = FACTORS, steps: int = STEPS, decay: float
         g_w = np.bincount(local, reach[owner], len(used)).astype(np.float32)
         g_v = np.stack([np.bincount(local, pull[owner, f], len(used)) for f in range(factors)], 1).astype(np.float32)
         grads = [error.sum(keepdims=True), g_w, g_v - g_w[:, None] * v]
-        grads[1] += decay / n_docs * params[1]
-        grads[2] += decay / n_docs * params[2]
+        grads[1] += pulled * params[1]
+        grads[2] += pulled[:, None] * params[2]
         for k, g in enumerate(grads):
             first[k] = 0.9 * first[k] + 0.1 * g
             second[k] = 0.99 * second[k] + 0.01 * g * g
