@@ -7,9 +7,9 @@ sample of the labelled rows among a stage's own documents.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from timberflow.llm import decontaminate, quality, toxicity
@@ -18,7 +18,7 @@ from timberflow.llm.near_dedup import drop_near_duplicates
 from timberflow.plans.registry import table
 from timberflow.session import prepare, stored
 
-TOKENIZER = os.path.join(os.environ.get("TOKENIZER_DIR", "/opt/tokenizers"), "word_bpe_49k.json")
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def filtered(docs: DataFrame, judge: Callable[[DataFrame], DataFrame], adds: tuple[str, ...], keep: str) -> DataFrame:

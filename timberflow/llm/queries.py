@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
-import os
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from timberflow.llm.bpe import encode_texts
-from timberflow.llm import decontaminate, language, quality, toxicity, warc
+from timberflow.llm import decontaminate, language, prefix_trie, quality, toxicity, warc
+from timberflow.llm.collocations import collocations
 from timberflow.llm.near_dedup import near_duplicates
+from timberflow.llm.sentence_pieces import encode_pieces
 from timberflow.llm.token_counts import count_tokens
 from timberflow.llm.token_files import read_token_files, write_token_files
 from timberflow.llm.url_filter import Rule, filter_urls
 from timberflow.plans.registry import table
-from timberflow.session import prepare, workspace
+from timberflow.session import prepare, stored, workspace
 
-TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
-BYTE_BPE, WORD_BPE = f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/word_bpe_49k.json"
+BYTE_BPE, WORD_BPE, PIECES = map(
+    public_tokenizers.path, ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model")
+)
 
 RULES = [
     Rule("allow", "com", "/"),
@@ -97,6 +99,25 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(rows, quality.train(docs, labels)).drop("text")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.digested(prefix_trie.ordered_turns(table(prepare(spark), sf_dir, "conversations")))
+    return prefix_trie.prefix_trie(prefix_trie.with_heads(stored(turns, "turns")))
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = encode_pieces(table(prepare(spark), sf_dir, "documents"), PIECES)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(prepare(spark), sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_token_counts": op2_token_counts,
@@ -108,6 +129,9 @@ QUERIES = {
     "op8_near_dedup": op8_near_dedup,
     "op9_language": op9_language,
     "op10_quality": op10_quality,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_sentencepiece": op12_sentencepiece,
+    "op13_collocations": op13_collocations,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -141,5 +165,57 @@ SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes,
   CASE WHEN page_id <> last THEN last END AS refers_to
 FROM v"""
 
+#: Nodes are list prefixes; the inner reductions are the bytewise crc32.
+_TRIE = r"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p
+  FROM conversations WHERE conv_id IS NOT NULL),
+i AS (SELECT conv_id, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''),
+    lambda ch: CAST(ascii(ch) AS BIGINT))),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda v, n: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM t)),
+s AS (SELECT i.conv_id, 0 AS part, p, r, x FROM i JOIN t ON t.conv_id = i.conv_id - i.conv_id % 20 AND p <= h
+  UNION ALL SELECT conv_id, 1, p, r, x FROM i JOIN t USING (conv_id) WHERE p > h),
+c AS (SELECT i.conv_id, coalesce(list({'r': r, 'x': x} ORDER BY part, p) FILTER (r IS NOT NULL), []) AS l
+  FROM i LEFT JOIN s USING (conv_id) GROUP BY i.conv_id),
+m AS (SELECT conv_id, l, unnest(range(len(l) + 1)) AS depth FROM c),
+n AS (SELECT l[1:depth] AS k, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+  sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (len(l) = depth), '')) AS ends_sha256
+  FROM m GROUP BY ALL),
+f AS (SELECT k[1:depth - 1] AS k, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+o AS (SELECT n.*, coalesce(n_children, 0) AS n_children,
+  CASE WHEN depth > 0 THEN (n_convs - 1) * len(regexp_extract_all(k[depth].x, '[^\x20\x09-\x0D]+')) ELSE 0 END AS saved
+  FROM n LEFT JOIN f USING (k)),
+u AS (SELECT k[1:e] AS k, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(saved) AS saved_tokens
+  FROM (SELECT *, unnest(range(depth + 1)) AS e FROM o) GROUP BY 1)
+SELECT o.conv_id, o.depth, a.conv_id AS parent_conv_id, o.n_convs, o.n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+  CAST(saved_tokens AS BIGINT) AS saved_tokens, o.ends_sha256
+FROM o JOIN u USING (k) LEFT JOIN n a ON o.depth > 0 AND a.k = o.k[1:o.depth - 1]"""
+
+_COLLOCATIONS = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, k, w, unnest(range(1, len(w) - k + 2)) AS pos FROM w, range(1, 6) r(k) WHERE len(w) >= k),
+f AS (SELECT lang, k, w[pos:pos + k - 1] AS ws, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+t AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+c AS (SELECT lang, k, ws, f AS a, unnest(range(1, k)) AS cut FROM f WHERE k > 1),
+s AS (SELECT c.lang, c.ws, a, l.f AS l, r.f AS r, n, cut,
+  CAST(1000 * CAST(a AS HUGEINT) * CAST(n AS HUGEINT) // (CAST(l.f AS HUGEINT) * CAST(r.f AS HUGEINT)) AS BIGINT) AS score
+  FROM c JOIN t USING (lang) JOIN f l ON l.lang = c.lang AND l.ws = c.ws[1:cut]
+  JOIN f r ON r.lang = c.lang AND r.ws = c.ws[cut + 1:c.k]),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, ws ORDER BY score, cut) = 1),
+d AS (SELECT DISTINCT lang, ws[x:x + y - 1] AS ws, f FROM
+  (SELECT *, unnest(range(1, k - y + 2)) AS x FROM (SELECT *, unnest(range(2, k)) AS y FROM f WHERE k > 2))),
+z AS (SELECT b.* FROM b WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.lang = b.lang AND d.ws = b.ws AND 100 * d.f >= 100 * b.a))
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM (SELECT *, array_to_string(ws, ' ') AS phrase,
+  row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(array_to_string(ws, ' '))) AS rank FROM z)
+WHERE rank <= 2000"""
+
 #: The other queries use trained models or tokenizer libraries.
-ORACLES: dict[str, str] = {"op7_warc": _WARC, "op8_near_dedup": _NEAR_DEDUP}
+ORACLES: dict[str, str] = {
+    "op7_warc": _WARC,
+    "op8_near_dedup": _NEAR_DEDUP,
+    "op11_prefix_trie": _TRIE,
+    "op13_collocations": _COLLOCATIONS,
+}

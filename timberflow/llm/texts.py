@@ -7,7 +7,7 @@ never held together with many others.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -103,3 +103,41 @@ def row_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     total = np.zeros(len(values) + 1, values.dtype if values.dtype.kind == "f" else np.int64)
     np.cumsum(values, out=total[1:])
     return total[offsets[1:]] - total[offsets[:-1]]
+
+
+def spread(store: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs ``store[first:first + count]`` one after the other, and their ends."""
+    ends = np.concatenate([[0], np.cumsum(count)]).astype(np.int64)
+    take = np.arange(ends[-1]) + np.repeat(first - ends[:-1], count)
+    return store[take], ends
+
+
+class WordIds:
+    """Ids of the words that a worker has met, kept up to ``limit`` bytes of
+    words; beyond that the store starts anew. ``encode`` gives the ids of a
+    list of words and the word boundaries in them."""
+
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 16 << 20):
+        self.encode, self.limit = encode, limit
+        self._forget()
+
+    def _forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.size = 0
+        self.ids, self.ends = np.empty(0, np.int64), np.zeros(1, np.int64)
+
+    def look_up(self, values: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The store of ids, and where those of each (distinct) word begin and
+        how many they are."""
+        fresh = [w for w in values if w not in self.place]
+        if self.size + sum(map(len, fresh)) > self.limit:
+            self._forget()
+            fresh = values
+        if fresh:
+            ids, bounds = self.encode(fresh)
+            self.place.update(zip(fresh, range(len(self.place), len(self.place) + len(fresh)), strict=True))
+            self.size += sum(map(len, fresh))
+            self.ends = np.concatenate([self.ends, self.ends[-1] + bounds[1:]])
+            self.ids = np.concatenate([self.ids, ids])
+        at = np.fromiter((self.place[w] for w in values), np.int64, len(values))
+        return self.ids, self.ends[at], self.ends[at + 1] - self.ends[at]
