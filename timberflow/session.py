@@ -37,6 +37,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Apply the run-time settings to a session somebody else created."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
+    # rows of several MB: a batch for a Python worker stays small
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     return spark
 
 
@@ -62,11 +64,12 @@ def workspace(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, *folders: str) -> DataFrame:
     """``df`` written as a table to the shared folder and read again: it is
-    computed once, and a lost executor never forces it to be computed anew."""
+    computed once, and a lost executor never forces it to be computed anew.
+    ``folders`` are columns whose values get a folder each."""
     path = workspace(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*folders).parquet(path) if folders else df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
