@@ -119,6 +119,15 @@ def test_trie_equals_loop(spark, monkeypatch):
     assert trie_of(spark, rows, workspace(spark, "trie-test")) == plain_trie(rows)
 
 
+@pytest.mark.parametrize("tail", [0, 1 << 17])
+def test_deep_conversations(spark, monkeypatch, tail):
+    """The deepest turns give the same nodes in one round and round by round."""
+    monkeypatch.setattr(trie, "TAIL_TURNS", tail)
+    rows = [(c, t, "user", f"step {t}" if t < cut else str(c)) for c, n, cut in ((41, 22, 99), (42, 22, 99), (44, 17, 15), (45, 19, 8)) for t in range(n)]
+    rows += [(c, t, "user", f"step {t}") for c in range(60, 260) for t in range(4)]
+    assert trie_of(spark, rows, workspace(spark, "trie-test")) == plain_trie(rows)
+
+
 def test_trie_without_turns(spark):
     assert trie_of(spark, [], workspace(spark, "trie-test")) == []
     only = spark.createDataFrame([(3, []), (1, None)], "conv_id bigint, turns array<struct<digest:binary,words:bigint>>")

@@ -17,6 +17,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -24,9 +25,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from timberflow.llm.texts import hashes, mix, plain, raw_bytes, slices
 from timberflow.session import stored
 
-SLICE = 8 << 20
+SLICE = 4 << 20
 LONGEST, LEAST, FIRST = 5, 100, 2000
-FILTER_BITS = 1 << 27  # at most 16 MB on the driver and in a task, of any corpus
+FILTER_BITS = 1 << 27  # at most: 16 MB on the driver and in a task, of any corpus; a filter takes 16 bits a fingerprint
 SALTS = 64
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
 
@@ -59,8 +60,9 @@ def word_runs(texts: pa.Array) -> tuple[pa.StringArray, np.ndarray]:
 
 
 def token_runs(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
-    """slice, lang, n, words (distinct), codes (a number per word of the texts,
-    -1 between pieces): one row per language of a batch of texts."""
+    """slice, lang, n, words (distinct), hashes (of these), codes (a number per
+    word of the texts, -1 between pieces): one row per language of a batch of
+    texts."""
     rows = docs.select(F.col(text_col).alias("text"), F.coalesce(lang_col, F.lit("und")).alias("lang"))
 
     def run(batches):
@@ -77,28 +79,27 @@ def token_runs(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
                 codes = np.insert(coded.indices.to_numpy(), gaps, -1).astype(np.int32)
                 columns = [
                     pa.array([place], pa.int64()), pa.array([lang], pa.string()), pa.array([len(found)], pa.int64()),
-                    pa.array([coded.dictionary.to_pylist()], pa.list_(pa.string())), pa.array([codes.tobytes()], pa.binary()),
+                    pa.array([coded.dictionary.to_pylist()], pa.list_(pa.string())),
+                    pa.array([hashes(coded.dictionary).tobytes()], pa.binary()), pa.array([codes.tobytes()], pa.binary()),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["slice", "lang", "n", "words", "codes"])
+                yield pa.RecordBatch.from_arrays(columns, ["slice", "lang", "n", "words", "hashes", "codes"])
                 place += 1
 
-    return rows.mapInArrow(run, "slice bigint, lang string, n bigint, words array<string>, codes binary")
+    return rows.mapInArrow(run, "slice bigint, lang string, n bigint, words array<string>, hashes binary, codes binary")
 
 
 class Filter(NamedTuple):
-    """Set of fingerprints as bits; empty means that none passes."""
+    """Set of fingerprints as bits, a power of two of them."""
 
     bits: np.ndarray
 
     def has(self, prints: np.ndarray) -> np.ndarray:
-        at = prints % np.uint64(FILTER_BITS)
+        at = prints & np.uint64(64 * len(self.bits) - 1)
         return (self.bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
 
 class Run(NamedTuple):
-    number: int
     codes: np.ndarray
-    words: pa.Array
     sums: np.ndarray  # prefix polynomial in the inverse of BASE
     powers: np.ndarray
     left: np.ndarray  # words from each place to the end of its piece
@@ -107,28 +108,32 @@ class Run(NamedTuple):
     def prints(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Places of all n-grams of ``size`` words, and their fingerprints."""
         at = np.flatnonzero(self.left >= size)
-        poly = (self.sums[at + size] - self.sums[at]) * self.powers[at]
-        return at, mix(poly + self.seed + np.uint64(size))
-
-
-def _runs(batches) -> Iterator[Run]:
-    inverse = np.uint64(pow(BASE, -1, 1 << 64))
-    for batch in batches:
-        for row in range(batch.num_rows):
-            column = lambda name: batch.column(name)[row]  # noqa: E731, B023
-            codes = np.frombuffer(column("codes").as_buffer(), np.int32)
-            words = column("words").values
-            n = len(codes)
-            # at the k-th word: its hash times BASE^-k; powers[k] is BASE^k
-            steps = np.full(n, inverse, np.uint64)
-            powers = np.full(n, np.uint64(BASE), np.uint64)
-            steps[:1], powers[:1] = 1, 1
-            h = np.append(hashes(words), np.uint64(0))[codes] * np.cumprod(steps)
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h, dtype=np.uint64)])
-            gap = np.append(np.flatnonzero(codes < 0), n)
-            left = gap[np.searchsorted(gap, np.arange(n))] - np.arange(n)
-            seed = np.uint64(xxhash.xxh3_64_intdigest(column("lang").as_py().encode()))
-            yield Run(column("slice").as_py(), codes, words, sums, np.cumprod(powers), left, seed)
+        poly = self.sums[at + size]
+        poly -= self.sums[at]
+        poly *= self.powers[at]
+        poly += self.seed + np.uint64(size)
+        return at, mix(poly)
+
+
+def _run(lang: str, word_hashes: np.ndarray, codes: np.ndarray) -> Run:
+    n = len(codes)
+    # at the k-th word: its hash times BASE^-k; powers[k] is BASE^k
+    powers = np.full(n, np.uint64(pow(BASE, -1, 1 << 64)), np.uint64)
+    powers[:1] = 1
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(np.append(word_hashes, np.uint64(0))[codes] * np.cumprod(powers), out=sums[1:])
+    powers[1:] = np.uint64(BASE)
+    np.cumprod(powers, out=powers)
+    gap = np.append(np.flatnonzero(codes < 0), n)
+    left = (gap[np.searchsorted(gap, np.arange(n))] - np.arange(n)).astype(np.int32)
+    return Run(codes, sums, powers, left, np.uint64(xxhash.xxh3_64_intdigest(lang.encode())))
+
+
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[int, Run]]:
+    """Rows of a batch of ``token_runs``, one at a time."""
+    view = lambda name, row, kind: np.frombuffer(batch.column(name)[row].as_buffer(), kind)
+    for row in range(batch.num_rows):
+        yield row, _run(batch.column("lang")[row].as_py(), view("hashes", row, np.uint64), view("codes", row, np.int32))
 
 
 def _candidates(run: Run, size: int, shorter: Filter | None) -> tuple[np.ndarray, np.ndarray]:
@@ -146,34 +151,31 @@ def _candidates(run: Run, size: int, shorter: Filter | None) -> tuple[np.ndarray
 
 def _frequent(runs: DataFrame, size: int, shorter: Filter | None, least: int) -> Filter:
     """The fingerprints of n-grams of ``size`` words that occur ``least`` times
-    or more, as bits; the driver gets no more than ``FILTER_BITS``."""
+    or more, as bits; the driver gets the bits alone."""
 
     def count(batches):
-        for run in _runs(batches):
-            prints, n = np.unique(_candidates(run, size, shorter)[1], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(prints.view(np.int64)), pa.array(n.astype(np.int64))], ["print", "n"])
-
-    counted = runs.select("slice", "lang", "words", "codes").mapInArrow(count, "print bigint, n bigint")
-    place = F.expr(f"cast(print & {FILTER_BITS - 1} as int)")
+        for batch in batches:
+            for _, run in _runs(batch):
+                prints, n = np.unique(_candidates(run, size, shorter)[1], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(prints.view(np.int64)), pa.array(n.astype(np.int64))], ["print", "n"])
+
+    counted = runs.select("lang", "hashes", "codes").mapInArrow(count, "print bigint, n bigint")
+    frequent = counted.groupBy("print").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("print")
+    frequent = stored(frequent, f"prints-{size}")
+    width = min(FILTER_BITS, max(64, 1 << (16 * frequent.count()).bit_length()))
+    place = F.expr(f"cast(print & {width - 1} as int)")
     bits = (
-        counted.groupBy("print")
-        .agg(F.sum("n").alias("n"))
-        .filter(F.col("n") >= least)
-        .groupBy(F.shiftright(place, 6).alias("word"))
-        .agg(F.bit_or(F.expr(f"shiftleft(1L, cast(print & 63 as int))")).alias("bits"))
+        frequent.groupBy(F.shiftright(place, 6).alias("word"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(print & 63 as int))")).alias("bits"))
         .toArrow()
     )
-    out = np.zeros(FILTER_BITS >> 6, np.uint64)
+    out = np.zeros(width >> 6, np.uint64)
     if bits.num_rows:
         out[bits["word"].to_numpy()] = bits["bits"].to_numpy().view(np.uint64)
     return Filter(out)
 
 
-def _phrase(run: Run, at: int, size: int) -> str:
-    return " ".join(run.words[c].as_py() for c in run.codes[at : at + size].tolist())
-
-
-def _pointed(run: Run, size: int, filters: list[Filter]) -> pa.RecordBatch | None:
+def _pointed(run: Run, vocab: list[bytes], size: int, filters: list[Filter]) -> dict[str, pa.Array] | None:
     """Counts of the run's n-grams that pass, each with its first place and the
     digest of its text. Every occurrence is compared, word by word, with the
     place that stands for it."""
@@ -184,25 +186,24 @@ def _pointed(run: Run, size: int, filters: list[Filter]) -> pa.RecordBatch | Non
     if not len(at):
         return None
     found, first, owner, n = np.unique(prints, return_index=True, return_inverse=True, return_counts=True)
-    same = np.ones(len(at), bool)
+    places, same = at[first], np.ones(len(at), bool)
     for j in range(size):
-        same &= run.codes[at + j] == run.codes[at[first][owner] + j]
-    places, prints_out = at[first], found
+        same &= run.codes[at + j] == run.codes[places[owner] + j]
     if not same.all():  # another text with this fingerprint: counted by its words
-        n = np.bincount(owner[same], minlength=len(found))
         odd = at[~same]
         grams = np.stack([run.codes[odd + j] for j in range(size)], 1)
         _, where, more = np.unique(grams, axis=0, return_index=True, return_counts=True)
-        places, n = np.concatenate([places, odd[where]]), np.concatenate([n, more])
-        prints_out = np.concatenate([found, prints[~same][where]])
-    vocab = run.words.cast(pa.binary()).to_pylist()
+        n = np.concatenate([np.bincount(owner[same], minlength=len(found)), more])
+        found, places = np.concatenate([found, prints[~same][where]]), np.concatenate([places, odd[where]])
     grams = np.stack([run.codes[places + j] for j in range(size)], 1).tolist()
     digests = [xxhash.xxh3_128_digest(b" ".join([vocab[c] for c in gram])) for gram in grams]
-    columns = [
-        pa.array(np.full(len(places), size, np.int32)), pa.array(prints_out.view(np.int64)), pa.array(digests, pa.binary()),
-        pa.array(n.astype(np.int64)), pa.array(np.full(len(places), run.number)), pa.array(places.astype(np.int64)),
-    ]
-    return pa.RecordBatch.from_arrays(columns, ["size", "print", "digest", "n", "slice", "at"])
+    return {
+        "size": pa.array(np.full(len(places), size, np.int32)),
+        "print": pa.array(found.view(np.int64)),
+        "digest": pa.array(digests, pa.binary()),
+        "n": pa.array(n.astype(np.int64)),
+        "at": pa.array(places.astype(np.int64)),
+    }
 
 
 def frequent_phrases(runs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> DataFrame:
@@ -215,16 +216,18 @@ def frequent_phrases(runs: DataFrame, longest: int = LONGEST, least: int = LEAST
 
     def verify(batches):
         held = [Filter(bits) for bits in share.value]
-        for run in _runs(batches):
-            for size in range(1, longest + 1):
-                counted = _pointed(run, size, held)
-                if counted is not None:
-                    yield counted
+        for batch in batches:
+            for row, run in _runs(batch):
+                vocab = batch.column("words")[row].values.cast(pa.binary()).to_pylist()
+                for size in range(1, longest + 1):
+                    counted = _pointed(run, vocab, size, held)
+                    if counted is not None:
+                        number = pa.array(np.full(len(counted["n"]), batch.column("slice")[row].as_py()))
+                        yield pa.RecordBatch.from_pydict(counted | {"slice": number})
 
-    schema = "size int, print bigint, digest binary, n bigint, slice bigint, at bigint"
     pointers = (
-        runs.select("slice", "lang", "words", "codes")
-        .mapInArrow(verify, schema)
+        runs.select("slice", "lang", "words", "hashes", "codes")
+        .mapInArrow(verify, "size int, print bigint, digest binary, n bigint, at bigint, slice bigint")
         .groupBy("size", "print", "digest")
         .agg(F.sum("n").alias("f"), F.min("slice").alias("slice"), F.min_by("at", "slice").alias("at"))
         .filter(F.col("f") >= least)
@@ -232,24 +235,19 @@ def frequent_phrases(runs: DataFrame, longest: int = LONGEST, least: int = LEAST
         .agg(F.collect_list(F.struct("size", "f", "at")).alias("found"))
     )
 
-    def read(batches):
+    def materialise(batches):
         for batch in batches:
-            found = batch.column("found")
-            for row, run in enumerate(_runs([batch])):
-                for p in found[row].as_py():
-                    yield run, p, batch.column("lang")[row].as_py()
+            for row in range(batch.num_rows):
+                vocab = batch.column("words")[row].values
+                codes = np.frombuffer(batch.column("codes")[row].as_buffer(), np.int32)
+                found = batch.column("found")[row].values
+                size, at = (found.field(name).to_numpy() for name in ("size", "at"))
+                words = vocab.take(pa.array(np.concatenate([codes[a : a + k] for a, k in zip(at, size, strict=True)])))
+                lists = pa.ListArray.from_arrays(np.append(0, np.cumsum(size)).astype(np.int32), words)
+                lang = pa.array([batch.column("lang")[row].as_py()] * len(found), pa.string())
+                columns = [lang, pa.array(size.astype(np.int64)), pc.binary_join(lists, " "), found.field("f")]
+                yield pa.RecordBatch.from_arrays(columns, ["lang", "size", "phrase", "f"])
 
-    def materialise(batches):
-        rows: list[tuple] = []
-        for run, p, lang in read(batches):
-            rows.append((lang, p["size"], _phrase(run, p["at"], p["size"]), p["f"]))
-            if len(rows) == 10_000:
-                yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows])
-                rows = []
-        if rows:
-            yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows])
-
-    names = ["lang", "size", "phrase", "f"]
     joined = pointers.join(runs.select("slice", "lang", "words", "codes"), "slice")
     return joined.mapInArrow(materialise, "lang string, size bigint, phrase string, f bigint")
 

@@ -20,6 +20,7 @@ from timberflow.session import stored, workspace
 RUN_BITS = 12  # ids of up to 4096 neighbouring values are joined before they are hashed
 HOT_SHARE = 1000  # parents with more than this part of all nodes as children: fewer than as many
 WORD = r"[^\x20\x09-\x0D]+"
+TAIL_SHARE, TAIL_TURNS = 10, 1 << 17  # the deepest turns that are peeled in one round: one in so many, and at most
 COUNTS = ("n_convs", "n_children", "n_leaves", "saved_tokens")
 NOTHING = hashlib.sha256(b"").hexdigest()
 
@@ -121,20 +122,79 @@ def _pairs(found: list[tuple[bytes, str]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, ["key", "ends_sha256"])
 
 
+def _tail_start(chains: DataFrame) -> tuple[int, int]:
+    """Greatest depth (-1 without conversations), and the depth below which the
+    turns are so few that one task can hold them: no more than one in
+    ``TAIL_SHARE`` of all and ``TAIL_TURNS``."""
+    ending = {r["depth"]: r["count"] for r in chains.groupBy("depth").count().collect()}  # a row per length
+    room = min(TAIL_TURNS, sum(d * n for d, n in ending.items()) // TAIL_SHARE)
+    deepest = start = max(ending, default=-1)
+    longer = 0  # conversations with more than ``start`` turns
+    while start > 0 and longer + ending.get(start, 0) <= room:
+        longer += ending.get(start, 0)
+        room -= longer
+        start -= 1
+    return deepest, start
+
+
+def _peel_tail(rows: DataFrame, start: int) -> DataFrame:
+    """Nodes below depth ``start`` from the few conversations that reach them,
+    peeled within the groups that share their first turns. ``path`` is kept at
+    the first of these depths, where the others go on."""
+
+    def peel(group: pa.Table) -> pa.Table:
+        ended: dict[int, list] = {}
+        for conv, path in zip(group["conv_id"].to_pylist(), group["path"].to_pylist(), strict=True):
+            ended.setdefault(len(path) - 1, []).append((path, [conv, 1, 0, 0, 0]))
+        out, survivors = [], []
+        for depth in range(max(ended), start, -1):
+            nodes: dict[bytes, tuple[list, list]] = {}
+            for path, counts in ended.get(depth, []) + survivors:
+                known = nodes.setdefault(path[depth]["key"], (path, [counts[0], 0, 0, 0, 0]))[1]
+                known[0] = min(known[0], counts[0])
+                known[1:] = [a + b for a, b in zip(known[1:], counts[1:], strict=True)]
+            survivors = []
+            for key, (path, counts) in nodes.items():
+                counts[3] = max(counts[3], 1)
+                counts[4] += (counts[1] - 1) * path[depth]["words"]
+                last = path[: depth + 1] if depth == start + 1 else None
+                out.append(dict(zip(fields, (key, last, *counts, path[depth - 1]["key"], depth), strict=True)))
+                survivors.append((path, [counts[0], counts[1], 1, *counts[3:]]))
+        return pa.Table.from_pylist(out, types)
+
+    fields = ["key", "path", "conv_id", *COUNTS, "parent", "depth"]
+    step = pa.struct([("key", pa.binary()), ("words", pa.int64())])
+    types = pa.schema(
+        [("key", pa.binary()), ("path", pa.list_(step)), *[(c, pa.int64()) for c in fields[2:7]], ("parent", pa.binary()), ("depth", pa.int32())]
+    )
+    schema = f"{PEELED}, depth int"
+    top = F.element_at("path", start + 2)["key"].alias("top")
+    return rows.select(top, "conv_id", "path").groupBy("top").applyInArrow(lambda group: peel(group.select(["conv_id", "path"])), schema)
+
+
+PEELED = f"key binary, path array<struct<key:binary,words:bigint>>, conv_id bigint, {', '.join(f'{c} bigint' for c in COUNTS)}, parent binary"
+
+
 def _peel(chains: DataFrame) -> DataFrame:
     """All nodes: depth, key, parent, conv_id and the counts. A round per depth
     writes its nodes to the shared folder, where the next one takes them up."""
     spark = chains.sparkSession
-    deepest = chains.agg(F.max("depth")).first()[0]
+    deepest, start = _tail_start(chains)
     folder = workspace(spark, "trie")
     lowest = F.element_at("path", -1)
-    survivors = None
-    for depth in range(-1 if deepest is None else deepest, -1, -1):
+    below = None
+    if deepest > start:
+        tail = _peel_tail(chains.filter(F.col("depth") > start), start)
+        tail.write.partitionBy("depth").parquet(folder)
+        below = start + 1
+    for depth in range(start, -1, -1):
         rows = chains.filter(F.col("depth") == depth).select(
             "path", "conv_id", F.lit(1).cast("bigint").alias("n_convs"), *[F.lit(0).cast("bigint").alias(c) for c in COUNTS[1:]]
         )
-        if survivors is not None:
-            rows = rows.unionAll(survivors)
+        if below is not None:
+            survivors = spark.read.schema(PEELED).parquet(f"{folder}/depth={below}")
+            one = F.lit(1).cast("bigint").alias("n_children")
+            rows = rows.unionAll(survivors.select(F.slice("path", 1, below).alias("path"), "conv_id", "n_convs", one, *COUNTS[2:]))
         nodes = (
             rows.groupBy(lowest["key"].alias("key"))
             .agg(F.first("path").alias("path"), F.min("conv_id").alias("conv_id"), *[F.sum(c).alias(c) for c in COUNTS])
@@ -147,15 +207,9 @@ def _peel(chains: DataFrame) -> DataFrame:
             )
         )
         nodes.write.parquet(f"{folder}/depth={depth}")
-        survivors = (
-            spark.read.schema(nodes.schema)
-            .parquet(f"{folder}/depth={depth}")
-            .select(
-                F.slice("path", 1, depth).alias("path"), "conv_id", "n_convs", F.lit(1).cast("bigint").alias("n_children"), *COUNTS[2:]
-            )
-        )
-    fields = f"key binary, parent binary, conv_id bigint, {', '.join(f'{c} bigint' for c in COUNTS)}, depth int"
-    return spark.read.schema(fields).parquet(folder) if survivors is not None else spark.createDataFrame([], fields)
+        below = depth
+    fields = f"{PEELED}, depth int"
+    return spark.read.schema(fields).parquet(folder) if below is not None else spark.createDataFrame([], fields)
 
 
 def _with_parents(nodes: DataFrame) -> DataFrame:
@@ -180,13 +234,15 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
 
     A conversation without turns (null or empty array) ends at the root; no
     conversations give no rows. Conversations with equal turns share all their
-    nodes. There are as many rounds as the longest conversation has turns, and
-    one task chains the turns of one conversation.
+    nodes. There is a round per depth, but for the deepest, which few
+    conversations reach: these are peeled in one round. One task chains the
+    turns of one conversation.
     """
     rows = conversations.filter(F.col("conv_id").isNotNull())
     turns = F.coalesce("turns", F.expr("cast(array() as array<struct<digest:binary,words:bigint>>)"))
-    chains = stored(_chains(rows.withColumn("turns", turns)).sortWithinPartitions("depth"), "chains")
-    nodes = stored(_with_parents(_peel(chains)), "trie-nodes")
+    chains = _chains(rows.withColumn("turns", turns)).repartitionByRange("depth", "conv_id")
+    chains = stored(chains, "chains", "depth")
+    nodes = stored(_with_parents(_peel(chains).drop("path")), "trie-nodes")
     return nodes.join(_ends(chains), "key", "left").select(
         "conv_id",
         F.col("depth").cast("bigint").alias("depth"),
