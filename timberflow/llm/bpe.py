@@ -2,7 +2,8 @@
 
 A batch of texts is cut to its distinct words. All their symbols stand in one
 array with links to the neighbours; the index maps the rank of every mergeable
-pair to all positions where the pair starts. Ranks are taken in ascending order
+pair to all positions where the pair starts. Words met before in the partition
+are looked up. Ranks are taken in ascending order
 from a heap; all occurrences of the pair are merged at once, from left to
 right, and the pairs that arise next to them enter the lists of their ranks.
 """
@@ -19,10 +20,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from timberflow.llm.chunks import chunks, cuts_safely
-from timberflow.llm.texts import plain, slices
+from timberflow.llm.texts import WordIds, plain, slices, spread
 
 
-SLICE = 12 << 20  # bytes of text that share one index: more of them share more words
+SLICE = 4 << 20  # bytes of text in a batch; its new words share one index
 
 
 class PairIndexBpe:
@@ -42,9 +43,12 @@ class PairIndexBpe:
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix = model.get("end_of_word_suffix") or ""
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.names = np.array([""] * (1 + max([*self.vocab.values(), *self.added.values()])), object)
+        names = [b""] * (1 + max([*self.vocab.values(), *self.added.values()]))
         for name, i in [*self.vocab.items(), *self.added.items()]:
-            self.names[i] = name
+            names[i] = name.encode() + b" "
+        self.names, self.name_size = np.frombuffer(b"".join(names), np.uint8), np.array([len(n) for n in names])
+        self.name_first = np.cumsum(self.name_size) - self.name_size
+        self.known = WordIds(self._encode_chunks)
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         first: dict[int, tuple[int, int]] = {}
         for rank, (a, b) in enumerate(pairs):
@@ -152,9 +156,16 @@ class PairIndexBpe:
         """Ids of all rows, and the row boundaries in them."""
         parts, rows = (texts, np.arange(len(texts) + 1)) if self.whole else chunks(texts)
         coded = parts.dictionary_encode()
+        store, first, count = self.known.look_up(coded.dictionary.to_pylist())
+        codes = coded.indices.to_numpy()
+        ids, ends = spread(store, first[codes], count[codes])
+        return ids, ends[rows]
+
+    def _encode_chunks(self, values: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks, and the chunk boundaries in them."""
         number: dict[str, int] = {}
-        flat, sizes = [], np.zeros(len(coded.dictionary), np.int64)
-        for k, chunk in enumerate(coded.dictionary.to_pylist()):
+        flat, sizes = [], np.zeros(len(values), np.int64)
+        for k, chunk in enumerate(values):
             found = [-1 - w if isinstance(w, int) else number.setdefault(w, len(number)) for w in self._split(chunk)]
             flat += found
             sizes[k] = len(found)
@@ -166,24 +177,16 @@ class PairIndexBpe:
         first, count = bounds[np.where(special, 0, pieces)], np.ones(len(pieces), np.int64)
         first[special] = len(ids) + np.arange(special.sum())
         count[~special] = np.diff(bounds)[pieces[~special]]
-        store, ends = _spread(store, first, count)
-        chunk_ends = np.concatenate([[0], np.cumsum(sizes)])
-        chunk_first = ends[chunk_ends]
-        codes = coded.indices.to_numpy()
-        store, ends = _spread(store, chunk_first[:-1][codes], np.diff(chunk_first)[codes])
-        return store, ends[rows]
+        ids, ends = spread(store, first, count)
+        return ids, ends[np.concatenate([[0], np.cumsum(sizes)])]
 
-    def decode(self, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
+    def decode(self, ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
         """Texts of id rows: without a decoder, names joined by blanks."""
-        names = self.names[ids]
-        return [" ".join(names[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-
-
-def _spread(store: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Runs ``store[first:first + count]`` one after the other, and their ends."""
-    ends = np.concatenate([[0], np.cumsum(count)]).astype(np.int64)
-    take = np.arange(ends[-1]) + np.repeat(first - ends[:-1], count)
-    return store[take], ends
+        size = self.name_size[ids]
+        size[bounds[1:][np.diff(bounds) > 0] - 1] -= 1  # no blank after the last name
+        body, ends = spread(self.names, self.name_first[ids], size)
+        data = [pa.py_buffer(x) for x in (ends[bounds].astype(np.int32).tobytes(), body.tobytes())]
+        return pa.StringArray.from_buffers(len(bounds) - 1, *data)
 
 
 @lru_cache(maxsize=2)
@@ -207,7 +210,7 @@ def encode_texts(
             ids, bounds = model.encode(plain(part.column("__text")))
             out = [part.column("__id"), pa.ListArray.from_arrays(bounds.astype(np.int32), ids.astype(np.int32))]
             if decoded:
-                out.append(pa.array(model.decode(ids, bounds), pa.string()))
+                out.append(model.decode(ids, bounds))
             yield pa.RecordBatch.from_arrays(out, ["__id", "ids", "decoded"][: len(out)])
 
     schema = f"__id {kind}, ids array<int>" + ", decoded string" * decoded
@@ -224,7 +227,7 @@ def decode_ids(rows: DataFrame, tokenizer_path: str, ids_col: str = "ids", out_c
             flat, bounds = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
             texts = model.decode(flat.astype(np.int64), (bounds - bounds[0]).astype(np.int64))
             kept = {n: batch.column(n) for n in batch.schema.names if n != out_col}
-            yield pa.RecordBatch.from_pydict(kept | {out_col: pa.array(texts, pa.string())})
+            yield pa.RecordBatch.from_pydict(kept | {out_col: texts})
 
     fields = [f for f in rows.schema.fields if f.name != out_col]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)

@@ -4,7 +4,8 @@ Passages of all documents give hashed TF-IDF rows of unit length; a randomised
 decomposition of their Gram matrix, summed over the partitions, gives the
 leading singular vectors. The first few, which tell languages and layouts
 apart, are left out. Windows of the documents are folded in next to the
-benchmark items; those of high cosine are checked word by word: the longest common subsequence
+benchmark items, wherever one of the words stands that every copy of an item
+must hold; those of high cosine are checked word by word: the longest common subsequence
 with the item, and for a looser match also its answer. Items of a few words
 are looked up word by word at every position instead.
 """
@@ -15,10 +16,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from timberflow.llm.texts import Words, folded, hashes, mix, plain, slices, windows, words
+from timberflow.llm.texts import Words, folded, hashes, mix, plain, slices, spread, windows, words
 from timberflow.session import stored
 
 TERMS = 1 << 13  # hashed terms
@@ -28,6 +30,7 @@ STEP = 8  # words between window starts
 LONGEST = 64  # words of a window; longer items are searched by their parts
 COSINE = 0.5
 SURE, LIKELY, ANSWER = 0.8, 0.6, 0.8  # shares of an item and of its answer found in order
+SIGNAL_SHARE = 4  # one in so many words of an item must stand near a window
 SHORT = 8  # items of fewer words must stand there word by word, at any place
 ITEMS = 20_000  # benchmark items held by a task at once
 PART_BYTES = 5 << 20
@@ -55,16 +58,15 @@ def _units(found: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     return found.offsets[:-1][row] + (np.arange(first[-1]) - first[:-1][row]) * size, first
 
 
-def _unit_sums(vectors: np.ndarray, terms: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
-    """Sum of the term vectors of each run that begins at ``starts``; a run
-    ends where the next one begins and has at most ``size`` terms. ``RUNS`` of
-    them are summed at a time, so that the sums stay in the cache."""
-    length = np.diff(np.append(starts, len(terms)))
+def _unit_sums(vectors: np.ndarray, terms: np.ndarray, starts: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Sum of the term vectors of each run of ``length`` (1 at least) terms from
+    ``starts``. ``RUNS`` of them are summed at a time, so that the sums stay in
+    the cache."""
     sums = np.empty((len(starts), vectors.shape[1]), vectors.dtype)
     for at in range(0, len(starts), RUNS):
         own, left, part = starts[at : at + RUNS], length[at : at + RUNS], sums[at : at + RUNS]
         part[:] = vectors[terms[own]]
-        for j in range(1, min(size, int(left.max(initial=0)))):
+        for j in range(1, int(left.max(initial=0))):
             longer = np.flatnonzero(left > j)
             if len(longer) == len(own):
                 part += vectors[terms[own + j]]
@@ -161,7 +163,7 @@ def fit_space(docs: DataFrame, text_col: str = "text", seed: int = 11) -> Space
                     continue
                 starts = np.concatenate([[0], np.cumsum(sizes[:-1], dtype=np.int64)])
                 norm = np.maximum(np.add.reduceat(idf[term] ** 2, starts), 1e-9)
-                seen = _unit_sums(probe, term, starts, PASSAGE) / norm[:, None]
+                seen = _unit_sums(probe, term, starts, sizes.astype(np.int64)) / norm[:, None]
                 passage = np.repeat(np.arange(len(sizes)), sizes)
                 for j, column in enumerate(np.ascontiguousarray(seen.T)):
                     total[:, j] += np.bincount(term, column[passage], TERMS)
@@ -194,13 +196,19 @@ class Item(NamedTuple):
 
 
 class Probes(NamedTuple):
-    """Items by the window length of their parts: (length, item places, unit
-    vectors)."""
+    """Items by the window length of their parts: (length, item places, words
+    of the item before the part, unit vectors)."""
 
     ids: list
     items: list[Item]
-    groups: list[tuple[int, np.ndarray, np.ndarray]]
+    groups: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]
     short: dict[int, dict[int, list[int]]]  # items of fewer than SHORT words: by length and hash
+    vocab: pa.Array  # distinct words of the items that are not short
+    owner: np.ndarray  # item and word, for the distinct words of each item, by item
+    word: np.ndarray
+    size: np.ndarray  # words of each item
+    signals: np.ndarray  # so many distinct words, of which a copy holds at least
+    least: np.ndarray
 
 
 def _probes(ids: list, texts: list[str], answers: list[str | None], space: Space) -> Probes:
@@ -217,13 +225,24 @@ def _probes(ids: list, texts: list[str], answers: list[str | None], space: Space
         for at in range(0, len(own), LONGEST):
             part = own[at : at + LONGEST]
             if len(part) >= SHORT or len(own) <= LONGEST:
-                by_length.setdefault(-(-len(part) // STEP) * STEP, []).append((k, part))
+                by_length.setdefault(-(-len(part) // STEP) * STEP, []).append((k, at, part))
     groups = []
     for length, parts in sorted(by_length.items()):
-        found = words(pa.array([" ".join(p) for _, p in parts]))
+        found = words(pa.array([" ".join(p) for _, _, p in parts]))
         sums = np.add.reduceat(space.vectors[_terms(found)], found.offsets[:-1], axis=0)
-        groups.append((length, np.array([k for k, _ in parts]), sums / (np.linalg.norm(sums, axis=1, keepdims=True) + 1e-12)))
-    return Probes(ids, items, groups, short)
+        unit = sums / (np.linalg.norm(sums, axis=1, keepdims=True) + 1e-12)
+        groups.append((length, *(np.array([p[j] for p in parts]) for j in (0, 1)), unit))
+    size = np.array([len(i.words) for i in items], np.int64)
+    owned = [(i.number, w) for i in items if len(i.words) >= SHORT for w in sorted(i.distinct)]
+    coded = pa.array([w for _, w in owned], pa.string()).dictionary_encode()
+    # ``_confirmed`` asks for n - missing >= LIKELY * n, so that many distinct words may be missing
+    missing = np.array([max((m for m in range(n + 1) if n - m >= LIKELY * n), default=0) for n in size.tolist()], np.int64)
+    owner = np.array([k for k, _ in owned], np.int64)
+    distinct = np.bincount(owner, minlength=len(items))
+    signals = np.minimum(distinct, missing + size // SIGNAL_SHARE + 1)
+    least = np.maximum(1, signals - missing)
+    word = coded.indices.to_numpy().astype(np.int64)
+    return Probes(ids, items, groups, short, coded.dictionary, owner, word, size, signals, least)
 
 
 def common(a: tuple[str, ...], b: list[str]) -> int:
@@ -256,64 +275,96 @@ def _confirmed(item: Item, text: list[str], at: int) -> float:
     return 0.0
 
 
+class Signals(NamedTuple):
+    """Words of which a copy of an item holds ``least`` or more, by the item's
+    place: those that are rarest in the texts at hand."""
+
+    item: np.ndarray
+    code: np.ndarray  # in the vocabulary of the slice
+
+
+def _signals(found: Words, probes: Probes) -> Signals:
+    place = pc.index_in(probes.vocab, value_set=found.vocab).fill_null(-1).to_numpy().astype(np.int64)
+    n = np.bincount(found.codes, minlength=len(found.vocab) + 1)  # ends with the 0 of a word that is not there
+    code = place[probes.word]
+    order = np.lexsort((n[code], probes.owner))
+    nth = np.arange(len(order)) - np.searchsorted(probes.owner, probes.owner)
+    rare = order[nth < probes.signals[probes.owner]]
+    rare = rare[code[rare] >= 0]
+    return Signals(probes.owner[rare], code[rare])
+
+
+def _near(starts: np.ndarray, item: np.ndarray, at: np.ndarray, probes: Probes, behind: int) -> np.ndarray:
+    """Places in ``starts`` from where a copy of an item could be confirmed:
+    around ``least`` of its signal words (``item``, ``at``: all their places) that
+    stand no farther apart than the words that are compared. The start of an
+    item may lie up to ``behind`` words before the window."""
+    order = np.lexsort((at, item))
+    item, at = item[order], at[order]
+    last = np.arange(len(at)) + probes.least[item] - 1  # the place that completes the number
+    slack = probes.size[item] // 4 + STEP
+    inside = last < len(at)
+    inside[inside] = item[last[inside]] == item[inside]
+    inside[inside] &= at[last[inside]] - at[inside] < (probes.size[item] + 2 * slack)[inside]
+    first = at[last[inside]] - probes.size[item[inside]] - slack[inside]
+    change = np.zeros(len(starts) + 1, np.int64)
+    np.add.at(change, np.searchsorted(starts, first), 1)
+    np.add.at(change, np.searchsorted(starts, at[inside] + slack[inside] + behind, side="right"), -1)
+    return np.flatnonzero(np.cumsum(change[:-1]))
+
+
 def _matches(texts: pa.Array, space: Space, probes: Probes) -> dict[tuple[int, int], tuple[float, float]]:
-    """(row, item place) of all confirmed matches, with share and cosine."""
+    """(row, item place) of all confirmed matches, with share and cosine.
+    Windows are folded in only where a signal word of an item stands near."""
     found = words(folded(texts))
-    starts, first = _units(found, STEP)
     out: dict[tuple[int, int], tuple[float, float]] = {}
-    if not len(starts):
+    n = len(found.codes)
+    if not n:
         return out
-    terms = _terms(found)
-    row = np.repeat(np.arange(len(texts)), np.diff(first))
-    vocab, split = found.vocab.to_pylist(), {}
+    _look_up(found, probes, out)
+    signals = _signals(found, probes)
+    wanted = np.zeros(len(found.vocab), bool)
+    wanted[signals.code] = True
+    at = np.flatnonzero(wanted[found.codes])
+    at = at[np.argsort(found.codes[at], kind="stable")]
+    code = found.codes[at]  # occurrences of the signal words, by word
+    every, (runs, _) = np.arange(n), _units(found, STEP)
+    terms, vocab, split = None, found.vocab.to_pylist() if len(at) else [], {}
 
     def text(r: int) -> list[str]:
         if r not in split:
             split[r] = [vocab[c] for c in found.codes[found.offsets[r] : found.offsets[r + 1]].tolist()]
         return split[r]
 
-    def check(window: np.ndarray, at: np.ndarray, rows: np.ndarray, place: np.ndarray, unit: np.ndarray) -> None:
-        """Confirm items whose cosine with a window (at word ``at``) is high."""
-        norm = np.sqrt(np.einsum("ij,ij->i", window, window))[:, None] + 1e-12
-        score = window @ unit.T
-        score /= norm
-        for flat in np.flatnonzero(score >= COSINE).tolist():
-            w, p = divmod(flat, score.shape[1])
-            r, item = int(rows[w]), probes.items[place[p]]
-            if out.get((r, item.number), (0.0, 0.0))[0] == 1.0:
-                continue
-            share = _confirmed(item, text(r), int(at[w] - found.offsets[r]))
-            if share > 0:
-                out[r, item.number] = max(out.get((r, item.number), (0.0, 0.0)), (share, float(score[w, p])))
-
-    _look_up(found, probes, out)
-    dense = [g for g in probes.groups if g[0] <= 2 * STEP]
-    groups = [g for g in probes.groups if g[0] > 2 * STEP]
-    if dense:  # a window at every word
-        owner = np.repeat(np.arange(len(texts)), np.diff(found.offsets))
-        for at in range(0, len(terms), RUNS):
-            own = np.arange(at, min(at + RUNS, len(terms)))
-            end, window, held = found.offsets[owner[own] + 1], np.zeros((len(own), space.vectors.shape[1]), space.vectors.dtype), 0
-            for length, place, unit in dense:
-                for held in range(held, length):
-                    inside = np.flatnonzero(own + held < end)
-                    window[inside] += space.vectors[terms[own[inside] + held]]
-                held = length
-                check(window, own, owner[own], place, unit)
-    if not groups:
-        return out
-    sums = _unit_sums(space.vectors, terms, starts, STEP)
-    left = first[row + 1] - np.arange(len(starts))  # runs up to the end of the text
-    for at in range(0, len(starts), RUNS):
-        window, held = sums[at : at + RUNS].copy(), 1
-        for length, place, unit in groups:
-            for held in range(held, length // STEP):
-                over = np.flatnonzero(left[at : at + RUNS] <= held)  # these ended with their text
-                ended, more = window[over], sums[at + held : at + held + RUNS]
-                window[: len(more)] += more
-                window[over] = ended
-            held = length // STEP
-            check(window, starts[at : at + RUNS], row[at : at + RUNS], place, unit)
+    for length, place, offset, unit in probes.groups:
+        dense = length <= 2 * STEP  # a window at every word
+        starts, step = (every, 1) if dense else (runs, STEP)
+        own = np.isin(signals.item, place)
+        item, word = signals.item[own], signals.code[own]
+        lo, hi = np.searchsorted(code, word), np.searchsorted(code, word, side="right")
+        pos, _ = spread(at, lo, hi - lo)
+        window_at = starts[_near(starts, np.repeat(item, hi - lo), pos, probes, int(offset.max(initial=0)))]
+        if terms is None and len(window_at):
+            terms = _terms(found)
+        for k in range(0, len(window_at), RUNS):
+            begin = window_at[k : k + RUNS]
+            row = np.searchsorted(found.offsets, begin, side="right") - 1
+            end = found.offsets[row + 1]
+            window = np.zeros((len(begin), space.vectors.shape[1]), space.vectors.dtype)
+            for run in range(0, length, step):
+                inside = np.flatnonzero(begin + run < end)
+                window[inside] += _unit_sums(space.vectors, terms, begin[inside] + run, np.minimum(step, end[inside] - begin[inside] - run))
+            norm = np.sqrt(np.einsum("ij,ij->i", window, window))[:, None] + 1e-12
+            score = window @ unit.T
+            score /= norm
+            for flat in np.flatnonzero(score >= COSINE).tolist():
+                w, p = divmod(flat, score.shape[1])
+                r, of = int(row[w]), probes.items[place[p]]
+                if out.get((r, of.number), (0.0, 0.0))[0] == 1.0:
+                    continue
+                share = _confirmed(of, text(r), int(begin[w] - found.offsets[r] - offset[p]))
+                if share > 0:
+                    out[r, of.number] = max(out.get((r, of.number), (0.0, 0.0)), (share, float(score[w, p])))
     return out
 
 

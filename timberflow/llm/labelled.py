@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from typing import NamedTuple
 
 import numpy as np
@@ -9,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from timberflow.llm.texts import hashes, mix, raw_bytes, windows
+from timberflow.session import stored
 
 SAMPLE_ROWS = 2_000
 SAMPLE_BYTES = 7 << 20
@@ -31,15 +33,17 @@ def labelled_sample(
     rows: int = SAMPLE_ROWS,
     size: int = SAMPLE_BYTES,
 ) -> Sample:
-    """At most ``rows`` labelled rows, half of each label at most, and at most
-    ``size`` bytes of whole texts, picked by a hash of the id. Rows with a null
-    id or label are left out; a repeated id counts once, with its largest
-    label. The sample may be empty. Both bounds hold for what reaches the
-    driver and what is broadcast to find it."""
+    """At most ``rows`` labelled rows of ``docs``, half of each label at most,
+    and at most ``size`` bytes of whole texts, picked by a hash of the id.
+    Labels of other documents do not count. Rows with a null id or label are
+    left out; a repeated id counts once, with its largest label. A label that
+    no row has is reported as a warning; the sample may be empty. Both bounds
+    hold for what reaches the driver and what is broadcast to find it."""
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
     if where is not None:
         known = known.filter(where)
     known = known.groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("label"))
+    known = stored(known.join(docs.select(F.col(id_col).alias("__id")), "__id", "left_semi"), "labelled")
     order = [F.xxhash64("__id"), F.col("__id")]
     picked = [known.filter(F.col("label") == k).orderBy(*order).limit(rows // 2) for k in (0, 1)]
     ids = picked[0].unionAll(picked[1])
@@ -47,6 +51,8 @@ def labelled_sample(
     found = texts.join(F.broadcast(ids), "__id").groupBy("__id", "label")
     sizes = found.agg(F.max(F.octet_length("text")).alias("n")).orderBy(*order).limit(rows).collect()
     total = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    if len(total) < 2:
+        warnings.warn(f"labelled documents have {label_col} {sorted(total)} only; nothing tells 0 from 1", stacklevel=2)
     room, chosen = size, []
     for row in sizes:
         if row["n"] <= room:

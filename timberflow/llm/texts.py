@@ -112,12 +112,15 @@ def spread(store: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np.
     return store[take], ends
 
 
+EACH = 120  # bytes that a stored word takes beside its characters
+
+
 class WordIds:
-    """Ids of the words that a worker has met, kept up to ``limit`` bytes of
-    words; beyond that the store starts anew. ``encode`` gives the ids of a
+    """Ids of the words that a worker has met, kept up to about ``limit`` bytes
+    (``EACH`` and its length for a word); beyond that the store starts anew. ``encode`` gives the ids of a
     list of words and the word boundaries in them."""
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 16 << 20):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 48 << 20):
         self.encode, self.limit = encode, limit
         self._forget()
 
@@ -130,13 +133,13 @@ class WordIds:
         """The store of ids, and where those of each (distinct) word begin and
         how many they are."""
         fresh = [w for w in values if w not in self.place]
-        if self.size + sum(map(len, fresh)) > self.limit:
+        if self.size + EACH * len(fresh) + sum(map(len, fresh)) > self.limit:
             self._forget()
             fresh = values
         if fresh:
             ids, bounds = self.encode(fresh)
             self.place.update(zip(fresh, range(len(self.place), len(self.place) + len(fresh)), strict=True))
-            self.size += sum(map(len, fresh))
+            self.size += EACH * len(fresh) + sum(map(len, fresh))
             self.ends = np.concatenate([self.ends, self.ends[-1] + bounds[1:]])
             self.ids = np.concatenate([self.ids, ids])
         at = np.fromiter((self.place[w] for w in values), np.int64, len(values))

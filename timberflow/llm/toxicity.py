@@ -4,7 +4,8 @@ Every distinct word of a text brings hashed terms: itself and its byte n-grams.
 The machine adds a weight per term and the products of the factors of all pairs
 of terms, so combinations count that no single term shows. All terms of
 ``LEAST_DOCS`` training texts or more are learnt, whether or not they tell the
-labels apart alone; those that do not are held by a stronger weight decay.
+labels apart alone; those that do not are held by a stronger weight decay. A
+rare insult tells them apart by standing in texts of one label only.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ FACTORS = 6
 STEPS = 150
 LEAST_DOCS = 3
 ALONE = 4.0  # standard errors from which a term tells the labels apart alone
-DECAY, STRONG = 3e-3, 100.0  # of such terms and of the others; divided by the number of texts
+PURE = 8.0  # bits: a term of one label only does so, too, where chance would give that once in 2^PURE
+DECAY, STRONG = 3e-3, 100.0  # of terms that tell the labels apart and of chance; divided by the number of texts
 
 
 class FactorMachine(NamedTuple):
@@ -62,7 +64,8 @@ def _distinct(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
 
 def _terms_of(doc: np.ndarray, word: np.ndarray, owner: np.ndarray, bucket: np.ndarray, positive: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Terms of at least ``LEAST_DOCS`` documents, and those whose share of
-    documents differs between the labels by ``ALONE`` standard errors."""
+    documents differs between the labels by ``ALONE`` standard errors, or that
+    so many documents of one label have and none of the other."""
     by_owner = np.argsort(owner, kind="stable")
     sorted_bucket = bucket[by_owner]
     bounds = np.searchsorted(owner[by_owner], np.arange(owner.max(initial=-1) + 2))
@@ -76,7 +79,8 @@ def _terms_of(doc: np.ndarray, word: np.ndarray, owner: np.ndarray, bucket: np.n
     n = np.array([[(~positive).sum()], [positive.sum()]])
     share, pooled = counts / n, counts.sum(0) / n.sum()
     error = np.sqrt(np.maximum(pooled * (1 - pooled), 1e-12) * (1 / n).sum())
-    return counts.sum(0) >= LEAST_DOCS, np.abs(share[1] - share[0]) >= ALONE * error
+    pure = (counts.min(0) == 0) & ((counts * -np.log2(n / n.sum())).max(0) >= PURE)
+    return counts.sum(0) >= LEAST_DOCS, pure | (np.abs(share[1] - share[0]) >= ALONE * error)
 
 
 def fit(sample: Sample, factors: int = FACTORS, steps: int = STEPS, decay: float = DECAY, strong: float = STRONG, seed: int = 7) -> FactorMachine:
