@@ -2,9 +2,11 @@
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from timberflow.operators.search import nearest, top_k
+from timberflow.operators.search import _Split, nearest, top_k
 from timberflow.sources.records import batch_errors, batch_records
 
 
@@ -41,14 +43,59 @@ def test_nearest_equals_loop(spark):
     queries = [(f"q{i}", v, ["s1", "", None][i % 3]) for i, v in enumerate(vectors(23, 11))] + [("none", None, None), ("few", [1.0], "s2")]
     logs = spark.createDataFrame(base, "log_id int, vector array<double>, service_id string").withColumn("text", F.col("log_id").cast("string"))
     asked = spark.createDataFrame(queries, "query_id string, query_vector array<double>, service_id string")
-    for block in (4, 4096):
-        hits = nearest(logs, asked.drop("service_id"), 4, block=block)
+    for split in (4, 4096):
+        hits = nearest(logs, asked.drop("service_id"), 4, split=split)
         assert hits.columns == ["query_id", "log_id", "service_id", "text", "score", "rank"]
         assert found(hits) == expected(base, queries, 4)
-        scoped = nearest(logs, asked, 3, scope_col="service_id", min_score=0.2, block=block)
+        scoped = nearest(logs, asked, 3, scope_col="service_id", min_score=0.2, split=split)
         assert found(scoped) == expected(base, queries, 3, True, 0.2)
 
 
+def held(vectors, ids, k, scopes=None, least=None):
+    rows = pa.table({"id": ids, "vector": pa.array(vectors, pa.list_(pa.float64())), "scope": pa.array(scopes or [None] * len(ids), pa.string())})
+    return _Split(rows, k, scopes is not None, least)
+
+
+def asked(split, vectors, scopes=None):
+    n = len(vectors)
+    rows = {"query_id": range(n), "vector": pa.array(vectors, pa.list_(pa.float64())), "scope": pa.array(scopes or [None] * n, pa.string())}
+    out = [r for b in split.search(pa.table(rows)) for r in b.to_pylist()]
+    return {q: sorted((-round(r["score"], 9), r["id"]) for r in out if r["query_id"] == q) for q in range(n)}
+
+
+def test_pivots_spare_most_pairs_of_clustered_vectors():
+    draw = np.random.default_rng(2)
+    centres = draw.normal(size=(60, 32))
+    near = lambda n: (centres[draw.integers(0, 60, n)] + 0.05 * draw.normal(size=(n, 32))).tolist()
+    base, queries = near(6000), near(300)
+    split = held(base, list(range(6000)), 10)
+    got = asked(split, queries)
+    unit = lambda v: np.array(v) / np.linalg.norm(v, axis=1, keepdims=True)
+    scores = unit(queries) @ unit(base).T
+    for q in range(300):
+        assert [i for _, i in got[q]] == np.lexsort((np.arange(6000), -scores[q].round(9)))[:10].tolist()
+    assert 300 * 10 <= split.compared < 0.1 * 6000 * 300
+
+
+def test_pivots_lose_nothing():
+    """Ties, negative and zero scores, other lengths, scopes and thresholds."""
+    draw = np.random.default_rng(4)
+    kinds = [None, [], [0.0, 0.0, 0.0], [1.0], [None, 1.0, 2.0]]
+    vectors = [draw.integers(-2, 3, 3).astype(float).tolist() for _ in range(400)] + kinds * 5
+    scopes = [["a", "b", None][int(k)] for k in draw.integers(0, 3, len(vectors))]
+    queries = [draw.integers(-2, 3, 3).astype(float).tolist() for _ in range(40)] + kinds
+    wanted = [["a", "", None, "zz"][k % 4] for k in range(len(queries))]
+    base = list(zip(range(len(vectors)), vectors, scopes, strict=True))
+    for k, scoped, least in ((1, False, None), (7, True, None), (7, False, 0.3), (500, True, 0.0), (3, True, -0.5)):
+        got = asked(held(vectors, list(range(len(vectors))), k, scopes if scoped else None, least), queries, wanted if scoped else None)
+        want = expected(base, list(zip(range(len(queries)), queries, wanted, strict=True)), k, scoped, least)
+        for q in range(len(queries)):
+            # parallel vectors tie but for rounding: any of them may stand at the k-th place
+            assert [-s for s, _ in got[q]] == [want[q, r][1] for r in range(1, k + 1) if (q, r) in want]
+            for score, i in got[q]:
+                assert abs(cosine(queries[q], vectors[i]) + score) < 1e-8 and (not scoped or not wanted[q] or scopes[i] == wanted[q])
+
+
 def test_nearest_of_empty_tables(spark):
     logs = spark.createDataFrame([(1, [1.0])], "log_id int, vector array<double>")
     asked = spark.createDataFrame([("q", [1.0])], "query_id string, query_vector array<double>")

@@ -1,10 +1,11 @@
 """Exact cosine search over stored log vectors.
 
 Scores are cosines over whole tables. One vector is compared in a scan that
-shuffles nothing but each partition's best rows. A table of queries is dealt
-into blocks, the base into splits, and each cell of a block and a split holds
-its queries while the base rows stream past them; only ids and scores leave a
-cell, and the payload joins the final ranks.
+shuffles nothing but each partition's best rows. For a table of queries the
+base is dealt into splits of bounded size. A task holds one split, grouped round
+pivots with the interval of angles to each; queries stream past it and are
+compared with the groups that could still hold one of their k best rows. Only
+ids and scores leave a split, and the payload joins the final ranks.
 """
 
 from __future__ import annotations
@@ -17,9 +18,9 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 
 from timberflow.functions.services import SERVICE_ID_PATTERN, UNKNOWN_SERVICE, valid_service_id
 
-QUERY_BLOCK = 4096  # queries that a task holds at once
-SPLIT, SMALL_SPLIT = 1 << 20, 1 << 10  # base rows of a cell: at most about, and worth a cell of their own
+SPLIT, SMALL_SPLIT = 1 << 16, 1 << 10  # base rows that a task holds: at most about, and worth a task of their own
 SCORES = 4_000_000  # numbers in one matrix of scores
+SLACK = 1e-9  # of bounds, for rounding
 
 
 def check_limit(limit: int, low: int = 1, high: int = 50) -> int:
@@ -60,42 +61,130 @@ def _best(found: pa.Table, k: int) -> pa.Table:
     return found.take(pa.array(order[np.arange(len(order)) - np.searchsorted(query, query) < k]))
 
 
-def _candidates(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def _candidates(scores: np.ndarray, k: int, slack: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
     """Rows and queries of the k best finite scores; with ties at the k-th."""
     wanted = np.isfinite(scores)
     if len(scores) > k:
-        wanted &= scores >= np.partition(scores, len(scores) - k, axis=0)[len(scores) - k]
+        wanted &= scores >= np.partition(scores, len(scores) - k, axis=0)[len(scores) - k] - slack
     return np.nonzero(wanted)
 
 
-class _Cell:
-    """The queries of one block and their best rows so far."""
-
-    def __init__(self, queries: pa.Table, k: int, scoped: bool, min_score: float | None):
-        self.ids = queries["query_id"]
-        self.vectors = _by_length(queries["vector"].combine_chunks())
-        self.scopes = np.array([s or "" for s in queries["scope"].to_pylist()], object) if scoped else None
-        self.k, self.min_score, self.best = k, min_score, None
-
-    def add(self, rows: pa.Table) -> None:
-        step = max(1, SCORES // max(1, len(self.ids)))
-        for at in range(0, len(rows), step):
-            part = rows.slice(at, step).combine_chunks()
-            scores = _cosines(part["vector"].combine_chunks(), self.vectors, len(self.ids))
-            if self.scopes is not None:
-                own = np.array(part["scope"].to_pylist(), object)
-                scores[(self.scopes != "")[None, :] & (own[:, None] != self.scopes[None, :])] = -np.inf
-            if self.min_score is not None:
-                scores[scores < self.min_score] = -np.inf
-            row, query = _candidates(scores, self.k)
-            found = pa.table({"query": query, "id": part["id"].take(pa.array(row)), "score": scores[row, query]})
-            self.best = _best(found if self.best is None else pa.concat_tables([self.best, found]), self.k)
-
-    def result(self) -> Iterator[pa.RecordBatch]:
-        if self.best is not None and len(self.best):
-            names = self.ids.take(self.best["query"])
-            out = pa.table({"query_id": names, "id": self.best["id"], "score": self.best["score"]})
-            yield from out.combine_chunks().to_batches()
+class _Group:
+    """Vectors of one length round their pivots: sorted by the nearest pivot,
+    with the least and the greatest angle to it."""
+
+    def __init__(self, place: np.ndarray, unit: np.ndarray):
+        self.pivots = unit[np.linspace(0, len(unit) - 1, min(len(unit), int(2 * np.sqrt(len(unit))) + 1)).astype(int)]
+        nearest = np.empty(len(unit), np.int64)
+        angle = np.empty(len(unit))
+        step = max(1, SCORES // len(self.pivots))
+        for at in range(0, len(unit), step):
+            scores = unit[at : at + step] @ self.pivots.T
+            nearest[at : at + step] = scores.argmax(1)
+            angle[at : at + step] = np.arccos(np.clip(scores.max(1), -1, 1))
+        order = np.argsort(nearest, kind="stable")
+        self.place, self.unit = place[order], unit[order]
+        used, first = np.unique(nearest[order], return_index=True)
+        self.pivots, self.bounds = self.pivots[used], np.append(first, len(unit))
+        self.low, self.high = (f.reduceat(angle[order], first) for f in (np.minimum, np.maximum))
+
+    def reach(self, queries: np.ndarray) -> np.ndarray:
+        """The greatest cosine that a vector of each pivot can have with each
+        query: by the triangle inequality the angle between them is at least
+        that from the query's angle to the interval."""
+        angle = np.arccos(np.clip(queries @ self.pivots.T, -1, 1))
+        return np.cos(np.maximum(0, np.maximum(angle - self.high, self.low - angle))) + SLACK
+
+
+class _Split:
+    """The base rows that a task holds."""
+
+    def __init__(self, rows: pa.Table, k: int, scoped: bool, min_score: float | None):
+        rows = rows.combine_chunks()
+        self.ids, self.k = rows["id"], k
+        self.floor = -np.inf if min_score is None else min_score
+        self.scopes = np.array(rows["scope"].to_pylist(), object) if scoped else None
+        self.groups, self.compared = {}, 0
+        for length, (place, unit) in _by_length(rows["vector"].combine_chunks()).items():
+            some = unit.any(1)
+            if some.any():
+                self.groups[length] = _Group(place[some], unit[some])
+
+    def _mask(self, scores: np.ndarray, scopes: np.ndarray | None, place: np.ndarray) -> np.ndarray:
+        if scopes is not None:
+            scores[(scopes != "")[:, None] & (self.scopes[place][None, :] != scopes[:, None])] = -np.inf
+        scores[scores < self.floor - SLACK] = -np.inf
+        return scores
+
+    def _meet(self, unit: np.ndarray, scopes: np.ndarray | None, group: _Group | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(query, row, score) of all that may be among the k best."""
+        own = lambda q: None if scopes is None else scopes[q]
+        kth = np.full(len(unit), self.floor)
+        if group is not None:
+            reach = group.reach(unit)
+            best = np.argsort(-reach, axis=1, kind="stable")
+            sizes = np.diff(group.bounds)[best]
+            before = np.cumsum(sizes, axis=1) - sizes
+            seed = np.zeros(reach.shape, bool)  # the nearest pivots that have k rows
+            np.put_along_axis(seed, best, before < self.k, axis=1)
+            seeded: list[list[np.ndarray]] = [[] for _ in range(len(unit))]
+            for first in (True, False):
+                wanted = seed if first else ~seed & (reach >= kth[:, None])
+                for cell in np.flatnonzero(wanted.any(0)).tolist():
+                    query = np.flatnonzero(wanted[:, cell])
+                    a, b = group.bounds[cell : cell + 2]
+                    self.compared += len(query) * int(b - a)
+                    scores = self._mask(unit[query] @ group.unit[a:b].T, own(query), group.place[a:b])
+                    row, col = _candidates(scores.T, self.k, SLACK)
+                    # pair by pair, so that equal vectors have equal scores
+                    found = np.einsum("ij,ij->i", unit[query[col]], group.unit[a:b][row])
+                    row, col, found = (x[found >= self.floor] for x in (row, col, found))
+                    if first:
+                        edges = np.searchsorted(np.sort(col), np.arange(len(query) + 1))
+                        by_query = found[np.argsort(col, kind="stable")]
+                        for j, q in enumerate(query.tolist()):
+                            seeded[q].append(by_query[edges[j] : edges[j + 1]])
+                    yield query[col], group.place[a:b][row], found
+                if first:
+                    for q, parts in enumerate(seeded):
+                        known = np.concatenate(parts) if parts else np.empty(0)
+                        if len(known) >= self.k:
+                            kth[q] = max(kth[q], np.partition(known, len(known) - self.k)[len(known) - self.k])
+        # rows of other lengths and without a direction score 0
+        flat = np.setdiff1d(np.arange(len(self.ids)), group.place if group is not None else [])
+        query = np.flatnonzero(kth <= 0) if self.floor <= 0 else np.empty(0, np.int64)
+        step = max(1, SCORES // max(1, len(flat)))
+        for at in range(0, len(query) if len(flat) else 0, step):
+            part = query[at : at + step]
+            scores = self._mask(np.zeros((len(part), len(flat))), own(part), flat)  # in or out of scope
+            row, col = np.nonzero(np.isfinite(scores.T))
+            yield part[col], flat[row], np.zeros(len(row))
+
+    def search(self, queries: pa.Table) -> Iterator[pa.RecordBatch]:
+        """query_id, id, score: the k best rows of the split for each query."""
+        queries = queries.combine_chunks()
+        scopes = np.array([s or "" for s in queries["scope"].to_pylist()], object) if self.scopes is not None else None
+        parts = []
+        for length, (place, unit) in _by_length(queries["vector"].combine_chunks()).items():
+            some = unit.any(1)
+            parts.append((place[some], unit[some], self.groups.get(length)))
+        flat = np.setdiff1d(np.arange(len(queries)), np.concatenate([p for p, _, _ in parts]) if parts else [])
+        parts.append((flat, np.zeros((len(flat), 1)), None))
+        for place, unit, group in parts:
+            step = max(1, SCORES // len(self.ids))
+            for at in range(0, len(place), step):
+                own = place[at : at + step]
+                best = None
+                for query, row, score in self._meet(unit[at : at + step], None if scopes is None else scopes[own], group):
+                    found = pa.table({"query": query, "id": self.ids.take(pa.array(row)), "score": score})
+                    best = found if best is None else pa.concat_tables([best, found])
+                    if len(best) > SCORES // 4:
+                        best = _best(best, self.k)
+                if best is not None and len(best):
+                    best = _best(best, self.k)
+                    names = queries["query_id"].take(pa.array(own[best["query"].to_numpy()]))
+                    out = pa.table({"query_id": names, "id": best["id"], "score": best["score"]})
+                    yield from out.combine_chunks().to_batches()
 
 
 def _runs(table: pa.Table) -> Iterator[tuple[tuple[int, int, int], pa.Table]]:
@@ -106,21 +195,20 @@ def _runs(table: pa.Table) -> Iterator[tuple[tuple[int, int, int], pa.Table]]:
         yield tuple(place[:, a].tolist()), table.slice(a, b - a)
 
 
-def _ranked_ids(base: DataFrame, queries: DataFrame, k: int, scoped: bool, min_score: float | None, block: int) -> DataFrame:
-    """query_id, id, score: the best k of each cell, from ``base`` (id, vector,
+def _ranked_ids(base: DataFrame, queries: DataFrame, k: int, scoped: bool, min_score: float | None, split: int) -> DataFrame:
+    """query_id, id, score: the best k of each split, from ``base`` (id, vector,
     scope) and ``queries`` (query_id, vector, scope)."""
     spark = base.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    counts = {
-        "n_queries": queries.agg(F.count(F.lit(1))).scalar(),
-        "n_base": base.agg(F.count(F.lit(1))).scalar(),
-    }
-    blocks = F.greatest(F.ceil(F.col("n_queries") / block), F.lit(1)).cast("int")
-    fair = F.greatest(F.ceil(tasks / F.col("blocks")), F.ceil(F.col("n_base") / SPLIT))
-    splits = F.greatest(F.least(fair, F.ceil(F.col("n_base") / SMALL_SPLIT)), F.lit(1)).cast("int")
+    # as many splits as tasks while these are worth it; a base of fewer splits
+    # is copied to fill the tasks, so that no copy depends on the queries
+    fair = F.greatest(F.least(F.lit(tasks), F.ceil(F.col("n_base") / SMALL_SPLIT)), F.ceil(F.col("n_base") / split))
+    splits = F.greatest(fair, F.lit(1)).cast("int")
+    blocks = F.greatest(F.floor(tasks / F.col("splits")), F.lit(1)).cast("int")
 
     def dealt(rows: DataFrame) -> DataFrame:
-        return rows.withColumns(counts).withColumn("blocks", blocks).withColumn("splits", splits)
+        n = base.agg(F.count(F.lit(1))).scalar()
+        return rows.withColumn("n_base", n).withColumn("splits", splits).withColumn("blocks", blocks)
 
     id_type, query_type = base.schema["id"].dataType, queries.schema["query_id"].dataType
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -128,7 +216,7 @@ def _ranked_ids(base: DataFrame, queries: DataFrame, k: int, scoped: bool, min_s
     asked = dealt(queries).select(
         own("blocks", "query_id", "vector").alias("block"),
         every("splits").alias("split"),
-        F.lit(0).alias("side"),
+        F.lit(1).alias("side"),
         "query_id",
         F.lit(None).cast(id_type).alias("id"),
         "vector",
@@ -137,7 +225,7 @@ def _ranked_ids(base: DataFrame, queries: DataFrame, k: int, scoped: bool, min_s
     held = dealt(base).select(
         every("blocks").alias("block"),
         own("splits", "id").alias("split"),
-        F.lit(1).alias("side"),
+        F.lit(0).alias("side"),
         F.lit(None).cast(query_type).alias("query_id"),
         "id",
         "vector",
@@ -145,22 +233,18 @@ def _ranked_ids(base: DataFrame, queries: DataFrame, k: int, scoped: bool, min_s
     )
 
     def search(batches):
-        at, waiting, cell = None, [], None
+        at, waiting, held = None, [], None
         for batch in batches:
             if not batch.num_rows:
                 continue
             for (*place, side), rows in _runs(pa.Table.from_batches([batch])):
                 if place != at:
-                    if cell is not None:
-                        yield from cell.result()
-                    at, waiting, cell = place, [], None
+                    at, waiting, held = place, [], None
                 if side == 0:
                     waiting.append(rows)
                 elif waiting:
-                    cell = cell or _Cell(pa.concat_tables(waiting), k, scoped, min_score)
-                    cell.add(rows)
-        if cell is not None:
-            yield from cell.result()
+                    held = held or _Split(pa.concat_tables(waiting), k, scoped, min_score)
+                    yield from held.search(rows)
 
     schema = T.StructType(
         [T.StructField("query_id", query_type), T.StructField("id", id_type), T.StructField("score", T.DoubleType())]
@@ -179,7 +263,7 @@ def nearest(
     query_vector: str = "query_vector",
     scope_col: str | None = None,
     min_score: float | None = None,
-    block: int = QUERY_BLOCK,
+    split: int = SPLIT,
 ) -> DataFrame:
     """The k most similar base rows of each query, exactly.
 
@@ -191,8 +275,10 @@ def nearest(
     unequal length, score 0.
 
     Nothing runs while the plan is built and no query passes the driver. A
-    task holds about ``block`` queries; a base row is sent once per block of
-    queries, a query once per split of the base.
+    task holds about ``split`` base rows; a query is sent once per split. A base
+    of fewer splits than tasks is copied to fill them, whatever the queries.
+    Rows round a pivot are left out for a query when the triangle inequality on
+    angles shows that none can reach the k-th best score found so far.
     """
     scope = F.col(scope_col) if scope_col else F.lit(None)
     numbers = "array<double>"
@@ -204,7 +290,7 @@ def nearest(
         k,
         scope_col is not None,
         min_score,
-        block,
+        split,
     )
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

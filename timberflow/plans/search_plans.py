@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from timberflow.operators import embedding as EM, rootcause as RC, search as SR
 from timberflow.plans.registry import document_logs, event_logs, query, table
+from timberflow.session import stored
 
 _VECTORS = """
 v AS (SELECT vec_id AS log_id, CAST(embedding AS DOUBLE[]) AS vec, 'svc-' || label % 4 AS service_id,
@@ -115,7 +116,7 @@ def knn_join(spark, sf_dir):
 )
 def knn_join_scoped(spark, sf_dir):
     found = SR.nearest(
-        vector_logs(spark, sf_dir), _queries(spark, sf_dir), 3, scope_col="service_id", min_score=0.1, block=300
+        vector_logs(spark, sf_dir), _queries(spark, sf_dir), 3, scope_col="service_id", min_score=0.1, split=300
     )
     return _rounded(found, "query_id", "log_id", "rank")
 
@@ -231,7 +232,7 @@ def incident_cache_lookup(spark, sf_dir):
 
 
 def _context(spark, sf_dir):
-    misses = _looked_up(spark, sf_dir).filter("not reused")
+    misses = stored(_looked_up(spark, sf_dir).filter("not reused"), "misses")  # read for the context and the prompts
     return misses, RC.retrieve_context(misses, vector_logs(spark, sf_dir), 5, scoped=True)
 
 
