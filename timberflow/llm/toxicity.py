@@ -25,7 +25,7 @@ FACTORS = 6
 STEPS = 150
 LEAST_DOCS = 3
 ALONE = 4.0  # standard errors from which a term tells the labels apart alone
-PURE = 8.0  # bits: a term of one label only does so, too, where chance would give that once in 2^PURE
+PURE = 10.0  # bits: a term of one label only does so, too, where chance would give that once in 2^PURE
 DECAY, STRONG = 3e-3, 100.0  # of terms that tell the labels apart and of chance; divided by the number of texts
 
 
