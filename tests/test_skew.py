@@ -70,6 +70,55 @@ def test_alert_dedup_across_long_gaps(spark):
     assert sorted(r.s for r in got.collect()) == [0, 301, 5000, 5300, 5601, 100_000, 100_300]
 
 
+def loop_dedup(at, width):
+    fired, last = [], None
+    for t in at:
+        if last is None or t - last >= width:
+            fired.append(t)
+            last = t
+    return fired
+
+
+def test_alert_dedup_tree_of_every_shape(spark):
+    rng = random.Random(11)
+    for fan in (2, 3):
+        want, rows = {}, []
+        for key, span, count in (("dense", 400, 4000), ("sparse", 90_000, 60), ("mixed", 20_000, 900), ("one", 1, 1)):
+            at = sorted({rng.randrange(-span, span) for _ in range(count)})
+            rows += [(key, t) for t in at]
+            want[key] = loop_dedup(at, 10)
+        rows += [(None, 5), ("null", None)]
+        df = spark.createDataFrame(rows, "deduplication_key string, s int").withColumns(
+            {"ts": F.timestamp_seconds("s"), "log_id": F.col("s")}
+        )
+        got = {}
+        for r in A.deduplicate_alerts(df, 10, windows_per_slice=1, fan=fan).collect():
+            got.setdefault(r.deduplication_key, []).append(r.s)
+        assert {k: sorted(v) for k, v in got.items()} == want
+
+
+def test_alert_dedup_tables_stay_within_a_window():
+    """One event a millisecond, windows of a second: no table of the tree holds
+    more entries than one window has instants, plus the first one after it."""
+    import numpy as np
+    import pandas as pd
+
+    width, windows, fan = 1_000_000, 3, 4
+    at = np.arange(0, 60_000_000, 1000)
+    slots = at // (width * windows)
+    frame = pd.DataFrame({"__key": "hot", "__group": slots, "__slice": slots, "__at": at})
+    level = list(A._jump_tables(iter([frame[:7000], frame[7000:]]), width, width * windows, windows))
+    while sum(map(len, level)) > 1:
+        tables = pd.concat(level, ignore_index=True)
+        assert tables["entries"].map(len).max() <= width // 1000 + 1
+        for entries, ends in zip(tables["entries"], tables["ends"]):
+            assert np.all(np.diff(entries) > 0) and np.all(np.diff(ends) != 0)
+        tables["__group"] = np.arange(len(tables)) // fan
+        level = list(A._composed(iter([tables[:3], tables[3:]]), width, width * windows))
+    top = pd.concat(level, ignore_index=True)
+    assert top["ends"][0][0] == loop_dedup(at.tolist(), width)[-1]
+
+
 def test_percentiles_are_exact_with_heavy_ties(spark):
     rng = random.Random(3)
     values = [1.0] * 700 + [rng.random() * 100 for _ in range(1300)]

@@ -6,6 +6,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from timberflow.session import stored
+
 # Window, channels and the chat colours.
 DEDUP_SECONDS = 300
 CHANNELS = ("email", "slack", "webhook", "log", "pagerduty")
@@ -18,6 +20,12 @@ CHAT_COLOURS = {
 }
 OTHER_COLOUR = "#808080"
 
+# Time of the last firing where there was none, before every time.
+NEVER = -(1 << 63)
+
+# Entries of jump tables in one batch of a Python worker.
+TABLE_ENTRIES = 1 << 20
+
 
 @dataclass(frozen=True)
 class AlertRule:
@@ -126,16 +134,22 @@ def deduplicate_alerts(
     ts: str = "ts",
     tie: str = "log_id",
     windows_per_slice: int = 12,
+    fan: int = 64,
 ) -> DataFrame:
     """Keep the alerts that fire: the first of a key, then each one at least
     ``window_seconds`` after the last that fired.
 
     Each decision depends on the one before, but two starting points soon lead
-    to the same firing times. So every (key, time slice) computes, on its own,
-    which firing it would end on for each possible start; those short tables
-    are chained per key to find each slice's real start; then every slice
-    marks its firings. A hot key is spread over its slices, and only one
-    summary row per slice is ever ordered per key.
+    to the same firing times. So every (key, time slice) computes, on its own, a
+    jump table: the firing it would end on for each possible start, which is at
+    most one entry per instant of one window, however full the slice is. Tables
+    of ``fan`` slices compose into one of the same bound, twice, so what is left
+    in order per key is one table for each ``fan * fan`` slices of time (170 days
+    at the defaults). The starts then go down the same tree, and every slice
+    marks its firings. Composing and handing down stream through sorted
+    partitions: a task holds two tables at a time and never a whole key.
+
+    A row without key or time never fires.
     """
     width = window_seconds * 1_000_000
     slice_width = width * windows_per_slice
@@ -143,114 +157,181 @@ def deduplicate_alerts(
     # Of several matches at one instant only the first can fire.
     instants = (
         matches.withColumn("__at", F.unix_micros(F.col(ts).cast("timestamp")))
+        .filter(F.col(key).isNotNull() & F.col("__at").isNotNull())
         .groupBy(F.col(key).alias("__key"), "__at")
         .agg(F.min_by(F.struct(*columns), tie).alias("__alert"))
         .withColumn("__slice", F.floor(F.col("__at") / slice_width))
     )
     times = instants.select("__key", "__slice", "__at")
+    key_type = matches.schema[key].dataType.simpleString()
+    table = f"__key {key_type}, __slice bigint, entries array<bigint>, ends array<bigint>"
+    carry = f"__key {key_type}, __slice bigint, carry bigint"
+
+    def in_order(rows: DataFrame, step: int | None, by: str) -> DataFrame:
+        """``rows`` sorted by ``by`` within groups of ``step`` slices, without
+        ``step`` within keys."""
+        grouped = rows.withColumn("__group", F.floor(F.col("__slice") / step) if step else F.lit(0).cast("bigint"))
+        return grouped.repartition("__key", "__group").sortWithinPartitions("__key", "__group", by)
+
+    def composed(tables: DataFrame, step: int) -> DataFrame:
+        return in_order(tables, step, "__slice").mapInPandas(
+            lambda batches: _composed(batches, width, slice_width), table
+        )
 
-    def sliced(batches, finish):
-        """Call ``finish(key, slice, times)`` per complete (key, slice) of a
-        sorted partition; a group that spans batches is completed first."""
-        import numpy as np
-        import pandas as pd
-
-        rest = None
-        for frame in batches:
-            if rest is not None and len(rest):
-                frame = pd.concat([rest, frame], ignore_index=True)
-            if not len(frame):
-                continue
-            keys, slots, at = frame["__key"].to_numpy(), frame["__slice"].to_numpy(), frame["__at"].to_numpy()
-            cuts = np.flatnonzero((slots[1:] != slots[:-1]) | (keys[1:] != keys[:-1])) + 1
-            bounds = [0, *cuts.tolist()]
-            for start, stop in zip(bounds[:-1], bounds[1:]):
-                yield finish(keys[start], slots[start], at[start:stop], frame.iloc[start:stop])
-            rest = frame.iloc[bounds[-1]:].reset_index(drop=True)
-        if rest is not None and len(rest):
-            yield finish(
-                rest["__key"].iloc[0], rest["__slice"].iloc[0], rest["__at"].to_numpy(), rest
-            )
+    def handed_down(tables: DataFrame, carries: DataFrame | None, step: int | None) -> DataFrame:
+        """The last firing before each table. The start of a group is a row of
+        its own ahead of the group's tables."""
+        rows = tables.withColumns({"carry": F.lit(NEVER), "__order": F.col("__slice")})
+        if carries is not None:
+            heads = carries.withColumn("__order", F.lit(NEVER))
+            rows = rows.unionByName(heads, allowMissingColumns=True)
+        return in_order(rows, step, "__order").mapInPandas(lambda batches: _handed_down(batches, width), carry)
+
+    # Written once: both ways of the tree read them.
+    tables = stored(
+        in_order(times, 1, "__at").mapInPandas(
+            lambda batches: _jump_tables(batches, width, slice_width, windows_per_slice), table
+        ),
+        "alert-jumps",
+    )
+    middle = composed(tables, fan)
+    top = composed(middle, fan * fan)
+    carries = handed_down(top, None, None)
+    carries = handed_down(middle, carries, fan * fan)
+    carries = handed_down(tables, carries, fan)
+    heads = carries.withColumn("__at", F.lit(NEVER))
+    fired = in_order(times.withColumn("carry", F.lit(NEVER)).unionByName(heads), 1, "__at").mapInPandas(
+        lambda batches: _firings(batches, width), f"__key {key_type}, __at bigint"
+    )
+    return instants.join(fired, ["__key", "__at"], "left_semi").select("__alert.*")
 
-    def summarise(batches):
-        import numpy as np
-        import pandas as pd
-
-        def summary(name, slot, at, _frame):
-            # Starts from an earlier slice can only enter in the first window.
-            entries = int(np.searchsorted(at, slot * slice_width + width)) + 1
-            last = np.arange(min(entries, len(at)))
-            for _ in range(windows_per_slice):
-                following = np.searchsorted(at, at[last] + width)
-                last = np.where(following < len(at), np.minimum(following, len(at) - 1), last)
-            ends = at[last]
-            # Keep the last entry of each run that leads to the same end.
-            keep = np.append(ends[1:] != ends[:-1], True)
-            return (name, slot, at[: len(last)][keep].tolist(), ends[keep].tolist())
 
+def _runs(batches):
+    """Groups (``__key``, ``__group``) of sorted batches, each whole."""
+    import numpy as np
+    import pandas as pd
+
+    rest = None
+    for frame in batches:
+        if rest is not None and len(rest):
+            frame = pd.concat([rest, frame], ignore_index=True)
+        if not len(frame):
+            continue
+        keys, groups = frame["__key"].to_numpy(), frame["__group"].to_numpy()
+        cuts = np.flatnonzero((groups[1:] != groups[:-1]) | (keys[1:] != keys[:-1])) + 1
+        bounds = [0, *cuts.tolist()]
+        for start, stop in zip(bounds[:-1], bounds[1:]):
+            yield frame.iloc[start:stop]
+        rest = frame.iloc[bounds[-1]:].reset_index(drop=True)
+    if rest is not None and len(rest):
+        yield rest
+
+
+def _last_of_runs(entries, ends):
+    """Of neighbouring entries with one end only the last is needed."""
+    import numpy as np
+
+    keep = np.append(ends[1:] != ends[:-1], True)
+    return entries[keep], ends[keep]
+
+
+def _jump_tables(batches, width, slice_width, windows):
+    """Jump table of every slice: a start ``width`` after the last firing goes
+    to the first entry at or after it, and from there to that entry's end."""
+    import numpy as np
+    import pandas as pd
+
+    names = ["__key", "__slice", "entries", "ends"]
+    rows, held = [], 0
+    for frame in _runs(batches):
+        at, slot = frame["__at"].to_numpy(), frame["__slice"].iloc[0]
+        # Starts from an earlier slice can only enter in the first window.
+        last = np.arange(min(int(np.searchsorted(at, slot * slice_width + width)) + 1, len(at)))
+        entries = at[last]
+        for _ in range(windows):
+            following = np.searchsorted(at, at[last] + width)
+            last = np.where(following < len(at), following, last)
+        entries, ends = _last_of_runs(entries, at[last])
+        rows.append((frame["__key"].iloc[0], slot, entries, ends))
+        held += len(entries)
+        if held >= TABLE_ENTRIES or len(rows) >= 5000:
+            yield pd.DataFrame(rows, columns=names)
+            rows, held = [], 0
+    yield pd.DataFrame(rows, columns=names)
+
+
+def _composed(batches, width, slice_width):
+    """One jump table per group, under the group's first slice."""
+    import numpy as np
+    import pandas as pd
+
+    names = ["__key", "__slice", "entries", "ends"]
+    group, slot, entries, ends = None, None, None, None
+    for frame in batches:
+        rows = []
+        for key, part, first, more, targets in zip(
+            frame["__key"], frame["__group"], frame["__slice"], frame["entries"], frame["ends"]
+        ):
+            more, targets = np.asarray(more), np.asarray(targets)
+            if group != (key, part):
+                if group is not None:
+                    rows.append((group[0], slot, entries, ends))
+                group, slot, entries, ends = (key, part), first, more, targets
+                continue
+            place = np.searchsorted(more, ends + width)
+            ends = np.where(place < len(more), targets[np.minimum(place, len(more) - 1)], ends)
+            # A start that passes every entry so far is still within the first
+            # window, hence before this table.
+            if entries[-1] < slot * slice_width + width:
+                entries, ends = np.append(entries, more[0]), np.append(ends, targets[0])
+            entries, ends = _last_of_runs(entries, ends)
+        yield pd.DataFrame(rows, columns=names)
+    if group is not None:
+        yield pd.DataFrame([(group[0], slot, entries, ends)], columns=names)
+
+
+def _handed_down(batches, width):
+    import numpy as np
+    import pandas as pd
+
+    group, last = None, None
+    for frame in batches:
         rows = []
-        for row in sliced(batches, summary):
-            rows.append(row)
-            if len(rows) >= 5000:
-                yield pd.DataFrame(rows, columns=["__key", "__slice", "entries", "ends"])
-                rows = []
-        yield pd.DataFrame(rows, columns=["__key", "__slice", "entries", "ends"])
-
-    def chain(frame):
-        import bisect
-
-        import pandas as pd
-
-        frame = frame.sort_values("__slice")
-        carry, carries = None, []
-        for entries, ends in zip(frame["entries"], frame["ends"]):
-            carries.append(carry)
-            place = 0 if carry is None else bisect.bisect_left(list(entries), carry + width)
+        columns = ("__key", "__group", "__slice", "__order", "entries", "ends", "carry")
+        for key, part, slot, order, entries, ends, carry in zip(*(frame[name] for name in columns)):
+            if group != (key, part):
+                group, last = (key, part), NEVER
+            if order == NEVER:
+                last = int(carry)
+                continue
+            rows.append((key, slot, last))
+            place = int(np.searchsorted(np.asarray(entries), last + width))
             if place < len(ends):
-                carry = int(ends[place])
-        out = frame[["__key", "__slice"]].copy()
-        out["carry"] = pd.array(carries, dtype="Int64")
-        return out
-
-    def mark(batches):
-        import numpy as np
-        import pandas as pd
-
-        def firings(name, _slot, at, frame):
-            carry = frame["carry"].iloc[0]
-            place = 0 if pd.isna(carry) else int(np.searchsorted(at, int(carry) + width))
-            fired = []
-            while place < len(at):
-                fired.append(at[place])
-                place = int(np.searchsorted(at, at[place] + width))
-            return pd.DataFrame({"__key": [name] * len(fired), "__at": np.array(fired, dtype="int64")})
-
-        pending, size = [], 0
-        for part in sliced(batches, firings):
-            if len(part):
-                pending.append(part)
-                size += len(part)
-            if size >= 10_000:
-                yield pd.concat(pending, ignore_index=True)
-                pending, size = [], 0
-        if pending:
+                last = int(ends[place])
+        yield pd.DataFrame(rows, columns=["__key", "__slice", "carry"])
+
+
+def _firings(batches, width):
+    import numpy as np
+    import pandas as pd
+
+    pending, size = [], 0
+    for frame in _runs(batches):
+        # The first row is the head with the last firing before.
+        carry, at = int(frame["carry"].iloc[0]), frame["__at"].to_numpy()[1:]
+        place = int(np.searchsorted(at, carry + width))
+        fired = []
+        while place < len(at):
+            fired.append(at[place])
+            place = int(np.searchsorted(at, at[place] + width))
+        if fired:
+            pending.append(pd.DataFrame({"__key": [frame["__key"].iloc[0]] * len(fired), "__at": fired}))
+            size += len(fired)
+        if size >= 10_000:
             yield pd.concat(pending, ignore_index=True)
-
-    key_type = matches.schema[key].dataType.simpleString()
-    by_slice = times.repartition("__key", "__slice").sortWithinPartitions("__key", "__slice", "__at")
-    summaries = by_slice.mapInPandas(
-        summarise, f"__key {key_type}, __slice bigint, entries array<bigint>, ends array<bigint>"
-    )
-    carries = summaries.groupBy("__key").applyInPandas(
-        chain, f"__key {key_type}, __slice bigint, carry bigint"
-    )
-    fired = (
-        times.join(carries, ["__key", "__slice"])
-        .repartition("__key", "__slice")
-        .sortWithinPartitions("__key", "__slice", "__at")
-        .mapInPandas(mark, f"__key {key_type}, __at bigint")
-    )
-    return instants.join(fired, ["__key", "__at"], "left_semi").select("__alert.*")
+            pending, size = [], 0
+    if pending:
+        yield pd.concat(pending, ignore_index=True)
 
 
 def alert_history(
