@@ -160,3 +160,81 @@ def test_sinks_are_repeatable(spark):
     SK.write_snapshot(incidents.limit(1), f"{root}/snap", 1)
     assert SK.latest_snapshot(spark, f"{root}/snap").count() == 1
     assert SK.latest_snapshot(spark, f"{root}/snap", before=1).count() == 2
+
+
+CLUSTER_COLUMNS = (
+    "cluster_id string, representative_log string, occurrence_count bigint, first_seen bigint, last_seen bigint, "
+    "sample_logs array<string>, similarity_score_average double, service_name string, score_first double, "
+    "score_sum double, vector array<double>"
+)
+
+
+def cluster_rows(spark, version, numbers):
+    rows = [
+        (f"c{n}", f"log {n}", 1 + version, version, version + 1, [f"sample {n} {version}"], 0.5, "svc", 0.5, 0.5 * version, [float(n), float(version)])
+        for n in numbers
+    ]
+    return spark.createDataFrame(rows, CLUSTER_COLUMNS)
+
+
+def as_rows(df):
+    """Stored rows without the two columns that only a batch's share uses."""
+    names = [c.split()[0] for c in CLUSTER_COLUMNS.split(", ")]
+    return sorted(tuple(map(str, r)) for r in df.select([n for n in names if n not in ("score_first", "score_sum")]).collect())
+
+
+def test_cluster_deltas_equal_the_full_merge(spark):
+    path = tempfile.mkdtemp(prefix="run-") + "/clusters"
+    want, states = None, {}
+    batches = [range(40), [3, 5, 41], [], [5], [3, 41, 42]]
+    for version, numbers in enumerate(batches):
+        batch = cluster_rows(spark, version, numbers)
+        for _ in range(2):  # a repeated batch replaces what it wrote
+            SK.upsert_clusters(batch, path, version)
+        if numbers:
+            want = SK.merged_clusters(want, batch)
+            assert spark.read.parquet(SK.delta_path(path, version)).count() == len(numbers)
+        states[version] = as_rows(want)
+        assert as_rows(SK.latest_snapshot(spark, path)) == states[version]
+        if version == 1:
+            for _ in range(2):
+                SK.compact_clusters(spark, path, version)
+            assert as_rows(SK.latest_snapshot(spark, path)) == states[version]
+    # Older versions can still be read, and a repeated old batch starts there.
+    assert as_rows(SK.latest_snapshot(spark, path, before=1)) == states[0]
+    assert as_rows(SK.latest_snapshot(spark, path, before=4)) == states[3]
+
+
+def test_removed_clusters_and_compaction(spark):
+    path = tempfile.mkdtemp(prefix="run-") + "/clusters"
+    SK.remove_clusters(cluster_rows(spark, 0, [1]), path, 0)
+    SK.compact_clusters(spark, path, 0)
+    assert SK.latest_snapshot(spark, path) is None
+    SK.upsert_clusters(cluster_rows(spark, 1, [1, 2, 3]), path, 1)
+    SK.remove_clusters(spark.createDataFrame([("c2",), ("unknown",)], "cluster_id string"), path, 2)
+    assert {r.cluster_id for r in SK.latest_snapshot(spark, path).collect()} == {"c1", "c3"}
+    SK.compact_clusters(spark, path, 2)
+    SK.upsert_clusters(cluster_rows(spark, 3, [2]), path, 3)
+    back = {r.cluster_id: r.occurrence_count for r in SK.latest_snapshot(spark, path).collect()}
+    assert back == {"c1": 2, "c2": 4, "c3": 2}
+    assert SK.superseded(spark, path) == []
+    SK.compact_clusters(spark, path, 3)
+    assert [p.rsplit("/", 1)[1][-1] for p in SK.superseded(spark, path)] == ["1", "2"]
+    SK.remove_clusters(cluster_rows(spark, 0, [1, 2, 3]), path, 4)
+    SK.compact_clusters(spark, path, 4)
+    assert SK.latest_snapshot(spark, path).count() == 0
+    SK.upsert_clusters(cluster_rows(spark, 5, [7]), path, 5)
+    assert {r.cluster_id for r in SK.latest_snapshot(spark, path).collect()} == {"c7"}
+
+
+def test_upsert_reads_touched_buckets_only(spark):
+    path = tempfile.mkdtemp(prefix="run-") + "/clusters"
+    SK.upsert_clusters(cluster_rows(spark, 0, range(300)), path, 0)
+    SK.compact_clusters(spark, path, 0)
+    SK.upsert_clusters(cluster_rows(spark, 1, range(300)), path, 1)
+    plan = SK.latest_snapshot(spark, path, buckets=[5])._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan" in line]
+    assert scans and all("PartitionFilters: [isnotnull(bucket" in line and "= 5)" in line for line in scans)
+    got = {r.cluster_id for r in SK.latest_snapshot(spark, path, buckets=[5]).collect()}
+    every = cluster_rows(spark, 0, range(300)).withColumn("b", F.pmod(F.xxhash64("cluster_id"), F.lit(SK.CLUSTER_BUCKETS)))
+    assert got and got == {r.cluster_id for r in every.filter("b = 5").collect()}

@@ -12,7 +12,11 @@ from timberflow.operators.embedding import Embedder, embed_texts, hashing_embedd
 from timberflow.operators.search import nearest
 from timberflow.session import durable
 from timberflow.sources.records import accepted, ingest_payloads, rejects
-from timberflow.sources.sinks import latest_snapshot, merged_clusters, write_snapshot
+from timberflow.sources.sinks import compact_clusters, latest_snapshot, upsert_clusters
+
+
+# Batches between two snapshots of the cluster table.
+COMPACT_EVERY = 32
 
 
 @dataclass(frozen=True)
@@ -102,8 +106,9 @@ def ingest_batch(
     text = semantic_text(F.col("message"), F.col("level"), F.col("service_id"), metadata)
     embedded = embed_texts(logs.withColumn("semantic_text", text), "semantic_text", embedder or hashing_embedder())
     decisions = durable(cluster_batch(embedded, latest_snapshot(spark, tables.clusters, before=batch_id), threshold))
-    current = latest_snapshot(spark, tables.clusters, before=batch_id)
-    write_snapshot(merged_clusters(current, batch_clusters(decisions)), tables.clusters, batch_id)
+    upsert_clusters(durable(batch_clusters(decisions)), tables.clusters, batch_id)
+    if (batch_id + 1) % COMPACT_EVERY == 0:
+        compact_clusters(spark, tables.clusters, batch_id)
     indexed_logs(decisions).drop("is_duplicate", "similarity_score").write.mode("overwrite").partitionBy(
         "service_id"
     ).parquet(f"{tables.logs}/{folder}")
