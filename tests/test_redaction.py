@@ -114,3 +114,25 @@ def test_matches_after_escaped_characters(spark):
         value = json.loads(row.v)
         assert row.p != row.t and row.s.t == row.p and value["a@b.example"] == [row.p]
         assert "12345678901234567890" in row.v and "0.1" in row.v
+
+
+def test_read_gate_opens_granted_rows_only(spark):
+    from timberflow.operators import access as AC, secure as SE
+
+    logs = spark.createDataFrame([(1, "password='abc'"), (2, "fine"), (3, None)], "log_id int, message string")
+    key, other = (F.unhex(F.lit(text * 16)) for text in ("01", "02"))
+    sealed = SE.secure_logs(logs, key, F.lit("2026-01-01"), "log_id")
+    assert "abc" not in str(sealed.collect()) and "fine" not in str(sealed.collect())
+    rows = [(1, "ann"), (2, "ann"), (2, "ann"), (3, "ann"), (9, "ann"), (1, "bob"), (1, "cid"), (None, "ann"), (1, None)]
+    requests = spark.createDataFrame(rows, "log_id int, user string")
+    grants = spark.createDataFrame(
+        [("ann", "logs", ["read"]), ("bob", "logs", ["write"]), ("cid", "alerts", ["read"])],
+        "user string, resource string, permissions array<string>",
+    )
+    schema = "message string, sensitive_fields_detected int"
+    got = [tuple(r) for r in AC.readable_logs(sealed, requests, grants, key, schema).collect()]
+    hidden = next(r[2] for r in got if r[0] == 1)
+    assert "abc" not in hidden and "***" in hidden
+    assert sorted(got, key=str) == [(1, "ann", hidden, 1), (2, "ann", "fine", None), (2, "ann", "fine", None), (3, "ann", None, None)]
+    wrong = AC.readable_logs(sealed, requests, grants, other, schema).collect()
+    assert len(wrong) == 4 and all(r.message is None for r in wrong)

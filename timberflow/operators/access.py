@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from timberflow.operators.secure import decrypt_rows
 
 
 def current_grants(operations: DataFrame, seq: str = "seq") -> DataFrame:
@@ -44,10 +46,16 @@ def compliance_report(audit: DataFrame, encryption_enabled: bool = True, key_pre
     ).withColumn("compliance_status", F.lit(status))
 
 
-def readable_logs(logs: DataFrame, requests: DataFrame, grants: DataFrame) -> DataFrame:
-    """Pairs of (user, log) for the users who may read logs; others get
-    nothing. ``requests`` names a user and a ``log_id`` per row."""
+def readable_logs(sealed: DataFrame, requests: DataFrame, grants: DataFrame, key: Column, schema: str) -> DataFrame:
+    """Opened logs for the users who may read logs: ``log_id``, ``user`` and the
+    columns of ``schema``; others get nothing. ``requests`` names a user and a
+    ``log_id`` per row, ``sealed`` holds encrypted rows (``data``) by ``log_id``.
+
+    Only rows that a granted request asks for are decrypted, after the joins. A
+    wrong key or damaged data gives nulls; a repeated request is answered again.
+    """
     allowed = grants.filter(
         (F.col("resource") == "logs") & F.array_contains("permissions", "read")
     ).select("user")
-    return requests.join(allowed, "user", "left_semi").join(logs, "log_id")
+    granted = requests.select("log_id", "user").join(allowed, "user", "left_semi")
+    return decrypt_rows(granted.join(sealed.select("log_id", "data"), "log_id"), key, schema, "log_id", "user")

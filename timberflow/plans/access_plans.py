@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from timberflow.operators import access as AC, secure as SE
-from timberflow.plans.registry import event_logs, micros, query, spread, table
-from timberflow.plans.text_plans import _mask_sql
+from timberflow.plans.registry import EVENT_LOGS, event_logs, micros, query, spread, table
+from timberflow.plans.text_plans import _fields_sql, _mask_sql, _mask_steps
 
 # A fixed key for the queries only; real keys come from the caller.
 def _key():
@@ -86,26 +86,41 @@ def encrypt_roundtrip(spark, sf_dir):
     )
 
 
-@query("secure_logs", _mask_sql() + " SELECT doc_id AS log_id, md5(t8) AS message_md5 FROM m8")
+@query(
+    "secure_logs",
+    _mask_sql()
+    + ", "
+    + _fields_sql().removeprefix("WITH ")
+    + """ SELECT doc_id AS log_id, md5(t8) AS message_md5, n AS sensitive_fields_detected
+FROM m8 LEFT JOIN (SELECT doc_id, CAST(count(*) AS INT) AS n FROM f GROUP BY doc_id) USING (doc_id)""",
+)
 def secure_logs(spark, sf_dir):
     """Mask and encrypt every document, then open the rows again."""
     logs = spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("log_id"), F.col("text").alias("message"))
     sealed = SE.secure_logs(logs, _key(), F.lit("2024-01-31T00:00:00"), "log_id")
     opened = SE.decrypt_rows(sealed.select("log_id", "data"), _key(), "message string, sensitive_fields_detected int", "log_id")
-    return opened.select("log_id", F.md5("message").alias("message_md5"))
+    return opened.select("log_id", F.md5("message").alias("message_md5"), "sensitive_fields_detected")
 
 
 @query(
     "readable_logs",
     _OPS
-    + """ SELECT e.event_id AS log_id, 'u' || e.user_id % 50 AS "user", epoch_us(ts) AS ts_us FROM events e
-WHERE 'u' || e.user_id % 50 IN (SELECT "user" FROM grants WHERE resource = 'logs' AND list_contains(string_split(permissions, ','), 'read'))""",
+    + ","
+    + EVENT_LOGS
+    + ",\n"
+    + _mask_steps("SELECT log_id AS doc_id, message AS t0 FROM logs")
+    + """ SELECT log_id, 'u' || user_id % 50 AS "user", epoch_us(ts) AS ts_us, md5(t8) AS message_md5
+FROM logs JOIN m8 ON log_id = doc_id
+WHERE 'u' || user_id % 50 IN (SELECT "user" FROM grants WHERE resource = 'logs' AND list_contains(string_split(permissions, ','), 'read'))""",
 )
 def readable_logs(spark, sf_dir):
-    """Each user asks for the logs of the events they caused."""
-    logs = event_logs(spark, sf_dir).select("log_id", "ts")
+    """Logs are masked and encrypted; each user asks for those of the events
+    they caused, and who may read them gets them opened."""
+    logs = event_logs(spark, sf_dir).select("log_id", micros().alias("ts_us"), "message")
+    sealed = SE.secure_logs(logs, _key(), F.lit("2024-01-31T00:00:00"), "log_id")
     requests = table(spark, sf_dir, "events").select(
         F.concat(F.lit("u"), (F.col("user_id") % 50).cast("string")).alias("user"), F.col("event_id").alias("log_id")
     )
-    found = AC.readable_logs(logs, requests, AC.current_grants(operations(spark, sf_dir)))
-    return found.select("log_id", "user", micros().alias("ts_us"))
+    grants = AC.current_grants(operations(spark, sf_dir))
+    found = AC.readable_logs(sealed, requests, grants, _key(), "ts_us bigint, message string")
+    return found.select("log_id", "user", "ts_us", F.md5("message").alias("message_md5"))

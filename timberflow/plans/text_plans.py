@@ -170,8 +170,10 @@ def redact_variant_values(spark, sf_dir):
     )
 
 
-def _mask_sql() -> str:
-    steps = ["m0 AS (SELECT doc_id, text AS t0 FROM documents)"]
+def _mask_steps(source: str) -> str:
+    """Common table expressions m0 to m8: ``source`` (doc_id, t0) masked rule by
+    rule."""
+    steps = [f"m0 AS ({source})"]
     for n, (_kind, pattern, _trigger, grouped) in enumerate(R.SENSITIVE_PATTERNS):
         regex = "(?i)" + pattern
         hidden = f"regexp_extract({{h}}, {_quote(regex)}, 1)" if grouped else "{h}"
@@ -179,7 +181,11 @@ def _mask_sql() -> str:
         steps.append(
             f"m{n + 1} AS (SELECT doc_id, CASE WHEN regexp_matches(t{n}, {_quote(regex)}) THEN {body} ELSE t{n} END AS t{n + 1} FROM m{n})"
         )
-    return "WITH " + ",\n".join(steps)
+    return ",\n".join(steps)
+
+
+def _mask_sql() -> str:
+    return "WITH " + _mask_steps("SELECT doc_id, text AS t0 FROM documents")
 
 
 @query("mask_sensitive", _mask_sql() + " SELECT doc_id, md5(t8) AS text_md5 FROM m8")

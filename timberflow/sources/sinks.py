@@ -216,11 +216,13 @@ def write_incidents(incidents: DataFrame, path: str) -> None:
     fresh.write.mode("append").parquet(path)
 
 
-def write_archive(logs: DataFrame, path: str, ts: str = "ts") -> None:
-    """Append every log, repeats included, to a folder per day."""
-    logs.withColumn("day", F.coalesce(F.to_date(ts), F.lit("1970-01-01").cast("date"))).write.mode(
-        "append"
-    ).partitionBy("day").parquet(path)
+def write_archive(logs: DataFrame, path: str, ts: str = "ts", batch: int | None = None) -> None:
+    """Every log, repeats included, in a folder per day (1970-01-01 without a
+    time). With a ``batch`` number the logs are that batch's folder, which a
+    repeated job replaces; without one they are appended each time."""
+    rows = logs.withColumn("day", F.coalesce(F.to_date(ts), F.lit("1970-01-01").cast("date")))
+    mode, folder = ("append", path) if batch is None else ("overwrite", f"{path}/batch={batch:020d}")
+    rows.write.mode(mode).partitionBy("day").parquet(folder)
 
 
 def retained(archive: DataFrame, now: Column, hours: int = RETENTION_HOURS, ts: str = "ts") -> DataFrame:

@@ -12,7 +12,7 @@ from timberflow.operators.embedding import Embedder, embed_texts, hashing_embedd
 from timberflow.operators.search import nearest
 from timberflow.session import durable
 from timberflow.sources.records import accepted, ingest_payloads, rejects
-from timberflow.sources.sinks import compact_clusters, latest_snapshot, upsert_clusters
+from timberflow.sources.sinks import compact_clusters, latest_snapshot, upsert_clusters, write_archive
 
 
 # Batches between two snapshots of the cluster table.
@@ -99,8 +99,7 @@ def ingest_batch(
     folder = f"batch={batch_id:020d}"
     rejects(rows).write.mode("overwrite").parquet(f"{tables.rejects}/{folder}")
     logs = accepted(rows)
-    day = F.coalesce(F.to_date("ts"), F.lit("1970-01-01").cast("date"))
-    logs.withColumn("day", day).write.mode("overwrite").partitionBy("day").parquet(f"{tables.archive}/{folder}")
+    write_archive(logs, tables.archive, batch=batch_id)
 
     metadata = F.to_json("metadata_kv")
     text = semantic_text(F.col("message"), F.col("level"), F.col("service_id"), metadata)
