@@ -154,6 +154,10 @@ def test_warc_round_trip(spark):
         assert row["payload"] is None if row["record_type"] == "revisit" else bytes(row["payload"]).decode() == text
     head = spark.read.format("binaryFile").load(folder).select("content").first()[0]
     assert bytes(head[:4]) == warc.SKIPPABLE
+    rolled = workspace(spark, "warc")
+    files = warc.write_warc(pages, rolled, file_bytes=1)
+    assert files.count() == len(rows) and files.agg(F.max("n_records")).first()[0] == 1
+    assert sorted(warc.read_warc(spark, rolled, payloads=True).collect(), key=str) == sorted(got, key=str)
     size = warc.write_warc(pages, workspace(spark, "warc"), smallest=1000)
     assert size.count() > 0
     assert warc.write_warc(pages.limit(0), workspace(spark, "warc")).count() == 0

@@ -18,7 +18,7 @@ from timberflow.llm.chunks import ChunkEncoder
 from timberflow.llm.labelled import Sample, labelled_sample
 from timberflow.llm.simple8b import pack, unpack
 from timberflow.llm.texts import plain, words
-from timberflow.llm.token_counts import count_tokens, read_cache
+from timberflow.llm.token_counts import cache_folder, count_tokens, read_cache
 from timberflow.llm.token_files import TokenFile, read_token_files, write_token_files
 from timberflow.session import workspace
 
@@ -81,6 +81,17 @@ def test_token_counts_and_cache(spark, docs, library):
     count_tokens(docs, WORD, path).count()
     assert read_cache(spark, path).count() == 2 * stored  # another tokenizer has its own counts
     assert count_tokens(docs.limit(0), BYTE, workspace(spark, "cache")).count() == 0
+    few = count_tokens(docs.filter("doc_id < 5"), BYTE, path)  # a cache larger than the table
+    assert sorted(few.collect(), key=str) == sorted((r for r in rows if r["doc_id"] is not None and r["doc_id"] < 5), key=str)
+
+
+def test_cache_folder_is_found_again(spark):
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    first, second = cache_folder(spark, "counts"), cache_folder(spark, "counts")
+    if shared:
+        assert first == second == f"{shared.rstrip('/')}/counts"
+    else:
+        assert first != second  # without a shared folder a new one each time
 
 
 def test_pair_index_equals_the_library(spark, docs, library):
@@ -138,6 +149,15 @@ def test_token_files(spark, docs, library):
     read = lambda f: {r["path"].split("/")[-1]: bytes(r["content"]) for r in spark.read.format("binaryFile").load(f).collect()}
     first = read(folder)
     assert first and first == read(again)  # the same rows give the same files
+    # a tiny bound gives several files per range and the same documents
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        rolled = workspace(spark, "files")
+        files = write_token_files(docs, BYTE, rolled, partitions=2, file_ids=1)
+        assert files.count() > 4 and files.agg(F.max("n_docs")).first()[0] <= 2
+        assert read_token_files(spark, rolled, files).orderBy("start").collect() == rows
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     file = TokenFile(next(iter(first.values())))
     assert (file.ids(1, 3) == file.ids(0, file.n_ids)[1:3]).all()
     empty = workspace(spark, "files")

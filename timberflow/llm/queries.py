@@ -10,7 +10,7 @@ from timberflow.llm import decontaminate, language, prefix_trie, quality, toxici
 from timberflow.llm.collocations import collocations
 from timberflow.llm.near_dedup import near_duplicates
 from timberflow.llm.sentence_pieces import encode_pieces
-from timberflow.llm.token_counts import count_tokens
+from timberflow.llm.token_counts import cache_folder, count_tokens
 from timberflow.llm.token_files import read_token_files, write_token_files
 from timberflow.llm.url_filter import Rule, filter_urls
 from timberflow.plans.registry import table
@@ -35,7 +35,7 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(prepare(spark), sf_dir, "documents")
-    return count_tokens(docs, BYTE_BPE, workspace(spark, "token-counts"))
+    return count_tokens(docs, BYTE_BPE, cache_folder(spark, "token-counts"))
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

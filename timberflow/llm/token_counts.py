@@ -16,7 +16,7 @@ from pyspark.errors import AnalysisException
 
 from timberflow.llm.chunks import digest_of, encoder
 from timberflow.llm.texts import plain, slices
-from timberflow.session import stored
+from timberflow.session import stored, workspace
 
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens bigint"
 
@@ -31,6 +31,13 @@ def read_cache(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
+def cache_folder(spark: SparkSession, name: str) -> str:
+    """A folder that later runs find again: ``name`` below the shared
+    ``spark.checkpoint.dir``; where that is unset, a new one for this run."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return f"{shared.rstrip('/')}/{name}" if shared else workspace(spark, name)
+
+
 def exact(text: Column) -> Column:
     """The normal form that keeps every count: nulls become empty texts."""
     return F.coalesce(text, F.lit(""))
@@ -55,7 +62,8 @@ def count_tokens(
 
     Text moves only once, and only for missing digests: of each one the row
     with the smallest id is picked on digests alone, so copies of a text, even
-    a third of all rows, never meet in a task.
+    a third of all rows, never meet in a task. Of the cache only the rows of
+    this table's digests are grouped.
     """
     spark = docs.sparkSession
     version = digest_of(tokenizer_path)
@@ -65,10 +73,12 @@ def count_tokens(
         F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"),
         F.octet_length(text).cast("bigint").alias("n_bytes"),
     )
-    wanted = keyed.groupBy("digest").agg(F.min("__id").alias("__id"))
+    keyed = stored(keyed, "digests")
+    digests = keyed.groupBy("digest").agg(F.min("__id").alias("__id"))
+    wanted = digests
     cache = read_cache(spark, cache_path)
     if cache is not None:
-        wanted = wanted.join(cache.filter(F.col("tokenizer") == version).select("digest"), "digest", "left_anti")
+        wanted = digests.join(cache.filter(F.col("tokenizer") == version).select("digest"), "digest", "left_anti")
     texts = docs.select(
         F.col(id_col).alias("__id"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"), text.alias("__text")
     )
@@ -89,6 +99,7 @@ def count_tokens(
     counts = (
         read_cache(spark, cache_path)
         .filter(F.col("tokenizer") == version)
+        .join(digests.select("digest"), "digest", "left_semi")
         .groupBy("digest")
         .agg(F.max("n_tokens").alias("n_tokens"))
     )

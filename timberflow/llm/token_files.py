@@ -26,6 +26,9 @@ from timberflow.session import stored
 MAGIC = b"S8TOKEN1"
 BLOCK = 1 << 16
 SUFFIX = ".s8tok"
+#: A file ends with the slice of texts that brings it to so many ids (about 64
+#: MB of words); a reader holds one file at a time.
+FILE_IDS = 1 << 25
 
 
 def file_parts(rows: Iterator[tuple[pa.Array, np.ndarray, np.ndarray]], header: dict, total: list[int]) -> Iterator[bytes]:
@@ -104,10 +107,12 @@ def write_token_files(
     id_col: str = "doc_id",
     text_col: str = "text",
     partitions: int | None = None,
+    file_ids: int = FILE_IDS,
 ) -> DataFrame:
     """Encode every text, append ``end_id``, and write ids in ascending
-    ``id_col`` order, one file per range of ids. Returns the manifest, one row
-    per file: file (name), file_no, n_tokens, n_docs.
+    ``id_col`` order, one file or more per range of ids, each of ``file_ids`` ids
+    and one slice of texts at most. Returns the manifest, one row per file: file
+    (name; names ascend with the ids), file_no (of the range), n_tokens, n_docs.
 
     Null ids come first; equal ids are ordered by a hash of their texts, then
     by the texts, so the files are the same each time. Null texts count as
@@ -122,25 +127,29 @@ def write_token_files(
     ordered = rows.repartitionByRange(count, "__id", "__h").sortWithinPartitions("__id", "__h", "__text")
 
     def write(batches):
-        number, total = TaskContext.get().partitionId(), [0, 0]
+        number, roll = TaskContext.get().partitionId(), 0
         parts = iter(slices(batches, "__text"))
-        first = next(parts, None)
-        if first is None:
-            return
+        part = next(parts, None)
 
         def encoded():
-            part = first
-            while part is not None:
+            """Slices up to the end of a file."""
+            nonlocal part
+            held = 0
+            while part is not None and held < file_ids:
                 ids, bounds = encoder(tokenizer_path).encode(plain(part.column("__text")))
                 yield part.column("__id"), np.insert(ids, bounds[1:], end_id), bounds + np.arange(len(bounds))
+                held += int(bounds[-1]) + len(bounds) - 1
                 part = next(parts, None)
 
-        name = f"part-{number:08d}{SUFFIX}"
-        put(folder, name, file_parts(encoded(), {"tokenizer": version, "end_id": end_id, "block": BLOCK}, total))
-        yield pa.RecordBatch.from_pydict(
-            {"file": pa.array([name]), "file_no": pa.array([number], pa.int64())}
-            | {k: pa.array([v], pa.int64()) for k, v in zip(("n_tokens", "n_docs"), total, strict=True)}
-        )
+        while part is not None:
+            total = [0, 0]
+            name = f"part-{number:08d}-{roll:06d}{SUFFIX}"
+            put(folder, name, file_parts(encoded(), {"tokenizer": version, "end_id": end_id, "block": BLOCK}, total))
+            yield pa.RecordBatch.from_pydict(
+                {"file": pa.array([name]), "file_no": pa.array([number], pa.int64())}
+                | {k: pa.array([v], pa.int64()) for k, v in zip(("n_tokens", "n_docs"), total, strict=True)}
+            )
+            roll += 1
 
     schema = "file string, file_no bigint, n_tokens bigint, n_docs bigint"
     return stored(ordered.select("__id", "__text").mapInArrow(write, schema), "token-manifest")
@@ -183,6 +192,6 @@ def read_token_files(spark: SparkSession, folder: str, manifest: DataFrame, id_c
 
     rows = files.mapInArrow(read, f"file string, {id_col} bigint, place bigint, ids binary")
     # one row per file: a running sum over them is small
-    before = F.sum("n_tokens").over(W.orderBy("file_no")) - F.col("n_tokens")
+    before = F.sum("n_tokens").over(W.orderBy("file")) - F.col("n_tokens")
     starts = manifest.select("file", before.alias("before"))
     return rows.join(starts, "file").select(id_col, (F.col("before") + F.col("place")).alias("start"), "ids")

@@ -28,6 +28,8 @@ SUFFIX = ".warc.zst"
 
 DICTIONARY_BYTES = 64 << 10
 SAMPLE_ROWS, SAMPLE_BYTES = 2_000, 16 << 20
+#: A file ends with the record that brings it to so many bytes before compression.
+FILE_BYTES = 256 << 20
 LEVEL = 3
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 SCHEMA = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
@@ -124,9 +126,11 @@ def write_warc(
     payload_col: str = "html",
     date: str = "2024-01-01T00:00:00Z",
     smallest: int = 0,
+    file_bytes: int = FILE_BYTES,
 ) -> DataFrame:
-    """Write a record per row of ``pages``, a file per partition of page ids;
-    returns the manifest (file, n_records, n_bytes), a row per file.
+    """Write a record per row of ``pages``, a file or more per partition of page
+    ids, each ending with the record that brings it to ``file_bytes`` before
+    compression; returns the manifest (file, n_records, n_bytes), a row per file.
 
     Of records with equal payloads of at least ``smallest`` bytes the one with
     the largest id is the response, the others refer to it; smaller ones are
@@ -153,24 +157,33 @@ def write_warc(
     dealt = dealt.sortWithinPartitions("page_id", F.xxhash64("payload"), "url")
 
     def write(batches):
-        number, total = TaskContext.get().partitionId(), [0]
-        parts = slices(batches, "payload")
-        first = next(parts, None)
-        if first is None:
-            return
+        number, roll = TaskContext.get().partitionId(), 0
 
         def records():
-            part = first
-            while part is not None:
+            for part in slices(batches, "payload"):
                 for row in part.to_pylist():
                     payload = row["payload"].encode()
-                    total[0] += 1
                     yield record(row["page_id"], row["url"], payload, payload_digest(payload), date, row["last"], row["last"] is not None)
-                part = next(parts, None)
 
-        name = f"pages-{number:08d}{SUFFIX}"
-        size = put(folder, name, file_parts(dictionary, records()))
-        yield pa.RecordBatch.from_pydict({"file": [name], "n_records": [total[0]], "n_bytes": [size]})
+        waiting = records()
+        upcoming = next(waiting, None)
+        count = 0
+
+        def of_file():
+            nonlocal upcoming, count
+            held = count = 0
+            while upcoming is not None and held < file_bytes:
+                data = upcoming
+                held += len(data)
+                count += 1
+                yield data
+                upcoming = next(waiting, None)
+
+        while upcoming is not None:
+            name = f"pages-{number:08d}-{roll:06d}{SUFFIX}"
+            size = put(folder, name, file_parts(dictionary, of_file()))
+            yield pa.RecordBatch.from_pydict({"file": [name], "n_records": [count], "n_bytes": [size]})
+            roll += 1
 
     return stored(dealt.mapInArrow(write, "file string, n_records bigint, n_bytes bigint"), "warc-manifest")
 
