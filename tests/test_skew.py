@@ -124,12 +124,30 @@ def test_percentiles_are_exact_with_heavy_ties(spark):
     values = [1.0] * 700 + [rng.random() * 100 for _ in range(1300)]
     rows = [("hot", v) for v in values] + [("one", 5.0)] + [("few", float(v)) for v in range(20)]
     df = spark.createDataFrame(rows, "operation string, latency_ms double")
-    got = {r.operation: (r.p95, r.p99, r.p50) for r in S.ranked_values(df, "operation", "latency_ms", {"p95": 0.95, "p99": 0.99, "p50": 0.5}, accuracy=50).collect()}
+    got = {r.operation: (r.p95, r.p99, r.p50) for r in S.ranked_values(df, "operation", "latency_ms", {"p95": 0.95, "p99": 0.99, "p50": 0.5}).collect()}
     for key in ("hot", "one", "few"):
         ordered = sorted(v for k, v in rows if k == key)
         assert got[key] == tuple(ordered[int(len(ordered) * p)] for p in (0.95, 0.99, 0.5))
 
 
+def test_percentiles_read_their_input_once(spark):
+    """The answer is read from the histogram alone, and keys or values that are
+    null have a defined result."""
+    rows = [(None, 3.0), (None, 1.0), ("a", None), ("a", 2.0), ("a", 2.0), ("a", -0.5), ("none", None)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    df = spark.createDataFrame(rows, "operation string, latency_ms double").repartition(3).mapInArrow(counted, "operation string, latency_ms double")
+    got = S.ranked_values(df, "operation", "latency_ms", {"low": 0.0, "mid": 0.5, "top": 0.99})
+    assert {tuple(r) for r in got.collect()} == {(None, 1.0, 3.0, 3.0), ("a", -0.5, 2.0, 2.0)}
+    assert seen.value == len(rows)
+    assert S.ranked_values(df.limit(0), "operation", "latency_ms", {"mid": 0.5}).count() == 0
+
+
 def planted(spark, groups, copies, noise, width=32, seed=5):
     """``groups`` directions with ``copies`` near copies each (the first group
     has ten times as many), plus one equal vector per group."""

@@ -436,19 +436,20 @@ def suggest_format(df: DataFrame, column: str = "value") -> DataFrame:
 
 
 def batch_report(parsed: DataFrame) -> DataFrame:
-    """One row: totals and lines per winning format."""
-    usage = (
-        parsed.filter("parser_used is not null")
-        .groupBy("parser_used")
-        .count()
-        .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("parser_used", "count")))))
+    """One row: totals and lines per winning format. Lines are counted per
+    format first, so they are parsed once and a handful of rows is summed."""
+    lines = parsed.groupBy("parser_used").agg(
+        F.count("*").alias("lines"), F.count_if("success").alias("good"), F.count_if(~F.col("success")).alias("bad")
+    )
+    used = F.when(F.col("parser_used").isNotNull(), F.struct("parser_used", F.col("lines").alias("count")))
+    total = {name: F.coalesce(F.sum(name), F.lit(0)) for name in ("lines", "good", "bad")}
+    return lines.agg(
+        total["lines"].alias("total_lines"),
+        total["good"].alias("successfully_parsed"),
+        total["bad"].alias("failed_to_parse"),
+        F.coalesce(F.try_divide(F.sum("good"), F.sum("lines")), F.lit(0.0)).alias("success_rate"),
+        F.map_from_entries(F.array_sort(F.collect_list(used))).alias("parser_usage"),
     )
-    return parsed.agg(
-        F.count("*").alias("total_lines"),
-        F.count_if("success").alias("successfully_parsed"),
-        F.count_if(~F.col("success")).alias("failed_to_parse"),
-        F.coalesce(F.try_divide(F.count_if("success"), F.count("*")), F.lit(0.0)).alias("success_rate"),
-    ).withColumn("parser_usage", usage.scalar())
 
 
 def parser_usage(parsed: DataFrame) -> DataFrame:

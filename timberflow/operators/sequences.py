@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from timberflow.session import stored
+
 
 def running_offsets(counts: DataFrame, key: str, slot: str, size: str, fan: int = 1000) -> DataFrame:
     """``offset`` = rows in earlier slots of the same key.
@@ -124,69 +126,53 @@ def moving_frame(
     )
 
 
-def ranked_values(
-    df: DataFrame, key: str, value: str, fractions: dict[str, float], accuracy: int = 10_000
-) -> DataFrame:
+def ranked_values(df: DataFrame, key: str, value: str, fractions: dict[str, float]) -> DataFrame:
     """Exact ``sorted(values)[int(n * p)]`` per key, for each named fraction.
+    Null values do not count; a key without values gives no row.
 
-    A sketch brackets the wanted position; exact counts below and inside the
-    bracket then say which of the three ranges holds it, and only that range
-    (about 2/accuracy of the rows) is collapsed to distinct values and walked
-    in order. The answer is exact even when the sketch is off.
+    One pass collapses the rows to counts per distinct (key, value), which are
+    dealt by range of (key, value) and written with the number of their range.
+    Sums per (key, range) tell which range holds each position, and only those
+    ranges are walked in order. Every fraction uses the same table, a hot key is
+    spread over its ranges, and a value however frequent is one row.
     """
-    slack = 2.0 / accuracy
-    stats = df.groupBy(key).agg(
-        F.count(value).alias("__n"),
-        *[
-            F.percentile_approx(value, [max(0.0, p - slack), min(1.0, p + slack)], accuracy).alias(f"__b_{name}")
-            for name, p in fractions.items()
-        ],
-    )
-    # One small row per (key, name): the 1-based target and its bracket.
-    targets = stats.select(
-        key,
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(name).alias("name"),
-                        (F.floor(F.col("__n") * F.lit(p)) + 1).alias("target"),
-                        F.col(f"__b_{name}")[0].alias("low"),
-                        F.col(f"__b_{name}")[1].alias("high"),
-                    )
-                    for name, p in fractions.items()
-                ]
-            )
-        ).alias("t"),
-    ).select(key, "t.*")
-    placed = df.filter(F.col(value).isNotNull()).select(key, value).join(targets, key).withColumn(
-        "range", F.when(F.col(value) < F.col("low"), 0).when(F.col(value) <= F.col("high"), 1).otherwise(2)
-    )
-    sizes = placed.groupBy(key, "name", "target").agg(
-        *[F.count_if(F.col("range") == r).alias(f"r{r}") for r in range(3)]
-    )
-    chosen = sizes.select(
-        key,
-        "name",
-        F.when(F.col("target") <= F.col("r0"), 0)
-        .when(F.col("target") <= F.col("r0") + F.col("r1"), 1)
-        .otherwise(2)
-        .alias("range"),
-        F.when(F.col("target") <= F.col("r0"), F.col("target"))
-        .when(F.col("target") <= F.col("r0") + F.col("r1"), F.col("target") - F.col("r0"))
-        .otherwise(F.col("target") - F.col("r0") - F.col("r1"))
-        .alias("position"),
-    )
-    distinct_values = (
-        placed.join(chosen, [key, "name", "range"])
-        .groupBy(key, "name", "position", value)
+    spread = (
+        df.filter(F.col(value).isNotNull())
+        .groupBy(F.col(key).alias("__key"), F.col(value).alias("__value"))
         .agg(F.count("*").alias("__copies"))
+        .repartitionByRange("__key", "__value")
+        .withColumn("__range", F.spark_partition_id())
+    )
+    histogram = stored(spread, "histogram")
+    by_key = W.partitionBy("__key")
+    sizes = (
+        histogram.groupBy("__key", "__range")
+        .agg(F.sum("__copies").alias("__size"))
+        .withColumns(
+            {
+                "__before": F.sum("__size").over(by_key.orderBy("__range")) - F.col("__size"),
+                "__n": F.sum("__size").over(by_key),
+            }
+        )
     )
-    order = W.partitionBy(key, "name").orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
-    hit = distinct_values.withColumn("__through", F.sum("__copies").over(order)).filter(
-        (F.col("position") <= F.col("__through"))
-        & (F.col("position") > F.col("__through") - F.col("__copies"))
-    )
-    return hit.groupBy(key).agg(
-        *[F.max(F.when(F.col("name") == name, F.col(value))).alias(name) for name in fractions]
+    wanted = [
+        F.struct(F.lit(name).alias("name"), (F.floor(F.col("__n") * F.lit(p)) + 1 - F.col("__before")).alias("place"))
+        for name, p in fractions.items()
+    ]
+    # One row per (key, name): the range and the 1-based place in it.
+    places = (
+        sizes.withColumn("__want", F.explode(F.array(*wanted)))
+        .filter("__want.place BETWEEN 1 AND __size")
+        .select("__key", "__range", "__want.name", "__want.place")
+        .withColumnRenamed("__key", "__of")
+        .withColumnRenamed("__range", "__in")
+    )
+    through = F.sum("__copies").over(W.partitionBy("__key", "__range", "name").orderBy("__value"))
+    hit = (
+        histogram.join(places, F.col("__key").eqNullSafe(F.col("__of")) & (F.col("__range") == F.col("__in")))
+        .withColumn("__through", through)
+        .filter("place <= __through AND place > __through - __copies")
+    )
+    return hit.groupBy(F.col("__key").alias(key)).agg(
+        *[F.max(F.when(F.col("name") == name, F.col("__value"))).alias(name) for name in fractions]
     )
