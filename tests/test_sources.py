@@ -1,4 +1,5 @@
 import json
+import random
 import tempfile
 
 from pyspark.sql import functions as F
@@ -238,3 +239,60 @@ def test_upsert_reads_touched_buckets_only(spark):
     got = {r.cluster_id for r in SK.latest_snapshot(spark, path, buckets=[5]).collect()}
     every = cluster_rows(spark, 0, range(300)).withColumn("b", F.pmod(F.xxhash64("cluster_id"), F.lit(SK.CLUSTER_BUCKETS)))
     assert got and got == {r.cluster_id for r in every.filter("b = 5").collect()}
+
+
+def any_value(value):
+    """The wire form of a plain value."""
+    if isinstance(value, bool):
+        return {"boolValue": value}
+    if isinstance(value, int):
+        return {"intValue": str(value)}
+    if isinstance(value, float):
+        return {"doubleValue": value}
+    if isinstance(value, str):
+        return {"stringValue": value}
+    if isinstance(value, list):
+        return {"arrayValue": {"values": [any_value(v) for v in value]}}
+    if isinstance(value, dict):
+        return {"kvlistValue": {"values": [{"key": k, "value": any_value(v)} for k, v in value.items()]}}
+    return {}
+
+
+def nested(rng, depth):
+    if depth == 0 or rng.random() < 0.2:
+        return rng.choice([7, -1, True, "a\"\\\n\x00\x01é", "", 2.5, "x,y", 123456789012345678])
+    if rng.random() < 0.5:
+        return [nested(rng, depth - 1) for _ in range(rng.randrange(3))]
+    return {f"k{n}\t": nested(rng, depth - 1) for n in range(rng.randrange(3))}
+
+
+def test_otlp_values_of_any_depth(spark):
+    rng = random.Random(5)
+    values = [[nested(rng, 6)] for _ in range(150)] + [[[[[[[[1]]]]]]], {"a": {"b": {"c": {"d": [{}]}}}}]
+    # the last of equal keys wins, and marks in a plain text are just text
+    rows = [
+        json.dumps(one_record({"body": any_value(v), "attributes": [text("v", "\x00[1]\x01"), {"key": "w", "value": any_value(v)}, text("w", "x"), {"key": "w", "value": any_value([v])}]}))
+        for v in values
+    ]
+    df = spark.createDataFrame(list(enumerate(rows)), "record_id int, value string")
+    got = {int(r.record_id.split("/")[0]): r for r in OT.flatten_payloads(df).collect()}
+    plain = lambda v: json.loads(json.dumps(v))
+    for n, value in enumerate(values):
+        assert json.loads(got[n].raw) == plain(value)
+        assert json.loads(got[n].metadata_kv["w"]) == plain([value]) and got[n].metadata_kv["v"] == "\x00[1]\x01"
+
+
+def test_otlp_deep_values_equal_shallow_ones(spark):
+    """What Python decodes far down reads as what expressions decode on top."""
+    numbers = ["1", " 12 ", "+5", "1.5", "x", "9223372036854775808", "", "1e5", "0.0001", "-12345678.25", "1e300", "0", "-0.0", "100", "9999999.5", "0.001"]
+    odd = [{kind: n} for kind in ("intValue", "doubleValue") for n in numbers]
+    odd += [{kind: n} for kind in ("intValue", "doubleValue") for n in (3, 2.5, 1e22, 1e-7, True, [1], {"a": 1})]
+    odd += [{"stringValue": v} for v in (None, 5, "\x1f\x7f ", ["a"])] + [{"boolValue": v} for v in (None, "x", False)]
+    odd += [{"arrayValue": v} for v in (None, {}, {"values": None}, {"values": 3}, [{"intValue": 1}], {"values": [None, 3, "s"]})]
+    odd += [{"kvlistValue": v} for v in (None, {}, {"values": 3}, {"values": [3]}, {"values": [None]}, {"values": [{"key": None, "value": {}}, {"key": "k"}, {"value": {"intValue": 1}}]}, [{"key": 5, "value": {"boolValue": True}}])]
+    odd += [None, 3, 2.50, "s", True, {}, {"b": 1, "a": [1.0, None]}, [1, {"z": 1}]]
+    wrapped = [{"arrayValue": {"values": [{"arrayValue": {"values": [{"arrayValue": {"values": [v]}}]}}]}} for v in odd]
+    frame = spark.createDataFrame([(n, json.dumps(a), json.dumps(b)) for n, (a, b) in enumerate(zip(odd, wrapped))], "n int, a string, b string")
+    deep = F.get(OT.decode_marked(F.array(OT.any_value_json(F.parse_json("b")))), F.lit(0))
+    for r in frame.select("n", OT.any_value_json(F.parse_json("a"), 3).alias("a"), deep.alias("b")).collect():
+        assert r.b == f"[[[{r.a}]]]", (odd[r.n], r.a, r.b)
