@@ -40,6 +40,7 @@ HEADLINE = (
 
 def main() -> None:
     from timberflow.plans import QUERIES
+    from timberflow.plans.registry import INPUT_PARTITIONS
     from timberflow.session import build_session
 
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -50,6 +51,7 @@ def main() -> None:
         "timberflow-bench",
         **{
             "spark.sql.shuffle.partitions": cpus if cpus.isdigit() else "8",
+            INPUT_PARTITIONS: cpus if cpus.isdigit() else "8",  # a table is one file of one row group
             "spark.driver.memory": "16g",
             "spark.ui.showConsoleProgress": "false",
         },

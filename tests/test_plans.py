@@ -54,3 +54,15 @@ def test_pinned_columns_let_other_filters_through(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", F.col("text").alias("value"))
     plan = parse_lines(docs).filter("doc_id = 3")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(doc_id,3)" in plan
+
+
+def test_input_is_dealt_by_setting_alone(spark):
+    from timberflow.plans.registry import INPUT_PARTITIONS, spread
+
+    one = spark.range(0, 10, 1, 1)
+    assert spread(one).rdd.getNumPartitions() == 1
+    spark.conf.set(INPUT_PARTITIONS, "3")
+    try:
+        assert spread(one).rdd.getNumPartitions() == 3
+    finally:
+        spark.conf.unset(INPUT_PARTITIONS)

@@ -11,6 +11,8 @@ from timberflow.session import prepare
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+INPUT_PARTITIONS = "spark.timberflow.inputPartitions"
+
 
 def query(name: str, sql: str | None = None):
     """Register ``build(spark, sf_dir)`` and, if given, its SQL twin."""
@@ -34,11 +36,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Input of fewer partitions than cores, spread over the cores before
-    costly per-row work. Such an input is at most one scan split per core, so
-    this exchange is small by construction; a larger one is left as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """``df`` dealt over as many partitions as ``spark.timberflow.inputPartitions``
+    says, before costly per-row work; as the scan splits it where that is unset.
+    To be set where a table is a few unsplittable files, as in the bench."""
+    parts = df.sparkSession.conf.get(INPUT_PARTITIONS, None)
+    return df.repartition(int(parts)) if parts else df
 
 
 def micros(column: str | Column = "ts") -> Column:
