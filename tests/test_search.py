@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from timberflow.operators.search import _Split, nearest, top_k
+from timberflow.operators.search import _dealing, _Split, nearest, top_k
 from timberflow.sources.records import batch_errors, batch_records
 
 
@@ -96,6 +96,36 @@ def test_pivots_lose_nothing():
                 assert abs(cosine(queries[q], vectors[i]) + score) < 1e-8 and (not scoped or not wanted[q] or scopes[i] == wanted[q])
 
 
+def test_queries_meet_rows_of_their_scope_only():
+    draw = np.random.default_rng(6)
+    base, queries = draw.normal(size=(2000, 16)), draw.normal(size=(50, 16))
+    scopes = ["abcde"[i % 5] for i in range(2000)]
+    split = held(base.tolist(), list(range(2000)), 4, scopes)
+    got = asked(split, queries.tolist(), ["c"] * 50)
+    scores = queries @ base.T / np.linalg.norm(queries, axis=1)[:, None] / np.linalg.norm(base, axis=1)
+    for q in range(50):
+        own = scores[q, 2::5]
+        assert [i for _, i in got[q]] == (2 + 5 * np.argsort(-own, kind="stable")[:4]).tolist()
+    assert split.compared <= 1.1 * 50 * 400
+
+
+def test_equal_vectors_are_compared_k_times():
+    draw = np.random.default_rng(7)
+    base = [[1.0, 2.0, 0.5]] * 3000 + draw.normal(size=(20, 3)).tolist()
+    ids = draw.permutation(len(base)).tolist()
+    split = held(base, ids, 3)
+    got = asked(split, [[2.0, 4.0, 1.0]] * 40)
+    assert all([i for _, i in got[q]] == sorted(ids[:3000])[:3] for q in range(40))
+    assert split.compared <= 40 * 60
+
+
+def test_neither_side_is_sent_to_every_task(spark):
+    for n, tasks, split in ((615_000, 200, 1 << 16), (615_000, 200, 300), (50_000, 200, 300)):
+        splits, blocks = _dealing(tasks, split)
+        row = spark.createDataFrame([(n,)], "n_base long").withColumn("splits", splits).withColumn("blocks", blocks).first()
+        assert row.splits <= 16 and row.blocks <= 20 and row.splits * row.blocks >= tasks and n / row.splits <= 1 << 16
+
+
 def test_nearest_of_empty_tables(spark):
     logs = spark.createDataFrame([(1, [1.0])], "log_id int, vector array<double>")
     asked = spark.createDataFrame([("q", [1.0])], "query_id string, query_vector array<double>")

@@ -10,16 +10,20 @@ ids and scores leave a split, and the payload joins the final ranks.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from timberflow.functions.services import SERVICE_ID_PATTERN, UNKNOWN_SERVICE, valid_service_id
 
 SPLIT, SMALL_SPLIT = 1 << 16, 1 << 10  # base rows that a task holds: at most about, and worth a task of their own
 SCORES = 4_000_000  # numbers in one matrix of scores
+QUERIES = 1 << 10  # that are compared at a time
+DENSE = 0.2  # share of the pairs from which one product of all is cheaper than products by pivot
 SLACK = 1e-9  # of bounds, for rounding
 
 
@@ -53,14 +57,6 @@ def _cosines(rows: pa.Array, queries: dict[int, tuple[np.ndarray, np.ndarray]],
     return scores
 
 
-def _best(found: pa.Table, k: int) -> pa.Table:
-    """The k best rows (``query`` place, ``id``, ``score``) of each query."""
-    ids = found["id"].to_numpy(zero_copy_only=False)
-    order = np.lexsort((ids, -found["score"].to_numpy(), found["query"].to_numpy()))
-    query = found["query"].to_numpy()[order]
-    return found.take(pa.array(order[np.arange(len(order)) - np.searchsorted(query, query) < k]))
-
-
 def _candidates(scores: np.ndarray, k: int, slack: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
     """Rows and queries of the k best finite scores; with ties at the k-th."""
     wanted = np.isfinite(scores)
@@ -84,6 +80,9 @@ class _Group:
             angle[at : at + step] = np.arccos(np.clip(scores.max(1), -1, 1))
         order = np.argsort(nearest, kind="stable")
         self.place, self.unit = place[order], unit[order]
+        self.small = self.unit.astype("float32")
+        # what rounding to 32 bits can change in a product of unit vectors
+        self.slack = SLACK + 2 * (unit.shape[1] + 4) * 2.0**-24
         used, first = np.unique(nearest[order], return_index=True)
         self.pivots, self.bounds = self.pivots[used], np.append(first, len(unit))
         self.low, self.high = (f.reduceat(angle[order], first) for f in (np.minimum, np.maximum))
@@ -96,95 +95,157 @@ class _Group:
         return np.cos(np.maximum(0, np.maximum(angle - self.high, self.low - angle))) + SLACK
 
 
+class _Best:
+    """The k best rows found so far for some queries, and the score that
+    another row has to reach."""
+
+    def __init__(self, unit: np.ndarray, k: int, floor: float, rank: np.ndarray):
+        self.unit, self.k, self.floor, self.rank = unit, k, floor, rank
+        self.query, self.row, self.score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        self.kth = np.full(len(unit), floor)
+        self.waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.n_waiting = 0
+
+    def offer(self, query: np.ndarray, row: np.ndarray, score: np.ndarray) -> None:
+        good = score >= self.kth[query]
+        self.waiting.append((query[good], row[good], score[good]))
+        self.n_waiting += int(good.sum())
+        if self.n_waiting > SCORES // 8:
+            self.settle()
+
+    def meet(self, group: _Group, query: np.ndarray, at: np.ndarray) -> None:
+        """Pairs of a query and a place in the group, compared pair by pair, so
+        that equal vectors have equal scores."""
+        step = max(1, SCORES // self.unit.shape[1])
+        for i in range(0, len(query), step):
+            own, other = query[i : i + step], at[i : i + step]
+            self.offer(own, group.place[other], np.einsum("ij,ij->i", self.unit[own], group.unit[other]))
+
+    def settle(self) -> None:
+        parts = [(self.query, self.row, self.score), *self.waiting]
+        query, row, score = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((self.rank[row], -score, query))
+        query = query[order]
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        kept = place < self.k
+        self.query, self.row, self.score = query[kept], row[order][kept], score[order][kept]
+        last = place[kept] == self.k - 1
+        self.kth[self.query[last]] = np.maximum(self.floor, self.score[last])
+        self.waiting, self.n_waiting = [], 0
+
+
 class _Split:
     """The base rows that a task holds."""
 
     def __init__(self, rows: pa.Table, k: int, scoped: bool, min_score: float | None):
         rows = rows.combine_chunks()
-        self.ids, self.k = rows["id"], k
+        self.ids, self.k = rows["id"].combine_chunks(), k
+        self.rank = np.empty(len(rows), np.int64)
+        self.rank[pc.sort_indices(self.ids, null_placement="at_end").to_numpy()] = np.arange(len(rows))
         self.floor = -np.inf if min_score is None else min_score
-        self.scopes = np.array(rows["scope"].to_pylist(), object) if scoped else None
-        self.groups, self.compared = {}, 0
-        for length, (place, unit) in _by_length(rows["vector"].combine_chunks()).items():
-            some = unit.any(1)
-            if some.any():
-                self.groups[length] = _Group(place[some], unit[some])
-
-    def _mask(self, scores: np.ndarray, scopes: np.ndarray | None, place: np.ndarray) -> np.ndarray:
-        if scopes is not None:
-            scores[(scopes != "")[:, None] & (self.scopes[place][None, :] != scopes[:, None])] = -np.inf
-        scores[scores < self.floor - SLACK] = -np.inf
-        return scores
-
-    def _meet(self, unit: np.ndarray, scopes: np.ndarray | None, group: _Group | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(query, row, score) of all that may be among the k best."""
-        own = lambda q: None if scopes is None else scopes[q]
-        kth = np.full(len(unit), self.floor)
-        if group is not None:
-            reach = group.reach(unit)
-            best = np.argsort(-reach, axis=1, kind="stable")
-            sizes = np.diff(group.bounds)[best]
-            before = np.cumsum(sizes, axis=1) - sizes
-            seed = np.zeros(reach.shape, bool)  # the nearest pivots that have k rows
-            np.put_along_axis(seed, best, before < self.k, axis=1)
-            seeded: list[list[np.ndarray]] = [[] for _ in range(len(unit))]
-            for first in (True, False):
-                wanted = seed if first else ~seed & (reach >= kth[:, None])
-                for cell in np.flatnonzero(wanted.any(0)).tolist():
-                    query = np.flatnonzero(wanted[:, cell])
-                    a, b = group.bounds[cell : cell + 2]
-                    self.compared += len(query) * int(b - a)
-                    scores = self._mask(unit[query] @ group.unit[a:b].T, own(query), group.place[a:b])
-                    row, col = _candidates(scores.T, self.k, SLACK)
-                    # pair by pair, so that equal vectors have equal scores
-                    found = np.einsum("ij,ij->i", unit[query[col]], group.unit[a:b][row])
-                    row, col, found = (x[found >= self.floor] for x in (row, col, found))
+        self.scoped = scoped
+        self.of_scope: dict[str, np.ndarray] = {}
+        if scoped:
+            coded = rows["scope"].combine_chunks().dictionary_encode()
+            of_row = coded.indices.fill_null(len(coded.dictionary)).to_numpy()
+            edges = np.searchsorted(np.sort(of_row), np.arange(len(coded.dictionary) + 1))
+            by_scope = np.argsort(of_row, kind="stable")
+            self.of_scope = {name: by_scope[edges[i] : edges[i + 1]] for i, name in enumerate(coded.dictionary.to_pylist())}
+        self.units = {
+            length: (place[unit.any(1)], unit[unit.any(1)])
+            for length, (place, unit) in _by_length(rows["vector"].combine_chunks()).items()
+            if unit.any()
+        }
+        self.groups: dict[tuple[int, str], tuple[_Group | None, np.ndarray]] = {}
+        self.compared = 0
+
+    def _group(self, length: int, scope: str) -> tuple[_Group | None, np.ndarray]:
+        """The vectors of a length in a scope, and the first k of the others
+        there, which score 0. Of equal vectors the first k ids are enough."""
+        if (length, scope) not in self.groups:
+            rows = self.of_scope.get(scope, np.empty(0, np.int64)) if scope else np.arange(len(self.ids))
+            group = None
+            flat = rows
+            if length in self.units:
+                place, unit = self.units[length]
+                own = np.isin(place, rows)
+                place, unit = place[own], unit[own]
+                flat = np.setdiff1d(rows, place)
+                if len(place):
+                    order = np.argsort(self.rank[place], kind="stable")
+                    place, unit = place[order], unit[order] + 0.0
+                    same = np.unique(unit.view(f"V{8 * length}").ravel(), return_inverse=True)[1].ravel()
+                    order = np.argsort(same, kind="stable")
+                    same = same[order]
+                    kept = np.sort(order[np.arange(len(same)) - np.searchsorted(same, same) < self.k])
+                    group = _Group(place[kept], unit[kept])
+            self.groups[length, scope] = group, flat[np.argsort(self.rank[flat], kind="stable")[: self.k]]
+        return self.groups[length, scope]
+
+    def _compare(self, best: _Best, group: _Group) -> None:
+        small, unit = best.unit.astype("float32"), best.unit
+        reach = group.reach(unit)
+        sizes = np.diff(group.bounds)
+        near = np.argsort(-reach, axis=1, kind="stable")
+        before = np.cumsum(sizes[near], axis=1) - sizes[near]
+        seed = np.zeros(reach.shape, bool)  # the nearest pivots that have k rows
+        np.put_along_axis(seed, near, before < self.k, axis=1)
+        for first in (True, False):
+            wanted = seed if first else ~seed & (reach >= best.kth[:, None])
+            if not first and (wanted @ sizes).sum() > DENSE * len(unit) * len(group.unit):
+                # few are spared: all rows in blocks, but those that were compared
+                of_row = np.repeat(np.arange(len(sizes)), sizes)
+                block = max(1, SCORES // len(unit))
+                for at in range(0, len(group.unit), block):
+                    self.compared += len(unit) * len(group.unit[at : at + block])
+                    scores = small @ group.small[at : at + block].T
+                    query, row = np.divmod(np.flatnonzero(scores >= (best.kth - group.slack).astype("float32")[:, None]), scores.shape[1])
+                    new = ~seed[query, of_row[at + row]]
+                    best.meet(group, query[new], at + row[new])
+                    best.settle()
+                break
+            for cell in np.flatnonzero(wanted.any(0)).tolist():
+                query = np.flatnonzero(wanted[:, cell])
+                a, b = group.bounds[cell : cell + 2]
+                for at in range(a, b, max(1, SCORES // len(query))):
+                    block = group.small[at : min(b, at + max(1, SCORES // len(query)))]
+                    self.compared += len(query) * len(block)
+                    scores = small[query] @ block.T
                     if first:
-                        edges = np.searchsorted(np.sort(col), np.arange(len(query) + 1))
-                        by_query = found[np.argsort(col, kind="stable")]
-                        for j, q in enumerate(query.tolist()):
-                            seeded[q].append(by_query[edges[j] : edges[j + 1]])
-                    yield query[col], group.place[a:b][row], found
-                if first:
-                    for q, parts in enumerate(seeded):
-                        known = np.concatenate(parts) if parts else np.empty(0)
-                        if len(known) >= self.k:
-                            kth[q] = max(kth[q], np.partition(known, len(known) - self.k)[len(known) - self.k])
-        # rows of other lengths and without a direction score 0
-        flat = np.setdiff1d(np.arange(len(self.ids)), group.place if group is not None else [])
-        query = np.flatnonzero(kth <= 0) if self.floor <= 0 else np.empty(0, np.int64)
-        step = max(1, SCORES // max(1, len(flat)))
-        for at in range(0, len(query) if len(flat) else 0, step):
-            part = query[at : at + step]
-            scores = self._mask(np.zeros((len(part), len(flat))), own(part), flat)  # in or out of scope
-            row, col = np.nonzero(np.isfinite(scores.T))
-            yield part[col], flat[row], np.zeros(len(row))
+                        row, col = _candidates(scores.T, self.k, 2 * group.slack)
+                    else:
+                        col, row = np.nonzero(scores >= (best.kth[query] - group.slack).astype("float32")[:, None])
+                    best.meet(group, query[col], at + row)
+            best.settle()
 
     def search(self, queries: pa.Table) -> Iterator[pa.RecordBatch]:
         """query_id, id, score: the k best rows of the split for each query."""
         queries = queries.combine_chunks()
-        scopes = np.array([s or "" for s in queries["scope"].to_pylist()], object) if self.scopes is not None else None
+        scopes = np.array([s or "" for s in queries["scope"].to_pylist()] if self.scoped else [""] * len(queries), object)
         parts = []
         for length, (place, unit) in _by_length(queries["vector"].combine_chunks()).items():
             some = unit.any(1)
-            parts.append((place[some], unit[some], self.groups.get(length)))
-        flat = np.setdiff1d(np.arange(len(queries)), np.concatenate([p for p, _, _ in parts]) if parts else [])
-        parts.append((flat, np.zeros((len(flat), 1)), None))
-        for place, unit, group in parts:
-            step = max(1, SCORES // len(self.ids))
-            for at in range(0, len(place), step):
-                own = place[at : at + step]
-                best = None
-                for query, row, score in self._meet(unit[at : at + step], None if scopes is None else scopes[own], group):
-                    found = pa.table({"query": query, "id": self.ids.take(pa.array(row)), "score": score})
-                    best = found if best is None else pa.concat_tables([best, found])
-                    if len(best) > SCORES // 4:
-                        best = _best(best, self.k)
-                if best is not None and len(best):
-                    best = _best(best, self.k)
-                    names = queries["query_id"].take(pa.array(own[best["query"].to_numpy()]))
-                    out = pa.table({"query_id": names, "id": best["id"], "score": best["score"]})
-                    yield from out.combine_chunks().to_batches()
+            parts.append((length, place[some], unit[some]))
+        flat = np.setdiff1d(np.arange(len(queries)), np.concatenate([p for _, p, _ in parts]) if parts else [])
+        parts.append((0, flat, np.zeros((len(flat), 1))))
+        for length, place, unit in parts:
+            for scope in sorted(set(scopes[place].tolist())):
+                of_scope = np.flatnonzero(scopes[place] == scope)
+                group, zeros = self._group(length, scope)
+                for at in range(0, len(of_scope), QUERIES):
+                    own = of_scope[at : at + QUERIES]
+                    best = _Best(unit[own], self.k, self.floor, self.rank)
+                    if group is not None:
+                        self._compare(best, group)
+                    # rows of other lengths and without a direction score 0
+                    asking = np.flatnonzero(best.kth <= 0) if self.floor <= 0 else np.empty(0, np.int64)
+                    if len(asking) and len(zeros):
+                        best.offer(np.repeat(asking, len(zeros)), np.tile(zeros, len(asking)), np.zeros(len(asking) * len(zeros)))
+                        best.settle()
+                    if len(best.query):
+                        names = queries["query_id"].take(pa.array(place[own][best.query]))
+                        out = pa.table({"query_id": names, "id": self.ids.take(pa.array(best.row)), "score": best.score})
+                        yield from out.combine_chunks().to_batches()
 
 
 def _runs(table: pa.Table) -> Iterator[tuple[tuple[int, int, int], pa.Table]]:
@@ -195,16 +256,22 @@ def _runs(table: pa.Table) -> Iterator[tuple[tuple[int, int, int], pa.Table]]:
         yield tuple(place[:, a].tolist()), table.slice(a, b - a)
 
 
+def _dealing(tasks: int, split: int) -> tuple[Column, Column]:
+    """The numbers of splits and of blocks of queries, from ``n_base`` and
+    ``splits``. Together they fill the tasks, with about as many copies of a
+    query as of a base row, so neither side is sent to every task; a base too
+    large for tasks to hold makes more splits."""
+    few = F.least(F.lit(math.isqrt(max(1, tasks) - 1) + 1), F.ceil(F.col("n_base") / min(split, SMALL_SPLIT)))
+    splits = F.greatest(few, F.ceil(F.col("n_base") / max(split, SPLIT)), F.lit(1)).cast("int")
+    return splits, F.greatest(F.ceil(tasks / F.col("splits")), F.lit(1)).cast("int")
+
+
 def _ranked_ids(base: DataFrame, queries: DataFrame, k: int, scoped: bool, min_score: float | None, split: int) -> DataFrame:
     """query_id, id, score: the best k of each split, from ``base`` (id, vector,
     scope) and ``queries`` (query_id, vector, scope)."""
     spark = base.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # as many splits as tasks while these are worth it; a base of fewer splits
-    # is copied to fill the tasks, so that no copy depends on the queries
-    fair = F.greatest(F.least(F.lit(tasks), F.ceil(F.col("n_base") / SMALL_SPLIT)), F.ceil(F.col("n_base") / split))
-    splits = F.greatest(fair, F.lit(1)).cast("int")
-    blocks = F.greatest(F.floor(tasks / F.col("splits")), F.lit(1)).cast("int")
+    splits, blocks = _dealing(tasks, split)
 
     def dealt(rows: DataFrame) -> DataFrame:
         n = base.agg(F.count(F.lit(1))).scalar()
@@ -249,7 +316,7 @@ def _ranked_ids(base: DataFrame, queries: DataFrame, k: int, scoped: bool, min_s
     schema = T.StructType(
         [T.StructField("query_id", query_type), T.StructField("id", id_type), T.StructField("score", T.DoubleType())]
     )
-    met = asked.unionByName(held).repartition("block", "split").sortWithinPartitions("block", "split", "side")
+    met = asked.unionByName(held).repartition(tasks, "block", "split").sortWithinPartitions("block", "split", "side")
     return met.mapInArrow(search, schema)
 
 
@@ -275,13 +342,17 @@ def nearest(
     unequal length, score 0.
 
     Nothing runs while the plan is built and no query passes the driver. A
-    task holds about ``split`` base rows; a query is sent once per split. A base
-    of fewer splits than tasks is copied to fill them, whatever the queries.
+    query is sent once per split and a base row once per block of queries. There
+    are about as many splits as blocks, of ``split`` rows at least while that is
+    few, and more once a split would have more than 65,536 rows (or ``split``,
+    where that is more), which a task holds.
     Rows round a pivot are left out for a query when the triangle inequality on
     angles shows that none can reach the k-th best score found so far.
     """
     scope = F.col(scope_col) if scope_col else F.lit(None)
-    numbers = "array<double>"
+    # as they are stored, where that is half as long
+    kinds = {base.schema[vector_col].dataType.simpleString(), queries.schema[query_vector].dataType.simpleString()}
+    numbers = "array<float>" if kinds == {"array<float>"} else "array<double>"
     found = _ranked_ids(
         base.select(F.col(id_col).alias("id"), F.col(vector_col).cast(numbers).alias("vector"), scope.cast("string").alias("scope")),
         queries.select(
