@@ -282,3 +282,24 @@ def test_the_hashing_plan_keeps_the_recall_at_every_threshold():
         tables, bits = C.hashing_plan(threshold)
         agree = 1 - np.arccos(threshold) / np.pi
         assert bits >= 1 and 1 - (1 - agree**bits) ** tables >= 0.95
+
+
+def test_comparing_buckets_copies_rows_a_bounded_number_of_times():
+    """600,000 vectors in 16 buckets of each table: a bucket is three pieces,
+    not nineteen, and a task reads about 128 MB."""
+    import inspect
+
+    block = inspect.signature(C.assign_clusters).parameters["block"].default
+    assert 600_000 / 2**4 / block <= 3
+    tasks = C._tasks(600_000, 64, 18, 4, block, 12)
+    assert 600_000 * 64 * 4 * 18 * 3 / tasks <= 130 << 20
+    assert C._tasks(2000, 64, 18, 4, block, 12) is None
+
+
+def test_vectors_are_not_sent_with_every_key_to_find_its_bucket(spark):
+    rows = [(f"i{k}", k, k, [1.0, float(k)], [k % 2, 0]) for k in range(6)]
+    df = spark.createDataFrame(rows, "item string, at long, id long, vec array<float>, sigs array<long>")
+    told = C._look_back(df, df.filter("at < 0"), 0.9, 4, True)
+    lines = told._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    below = [lines[i + 1] for i, line in enumerate(lines) if "posexplode(" in line]
+    assert below and not any("vec#" in line for line in below)

@@ -17,6 +17,8 @@ from timberflow.session import stored
 # Join threshold, samples kept, summary wording and lengths.
 THRESHOLD = 0.92
 SAMPLES = 5
+BLOCK = 1 << 14  # rows of a bucket that are compared in one piece
+TASK_BYTES = 128 << 20  # vectors that a task of a comparison reads, about
 SUMMARY_PREFIXES = {
     "critical": "Critical cluster",
     "error": "Error cluster",
@@ -92,7 +94,7 @@ def _unit_rows(vectors) -> np.ndarray:
 
 
 def _look_back(
-    active: DataFrame, leaders: DataFrame | None, threshold: float, block: int, among: bool
+    active: DataFrame, leaders: DataFrame | None, threshold: float, block: int, among: bool, tasks: int | None = None
 ) -> DataFrame:
     """Per active item and cell where it has an earlier similar row of one of
     its buckets: whether one is a leader (``led``; ``parent`` is the most
@@ -101,19 +103,22 @@ def _look_back(
 
     A bucket of more than ``block`` rows is cut into blocks of active items and
     blocks of leaders; every two blocks that have something to compare meet in
-    a cell, so a cell is bounded and nothing of a bucket is left out.
+    a cell, so a cell is bounded and nothing of a bucket is left out. ``tasks``
+    share the cells (see :func:`_tasks`).
     """
     columns = ["item", "at", "id", "vec", "sigs"]
     rows = active.select(*columns, F.lit(False).alias("fixed"))
     if leaders is not None:
         rows = rows.unionByName(leaders.select(*columns, F.lit(True).alias("fixed")))
-    sizes = rows.select("fixed", F.posexplode("sigs").alias("tab", "sig")).groupBy("tab", "sig")
-    sizes = sizes.agg(F.count_if(~F.col("fixed")).alias("n_active"), F.count_if("fixed").alias("n_fixed"))
+    keys = rows.select("item", "fixed", F.posexplode("sigs").alias("tab", "sig"))
+    sizes = keys.groupBy("tab", "sig").agg(F.count_if(~F.col("fixed")).alias("n_active"), F.count_if("fixed").alias("n_fixed"))
     sizes = sizes.filter("n_active > 0 and n_active + n_fixed > 1" if among else "n_active > 0 and n_fixed > 0")
     whole = F.col("n_active") + F.col("n_fixed") <= block
     parts = lambda n: F.when(whole, 1).otherwise(F.ceil(F.col(n) / block)).cast("int")
     sizes = sizes.select("tab", "sig", whole.alias("whole"), parts("n_active").alias("a"), parts("n_fixed").alias("f"))
-    placed = rows.select("item", "at", "id", "vec", "fixed", F.posexplode("sigs").alias("tab", "sig")).join(sizes, ["tab", "sig"])
+    # keys find their buckets alone; a vector meets its list of them once
+    found = keys.join(sizes, ["tab", "sig"]).groupBy("item").agg(F.collect_list(F.struct("tab", "sig", "whole", "a", "f")).alias("buckets"))
+    placed = rows.drop("sigs").join(found, "item").select("item", "at", "id", "vec", "fixed", F.inline("buckets"))
     # blocks 0 to a - 1 hold active items, a to a + f - 1 leaders
     dealt = F.when(F.col("fixed"), F.col("a") + F.pmod(F.xxhash64("item"), F.greatest("f", F.lit(1)))).otherwise(F.pmod(F.xxhash64("item"), "a"))
     placed = placed.withColumn("block", F.when(F.col("whole"), 0).otherwise(dealt).cast("int"))
@@ -135,26 +140,32 @@ def _look_back(
         part = part.combine_chunks()
         column = lambda name: pa.concat_arrays(part[name].chunks)
         unit, fixed, side = _unit_rows(column("vec")), part["fixed"].to_numpy(), part["block"].to_numpy()
-        cross = part["lo"][0].as_py() != part["hi"][0].as_py()
-        child, led, waits, parent, score = [], [], [], [], []
-        todo = np.flatnonzero(~fixed)
-        for at in range(0, len(todo), 256):
-            own = todo[at : at + 256]
-            upto = int(own[-1]) + 1  # rows are in order of arrival
-            # rounded, so that it does not matter in which cell a pair meets
-            scores = np.round(np.clip(unit[own] @ unit[:upto].T, 0.0, 1.0), 12)
-            near = (scores >= threshold) & (np.arange(upto) < own[:, None])
-            if cross:
-                near &= side[:upto] != side[own][:, None]
-            lead = near & fixed[:upto]
-            wait = near.any(1) & among & (near & ~fixed[:upto]).any(1)
-            best = np.where(lead, scores, -1.0).argmax(1)
-            keep = lead.any(1) | wait
-            child.append(own[keep])
-            led.append(lead.any(1)[keep])
-            waits.append(wait[keep])
-            parent.append(best[keep])
-            score.append(scores[np.arange(len(own)), best][keep])
+        # in a cell of two blocks only pairs across them are compared
+        sides = [side == value for value in np.unique(side)] if part["lo"][0].as_py() != part["hi"][0].as_py() else [None]
+        child, led, waits, parent, score = [np.empty(0, np.int64)], [np.empty(0, bool)], [np.empty(0, bool)], [np.empty(0, np.int64)], [np.empty(0)]
+        for mine in sides:
+            todo = np.flatnonzero(~fixed if mine is None else ~fixed & mine)
+            others = np.arange(len(unit)) if mine is None else np.flatnonzero(~mine)
+            if not len(others) or not len(todo):
+                continue
+            theirs, lead_of = unit if mine is None else unit[others], fixed[others]
+            for at in range(0, len(todo), 256):
+                own = todo[at : at + 256]
+                upto = int(np.searchsorted(others, own[-1], side="right"))  # rows are in order of arrival
+                if not upto:
+                    continue
+                # rounded, so that it does not matter in which cell a pair meets
+                scores = np.round(np.clip(unit[own] @ theirs[:upto].T, 0.0, 1.0), 12)
+                near = (scores >= threshold) & (others[:upto] < own[:, None])
+                lead = near & lead_of[:upto]
+                wait = near.any(1) & among & (near & ~lead_of[:upto]).any(1)
+                best = np.where(lead, scores, -1.0).argmax(1)
+                keep = lead.any(1) | wait
+                child.append(own[keep])
+                led.append(lead.any(1)[keep])
+                waits.append(wait[keep])
+                parent.append(others[best[keep]])
+                score.append(scores[np.arange(len(own)), best][keep])
         child, led, waits, parent, score = (np.concatenate(x) for x in (child, led, waits, parent, score))
         at = pa.array(parent, pa.int64(), mask=~led)
         columns = [column("item").take(pa.array(child)), pa.array(led), pa.array(waits)]
@@ -178,7 +189,17 @@ def _look_back(
             yield compare(held)
 
     types = {name: active.schema[name].dataType.simpleString() for name in ("at", "id")}
-    return cells.repartition(*place).sortWithinPartitions(*place, "at", "id", "item").mapInArrow(run, _FOUND.format(**types))
+    dealt_out = cells.repartition(tasks, *place) if tasks else cells.repartition(*place)
+    return dealt_out.sortWithinPartitions(*place, "at", "id", "item").mapInArrow(run, _FOUND.format(**types))
+
+
+def _tasks(count: int, width: float, tables: int, bits: int, block: int, least: int) -> int | None:
+    """Tasks for the cells of ``count`` vectors of ``width`` numbers, so that
+    each reads about ``TASK_BYTES`` of them; null where the session's own
+    number is enough."""
+    copies = math.ceil(count / 2**bits / block)
+    size = 4.0 * count * width * tables * copies
+    return max(least, math.ceil(size / TASK_BYTES)) if size > 8 * TASK_BYTES else None
 
 
 def _phases(items: DataFrame, count: int, block: int, sample: int = 4096) -> tuple[DataFrame, int]:
@@ -205,7 +226,7 @@ def assign_clusters(
     text: str = "message",
     ts: str = "ts",
     tie: str = "log_id",
-    block: int = 2048,
+    block: int = BLOCK,
     tables: int | None = None,
     bits: int | None = None,
     seed: int = 7,
@@ -247,13 +268,15 @@ def assign_clusters(
     )
     id_type = items.schema["id"].dataType.simpleString()
     settled = ["item", "at", "id", "vec", "sigs"]
-    items, phases = _phases(items, items.count(), block)
+    count, numbers = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("vec")), F.lit(0))).first()
+    tasks = _tasks(count, numbers / max(1, count), tables, bits, block, int(logs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    items, phases = _phases(items, count, block)
     waiting, leaders = items, None
     for phase in range(phases):
         active, later = waiting.filter(F.col("phase") == phase), waiting.filter(F.col("phase") > phase)
         fresh = found = None
         while True:
-            told = _look_back(active, fresh, threshold, block, True).groupBy("item").agg(F.bool_or("led").alias("led"))
+            told = _look_back(active, fresh, threshold, block, True, tasks).groupBy("item").agg(F.bool_or("led").alias("led"))
             seen = stored(active.select(settled).join(told, "item", "left"), "round")
             fresh = seen.filter("led is null").select(settled)
             found = fresh if found is None else found.unionByName(fresh)
@@ -262,13 +285,13 @@ def assign_clusters(
                 break
         leaders = found if leaders is None else leaders.unionByName(found)
         if phase + 1 < phases:
-            led = _look_back(later, found, threshold, block, False).select("item").distinct()
+            led = _look_back(later, found, threshold, block, False, tasks).select("item").distinct()
             waiting = stored(later.join(led, "item", "left_anti"), "later")
 
     # The most similar leader, the earlier one on a tie.
     preference = F.struct((-F.col("score")).alias("s"), "parent_at", "parent_id", "parent")
     members = items.join(leaders.select("item"), "item", "left_anti")
-    members = _look_back(members, leaders, threshold, block, False).groupBy("item").agg(
+    members = _look_back(members, leaders, threshold, block, False, tasks).groupBy("item").agg(
         F.min_by(F.struct("parent", "score"), preference).alias("top")
     ).select("item", F.col("top.parent").alias("leader"), "top.score")
 
