@@ -197,3 +197,9 @@ def test_registered_queries_have_the_contract_columns(spark):
     folder = "/root/testdata/sf0.001"
     assert op11_prefix_trie(spark, folder).columns[:4] == ["conv_id", "depth", "parent_conv_id", "n_convs"]
     assert op13_collocations(spark, folder).columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
+
+
+def test_a_row_of_runs_holds_two_megabytes_of_text_at_most(spark):
+    docs = spark.createDataFrame([("ab cd " * 170_000, "en")] * 5, "text string, lang string").coalesce(1)
+    sizes = [r.n for r in phrases.token_runs(docs, "text", "lang").select("n").collect()]
+    assert sum(sizes) == 5 * 340_000 and max(sizes) * 3 <= 2 << 20

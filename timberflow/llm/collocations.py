@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from timberflow.llm.texts import hashes, mix, plain, raw_bytes, slices
 from timberflow.session import stored
 
-SLICE = 4 << 20
+SLICE = 2 << 20  # bytes of text in a row of runs; what a task holds besides its filters goes with it
 LONGEST, LEAST, FIRST = 5, 100, 2000
 FILTER_BITS = 1 << 27  # at most: 16 MB on the driver and in a task, of any corpus; a filter takes 16 bits a fingerprint
 SALTS = 64
