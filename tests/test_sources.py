@@ -80,6 +80,16 @@ def test_batch_partial_success(spark):
     assert [r.record_id for r in RE.batch_errors(df).collect()] == ["2"]
 
 
+def test_batch_report_reads_its_records_once(spark):
+    good = {"message": "a@b.io c@d.io", "service_id": "s"}
+    df = payload_frame(spark, {"logs": [good, {"message": "x"}, good]})
+    report = RE.batch_report(RE.structured_records(RE.batch_records(df)))
+    row = report.first()
+    assert (row.processed_records, row.failed_records, row.redaction_summary) == (2, 1, {"EMAIL": 4})
+    plan = report._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("posexplode") == 1
+
+
 def test_structured_extras_and_defaults(spark):
     df = payload_frame(spark, {"message": "m", "metadata": {"service.name": "meta-svc", "k": {"deep": 1}}, "region": "eu", "host": "h1"})
     row = RE.accepted(RE.structured_records(df)).first()

@@ -189,27 +189,30 @@ def batch_report(records: DataFrame) -> DataFrame:
     redaction counts. A batch arrives as one payload, which bounds its failure
     list."""
     failed = F.col("reject_reason").isNotNull()
-    totals = records.groupBy("batch_id").agg(
-        F.count_if(~failed).alias("processed_records"),
-        F.count_if(failed).alias("failed_records"),
-        F.array_sort(
-            F.collect_list(F.when(failed, F.struct("record_index", F.col("reject_reason").alias("error"))))
-        ).alias("failures"),
-    )
-    summed = (
-        records.filter(~failed)
-        .select("batch_id", F.explode("redactions").alias("label", "hits"))
+    # Per record an entry without a label, which counts it, and one per label:
+    # so one pass over the records gives counts, failures and sums.
+    entry = lambda label, hits: F.struct(label.cast("string").alias("label"), hits.cast("bigint").alias("hits"))
+    found = F.when(~failed, F.transform(F.map_entries("redactions"), lambda e: entry(e["key"], e["value"])))
+    failure = F.when(failed, F.struct("record_index", F.col("reject_reason").alias("error")))
+    entries = F.concat(F.array(entry(F.lit(None), F.lit(0))), F.coalesce(found, F.array()))
+    own = F.col("label").isNull()
+    labelled = (
+        records.select("batch_id", failure.alias("failure"), F.inline(entries))
         .groupBy("batch_id", "label")
-        .agg(F.sum("hits").alias("hits"))
-        .groupBy("batch_id")
-        .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "hits")))).alias("redaction_summary"))
-    )
-    return totals.join(summed, "batch_id", "left").withColumns(
-        {
-            "status": F.when(F.col("failed_records") == 0, "success").otherwise("partial_success"),
-            "redaction_summary": F.coalesce("redaction_summary", F.create_map().cast("map<string,bigint>")),
-        }
+        .agg(
+            F.count_if(own & F.col("failure").isNull()).alias("processed"),
+            F.count_if(own & F.col("failure").isNotNull()).alias("failed"),
+            F.collect_list(F.when(own, F.col("failure"))).alias("failures"),
+            F.sum("hits").alias("hits"),
+        )
     )
+    sums = F.collect_list(F.when(~own & F.col("batch_id").isNotNull(), F.struct("label", "hits")))
+    return labelled.groupBy("batch_id").agg(
+        F.sum("processed").alias("processed_records"),
+        F.sum("failed").alias("failed_records"),
+        F.array_sort(F.flatten(F.collect_list("failures"))).alias("failures"),
+        F.map_from_entries(F.array_sort(sums)).alias("redaction_summary"),
+    ).withColumn("status", F.when(F.col("failed_records") == 0, "success").otherwise("partial_success"))
 
 
 def payload_form(df: DataFrame) -> DataFrame:
