@@ -136,3 +136,20 @@ def test_read_gate_opens_granted_rows_only(spark):
     assert sorted(got, key=str) == [(1, "ann", hidden, 1), (2, "ann", "fine", None), (2, "ann", "fine", None), (3, "ann", None, None)]
     wrong = AC.readable_logs(sealed, requests, grants, other, schema).collect()
     assert len(wrong) == 4 and all(r.message is None for r in wrong)
+
+
+def test_a_rule_looks_for_its_literals_once(spark):
+    df = spark.createDataFrame([(None,), ("4111-1111-1111-1111",), ("a@b.cc x",)], "t string")
+    redacted = RD.redact_column(df, "t")
+    assert [(r.t, r.redactions) for r in redacted.collect()] == [
+        (None, {}), ("[REDACTED:CREDIT_CARD]", {"CREDIT_CARD": 1}), ("[REDACTED:EMAIL] x", {"EMAIL": 1}),
+    ]
+    plan = redacted._jdf.queryExecution().analyzed().toString()
+    assert plan.count(", ghp_)") == 1
+
+
+def test_no_match_is_lost_to_the_cheap_tests(spark):
+    shortest = ["eyJa.b.c", "AKIA" + "A" * 16, "sk-" + "a" * 16, "Bearer " + "a" * 20, "a@b.cc", "4222222222222", "4 2 2 2 2 2 2 2 2 2 2 2 2"]
+    df = spark.createDataFrame([(n, t) for n, t in enumerate(shortest)], "n int, t string")
+    rows = df.select("n", R.redact_text(F.col("t")).alias("t")).orderBy("n").collect()
+    assert all(r.t.startswith("[REDACTED:") and r.t.endswith("]") for r in rows), rows

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, functions as F
 
@@ -15,8 +17,9 @@ class Rule:
 
     ``triggers`` are literals of which any match must contain at least one
     (empty: none known). Testing for them is far cheaper than running the
-    expression, and most log lines contain none. ``luhn`` keeps matches whose
-    digits fail the card checksum.
+    expression, and most log lines contain none. No match is shorter than
+    ``least`` bytes, and ``hint`` is a cheaper expression that is found in every
+    match. ``luhn`` keeps matches whose digits fail the card checksum.
     """
 
     label: str
@@ -24,6 +27,8 @@ class Rule:
     triggers: tuple[str, ...] = ()
     fold_case: bool = False
     luhn: bool = False
+    least: int = 0
+    hint: str | None = None
 
     @property
     def token(self) -> str:
@@ -32,16 +37,17 @@ class Rule:
 
 # Labels, patterns and order of the built-in rules.
 DEFAULT_RULES = (
-    Rule("JWT", r"\beyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\b", ("eyJ",)),
-    Rule("AWS_ACCESS_KEY", r"\bAKIA[0-9A-Z]{16}\b", ("AKIA",)),
+    Rule("JWT", r"\beyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\b", ("eyJ",), least=8),
+    Rule("AWS_ACCESS_KEY", r"\bAKIA[0-9A-Z]{16}\b", ("AKIA",), least=20),
     Rule(
         "API_KEY",
         r"\b(?:sk-|ghp_|gho_|xoxb-|pk_live_|sk_live_)[A-Za-z0-9_-]{16,}\b",
         ("sk-", "ghp_", "gho_", "xoxb-", "pk_live_", "sk_live_"),
+        least=19,
     ),
-    Rule("BEARER", r"(?i)\bBearer\s+[A-Za-z0-9_\-\.]{20,}\b", ("bearer",), fold_case=True),
-    Rule("EMAIL", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", ("@",)),
-    Rule("CREDIT_CARD", r"\b(?:\d[ -]*?){13,19}\b", luhn=True),
+    Rule("BEARER", r"(?i)\bBearer\s+[A-Za-z0-9_\-\.]{20,}\b", ("bearer",), fold_case=True, least=27),
+    Rule("EMAIL", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", ("@",), least=6),
+    Rule("CREDIT_CARD", r"\b(?:\d[ -]*?){13,19}\b", luhn=True, least=13, hint=r"\d[ \d-]{12}"),
 )
 IPV4_RULE = Rule(
     "IPV4",
@@ -74,38 +80,43 @@ def select_rules(names: list[str] | None = None, include_ipv4: bool = False) ->
 
 
 def may_match(rule: Rule, text: Column) -> Column:
-    if not rule.triggers:
-        return F.lit(True)
-    haystack = F.lower(text) if rule.fold_case else text
-    found = F.contains(haystack, F.lit(rule.triggers[0]))
-    for literal in rule.triggers[1:]:
-        found = found | F.contains(haystack, F.lit(literal))
-    return found
+    tests = [F.octet_length(text) >= rule.least] if rule.least else []
+    if rule.triggers:
+        haystack = F.lower(text) if rule.fold_case else text
+        found = F.contains(haystack, F.lit(rule.triggers[0]))
+        for literal in rule.triggers[1:]:
+            found = found | F.contains(haystack, F.lit(literal))
+        tests.append(found)
+    if rule.hint:
+        tests.append(text.rlike(rule.hint))
+    return reduce(and_, tests) if tests else F.lit(True)
 
 
 def _card_digits_valid(match: Column) -> Column:
     return F.call_function("luhn_check", F.regexp_replace(match, r"\D", ""))
 
 
-def apply_rule(rule: Rule, text: Column) -> Column:
+def _replaced(rule: Rule, text: Column) -> Column:
     if rule.luhn:
-        replaced = rewrite_matches(
+        return rewrite_matches(
             text, rule.pattern, lambda m: F.when(_card_digits_valid(m), F.lit(rule.token)).otherwise(m)
         )
-    else:
-        replaced = F.regexp_replace(text, rule.pattern, rule.token)
-    return F.when(may_match(rule, text), replaced).otherwise(text)
+    return F.regexp_replace(text, rule.pattern, rule.token)
+
+
+def apply_rule(rule: Rule, text: Column) -> Column:
+    return F.when(may_match(rule, text), _replaced(rule, text)).otherwise(text)
+
+
+def _hits(rule: Rule, text: Column) -> Column:
+    if not rule.luhn:
+        return F.regexp_count(text, F.lit(rule.pattern))
+    hits = F.size(F.filter(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), _card_digits_valid))
+    return F.when(text.rlike(rule.pattern), hits).otherwise(F.lit(0))
 
 
 def count_rule(rule: Rule, text: Column) -> Column:
-    if rule.luhn:
-        hits = F.size(
-            F.filter(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), _card_digits_valid)
-        )
-        hits = F.when(text.rlike(rule.pattern), hits).otherwise(F.lit(0))
-    else:
-        hits = F.regexp_count(text, F.lit(rule.pattern))
-    return F.when(may_match(rule, text), hits).otherwise(F.lit(0))
+    return F.when(may_match(rule, text), _hits(rule, text)).otherwise(F.lit(0))
 
 
 def redact_text(text: Column, rules: tuple[Rule, ...] = DEFAULT_RULES, enabled: bool = True) -> Column:
@@ -119,18 +130,19 @@ def redact_text(text: Column, rules: tuple[Rule, ...] = DEFAULT_RULES, enabled:
 def redact_with_counts(text: Column, rules: tuple[Rule, ...] = DEFAULT_RULES) -> Column:
     """``struct<text, hits>``: the redacted text and the matches of each rule,
     in rule order, each counted on the text its predecessors left."""
-    state = F.struct(text.alias("text"), F.array().cast("array<int>").alias("hits"))
-    for rule in rules:
-        state = let(
-            state,
-            lambda s, rule=rule: F.struct(
-                apply_rule(rule, s["text"]).alias("text"),
-                F.concat(
-                    s["hits"], F.array(F.coalesce(count_rule(rule, s["text"]), F.lit(0)).cast("int"))
-                ).alias("hits"),
-            ),
+
+    def step(at: int, t: Column, hits: tuple[Column, ...]) -> Column:
+        if at == len(rules):
+            return F.struct(t.alias("text"), F.array(*hits).cast("array<int>").alias("hits"))
+        rule = rules[at]
+        found = F.struct(_replaced(rule, t).alias("text"), _hits(rule, t).cast("int").alias("n"))
+        nothing = F.struct(t.alias("text"), F.lit(0).alias("n"))
+        return let(
+            F.when(may_match(rule, t), found).otherwise(nothing),
+            lambda out: step(at + 1, out["text"], (*hits, out["n"])),
         )
-    return state
+
+    return step(0, text, ())
 
 
 def redact_map(column: Column, rules: tuple[Rule, ...] = DEFAULT_RULES) -> Column:
