@@ -208,9 +208,11 @@ def _entry_parts(value: Column, shown) -> Column:
         text, rest = _split_marked(encoded, shown)
         return F.struct(text.alias("text"), rest.alias("rest"))
 
-    scalar = F.coalesce(*_scalar_text(value))
-    known = F.struct(scalar.alias("text"), F.lit(None).cast("string").alias("rest"))
-    return F.when(scalar.isNotNull(), known).otherwise(let(any_value_json(value), both))
+    def known(scalar: Column) -> Column:
+        found = F.struct(scalar.alias("text"), F.lit(None).cast("string").alias("rest"))
+        return F.when(scalar.isNotNull(), found).otherwise(let(any_value_json(value), both))
+
+    return let(F.coalesce(*_scalar_text(value)), known)
 
 
 def attribute_entries(attributes: Column) -> Column:
@@ -284,10 +286,10 @@ def flatten_payloads(df: DataFrame, ingest_time: Column | None = None) -> DataFr
     ).filter(_kind(F.col("__record")).startswith("OBJECT"))
     record = F.col("__record")
     nanos = F.coalesce(
-        F.nullif(_at(record, "$.timeUnixNano", "string"), F.lit("0")), _at(record, "$.observedTimeUnixNano", "string")
+        F.nullif(F.col("__nanos"), F.lit("0")), _at(record, "$.observedTimeUnixNano", "string")
     )
     severity = _at(record, "$.severityText")
-    records = pin(records, {"__body": _at(record, "$.body")})
+    records = pin(records, {"__body": _at(record, "$.body"), "__nanos": _at(record, "$.timeUnixNano", "string")})
     decoded = pin(
         records,
         {
