@@ -254,3 +254,24 @@ def test_sample_bounds(spark):
 def test_digests_of_a_known_text(spark):
     row = encode_texts(spark.createDataFrame([(1, "Hello, World!")], "doc_id bigint, text string"), WORD).first()
     assert hashlib.sha256(row["decoded"].encode()).hexdigest() == hashlib.sha256(b"hello</w> ,</w> world</w> !</w>").hexdigest()
+
+
+def test_decoding_holds_little_beside_its_texts():
+    import tracemalloc
+
+    import numpy as np
+    import public_tokenizers
+    from timberflow.llm.bpe import pair_index
+
+    model = pair_index(public_tokenizers.path("word_bpe_49k.json"))
+    words = sorted(model.vocab.values())[:1000]
+    ids = np.array(words * 300, np.int64)
+    bounds = np.array([0, 0, 3, 100_000, len(ids), len(ids)], np.int64)
+    name = {i: n for n, i in model.vocab.items()}
+    expected = [" ".join(name[i] for i in ids[a:b].tolist()) for a, b in zip(bounds, bounds[1:])]
+    tracemalloc.start()
+    texts = model.decode(ids, bounds)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert texts.to_pylist() == expected
+    assert peak < 16 * len(ids)  # a few numbers an id, none a byte of text

@@ -23,7 +23,7 @@ from timberflow.llm.chunks import chunks, cuts_safely
 from timberflow.llm.texts import WordIds, plain, slices, spread
 
 
-SLICE = 4 << 20  # bytes of text in a batch; its new words share one index
+SLICE = 2 << 20  # bytes of text in a batch; its new words share one index
 
 
 class PairIndexBpe:
@@ -43,11 +43,11 @@ class PairIndexBpe:
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix = model.get("end_of_word_suffix") or ""
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        names = [b""] * (1 + max([*self.vocab.values(), *self.added.values()]))
+        names: list[str | None] = [None] * (1 + max([*self.vocab.values(), *self.added.values()]))
         for name, i in [*self.vocab.items(), *self.added.items()]:
-            names[i] = name.encode() + b" "
-        self.names, self.name_size = np.frombuffer(b"".join(names), np.uint8), np.array([len(n) for n in names])
-        self.name_first = np.cumsum(self.name_size) - self.name_size
+            names[i] = name
+        # each name with a blank behind it, then each without, as a row ends
+        self.names, self.last = pa.array(["" if n is None else f"{n} " for n in names] + [n or "" for n in names]), len(names)
         self.known = WordIds(self._encode_chunks)
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         first: dict[int, tuple[int, int]] = {}
@@ -182,11 +182,13 @@ class PairIndexBpe:
 
     def decode(self, ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
         """Texts of id rows: without a decoder, names joined by blanks."""
-        size = self.name_size[ids]
-        size[bounds[1:][np.diff(bounds) > 0] - 1] -= 1  # no blank after the last name
-        body, ends = spread(self.names, self.name_first[ids], size)
-        data = [pa.py_buffer(x) for x in (ends[bounds].astype(np.int32).tobytes(), body.tobytes())]
-        return pa.StringArray.from_buffers(len(bounds) - 1, *data)
+        ends = bounds[1:][np.diff(bounds) > 0] - 1
+        of = ids.astype(np.int32)
+        of[ends] += self.last  # no blank after the last name
+        pieces = self.names.take(pa.array(of))
+        _, offsets, body = pieces.buffers()
+        starts = np.frombuffer(offsets, np.int32)[: len(of) + 1] if len(of) else np.zeros(1, np.int32)
+        return pa.StringArray.from_buffers(len(bounds) - 1, pa.py_buffer(starts[bounds].tobytes()), body or pa.py_buffer(b""))
 
 
 @lru_cache(maxsize=2)
