@@ -95,3 +95,23 @@ def test_pruned_search_finds_what_the_whole_search_finds(spark, monkeypatch):
     for key, (share, cosine) in whole.items():
         assert found[key] == (share, pytest.approx(cosine, abs=1e-5))
     assert (len(texts) - 1, 9) in found
+
+
+def test_distinct_passage_terms_are_sorted_not_hashed():
+    import time
+
+    import numpy as np
+    from timberflow.llm.decontaminate import _distinct
+
+    def seconds(of, key):
+        began = time.process_time()
+        found = of(key)
+        return time.process_time() - began, found
+
+    for key in (np.empty(0, np.uint32), np.zeros(3, np.int64), np.array([5, 1, 5, 0], np.uint32)):
+        assert _distinct(key.copy()).tolist() == sorted(set(key.tolist()))
+    passage = np.repeat(np.arange(40_000), 48)
+    key = (passage * 8192 + np.random.default_rng(1).integers(0, 8192, len(passage))).astype(np.uint32)
+    hashed, expected = seconds(np.unique, key)
+    sorting, found = seconds(_distinct, key.copy())
+    assert (found == expected).all() and sorting < hashed
