@@ -66,3 +66,8 @@ def test_input_is_dealt_by_setting_alone(spark):
         assert spread(one).rdd.getNumPartitions() == 3
     finally:
         spark.conf.unset(INPUT_PARTITIONS)
+
+
+def test_cluster_queries_mask_texts_once(spark):
+    plan = QUERIES["cluster_decisions"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan  # the keys are read from where they were stored

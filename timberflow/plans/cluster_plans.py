@@ -27,14 +27,18 @@ def exact_text_clusters(spark, sf_dir):
 
 
 def exact_decisions(spark, sf_dir):
-    """Cluster decisions for equal normalised texts: each repeat scores 1."""
+    """Cluster decisions for equal normalised texts: each repeat scores 1.
+    Clusters and decisions read the rows several times, so the normalised keys
+    are stored: the texts are masked once."""
     from timberflow.functions.masks import normalized_text
     from timberflow.operators.pinning import pin
+    from timberflow.session import stored
 
-    logs = pin(
+    keyed = pin(
         document_logs(spark, sf_dir).withColumn("ts", F.col("log_id")),
         {"text_key": F.sha2(normalized_text(F.col("message")), 256)},
     )
+    logs = stored(keyed, "keyed-logs")
     firsts = logs.groupBy("text_key").agg(F.min("log_id").alias("first_id"))
     return (
         logs.join(firsts, "text_key")
