@@ -303,3 +303,63 @@ def test_vectors_are_not_sent_with_every_key_to_find_its_bucket(spark):
     lines = told._jdf.queryExecution().optimizedPlan().toString().split("\n")
     below = [lines[i + 1] for i, line in enumerate(lines) if "posexplode(" in line]
     assert below and not any("vec#" in line for line in below)
+
+
+def test_packed_vectors_are_read_back_exactly(spark):
+    rng = np.random.default_rng(3)
+    counts = (rng.poisson(0.7, 31) / np.float32(7.3)).astype("float32")
+    rows = [[float(x) for x in counts], [1.0, None, -2.5], [0.1] * 40, [float(x) for x in rng.normal(size=300)], [1e300, 0.0], [0.5], [float(k % 60) for k in range(500)]]
+    for kind in ("double", "float"):
+        df = spark.createDataFrame([(k, v) for k, v in enumerate(rows) if kind == "double" or k != 4], f"n int, vec array<{kind}>")
+        got = df.coalesce(1).select("n", "vec", C._packed(F.col("vec")).alias("packed")).toArrow()
+        back = C._unpacked(got["packed"].combine_chunks())
+        for v, read in zip(got["vec"].to_pylist(), back, strict=True):
+            want = np.array([np.nan if x is None else x for x in v])
+            assert np.array_equal(read[: len(v)], want, equal_nan=True) and not read[len(v) :].any()
+    few = spark.createDataFrame([([float(x) for x in counts[:16]] * 16,)], "vec array<float>")
+    assert len(few.select(C._packed(F.col("vec"))).first()[0]) < 256
+
+
+def test_vectors_without_a_similar_one_are_compared_once(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    alone = rng.normal(size=(400, 48))
+    vectors = np.concatenate([alone, alone[:40] + rng.normal(size=(40, 48)) * 0.05])
+    order = rng.permutation(len(vectors))
+    rows = [(k, int(order[k]), "m", [float(x) for x in v]) for k, v in enumerate(vectors)]
+    df = spark.createDataFrame(rows, "log_id int, ts int, message string, vector array<double>")
+    want = decided(df, block=2048)
+    sent, look_back = [], C._look_back
+
+    def counted(active, leaders, *rest):
+        sent.append(active.count() + (leaders.count() if leaders is not None else 0))
+        return look_back(active, leaders, *rest)
+
+    monkeypatch.setattr(C, "_look_back", counted)
+    assert decided(df, block=32) == want
+    assert 400 <= len({x for x, _ in want.values()}) < 410
+    # the first phase sees all of its rows, then only the 80 with a similar one go on
+    assert sum(sent) < 440 + 100, sent
+
+
+def test_documents_are_embedded_once(spark, tmp_path, monkeypatch):
+    from timberflow.operators import embedding as E
+    from timberflow.plans import cluster_plans as P
+
+    texts = [f"job {k % 6} failed" for k in range(12)] + [" ", "", None, "  a b c"]
+    rows = [(k, t, "en", "s") for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    embedded, embedder = spark.sparkContext.accumulator(0), E.hashing_embedder
+
+    def counting(dimensions):
+        def seen(batches):
+            for batch in batches:
+                embedded.add(batch.num_rows)
+                yield batch
+
+        return lambda df, text, vector: embedder(dimensions)(df.mapInArrow(seen, df.schema), text, vector)
+
+    monkeypatch.setattr(E, "hashing_embedder", counting)
+    got = {r.log_id: (r.cluster_id, r.is_duplicate) for r in P.semantic_clusters(spark, str(tmp_path)).collect()}
+    assert embedded.value == len({t or "" for t in texts})
+    assert [got[k][0] for k in (12, 13, 14)] == [None] * 3 and got[15][0] and not got[15][1]
+    assert all(got[k][0] == got[k + 6][0] and got[k + 6][1] for k in range(6))

@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from timberflow.functions.levels import inferred_severity
@@ -80,37 +81,118 @@ def hashing_plan(threshold: float, recall: float = 0.95, aim: int = 24) -> tuple
     return tables, bits
 
 
-_FOUND = "item string, led boolean, waits boolean, parent string, parent_at {at}, parent_id {id}, score double"
-
-
-def _unit_rows(vectors) -> np.ndarray:
-    """Unit vectors of an Arrow list column, shorter ones filled with zeros."""
-    width = np.diff(vectors.offsets.to_numpy())
-    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype("float64")
-    rows = np.zeros((len(width), int(width.max())))
-    rows[np.arange(rows.shape[1]) < width[:, None]] = flat
-    length = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
-    return np.divide(rows, length, out=np.zeros_like(rows), where=length > 0)
+def _packed(vector: Column) -> Column:
+    """``binary``: the vector's numbers, exactly. A vector of counts has few
+    distinct numbers, which are listed once, with 4 or 8 bits a place; others
+    stand as they are. Read by :func:`_unpacked`."""
+    @F.pandas_udf("binary")
+    def pack(vectors: pd.Series) -> pd.Series:
+        def one(v) -> bytes:
+            full = np.asarray(v, "float64")
+            with np.errstate(over="ignore"):
+                half = full.astype("float32")
+            numbers = half if np.array_equal(half, full, equal_nan=True) else full
+            listed, at = np.unique(numbers, return_inverse=True)
+            bits = 4 if len(listed) <= 16 else 8
+            if len(listed) > 256 or len(listed) * numbers.itemsize + len(full) * bits / 8 >= numbers.nbytes:
+                bits, listed, places = 0, listed[:0], numbers.tobytes()
+            else:
+                places = at.astype("u1")
+                if bits == 4:
+                    places = np.append(places, np.zeros(len(places) % 2, "u1"))
+                    places = places[::2] | places[1::2] << 4
+                places = places.tobytes()
+            head = np.array([bits, numbers.itemsize, len(listed), len(full)], "<u4")
+            return head.tobytes() + listed.tobytes() + places
+
+        return pd.Series([one(v) for v in vectors], dtype=object)
+
+    return pack(vector)
+
+
+def _unpacked(rows: pa.Array) -> np.ndarray:
+    """The vectors of :func:`_packed`, shorter ones filled with zeros."""
+    rows = rows.cast(pa.binary())
+    ends = np.frombuffer(rows.buffers()[1], "<i4")[rows.offset : rows.offset + len(rows) + 1].astype("int64")
+    data = np.frombuffer(rows.buffers()[2], "u1")
+    heads = data[ends[:-1, None] + np.arange(16)].view("<u4")
+    kinds, kind_of = np.unique(heads, axis=0, return_inverse=True)
+    out = np.zeros((len(rows), int(kinds[:, 3].max())), f"float{8 * kinds[:, 1].max()}")
+    for k, (bits, itemsize, listed, count) in enumerate(kinds.tolist()):
+        mine = np.flatnonzero(kind_of.ravel() == k)
+        size = listed * itemsize + (-(-count * bits // 8) if bits else count * itemsize)
+        body = data[ends[mine, None] + 16 + np.arange(size)]
+        numbers = np.ascontiguousarray(body[:, : listed * itemsize] if bits else body).view(f"<f{itemsize}")
+        if bits:
+            at = body[:, listed * itemsize :]
+            if bits == 4:
+                at = np.stack([at & 15, at >> 4], axis=2).reshape(len(mine), -1)[:, :count]
+            numbers = np.take_along_axis(numbers, at.astype("int64"), axis=1)
+        out[mine, :count] = numbers
+    return out
+
+
+class _Cell:
+    """Rows that meet, in order of arrival: their numbers, whether they are
+    leaders (``fixed``) and of the second block (``high``), and the vectors."""
+
+    def __init__(self, item: np.ndarray, fixed: np.ndarray, high: np.ndarray, vectors: np.ndarray):
+        self.item, self.fixed, self.high, self.vectors = item, fixed, high, vectors
+        self.rough = np.empty(vectors.shape, "float32")
+        for at in range(0, len(vectors), 1024):
+            self.rough[at : at + 1024] = self.unit(slice(at, at + 1024))
+
+    def unit(self, at) -> np.ndarray:
+        rows = self.vectors[at].astype("float64")
+        length = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+        return np.divide(rows, length, out=np.zeros_like(rows), where=length > 0)
+
+    def pairs(self, threshold: float):
+        """Rows that are no leaders, earlier rows, their scores and which of
+        these reach the threshold, up to 256 rows at a time. In a cell of two
+        blocks only pairs across them are compared. Products are 32-bit first;
+        rows that may be similar to another are compared in 64 bits."""
+        every = np.arange(len(self.item))
+        low, high = every[~self.high], every[self.high]
+        least = threshold - (self.vectors.shape[1] + 16) * 2.0**-22
+        for mine, others in [(low, high), (high, low)] if len(low) and len(high) else [(every, every)]:
+            mine = mine[~self.fixed[mine]]
+            theirs = self.rough if len(others) == len(every) else self.rough[others]
+            for at in range(0, len(mine), 256):
+                own = mine[at : at + 256]
+                upto = int(np.searchsorted(others, own[-1]))  # rows are in order of arrival
+                if not upto:
+                    continue
+                maybe = others[:upto] < own[:, None]
+                if least > 0:
+                    maybe &= self.rough[own] @ theirs[:upto].T >= np.float32(least)
+                rows, columns = maybe.any(1), maybe.any(0)
+                if not rows.any():
+                    continue
+                # rounded, so that it does not matter in which cell a pair meets
+                own, other = own[rows], others[:upto][columns]
+                scores = np.round(np.clip(self.unit(own) @ self.unit(other).T, 0.0, 1.0), 12)
+                yield own, other, scores, (scores >= threshold) & maybe[np.ix_(rows, columns)]
 
 
-def _look_back(
-    active: DataFrame, leaders: DataFrame | None, threshold: float, block: int, among: bool, tasks: int | None = None
+def _met(
+    active: DataFrame, leaders: DataFrame | None, block: int, among: bool, tasks: int | None, judge, returned: str
 ) -> DataFrame:
-    """Per active item and cell where it has an earlier similar row of one of
-    its buckets: whether one is a leader (``led``; ``parent`` is the most
-    similar one, the earlier one on a tie), and whether one is active
-    (``waits``, only when compared ``among`` themselves).
+    """What ``judge(table, cell)`` yields for the cells, as columns ``returned``.
 
+    ``item`` numbers the rows in order of arrival. A row goes to its bucket in
+    each table (null in ``sigs``: to none of this table) where it meets
+    somebody: active items meet leaders and, ``among`` themselves, one another.
     A bucket of more than ``block`` rows is cut into blocks of active items and
     blocks of leaders; every two blocks that have something to compare meet in
     a cell, so a cell is bounded and nothing of a bucket is left out. ``tasks``
     share the cells (see :func:`_tasks`).
     """
-    columns = ["item", "at", "id", "vec", "sigs"]
+    columns = ["item", "vec", "sigs"]
     rows = active.select(*columns, F.lit(False).alias("fixed"))
     if leaders is not None:
         rows = rows.unionByName(leaders.select(*columns, F.lit(True).alias("fixed")))
-    keys = rows.select("item", "fixed", F.posexplode("sigs").alias("tab", "sig"))
+    keys = rows.select("item", "fixed", F.posexplode("sigs").alias("tab", "sig")).filter("sig is not null")
     sizes = keys.groupBy("tab", "sig").agg(F.count_if(~F.col("fixed")).alias("n_active"), F.count_if("fixed").alias("n_fixed"))
     sizes = sizes.filter("n_active > 0 and n_active + n_fixed > 1" if among else "n_active > 0 and n_fixed > 0")
     whole = F.col("n_active") + F.col("n_fixed") <= block
@@ -118,7 +200,7 @@ def _look_back(
     sizes = sizes.select("tab", "sig", whole.alias("whole"), parts("n_active").alias("a"), parts("n_fixed").alias("f"))
     # keys find their buckets alone; a vector meets its list of them once
     found = keys.join(sizes, ["tab", "sig"]).groupBy("item").agg(F.collect_list(F.struct("tab", "sig", "whole", "a", "f")).alias("buckets"))
-    placed = rows.drop("sigs").join(found, "item").select("item", "at", "id", "vec", "fixed", F.inline("buckets"))
+    placed = rows.drop("sigs").join(found, "item").select("item", "vec", "fixed", F.inline("buckets"))
     # blocks 0 to a - 1 hold active items, a to a + f - 1 leaders
     dealt = F.when(F.col("fixed"), F.col("a") + F.pmod(F.xxhash64("item"), F.greatest("f", F.lit(1)))).otherwise(F.pmod(F.xxhash64("item"), "a"))
     placed = placed.withColumn("block", F.when(F.col("whole"), 0).otherwise(dealt).cast("int"))
@@ -128,69 +210,85 @@ def _look_back(
         .when(F.col("fixed"), F.sequence(F.lit(0), F.col("a") - 1))
         .otherwise(F.filter(F.sequence(F.lit(0), F.col("a") + F.col("f") - 1), lambda k: k >= first))
     )
+    # a cell's columns are sent with each of its rows, so there are few: table
+    # and blocks in one number, marks of a leader and of the second block in one
+    lo, hi = (f("block", "other").cast("bigint") for f in (F.least, F.greatest))
     cells = placed.withColumn("other", F.explode(others)).select(
-        "tab", "sig", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
-        "block", "fixed", "item", "at", "id", "vec",
-    )
-    place = ["tab", "sig", "lo", "hi"]
-
-    def compare(part):
-        import pyarrow as pa
-
-        part = part.combine_chunks()
-        column = lambda name: pa.concat_arrays(part[name].chunks)
-        unit, fixed, side = _unit_rows(column("vec")), part["fixed"].to_numpy(), part["block"].to_numpy()
-        # in a cell of two blocks only pairs across them are compared
-        sides = [side == value for value in np.unique(side)] if part["lo"][0].as_py() != part["hi"][0].as_py() else [None]
-        child, led, waits, parent, score = [np.empty(0, np.int64)], [np.empty(0, bool)], [np.empty(0, bool)], [np.empty(0, np.int64)], [np.empty(0)]
-        for mine in sides:
-            todo = np.flatnonzero(~fixed if mine is None else ~fixed & mine)
-            others = np.arange(len(unit)) if mine is None else np.flatnonzero(~mine)
-            if not len(others) or not len(todo):
-                continue
-            theirs, lead_of = unit if mine is None else unit[others], fixed[others]
-            for at in range(0, len(todo), 256):
-                own = todo[at : at + 256]
-                upto = int(np.searchsorted(others, own[-1], side="right"))  # rows are in order of arrival
-                if not upto:
-                    continue
-                # rounded, so that it does not matter in which cell a pair meets
-                scores = np.round(np.clip(unit[own] @ theirs[:upto].T, 0.0, 1.0), 12)
-                near = (scores >= threshold) & (others[:upto] < own[:, None])
-                lead = near & lead_of[:upto]
-                wait = near.any(1) & among & (near & ~lead_of[:upto]).any(1)
-                best = np.where(lead, scores, -1.0).argmax(1)
-                keep = lead.any(1) | wait
-                child.append(own[keep])
-                led.append(lead.any(1)[keep])
-                waits.append(wait[keep])
-                parent.append(others[best[keep]])
-                score.append(scores[np.arange(len(own)), best][keep])
-        child, led, waits, parent, score = (np.concatenate(x) for x in (child, led, waits, parent, score))
-        at = pa.array(parent, pa.int64(), mask=~led)
-        columns = [column("item").take(pa.array(child)), pa.array(led), pa.array(waits)]
-        columns += [column(name).take(at) for name in ("item", "at", "id")] + [pa.array(score, mask=~led)]
-        return pa.RecordBatch.from_arrays(columns, ["item", "led", "waits", "parent", "parent_at", "parent_id", "score"])
+        "sig",
+        F.shiftleft(F.col("tab").cast("bigint"), 48).bitwiseOR(F.shiftleft(lo, 24)).bitwiseOR(hi).alias("place"),
+        F.when(F.col("fixed"), 1).otherwise(0).bitwiseOR(F.when(F.col("block") > F.col("other"), 2).otherwise(0)).alias("marks"),
+        "item",
+        "vec",
+    )
 
     def run(batches):
-        import pyarrow as pa
-
-        held = None
+        def judged(key, pieces):
+            if sum(len(item) for item, _, _ in pieces) < 2:
+                return
+            item, marks, vectors = zip(*pieces, strict=True)
+            width = max(v.shape[1] for v in vectors)
+            vectors = [v if v.shape[1] == width else np.pad(v, ((0, 0), (0, width - v.shape[1]))) for v in vectors]
+            marks = np.concatenate(marks)
+            yield from judge(key[1] >> 48, _Cell(np.concatenate(item), marks & 1 > 0, marks & 2 > 0, np.concatenate(vectors)))
+
+        key, held = None, []
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            table = table if held is None else pa.concat_tables([held, table])
-            key = np.stack([table[c].to_numpy() for c in place])
-            edge = [0, *(np.flatnonzero((np.diff(key, axis=1) != 0).any(0)) + 1).tolist()]
+            if not batch.num_rows:
+                continue
+            item, marks, sig, place = (batch[c].to_numpy() for c in ("item", "marks", "sig", "place"))
+            vectors = _unpacked(batch["vec"])
+            edge = [0, *(np.flatnonzero((np.diff(sig) != 0) | (np.diff(place) != 0)) + 1).tolist(), len(sig)]
             for a, b in zip(edge[:-1], edge[1:], strict=True):
-                if b - a > 1:
-                    yield compare(table.slice(a, b - a))
-            held = table.slice(edge[-1])
-        if held is not None and held.num_rows > 1:
-            yield compare(held)
+                now = int(sig[a]), int(place[a])
+                if now != key:
+                    yield from judged(key, held)
+                    key, held = now, []
+                held.append((item[a:b], marks[a:b], vectors[a:b]))
+        yield from judged(key, held)
 
-    types = {name: active.schema[name].dataType.simpleString() for name in ("at", "id")}
-    dealt_out = cells.repartition(tasks, *place) if tasks else cells.repartition(*place)
-    return dealt_out.sortWithinPartitions(*place, "at", "id", "item").mapInArrow(run, _FOUND.format(**types))
+    dealt_out = cells.repartition(tasks, "sig", "place") if tasks else cells.repartition("sig", "place")
+    return dealt_out.sortWithinPartitions("sig", "place", "item").mapInArrow(run, returned)
+
+
+def _look_back(
+    active: DataFrame, leaders: DataFrame | None, threshold: float, block: int, among: bool, tasks: int | None = None
+) -> DataFrame:
+    """Per active item and cell where it has an earlier similar row of one of
+    its buckets: whether one is a leader (``led``; ``parent`` is the most
+    similar one, the earlier one on a tie), and whether one is active
+    (``waits``, only when compared ``among`` themselves). See :func:`_met`."""
+
+    def judge(_, cell):
+        for own, other, scores, near in cell.pairs(threshold):
+            lead = near & cell.fixed[other]
+            led, waits = lead.any(1), (near & ~cell.fixed[other]).any(1) & among
+            best = np.where(lead, scores, -1.0).argmax(1)
+            keep = np.flatnonzero(led | waits)
+            if len(keep):
+                score, parent = scores[keep, best[keep]], cell.item[other[best[keep]]]
+                columns = [pa.array(cell.item[own[keep]]), pa.array(led[keep]), pa.array(waits[keep])]
+                columns += [pa.array(x, mask=~led[keep]) for x in (parent, score)]
+                yield pa.RecordBatch.from_arrays(columns, ["item", "led", "waits", "parent", "score"])
+
+    return _met(active, leaders, block, among, tasks, judge, "item bigint, led boolean, waits boolean, parent bigint, score double")
+
+
+def _company(items: DataFrame, threshold: float, block: int, tasks: int | None = None) -> DataFrame:
+    """The items that have a similar one in any of their buckets, with ``sigs``
+    only of the tables where they meet one: the same similar pairs, in fewer
+    cells."""
+
+    def judge(tab, cell):
+        met = np.zeros(len(cell.item), bool)
+        for own, other, _, near in cell.pairs(threshold):
+            met[own[near.any(1)]] = True
+            met[other[near.any(0)]] = True
+        if met.any():
+            yield pa.RecordBatch.from_arrays([pa.array(cell.item[met]), pa.array(np.full(met.sum(), tab, "int32"))], ["item", "tab"])
+
+    met = _met(items, None, block, True, tasks, judge, "item bigint, tab int").groupBy("item").agg(F.collect_set("tab").alias("tabs"))
+    kept = F.transform("sigs", lambda sig, tab: F.when(F.array_contains("tabs", tab), sig))
+    return items.join(met, "item").withColumn("sigs", kept).drop("tabs")
 
 
 def _tasks(count: int, width: float, tables: int, bits: int, block: int, least: int) -> int | None:
@@ -213,9 +311,9 @@ def _phases(items: DataFrame, count: int, block: int, sample: int = 4096) -> tup
         size *= 8
     if not shares:
         return items.withColumn("phase", F.lit(0)), 1
-    drawn = items.select("item", F.struct("at", "id", "item").alias("o")).orderBy(F.xxhash64("item"), "item").limit(sample)
-    cuts = drawn.agg(F.array_sort(F.collect_list("o")).alias("o")).select(F.array(*(F.get("o", F.lit(int(k))) for k in shares)).alias("cuts"))
-    passed = F.filter("cuts", lambda cut: cut < F.struct("at", "id", "item"))
+    drawn = items.select("item").orderBy(F.xxhash64("item"), "item").limit(sample)
+    cuts = drawn.agg(F.array_sort(F.collect_list("item")).alias("o")).select(F.array(*(F.get("o", F.lit(int(k))) for k in shares)).alias("cuts"))
+    passed = F.filter("cuts", lambda cut: cut < F.col("item"))
     return items.crossJoin(F.broadcast(stored(cuts, "cuts"))).withColumn("phase", F.size(passed)).drop("cuts"), len(shares) + 1
 
 
@@ -241,14 +339,17 @@ def assign_clusters(
     threshold, by one rule for tables of any size, and the result does not
     depend on ``block``. A member's score is its exact cosine.
 
-    Equal vectors collapse first. The others are settled in phases, each a
-    longer stretch of the order of arrival, and within a phase in rounds: who
-    has no earlier similar open item and no leader is a leader, who has a
-    leader is settled, the others go to the next round. The earliest open item
-    is settled in every round. After a phase, later items that its leaders lead
-    drop out, so near copies are not compared with one another. Each round is
-    cut to reliable storage. Logs with a blank text or no vector stay without a
-    cluster.
+    Equal vectors collapse first; the others are numbered in order of arrival
+    and sent packed. They are settled in phases, each a longer stretch of the
+    order of arrival, and within a phase in rounds: who has no earlier similar
+    open item and no leader is a leader, who has a leader is settled, the
+    others go to the next round. The earliest open item is settled in every
+    round. After a phase, later items that its leaders lead drop out, so near
+    copies are not compared with one another. Where the first phase shows that
+    most items lead, all are compared once to find those that have a similar
+    one at all; only these go on, to the tables where they met one. Neither
+    changes the result. Each round is cut to reliable storage. Logs with a
+    blank text or no vector stay without a cluster.
     """
     usable = filled(F.col(text)).isNotNull() & (F.size(vector) > 0)
     # 128 bits of hash identify equal vectors without shuffling them twice.
@@ -259,18 +360,23 @@ def assign_clusters(
     bits = planned_bits if bits is None else bits
     tables = planned_tables if tables is None else tables
     sigs = _signatures(F.col("vec"), tables, bits, seed) if bits else F.array(F.lit(0).cast("bigint"))
-    items = stored(
+    distinct = (
         keyed.filter("__item is not null")
-        .groupBy(F.col("__item").alias("item"))
+        .groupBy("__item")
         .agg(F.min(arrival).alias("first"), F.first(vector).alias("vec"))
-        .select("item", F.col("first.at").alias("at"), F.col("first.id").alias("id"), "vec", sigs.alias("sigs")),
-        "items",
+        .select("__item", "first.at", "first.id", "vec")
     )
-    id_type = items.schema["id"].dataType.simpleString()
-    settled = ["item", "at", "id", "vec", "sigs"]
-    count, numbers = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("vec")), F.lit(0))).first()
+    # partitions are ranges, so the numbers rise with the order of arrival
+    numbered = distinct.repartitionByRange("at", "id", "__item").sortWithinPartitions("at", "id", "__item").select(
+        F.monotonically_increasing_id().alias("item"), "__item", "id", F.size("vec").alias("width"),
+        _packed(F.col("vec")).alias("vec"), sigs.alias("sigs"),
+    )
+    named = stored(numbered, "items")
+    id_type = named.schema["id"].dataType.simpleString()
+    settled = ["item", "vec", "sigs"]
+    count, numbers = named.agg(F.count(F.lit(1)), F.coalesce(F.sum("width"), F.lit(0))).first()
     tasks = _tasks(count, numbers / max(1, count), tables, bits, block, int(logs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    items, phases = _phases(items, count, block)
+    items, phases = _phases(named.select(settled), count, block)
     waiting, leaders = items, None
     for phase in range(phases):
         active, later = waiting.filter(F.col("phase") == phase), waiting.filter(F.col("phase") > phase)
@@ -283,21 +389,30 @@ def assign_clusters(
             active = seen.filter(~F.col("led")).select(settled)
             if active.isEmpty():
                 break
+        if phase == 0 and phases > 1 and 2 * found.count() > items.filter("phase = 0").count():
+            items = stored(_company(items, threshold, block, tasks), "company")
+            found = items.join(found.select("item"), "item", "left_semi").select(settled)
+            later = items.filter(F.col("phase") > phase)
         leaders = found if leaders is None else leaders.unionByName(found)
         if phase + 1 < phases:
             led = _look_back(later, found, threshold, block, False, tasks).select("item").distinct()
             waiting = stored(later.join(led, "item", "left_anti"), "later")
 
-    # The most similar leader, the earlier one on a tie.
-    preference = F.struct((-F.col("score")).alias("s"), "parent_at", "parent_id", "parent")
+    # The most similar leader, the earlier one on a tie. Who is no member leads.
+    preference = F.struct((-F.col("score")).alias("s"), "parent")
     members = items.join(leaders.select("item"), "item", "left_anti")
-    members = _look_back(members, leaders, threshold, block, False, tasks).groupBy("item").agg(
-        F.min_by(F.struct("parent", "score"), preference).alias("top")
-    ).select("item", F.col("top.parent").alias("leader"), "top.score")
-
-    decided = leaders.select("item", F.col("item").alias("leader"), F.lit(None).cast("double").alias("score")).unionByName(members)
-    names = items.select(F.col("item").alias("leader"), F.col("id").alias("__leader"))
-    decided = decided.join(names, "leader").select(F.col("item").alias("__item"), "__leader", F.col("score").alias("__score"))
+    members = stored(
+        _look_back(members, leaders, threshold, block, False, tasks)
+        .groupBy("item")
+        .agg(F.min_by(F.struct("parent", "score"), preference).alias("top"))
+        .select("item", "top.parent", "top.score"),
+        "members",
+    )
+    decided = named.select("__item", "item").join(members, "item", "left").select(
+        "__item", F.coalesce("parent", "item").alias("leader"), F.col("score").alias("__score")
+    )
+    names = named.select(F.col("item").alias("leader"), F.col("id").alias("__leader"))
+    decided = decided.join(names, "leader").drop("leader")
 
     is_first = F.col(tie) == F.col("__leader")
     clustered = F.col("__leader").isNotNull()

@@ -154,9 +154,15 @@ def cluster_defaults(spark, sf_dir):
 
 @query("semantic_clusters")
 def semantic_clusters(spark, sf_dir):
-    """Leader clustering of the documents' hashed vectors."""
-    logs = document_logs(spark, sf_dir).withColumn("ts", F.col("log_id"))
+    """Leader clustering of the documents' hashed vectors. Texts are embedded
+    once and stored as vectors; of a text the clusters only read whether it is
+    blank, which its first character tells."""
+    from timberflow.functions.text import filled
+    from timberflow.session import stored
+
+    logs = document_logs(spark, sf_dir).withColumns({"ts": F.col("log_id"), "start": F.substring(filled(F.col("message")), 1, 1)})
     embedded = EM.embed_texts(logs, "message", EM.hashing_embedder(256))
+    embedded = stored(embedded.select("log_id", "ts", F.col("start").alias("message"), "vector"), "embedded")
     decided = CL.assign_clusters(embedded, threshold=0.92)
     return decided.select("log_id", "cluster_id", "is_duplicate", F.round("similarity_score", 6).alias("similarity_score"))
 
