@@ -147,32 +147,51 @@ class _Cell:
         length = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
         return np.divide(rows, length, out=np.zeros_like(rows), where=length > 0)
 
-    def pairs(self, threshold: float):
-        """Rows that are no leaders, earlier rows, their scores and which of
-        these reach the threshold, up to 256 rows at a time. In a cell of two
-        blocks only pairs across them are compared. Products are 32-bit first;
-        rows that may be similar to another are compared in 64 bits."""
+    def exact(self, own: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """Scores, rounded so that it does not matter in which cell a pair meets."""
+        return np.round(np.clip(self.unit(own) @ self.unit(other).T, 0.0, 1.0), 12)
+
+    def likely(self, threshold: float):
+        """Rows that are no leaders, up to 256 at a time, with the rows before
+        them, and by 32-bit products which of these may be similar and which
+        are for certain. In a cell of two blocks only pairs across them count."""
         every = np.arange(len(self.item))
         low, high = every[~self.high], every[self.high]
-        least = threshold - (self.vectors.shape[1] + 16) * 2.0**-22
+        slack = (self.vectors.shape[1] + 16) * 2.0**-22
         for mine, others in [(low, high), (high, low)] if len(low) and len(high) else [(every, every)]:
             mine = mine[~self.fixed[mine]]
             theirs = self.rough if len(others) == len(every) else self.rough[others]
             for at in range(0, len(mine), 256):
                 own = mine[at : at + 256]
                 upto = int(np.searchsorted(others, own[-1]))  # rows are in order of arrival
-                if not upto:
-                    continue
-                maybe = others[:upto] < own[:, None]
-                if least > 0:
-                    maybe &= self.rough[own] @ theirs[:upto].T >= np.float32(least)
-                rows, columns = maybe.any(1), maybe.any(0)
-                if not rows.any():
-                    continue
-                # rounded, so that it does not matter in which cell a pair meets
-                own, other = own[rows], others[:upto][columns]
-                scores = np.round(np.clip(self.unit(own) @ self.unit(other).T, 0.0, 1.0), 12)
-                yield own, other, scores, (scores >= threshold) & maybe[np.ix_(rows, columns)]
+                if upto:
+                    earlier, scores = others[:upto] < own[:, None], self.rough[own] @ theirs[:upto].T
+                    maybe = earlier & (scores >= np.float32(threshold - slack)) if threshold > slack else earlier
+                    yield own, others[:upto], maybe, maybe & (scores >= np.float32(threshold + slack))
+
+    def pairs(self, threshold: float):
+        """Rows that are no leaders, earlier rows, their scores and which of
+        these reach the threshold; rows with none may be left out."""
+        for own, other, maybe, _ in self.likely(threshold):
+            rows, columns = maybe.any(1), maybe.any(0)
+            if rows.any():
+                scores = self.exact(own[rows], other[columns])
+                yield own[rows], other[columns], scores, (scores >= threshold) & maybe[np.ix_(rows, columns)]
+
+    def met(self, threshold: float) -> np.ndarray:
+        """Whether a row is similar to another; there are no leaders."""
+        met = np.zeros(len(self.item), bool)
+        for own, other, maybe, sure in self.likely(threshold):
+            met[own] |= sure.any(1)
+            met[other] |= sure.any(0)
+            # scores are only needed where one of the two is not known yet
+            maybe &= ~(met[own][:, None] & met[other])
+            rows, columns = maybe.any(1), maybe.any(0)
+            if rows.any():
+                near = (self.exact(own[rows], other[columns]) >= threshold) & maybe[np.ix_(rows, columns)]
+                met[own[rows]] |= near.any(1)
+                met[other[columns]] |= near.any(0)
+        return met
 
 
 def _met(
@@ -279,10 +298,7 @@ def _company(items: DataFrame, threshold: float, block: int, tasks: int | None =
     cells."""
 
     def judge(tab, cell):
-        met = np.zeros(len(cell.item), bool)
-        for own, other, _, near in cell.pairs(threshold):
-            met[own[near.any(1)]] = True
-            met[other[near.any(0)]] = True
+        met = cell.met(threshold)
         if met.any():
             yield pa.RecordBatch.from_arrays([pa.array(cell.item[met]), pa.array(np.full(met.sum(), tab, "int32"))], ["item", "tab"])
 

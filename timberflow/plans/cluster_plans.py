@@ -156,11 +156,12 @@ def cluster_defaults(spark, sf_dir):
 def semantic_clusters(spark, sf_dir):
     """Leader clustering of the documents' hashed vectors. Texts are embedded
     once and stored as vectors; of a text the clusters only read whether it is
-    blank, which its first character tells."""
-    from timberflow.functions.text import filled
+    blank, which its first character that is not tells."""
+    from timberflow.functions.text import WHITESPACE
     from timberflow.session import stored
 
-    logs = document_logs(spark, sf_dir).withColumns({"ts": F.col("log_id"), "start": F.substring(filled(F.col("message")), 1, 1)})
+    start = F.substring(F.ltrim(F.col("message"), F.lit(WHITESPACE)), 1, 1)
+    logs = document_logs(spark, sf_dir).withColumns({"ts": F.col("log_id"), "start": start})
     embedded = EM.embed_texts(logs, "message", EM.hashing_embedder(256))
     embedded = stored(embedded.select("log_id", "ts", F.col("start").alias("message"), "vector"), "embedded")
     decided = CL.assign_clusters(embedded, threshold=0.92)
